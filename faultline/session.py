@@ -22,6 +22,7 @@ def local_session(cpus: int = 8, app: str = "faultline", **extra: str) -> SparkS
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
     )
