@@ -242,6 +242,34 @@ FROM {orders} WHERE o_totalprice > 400000
 """
 
 
+# one row per finished web request; braces of route templates are doubled
+VIEWS["requests"] = """
+SELECT event_id, ts AS at_ts, user_id,
+  CASE event_id % 10 WHEN 1 THEN 'GET' WHEN 2 THEN 'GET' WHEN 3 THEN 'GET' WHEN 4 THEN 'GET' WHEN 6 THEN 'DELETE' WHEN 7 THEN 'GET' WHEN 9 THEN 'PATCH' ELSE 'POST' END AS method,
+  CASE event_id % 10 WHEN 0 THEN '/api/auth/login' WHEN 1 THEN '/api/orgs' WHEN 2 THEN '/api/orgs/{{org_id}}/search' WHEN 3 THEN '/api/home'
+    WHEN 4 THEN '/api/shared/{{token}}' WHEN 5 THEN '/api/orgs/{{org_id}}/incidents' WHEN 6 THEN '/api/unknown/{{x}}' WHEN 7 THEN '/api/unknown'
+    WHEN 8 THEN '/api/logs/normalize' ELSE '/api/orgs/{{org_id}}/visibility' END AS route,
+  CASE user_id % 6 WHEN 0 THEN ' Chat ' WHEN 1 THEN 'MCP-Remote' WHEN 2 THEN 'mcp-stdio' WHEN 3 THEN 'weird' END AS channel_header,
+  CASE WHEN event_id % 23 <> 0 THEN concat('user_', CAST(user_id AS VARCHAR(20))) END AS ident_user,
+  CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'session' ELSE 'token' END AS ident_kind,
+  CASE WHEN event_id % 46 = 0 THEN concat('user_', CAST(user_id AS VARCHAR(20))) END AS meta_user,
+  CASE WHEN event_id % 3 = 0 THEN concat('  tool<', event_type, '> #', CAST(event_id % 7 AS VARCHAR(20)), ' ') WHEN event_id % 3 = 1 THEN '<>' END AS tool_header,
+  CASE WHEN event_id % 13 = 0 THEN 403 WHEN event_id % 17 = 0 THEN NULL ELSE 200 END AS status,
+  CAST(floor(value * 10) AS BIGINT) AS ms
+FROM {events}
+"""
+
+# browser events as they arrive, in batches of one user and hour
+VIEWS["browser_events"] = """
+SELECT event_id, user_id, ts AS arrived_at, date_trunc('hour', ts) AS batch,
+  CASE event_id % 4 WHEN 0 THEN 'ui.view' WHEN 1 THEN 'ui.copy' WHEN 2 THEN 'ui.palette_run' ELSE 'ui.retired' END AS action,
+  concat('{{"view":"', CASE WHEN event_id % 5 = 0 THEN '<b>' ELSE concat('tab ', event_type) END, '","value":', CAST(event_id % 9 AS VARCHAR(20)),
+    ',"kind":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '"k"' END, ',"secret":"x"}}') AS meta,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST((event_id % 7) * 300 - 900 AS BIGINT) END AS clock_offset
+FROM {events}
+"""
+
+
 def _spark_text(sql: str) -> str:
     sql = re.sub(r"<sha>\((.*?)\) AS hash", r"sha2(\1, 256) AS hash", sql, flags=re.S)
     return sql.replace("VARCHAR(20)", "STRING")
@@ -263,7 +291,7 @@ def expand(sql: str) -> str:
     sql = _nest(sql).replace("<sha>", "sha256")
     for name in NAMES:
         sql = sql.replace("{" + name + "}", name)
-    return sql
+    return sql.replace("{{", "{").replace("}}", "}")
 
 
 def view(spark: SparkSession, root: str, name: str) -> DataFrame:
