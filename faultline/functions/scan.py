@@ -39,20 +39,23 @@ def scan(
     sums: dict[str, Column] | None = None,
     lows: dict[str, str] | None = None,
     lasts: dict[str, Column] | None = None,
+    prevs: dict[str, Column] | None = None,
     peaks: dict[str, Column] | None = None,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add inclusive running values over ``keys`` in the order of a whole number.
 
     ``sums``   name -> summand, the running sum.
-    ``lows``   name -> name of one of ``sums``, the running minimum of that sum.
-    ``lasts``  name -> value, the latest value that is not null.
+    ``lows``   name -> name of one of ``sums``: the lowest that sum has been
+               before the row, the start of the key (0) included.
+    ``lasts``  name -> value, the latest value that is not null, own row included.
+    ``prevs``  name -> value, the same without the own row.
     ``peaks``  name -> value, the running maximum.
 
     ``order`` must be a whole-number column; rows of one key with the same
     order value must be alike or absent.
     """
-    sums, lows, lasts, peaks = sums or {}, lows or {}, lasts or {}, peaks or {}
+    sums, lows, lasts, prevs, peaks = sums or {}, lows or {}, lasts or {}, prevs or {}, peaks or {}
     rows = df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(chunk)))
     inside = (
         Window.partitionBy(*keys, _CHUNK).orderBy(order)
@@ -61,9 +64,17 @@ def scan(
     for name, value in sums.items():
         rows = rows.withColumn(f"__s_{name}", F.sum(value).over(inside))
     for name, source in lows.items():
-        rows = rows.withColumn(f"__l_{name}", F.min(f"__s_{source}").over(inside))
+        earlier = F.col(f"__s_{source}") - sums[source]
+        rows = rows.withColumn(f"__b_{name}", earlier)
+        rows = rows.withColumn(f"__l_{name}", F.min(f"__b_{name}").over(inside))
     for name, value in lasts.items():
         rows = rows.withColumn(f"__v_{name}", F.last(value, ignorenulls=True).over(inside))
+    above = (
+        Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    for name, value in prevs.items():
+        rows = rows.withColumn(f"__q_{name}", value)
+        rows = rows.withColumn(f"__v_{name}", F.last(f"__q_{name}", ignorenulls=True).over(above))
     for name, value in peaks.items():
         rows = rows.withColumn(f"__p_{name}", F.max(value).over(inside))
 
@@ -73,6 +84,10 @@ def scan(
         F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__tv_{n}")
         for n in lasts
     ]
+    summary += [
+        F.max_by(f"__q_{n}", F.when(F.col(f"__q_{n}").isNotNull(), F.col(order))).alias(f"__tv_{n}")
+        for n in prevs
+    ]
     summary += [F.max(f"__p_{n}").alias(f"__tp_{n}") for n in peaks]
     chunks = rows.groupBy(*keys, _CHUNK).agg(*summary)
 
@@ -82,7 +97,7 @@ def scan(
         *keys, _CHUNK,
         *[F.coalesce(F.sum(f"__ts_{n}").over(before), F.lit(0)).alias(f"__cs_{n}") for n in sums],
         *[F.col(f"__tl_{n}") for n in lows],
-        *[F.last(f"__tv_{n}", ignorenulls=True).over(before).alias(f"__cv_{n}") for n in lasts],
+        *[F.last(f"__tv_{n}", ignorenulls=True).over(before).alias(f"__cv_{n}") for n in [*lasts, *prevs]],
         *[F.max(f"__tp_{n}").over(before).alias(f"__cp_{n}") for n in peaks],
     )
     if lows:
@@ -97,7 +112,7 @@ def scan(
     out += [(F.col(f"__s_{n}") + F.col(f"__cs_{n}")).alias(n) for n in sums]
     for n, s in lows.items():
         out.append(F.least(F.col(f"__l_{n}") + F.col(f"__cs_{s}"), F.col(f"__cl_{n}")).alias(n))
-    out += [F.coalesce(f"__v_{n}", f"__cv_{n}").alias(n) for n in lasts]
+    out += [F.coalesce(f"__v_{n}", f"__cv_{n}").alias(n) for n in [*lasts, *prevs]]
     out += [F.greatest(f"__p_{n}", f"__cp_{n}").alias(n) for n in peaks]
     return joined.select(*out)
 

@@ -171,6 +171,12 @@ SELECT user_id AS log_id,
 FROM {events} GROUP BY user_id
 """
 
+VIEWS["log_components"] = """
+SELECT concat('Helper', CAST(r_regionkey AS VARCHAR(20))) AS component_id FROM {region}
+UNION ALL SELECT concat('Unit', CAST(n_nationkey * 2 AS VARCHAR(20))) FROM {nation}
+UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'OrderSyncJob' WHEN 1 THEN 'AccountBatch' WHEN 2 THEN 'System' WHEN 3 THEN 'QueueTrigger' ELSE 'Obj2__c' END FROM {region}
+"""
+
 VIEWS["cards"] = """
 SELECT concat('org_', CAST(p_partkey % 5 AS VARCHAR(20))) AS org_id,
   concat('Part_', CAST(p_partkey AS VARCHAR(20))) AS component_id,
