@@ -1,11 +1,13 @@
 """Running computations whose groups may be very large.
 
-A window over ``PARTITION BY key`` puts a whole key into one task, so a key
-that holds a third of the rows stalls the job.  The functions here run the
-same computation in two levels: rows are cut into chunks ``(key, order div
-chunk)``, each chunk is scanned on its own, one summary row per chunk is
-scanned per key, and the carried-in value is joined back to the chunk.  The
-result is exactly that of the plain window.
+A window over ``PARTITION BY key`` puts a whole key into one task.  That is
+the cheapest plan as long as keys are moderate: one exchange serves every
+window over the key.  A key that holds a third of the rows would stall the
+job, so the same computation also exists in two levels (``wide=True``): rows
+are cut into chunks ``(key, order div chunk)``, each chunk is scanned on its
+own, one summary row per chunk is scanned per key, and the carried-in value is
+joined back to the chunk.  Both ways give the same result; ``has_large_key``
+measures which one a table needs.
 """
 
 from __future__ import annotations
@@ -14,9 +16,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65_536
+# rows of one key that a single task may sort and sweep
+LARGE_KEY_ROWS = 5_000_000
 _CHUNK = "__chunk"
 
 
+def has_large_key(df: DataFrame, keys: list[str], limit: int = LARGE_KEY_ROWS) -> bool:
+    """Whether some key has more rows than one task should hold.
+
+    Reads the key columns only, counts before the shuffle, and brings one
+    number to the driver.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
+    return (largest or 0) > limit
+
+
 def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
     """The right side of a join back to its own source: keys under other names."""
     for i, k in enumerate(keys):
@@ -41,6 +56,7 @@ def scan(
     lasts: dict[str, Column] | None = None,
     prevs: dict[str, Column] | None = None,
     peaks: dict[str, Column] | None = None,
+    wide: bool = False,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add inclusive running values over ``keys`` in the order of a whole number.
@@ -56,9 +72,10 @@ def scan(
     order value must be alike or absent.
     """
     sums, lows, lasts, prevs, peaks = sums or {}, lows or {}, lasts or {}, prevs or {}, peaks or {}
-    rows = df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(chunk)))
+    part = [*keys, _CHUNK] if wide else keys
+    rows = df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(chunk))) if wide else df
     inside = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(order)
+        Window.partitionBy(*part).orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     for name, value in sums.items():
@@ -69,15 +86,19 @@ def scan(
         rows = rows.withColumn(f"__l_{name}", F.min(f"__b_{name}").over(inside))
     for name, value in lasts.items():
         rows = rows.withColumn(f"__v_{name}", F.last(value, ignorenulls=True).over(inside))
-    above = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    above = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     for name, value in prevs.items():
         rows = rows.withColumn(f"__q_{name}", value)
         rows = rows.withColumn(f"__v_{name}", F.last(f"__q_{name}", ignorenulls=True).over(above))
     for name, value in peaks.items():
         rows = rows.withColumn(f"__p_{name}", F.max(value).over(inside))
 
+    if not wide:
+        return rows.select(
+            *df.columns, *[F.col(f"__s_{n}").alias(n) for n in sums], *[F.col(f"__l_{n}").alias(n) for n in lows],
+            *[F.col(f"__v_{n}").alias(n) for n in [*lasts, *prevs]], *[F.col(f"__p_{n}").alias(n) for n in peaks],
+        )
+
     summary = [F.max_by(f"__s_{n}", order).alias(f"__ts_{n}") for n in sums]
     summary += [F.min(f"__l_{n}").alias(f"__tl_{n}") for n in lows]
     summary += [
@@ -118,7 +139,7 @@ def scan(
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, wide: bool = False
 ) -> DataFrame:
     """Dense 1-based numbering per key.
 
@@ -126,6 +147,10 @@ def number_rows(
     rows are numbered inside their bucket, and buckets are offset by the rows
     before them, so no task has to sort a whole key.
     """
+    if not wide:
+        return df.withColumn(
+            name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+        )
     rows = df.withColumn("__b", bucket)
     sizes = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = (
@@ -144,13 +169,14 @@ def number_rows(
 
 
 def nearest_rank(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, int], chunk: int = 4096
+    df: DataFrame, keys: list[str], value: str, points: dict[str, int], wide: bool = False
 ) -> DataFrame:
     """Exact percentiles per key at 0-based index ``round(p/100 * (n-1))``, half to even.
 
     Works on the histogram ``(key, value, n)``: the shuffle carries distinct
-    values rather than rows, and the running count over the histogram is
-    itself chunked by value, so a hot key is spread over tasks.
+    values rather than rows, and a key has at most as many of them as the
+    measure has values.  ``wide`` chunks the running count for measures with
+    many millions of values.
     """
     hist = (
         df.filter(F.col(value).isNotNull())
@@ -158,7 +184,7 @@ def nearest_rank(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    running = scan(hist, keys, "__val", sums={"__upto": F.col("__n")}, chunk=chunk)
+    running = scan(hist, keys, "__val", sums={"__upto": F.col("__n")}, wide=wide, chunk=4096)
     placed = running.join(_renamed(totals, keys), _same(keys), "inner")
     picks = []
     for name, p in points.items():

@@ -22,13 +22,13 @@ METHOD_EVENTS = ["METHOD_ENTRY", "METHOD_EXIT"]
 EVIDENCE = ["CONSTRUCTOR_ENTRY", "SYSTEM_METHOD_ENTRY", "EXCEPTION_THROWN"]
 
 
-def framed(rows: DataFrame) -> DataFrame:
+def framed(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Method and evidence events, each with the code unit that is innermost when it is read."""
-    levels = levelled(rows, "unit", METHOD_EVENTS + EVIDENCE)
+    levels = levelled(rows, "unit", METHOD_EVENTS + EVIDENCE, wide)
     inner = F.when(F.col("step") == 1, F.col("open_before")).otherwise(F.col("open_before") - 1)
     start = F.when(F.col("step") == 1, F.struct("line_no", last_field(3).alias("label")))
     placed = scan(
-        levels.filter("step >= 0").withColumn("inner", inner), ["log_id", "inner"], "line_no", lasts={"unit": start}
+        levels.filter("step >= 0").withColumn("inner", inner), ["log_id", "inner"], "line_no", lasts={"unit": start}, wide=wide
     )
     return placed.filter("step = 0").withColumn("unit", F.when(F.col("inner") >= 0, F.col("unit")))
 
@@ -68,9 +68,9 @@ def callers(events: DataFrame) -> DataFrame:
     )
 
 
-def evidence(rows: DataFrame) -> DataFrame:
+def evidence(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Constructions, dispatches and async-limit failures with caller and the nearest construction."""
-    events = framed(rows)
+    events = framed(rows, wide)
     text = F.col("last_part")
     is_new = (F.col("evt") == "CONSTRUCTOR_ENTRY") & (F.trim(text) != "") & ~F.trim(text).startswith("<")
     mechanism = F.lit(None).cast("string")
@@ -92,7 +92,7 @@ def evidence(rows: DataFrame) -> DataFrame:
         F.when(F.col("what") == "failure", F.nullif(F.regexp_extract(message, ASYNC_LIMIT, 1), F.lit(""))).cast("bigint").alias("attempted"),
     )
     made = F.when(F.col("what") == "construction", F.struct("class", "line", "caller"))
-    near = scan(kept, ["log_id", "unit_line"], "line_no", prevs={"made": made})
+    near = scan(kept, ["log_id", "unit_line"], "line_no", prevs={"made": made}, wide=wide)
     gap = F.col("line") - F.col("made.line")
     close = F.col("line").isNull() | F.col("made.line").isNull() | ((gap >= 0) & (gap <= NEAR_LINES))
     usable = (
@@ -104,11 +104,12 @@ def evidence(rows: DataFrame) -> DataFrame:
     ).drop("made")
 
 
-def dispatches(found: DataFrame) -> DataFrame:
+def dispatches(found: DataFrame, wide: bool = False) -> DataFrame:
     """Dispatches, the last one at the line and caller of a failure marked as failed."""
     keyed = found.filter("what <> 'construction'")
     hit = scan(
-        keyed, ["log_id", "line", "caller"], "line_no", prevs={"target": F.when(F.col("what") == "dispatch", F.col("line_no"))}
+        keyed, ["log_id", "line", "caller"], "line_no", prevs={"target": F.when(F.col("what") == "dispatch", F.col("line_no"))},
+        wide=wide,
     ).filter("what = 'failure' AND target IS NOT NULL").select(
         F.col("log_id").alias("h_log"), F.col("target").alias("h_line")
     ).distinct()
@@ -121,9 +122,9 @@ def dispatches(found: DataFrame) -> DataFrame:
     )
 
 
-def shown_dispatches(found: DataFrame) -> DataFrame:
+def shown_dispatches(found: DataFrame, wide: bool = False) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("log_id").orderBy("line_no"))
-    return dispatches(found).withColumn("position", place).filter(F.col("position") <= MAX_DISPATCHES)
+    return dispatches(found, wide).withColumn("position", place).filter(F.col("position") <= MAX_DISPATCHES)
 
 
 def failures(found: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Debug logs as tables: execution tree, queries, DML, exceptions, limits, routing.
 
-Input is ``lines(log_id, line_no, raw)``.  Whatever depends on line order is
-done with the two-level scans of ``functions.scan``, so one enormous log is
-spread over tasks like any other.
+Input is ``lines(log_id, line_no, raw)``.  Whatever depends on line order is a
+scan of ``functions.scan`` over the log; ``wide=True`` spreads one log over
+many tasks and is for tables in which some log is too large for one.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def last_field(least: int, otherwise: Column | str = "") -> Column:
     return F.when(F.col("n_parts") >= least, F.col("last_part")).otherwise(fallback)
 
 
-def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None) -> DataFrame:
+def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None, wide: bool = False) -> DataFrame:
     """Begin and end rows of one stack with the level each belongs to.
 
     Adds ``step`` (+1 begin, -1 end, 0 other), ``open_before`` (entries open
@@ -71,7 +71,7 @@ def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None) -> Data
     sums = {"total": F.col("step")}
     if extra:
         sums["others"] = (F.col("step") == 0).cast("int")
-    swept = scan(marked, ["log_id"], "line_no", sums=sums, lows={"lowest": "total"})
+    swept = scan(marked, ["log_id"], "line_no", sums=sums, lows={"lowest": "total"}, wide=wide)
     before = F.col("total") - F.col("step") - F.col("lowest")
     level = (
         F.when(F.col("step") == 1, before).when((F.col("step") == -1) & (before > 0), before - 1)
@@ -79,24 +79,24 @@ def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None) -> Data
     return swept.withColumn("open_before", before).withColumn("level", level).drop("total", "lowest")
 
 
-def matched(levels: DataFrame, payload: Column) -> DataFrame:
+def matched(levels: DataFrame, payload: Column, wide: bool = False) -> DataFrame:
     """End rows, each with ``payload`` of the begin row it closes (null for an unmatched end)."""
     known = levels.filter(F.col("level").isNotNull())
     paired = scan(
-        known, ["log_id", "level"], "line_no", lasts={"opened": F.when(F.col("step") == 1, payload)}
+        known, ["log_id", "level"], "line_no", lasts={"opened": F.when(F.col("step") == 1, payload)}, wide=wide
     ).filter("step = -1")
     loose = levels.filter((F.col("step") == -1) & F.col("level").isNull())
     return paired.unionByName(loose, allowMissingColumns=True)
 
 
-def execution_units(rows: DataFrame) -> DataFrame:
+def execution_units(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Code units with depth, and whether an exception was thrown while they were open."""
-    levels = levelled(rows, "unit", ["EXCEPTION_THROWN"])
+    levels = levelled(rows, "unit", ["EXCEPTION_THROWN"], wide)
     starts = levels.filter("step = 1").select(
         "log_id", "line_no", last_field(3).alias("label"), F.col("level").cast("bigint").alias("depth"),
         F.col("others").alias("seen"),
     )
-    ends = matched(levels.filter("step <> 0"), F.struct("line_no")).filter(F.col("opened").isNotNull()).select(
+    ends = matched(levels.filter("step <> 0"), F.struct("line_no"), wide).filter(F.col("opened").isNotNull()).select(
         F.col("log_id").alias("e_log"), F.col("opened.line_no").alias("e_line"), F.col("others").alias("at_end"),
     )
     totals = levels.groupBy(F.col("log_id").alias("t_log")).agg(F.max("others").alias("at_last"))
@@ -108,21 +108,21 @@ def execution_units(rows: DataFrame) -> DataFrame:
     )
 
 
-def unit_runs(units: DataFrame) -> DataFrame:
+def unit_runs(units: DataFrame, wide: bool = False) -> DataFrame:
     """Consecutive equal units as one row with ``repeat``."""
     same = F.struct("label", "depth", "had_exception")
-    seen = scan(units, ["log_id"], "line_no", prevs={"prior": same})
+    seen = scan(units, ["log_id"], "line_no", prevs={"prior": same}, wide=wide)
     marked = seen.withColumn("fresh", (~same.eqNullSafe(F.col("prior"))).cast("int"))
-    runs = scan(marked, ["log_id"], "line_no", sums={"run": F.col("fresh")})
+    runs = scan(marked, ["log_id"], "line_no", sums={"run": F.col("fresh")}, wide=wide)
     return runs.groupBy("log_id", "run").agg(
         F.min("line_no").alias("line_no"), F.first("label").alias("label"), F.first("depth").alias("depth"),
         F.first("had_exception").alias("had_exception"), F.count(F.lit(1)).alias("repeat"),
     )
 
 
-def query_events(rows: DataFrame) -> DataFrame:
+def query_events(rows: DataFrame, wide: bool = False) -> DataFrame:
     """One row per query end, with the text of the begin it closes (last in, first out)."""
-    ends = matched(levelled(rows, "soql"), F.struct(last_field(4).alias("query")))
+    ends = matched(levelled(rows, "soql", wide=wide), F.struct(last_field(4).alias("query")), wide)
     query = F.coalesce("opened.query", F.lit(""))
     found = F.regexp_extract(F.col("last_part"), r"Rows:(\d+)", 1)
     return ends.select(
@@ -141,9 +141,9 @@ def query_summary(queries: DataFrame) -> DataFrame:
     )
 
 
-def dml_events(rows: DataFrame) -> DataFrame:
+def dml_events(rows: DataFrame, wide: bool = False) -> DataFrame:
     detail = F.when(F.col("n_parts") >= 3, F.array_join(F.slice("parts", 3, F.col("n_parts")), "|")).otherwise("")
-    ends = matched(levelled(rows, "dml"), F.struct(detail.alias("detail")))
+    ends = matched(levelled(rows, "dml", wide=wide), F.struct(detail.alias("detail")), wide)
     text = F.coalesce("opened.detail", F.lit(""))
     op = F.regexp_extract(text, DML_DETAIL, 1)
     fine = op != ""
@@ -161,7 +161,7 @@ def dml_summary(dml: DataFrame) -> DataFrame:
     )
 
 
-def thrown(rows: DataFrame) -> DataFrame:
+def thrown(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Exceptions in log order, each with the stack of the fatal error that belongs to it.
 
     A stack is the run of frame lines after a FATAL_ERROR, and counts only if
@@ -175,7 +175,7 @@ def thrown(rows: DataFrame) -> DataFrame:
     marks = rows.withColumn("is_frame", frame)
     headed = scan(
         marks, ["log_id"], "line_no",
-        lasts={"head": F.when(~F.col("is_frame"), F.struct("line_no", "evt"))},
+        lasts={"head": F.when(~F.col("is_frame"), F.struct("line_no", "evt"))}, wide=wide,
     )
     stacks = (
         headed.filter(F.col("is_frame") & (F.col("head.evt") == "FATAL_ERROR"))
@@ -188,7 +188,7 @@ def thrown(rows: DataFrame) -> DataFrame:
         "log_id", "line_no", "evt",
         last_field(3, F.when(F.col("evt") == "FATAL_ERROR", F.col("raw")).otherwise("")).alias("message"),
     )
-    both = scan(both, ["log_id"], "line_no", prevs={"prior": F.struct("line_no", "evt")})
+    both = scan(both, ["log_id"], "line_no", prevs={"prior": F.struct("line_no", "evt")}, wide=wide)
     fatal = both.filter("evt = 'FATAL_ERROR'").withColumn(
         "owner", F.when(F.col("prior.evt") == "EXCEPTION_THROWN", F.col("prior.line_no")).otherwise(F.col("line_no"))
     )
@@ -210,7 +210,7 @@ def exceptions(raised: DataFrame) -> DataFrame:
     )
 
 
-def limits(lines: DataFrame) -> DataFrame:
+def limits(lines: DataFrame, wide: bool = False) -> DataFrame:
     """Last checkpoint per namespace, with the peak where some checkpoint was higher."""
     ns = F.regexp_extract("raw", LIMIT_HEADER, 1)
     header = F.col("raw").rlike(LIMIT_HEADER)
@@ -219,7 +219,8 @@ def limits(lines: DataFrame) -> DataFrame:
         F.when(header, F.when(F.trim(ns) == "", DEFAULT_NS).otherwise(F.trim(ns))).alias("own_ns"),
     )
     swept = scan(
-        rows, ["log_id"], "line_no", sums={"block": F.col("is_header").cast("int")}, lasts={"seen_ns": F.col("own_ns")}
+        rows, ["log_id"], "line_no", sums={"block": F.col("is_header").cast("int")}, lasts={"seen_ns": F.col("own_ns")},
+        wide=wide,
     ).withColumn("namespace", F.coalesce("seen_ns", F.lit(DEFAULT_NS)))
     spaces = swept.groupBy("log_id", "namespace").agg(F.max("block").alias("last_block"), F.min("line_no").alias("first_line"))
     close = F.upper(F.regexp_extract("raw", LIMIT_LINE, 4)).contains("CLOSE TO LIMIT")
@@ -351,7 +352,7 @@ def section_sizes(**sections: DataFrame) -> DataFrame:
 
 def section_page(section: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
     """One page per log with its total and the offset of the next page."""
-    total = section.groupBy("log_id").agg(F.count(F.lit(1)).alias("total"))
+    total = section.groupBy("log_id").agg(F.count(order).alias("total"))
     place = F.row_number().over(Window.partitionBy("log_id").orderBy(order))
     page = section.withColumn("position", place).filter(F.col("position") <= offset + limit).filter(F.col("position") > offset)
     return page.join(total, "log_id").withColumn("position", F.col("position") - 1).withColumn(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline.functions.scan import has_large_key
 from faultline.operators import async_jobs as jobs
 from faultline.operators import debug_logs as logs
 from faultline.plans.registry import query
@@ -61,11 +62,14 @@ COMPONENTS = f"(SELECT * FROM {TOKENS} k WHERE component_id IN (SELECT component
 
 
 def lines(spark, root):
-    return view(spark, root, "log_lines")
+    """The log lines, and whether some log is too large for one task."""
+    wide = has_large_key(table(spark, root, "events"), ["user_id"])
+    return view(spark, root, "log_lines", wide), wide
 
 
 def rows(spark, root):
-    return logs.events(lines(spark, root))
+    found, wide = lines(spark, root)
+    return logs.events(found), wide
 
 
 @query("log_text_lines", r"""
@@ -85,7 +89,7 @@ def log_text_lines(spark, root):
 
 @query("execution_units", f"SELECT * FROM {UNITS} u")
 def execution_units(spark, root):
-    return logs.execution_units(rows(spark, root))
+    return logs.execution_units(*rows(spark, root))
 
 
 @query("unit_runs", f"""
@@ -95,11 +99,12 @@ SELECT log_id, run, min(line_no) AS line_no, label, depth, had_exception, count(
     FROM {UNITS} u WINDOW w AS (PARTITION BY log_id ORDER BY line_no)) a) b GROUP BY log_id, run, label, depth, had_exception
 """)
 def unit_runs(spark, root):
-    return logs.unit_runs(execution_units(spark, root))
+    found, wide = rows(spark, root)
+    return logs.unit_runs(logs.execution_units(found, wide), wide)
 
 
 def _queries(spark, root):
-    return logs.query_events(rows(spark, root))
+    return logs.query_events(*rows(spark, root))
 
 
 @query("query_events", f"SELECT * FROM {QUERIES} q")
@@ -120,11 +125,11 @@ SELECT log_id, operation, object, count(*) AS occurrences, coalesce(sum(rows), 0
     FROM {ends('dml', "CASE WHEN n >= 3 THEN array_to_string(parts[3:], '|') ELSE '' END")} e) f) g GROUP BY 1, 2, 3
 """)
 def dml_summary(spark, root):
-    return logs.dml_summary(logs.dml_events(rows(spark, root)))
+    return logs.dml_summary(logs.dml_events(*rows(spark, root)))
 
 
 def _thrown(spark, root):
-    return logs.thrown(rows(spark, root))
+    return logs.thrown(*rows(spark, root))
 
 
 @query("log_exceptions", f"SELECT * FROM {EXCEPTIONS} e")
@@ -149,7 +154,7 @@ SELECT f.*, CASE WHEN peak > used THEN peak END AS peak_used, f.namespace = fin
 FROM f JOIN p ON p.log_id = f.log_id AND p.namespace = f.namespace AND p.name = f.name JOIN d ON d.log_id = f.log_id
 """)
 def log_limits(spark, root):
-    return logs.limits(lines(spark, root))
+    return logs.limits(*lines(spark, root))
 
 
 @query("log_routing", f"""
@@ -160,7 +165,7 @@ SELECT log_id, line_no, section, evt, CASE section WHEN 'user_debug' THEN CASE W
     'FLOW_FAULT_EVENT', 'FLOW_INTERVIEW_FINISHED') THEN 'flow_events' END AS section FROM {EV} e) s WHERE section IS NOT NULL
 """)
 def log_routing(spark, root):
-    return logs.routed(rows(spark, root))
+    return logs.routed(rows(spark, root)[0])
 
 
 ENTRY = f"""(SELECT log_id, entry_unit, regexp_matches(entry_unit, '{JOB}') AND NOT contains(entry_unit, '__sfdc_trigger') AS likely_async
@@ -174,8 +179,8 @@ def entry_units(spark, root):
 
 @query("involved_components", f"SELECT * FROM {COMPONENTS} c")
 def involved_components(spark, root):
-    r = rows(spark, root)
-    return logs.involved_components(logs.execution_units(r), logs.thrown(r), view(spark, root, "log_components"))
+    r, wide = rows(spark, root)
+    return logs.involved_components(logs.execution_units(r, wide), logs.thrown(r, wide), view(spark, root, "log_components"))
 
 
 @query("missing_field_evidence", f"""
@@ -186,8 +191,8 @@ FROM {SUMMARY} s JOIN (SELECT DISTINCT log_id, lower(regexp_extract(message, '(?
 ON w.log_id = s.log_id AND w.o = lower(s.object)
 """)
 def missing_field_evidence(spark, root):
-    r = rows(spark, root)
-    return logs.missing_field_evidence(logs.thrown(r), logs.query_summary(logs.query_events(r)))
+    r, wide = rows(spark, root)
+    return logs.missing_field_evidence(logs.thrown(r, wide), logs.query_summary(logs.query_events(r, wide)))
 
 
 @query("log_meta", f"""
@@ -197,9 +202,9 @@ LEFT JOIN (SELECT log_id, count(*) AS ec, arg_min(type, first_line) AS te FROM {
 LEFT JOIN (SELECT log_id, count(*) AS uc FROM {UNITS} u GROUP BY 1) u USING (log_id) LEFT JOIN (SELECT log_id, count(*) AS cc FROM {COMPONENTS} c GROUP BY 1) c USING (log_id)
 """)
 def log_meta(spark, root):
-    ls = lines(spark, root)
+    ls, wide = lines(spark, root)
     r = logs.events(ls)
-    units, raised = logs.execution_units(r), logs.thrown(r)
+    units, raised = logs.execution_units(r, wide), logs.thrown(r, wide)
     return logs.log_meta(ls, units, raised, logs.involved_components(units, raised, view(spark, root, "log_components")))
 
 
@@ -217,7 +222,7 @@ SELECT h.log_id, nullif(regexp_extract(header, '^(\\d+(?:\\.\\d+)?)\\s', 1), '')
 LEFT JOIN (SELECT log_id, count(*) AS m FROM {EV} e WHERE evt = 'ENTERING_MANAGED_PKG' GROUP BY 1) m ON m.log_id = h.log_id
 """)
 def log_visibility(spark, root):
-    return logs.visibility(view(spark, root, "log_headers"), rows(spark, root))
+    return logs.visibility(view(spark, root, "log_headers"), rows(spark, root)[0])
 
 
 @query("log_section_page", f"""
@@ -226,7 +231,7 @@ SELECT log_id, position, detail, total, CASE WHEN total > 3 THEN 3 END AS next_o
    CASE WHEN n >= 4 THEN {trunc('lastp', 300)} ELSE raw END AS detail FROM {EV} e WHERE evt = 'USER_DEBUG') s WHERE position BETWEEN 1 AND 2
 """)
 def log_section_page(spark, root):
-    section = logs.routed(rows(spark, root)).filter("section = 'user_debug'")
+    section = logs.routed(rows(spark, root)[0]).filter("section = 'user_debug'")
     return logs.section_page(section, "line_no", 1, 2).select("log_id", "position", "detail", "total", "next_offset")
 
 
@@ -237,10 +242,10 @@ UNION ALL SELECT log_id, 'soql_summary', count(*) FROM {SUMMARY} s GROUP BY 1
 UNION ALL SELECT log_id, 'involved_components', count(*) FROM {COMPONENTS} c GROUP BY 1
 """)
 def normalized_log_sections(spark, root):
-    r = rows(spark, root)
-    units, raised = logs.execution_units(r), logs.thrown(r)
+    r, wide = rows(spark, root)
+    units, raised = logs.execution_units(r, wide), logs.thrown(r, wide)
     return logs.section_sizes(
-        execution_units=units, exceptions=logs.exceptions(raised), soql_summary=logs.query_summary(logs.query_events(r)),
+        execution_units=units, exceptions=logs.exceptions(raised), soql_summary=logs.query_summary(logs.query_events(r, wide)),
         involved_components=logs.involved_components(units, raised, view(spark, root, "log_components")),
     )
 
@@ -270,7 +275,7 @@ g AS (SELECT *, what <> 'construction' AND ul IS NOT NULL AND made IS NOT NULL A
 
 
 def _evidence(spark, root):
-    return jobs.evidence(rows(spark, root))
+    return jobs.evidence(*rows(spark, root))
 
 
 @query("async_dispatches", EVIDENCE + """
@@ -281,7 +286,7 @@ SELECT d.log_id, d.line_no, split_part(lastp, '(', 1) AS mechanism, line, caller
 FROM g d WHERE what = 'dispatch'
 """)
 def async_dispatches(spark, root):
-    return jobs.shown_dispatches(_evidence(spark, root)).drop("position")
+    return jobs.shown_dispatches(_evidence(spark, root), rows(spark, root)[1]).drop("position")
 
 
 @query("async_failures", EVIDENCE + """
@@ -308,5 +313,5 @@ SELECT * FROM (SELECT coalesce(e.log_id, c.log_id) AS log_id, entry_unit, coales
 WHERE likely_async OR dispatches > 0 OR failures > 0 OR constructions > 0
 """)
 def async_presence(spark, root):
-    r = rows(spark, root)
-    return jobs.presence(jobs.evidence(r), logs.entry_units(logs.execution_units(r)))
+    r, wide = rows(spark, root)
+    return jobs.presence(jobs.evidence(r, wide), logs.entry_units(logs.execution_units(r, wide)))

@@ -300,10 +300,10 @@ def expand(sql: str) -> str:
     return sql.replace("{{", "{").replace("}}", "}")
 
 
-def view(spark: SparkSession, root: str, name: str) -> DataFrame:
+def view(spark: SparkSession, root: str, name: str, wide: bool = False) -> DataFrame:
     if name == "log_lines":
         lines = view(spark, root, "log_events")
         return number_rows(
-            lines, ["log_id"], F.date_trunc("minute", "ts"), [F.col("ts"), F.col("event_id")], "line_no"
+            lines, ["log_id"], F.date_trunc("minute", "ts"), [F.col("ts"), F.col("event_id")], "line_no", wide
         ).select("log_id", "line_no", "raw")
     return bind(spark, root, _spark_text(_nest(VIEWS[name])))
