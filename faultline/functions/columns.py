@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values -----------------------------------------------------------
-LITERALS = r"'[^']*'|:\w+|\b\d+\b"
-LITERALS_BOTH_QUOTES = r"'[^']*'|\"[^\"]*\"|:\w+|\b\d+\b"
-RECORD_ID = r"\b(?=[a-zA-Z]*\d)[a-zA-Z0-9]{15}(?:[a-zA-Z0-9]{3})?\b"
+LITERALS = r"(?U)'[^']*'|:\w+|\b\d+\b"
+LITERALS_BOTH_QUOTES = r"(?U)'[^']*'|\"[^\"]*\"|:\w+|\b\d+\b"
+RECORD_ID = r"(?U)\b(?=[a-zA-Z]*\d)[a-zA-Z0-9]{15}(?:[a-zA-Z0-9]{3})?\b"
 WORD = r"[a-z_][a-z0-9_.]{2,}"
 STOP_WORDS = (
     "the and for with this that was are not from line column class trigger attempt error "

@@ -244,7 +244,7 @@ FROM {orders}
 # resolutions recorded for an incident's signature
 VIEWS["resolutions"] = """
 SELECT o_orderkey AS incident_id, o_orderdate AS resolved_at, concat('fix ', CAST(o_orderkey AS VARCHAR(20))) AS resolution
-FROM {orders} WHERE o_totalprice > 400000
+FROM {orders} WHERE o_totalprice > 495000
 """
 
 
