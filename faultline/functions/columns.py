@@ -176,7 +176,7 @@ def header_version(header: Column) -> Column:
 def header_levels(header: Column) -> Column:
     """Level map of a log's first line; pieces without a comma are dropped."""
     flags = F.regexp_replace(F.trim(header), r"^\d+(\.\d+)?(\s+|$)", "")
-    pieces = F.filter(F.transform(F.split(flags, ";"), F.trim), lambda p: p.rlike(r"^\s*[^,\s][^,]*,"))
+    pieces = F.filter(F.transform(F.split(flags, ";"), lambda x: F.trim(x)), lambda p: p.rlike(r"^\s*[^,\s][^,]*,"))
     pairs = F.transform(
         pieces,
         lambda p: F.struct(

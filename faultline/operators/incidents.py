@@ -17,7 +17,7 @@ RECENT_FIXES = 6
 
 def first_frame(stack: Column) -> Column:
     """Class of the first class frame among the lines of a stack."""
-    lines = F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), lambda x: F.trim(x))
     framed = F.filter(lines, lambda x: x.rlike(CLASS_FRAME))
     return F.coalesce(F.regexp_extract(F.try_element_at(framed, F.lit(1)), CLASS_FRAME, 1), F.lit(""))
 
