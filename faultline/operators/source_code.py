@@ -61,13 +61,14 @@ COLLECTION_METHODS = (
     "substring tolowercase touppercase trim replace replaceall startswith endswith indexof length format valueof "
     "abbreviate equals hashcode tostring charat join left right deepclone"
 ).split()
-# mechanism -> (pattern, position of the job argument, position of the delay or scope)
+# mechanism -> (position of the job argument, positions of what else is told)
 DISPATCH = {
-    "System.enqueueJob": (r"(?i)\bSystem\s*\.\s*enqueueJob\s*\(", 0, {"delay_minutes": 1}),
-    "Database.executeBatch": (r"(?i)\bDatabase\s*\.\s*executeBatch\s*\(", 0, {"scope_size": 1}),
-    "System.scheduleBatch": (r"(?i)\bSystem\s*\.\s*scheduleBatch\s*\(", 0, {"job_name": 1, "delay_minutes": 2, "scope_size": 3}),
-    "System.schedule": (r"(?i)\bSystem\s*\.\s*schedule\s*\(", 2, {"job_name": 0, "cron": 1}),
+    "System.enqueueJob": (0, {"delay_minutes": 1}),
+    "Database.executeBatch": (0, {"scope_size": 1}),
+    "System.scheduleBatch": (0, {"job_name": 1, "delay_minutes": 2, "scope_size": 3}),
+    "System.schedule": (2, {"job_name": 0, "cron": 1}),
 }
+DISPATCH_CALL = r"(?i)\b(System\s*\.\s*(?:enqueueJob|scheduleBatch|schedule)|Database\s*\.\s*executeBatch)\s*\("
 JOB_INTERFACES = "queueable schedulable database.batchable object system.queueable system.schedulable".split()
 NOT_TYPES = "final static public private protected global transient".split()
 MAX_CALL_SITES, GUARD_TEXT = 400, 160
@@ -102,7 +103,7 @@ def statements(prep: DataFrame, with_methods: bool = True) -> DataFrame:
     swept = swept.withColumn("close_no", F.when(F.col("step") == 1, F.coalesce(F.lead("no").over(same), F.lit(2**31 - 1)))).withColumn(
         "close_pos", F.when(F.col("step") == 1, F.lead("end_pos").over(same))
     )
-    head = F.col("text")
+    head = F.when(F.col("step") == 1, F.col("text"))
     name = F.regexp_extract(head, METHOD_HEADER, 2)
     before = F.split(F.trim(F.regexp_replace(F.regexp_extract(head, METHOD_HEADER, 1), r"\s+", " ")), " ")
     is_method = (
@@ -356,18 +357,23 @@ def call_arguments(text: Column) -> Column:
 
 def async_dispatches(prep: DataFrame, stmts: DataFrame, names: DataFrame) -> DataFrame:
     """Where async work is started and, as far as the source tells, which class it runs."""
-    out = None
-    for mechanism, (pattern, job_at, extras) in DISPATCH.items():
-        hits = found(stmts, pattern).withColumn("rest", F.concat(F.lit("("), F.call_function("substring_index", F.col("text"), F.col("hit"), F.lit(-1))))
-        hits = hits.withColumn("args", call_arguments(F.col("rest"))).withColumn("mechanism", F.lit(mechanism)).withColumn(
-            "job", F.try_element_at("args", F.lit(job_at + 1))
-        )
-        for key in ("delay_minutes", "scope_size", "job_name", "cron"):
-            at = extras.get(key)
-            value = F.try_element_at("args", F.lit(at + 1)) if at is not None else F.lit(None).cast("string")
-            hits = hits.withColumn(key, value)
-        out = hits if out is None else out.unionByName(hits)
-    rows = out.join(prep.select(*KEY, "code"), KEY)
+    rows = found(stmts, DISPATCH_CALL, 1).withColumn("mechanism", F.lower(F.regexp_replace("g1", r"\s", "")))
+    rows = rows.withColumn("rest", F.concat(F.lit("("), F.call_function("substring_index", F.col("text"), F.col("hit"), F.lit(-1))))
+    rows = rows.withColumn("args", call_arguments(F.col("rest")))
+
+    def argument(position: dict[str, int]) -> Column:
+        at = F.lit(None).cast("int")
+        for mechanism, i in position.items():
+            at = F.when(F.col("mechanism") == mechanism.lower(), i + 1).otherwise(at)
+        return F.try_element_at("args", at)
+
+    rows = rows.withColumn("job", argument({m: at for m, (at, _x) in DISPATCH.items()}))
+    for key in ("delay_minutes", "scope_size", "job_name", "cron"):
+        rows = rows.withColumn(key, argument({m: x[key] for m, (_at, x) in DISPATCH.items() if key in x}))
+    proper = F.lit(None).cast("string")
+    for m in DISPATCH:
+        proper = F.when(F.col("mechanism") == m.lower(), m).otherwise(proper)
+    rows = rows.withColumn("mechanism", proper).join(prep.select(*KEY, "code"), KEY)
     scope = F.substr(F.col("code"), F.col("method_at.end_pos"), F.col("method_at.close_pos") - F.col("method_at.end_pos") + 1)
     rows = rows.withColumn("scope", F.coalesce(scope, F.col("code"))).withColumn(
         "expr", F.regexp_replace(F.trim("job"), r"^\(\s*[\w.<>]+\s*\)\s*", "")
