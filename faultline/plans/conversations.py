@@ -47,12 +47,15 @@ def conversation_redaction(spark, root):
 CASES = r"""(SELECT conv_id AS case_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS answer FROM {conversations} GROUP BY 1)"""
 
 
-@query("answer_grading", rf"""
+GRADED = rf"""
 SELECT case_id, failures, CASE WHEN miss > 0 THEN 0 ELSE dec END + CASE WHEN contains(t, 'the') THEN 0 ELSE 1 END AS warnings, failures = 0 AS passed FROM (
   SELECT *, (miss + CASE WHEN case_id % 3 = 0 AND NOT contains(concat('{{"field":"f', case_id, '"}}'), 'f1') THEN 1 ELSE 0 END + CASE WHEN miss > 0 THEN dec ELSE 0 END)::BIGINT AS failures FROM (
     SELECT *, lower(coalesce(answer, '')) AS t, len(list_filter(ws, lambda w: NOT contains(lower(coalesce(answer, '')), w)))::BIGINT AS miss, CASE WHEN contains(lower(coalesce(answer, '')), 'er') THEN 1 ELSE 0 END::BIGINT AS dec FROM (
       SELECT *, regexp_extract_all(lower(coalesce(q, '')), '[a-z]{{2,3}}')[1:2] AS ws FROM {CASES} c) x) y) z
-""")
+"""
+
+
+@query("answer_grading", GRADED)
 def answer_grading(spark, root):
     return graded(spark, root)
 
@@ -74,6 +77,8 @@ def graded(spark, root):
     return cv.grade(cases, answers)
 
 
-@query("answer_pass_rate")
+@query("answer_pass_rate", f"""
+SELECT count(*) AS cases, sum(CASE WHEN passed THEN 1 ELSE 0 END)::BIGINT AS passed, round_even(avg(CASE WHEN passed THEN 1 ELSE 0 END) * 100, 1) AS pass_rate FROM ({GRADED}) g
+""")
 def answer_pass_rate(spark, root):
     return cv.pass_rate(graded(spark, root))
