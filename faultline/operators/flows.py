@@ -44,13 +44,17 @@ def parsed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("m", F.from_json("metadata", SCHEMA))
 
 
-def value_node(text: Column) -> Column:
+def members(text: Column) -> Column:
+    """The members of a value node; a column of its own, so that a node is read once."""
+    return F.from_json(text, "map<string,string>")
+
+
+def value_node(text: Column, bag: Column) -> Column:
     """The unified value of a union node: the first member that carries a value decides.
 
     Every member may be present with null, so presence means nothing; no
     value at all is a deliberate blank, an unknown member is "unparsed".
     """
-    bag = F.from_json(text, "map<string,string>")
 
     def member(name: str) -> Column:
         return F.try_element_at(bag, F.lit(name))
@@ -208,7 +212,9 @@ def actions(flows: DataFrame) -> DataFrame:
     """Action calls with inputs and outputs; apex ones await resolution by the index."""
     calls = flows.select(*KEY, F.explode("m.actionCalls").alias("a"))
     type_ = F.nullif(F.trim("a.actionType"), F.lit(""))
-    inputs = F.transform("a.inputParameters", lambda p: F.concat_ws("=", p["name"], c.shown_value(value_node(p["value"]))))
+    read = F.transform("a.inputParameters", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("text"), members(p["value"]).alias("bag")))
+    nodes = F.transform(read, lambda p: F.struct(p["name"].alias("name"), value_node(p["text"], p["bag"]).alias("v")))
+    inputs = F.transform(nodes, lambda p: F.concat_ws("=", p["name"], c.shown_value(p["v"])))
     return calls.select(
         *KEY, F.col("a.name").alias("element"), type_.alias("action_type"), F.col("a.actionName").alias("action_name"),
         F.array_join(inputs, ",").alias("inputs"), F.array_join(F.col("a.outputParameters.name"), ",").alias("outputs"),
@@ -259,7 +265,8 @@ def field_writes(flows: DataFrame) -> DataFrame:
 
     assigned = F.coalesce(F.flatten(F.transform(m["assignments"], through)), F.array())
     writes = rows.select(*KEY, F.inline(F.concat(direct("recordUpdates", "recordUpdate"), direct("recordCreates", "recordCreate"), assigned)))
-    writes = writes.filter(F.col("confidence").isNotNull() & _is_field(F.col("field"))).withColumn("v", value_node(F.col("node")))
+    writes = writes.filter(F.col("confidence").isNotNull() & _is_field(F.col("field"))).withColumn("bag", members(F.col("node")))
+    writes = writes.withColumn("v", value_node(F.col("node"), F.col("bag")))
     return writes.select(
         *KEY, "field", "object", "element_type", "element", "confidence", F.col("v.kind").alias("value_kind"),
         c.shown_value(F.col("v")).alias("value"), F.col("v.is_blank_assignment").alias("is_blank"),
@@ -294,7 +301,8 @@ def value_nodes(flows: DataFrame) -> DataFrame:
         F.coalesce(F.flatten(F.transform(m["assignments"], lambda e: picked(e["assignmentItems"], "value"))), empty),
         F.coalesce(F.flatten(F.transform(m["actionCalls"], lambda e: picked(e["inputParameters"], "value"))), empty),
     )
-    own = flows.select(*KEY, F.explode(texts).alias("text")).filter("text IS NOT NULL").select(*KEY, value_node(F.col("text"))["kind"].alias("kind"))
+    own = flows.select(*KEY, F.explode(texts).alias("text")).filter("text IS NOT NULL").withColumn("bag", members(F.col("text")))
+    own = own.withColumn("v", value_node(F.col("text"), F.col("bag"))).select(*KEY, F.col("v.kind").alias("kind"))
     every = own.unionByName(field_writes(flows).select(*KEY, F.col("value_kind").alias("kind")))
     return every.groupBy(*KEY).agg(F.count(F.lit(1)).alias("values_total"), F.count_if(F.col("kind") == "unparsed").alias("values_unparsed"))
 

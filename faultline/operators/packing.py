@@ -213,13 +213,14 @@ def pack_search(hits: DataFrame, budget: int, overhead: int) -> DataFrame:
 # ---- query texts ------------------------------------------------------------
 
 
-def compact_query(sql: Column, watched: Column | None = None) -> Column:
+def compact_queries(rows: DataFrame, sql: str, watched: Column | None = None) -> DataFrame:
     """A long SELECT list as ``<N fields>``; fields watched for are said to be in it or not.
 
     The list ends at the FROM outside all parentheses, found by one pass over
-    the pieces between parentheses.
+    the pieces between parentheses.  Adds the column ``compacted``.
     """
-    pieces = F.split(sql, r"(?<=[()])|(?=[()])|(?i)(?= FROM )")
+    text = F.col(sql)
+    pieces = F.split(text, r"(?<=[()])|(?=[()])|(?i)(?= FROM )")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(-1).alias("at"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -229,25 +230,26 @@ def compact_query(sql: Column, watched: Column | None = None) -> Column:
             (acc["pos"] + F.length(p)).alias("pos"), F.when(hit, acc["pos"]).otherwise(acc["at"]).alias("at"),
         )
 
-    at = F.aggregate(pieces, start, step)["at"]
-    listed = F.substr(sql, F.lit(8), at - 7)
-    flat = listed
+    steps = rows.withColumn("__at", F.aggregate(pieces, start, step)["at"])
+    steps = steps.withColumn("__listed", F.when(F.col("__at") >= 0, F.substr(text, F.lit(8), F.col("__at") - 7)))
+    long_list = (F.upper(F.substring(text, 1, 7)) == "SELECT ") & (F.length("__listed") > FIELD_LIST_MIN)
+    flat = F.when(long_list, F.col("__listed"))
     for _ in range(8):  # subqueries nest a few levels at most
         flat = F.regexp_replace(flat, r"\([^()]*\)", "\u0001")
-    fields = F.transform(F.split(flat, ","), lambda x: F.trim(x))
-    subs = F.size(F.filter(fields, lambda f: f.startswith("\u0001")))
+    steps = steps.withColumn("__fields", F.transform(F.split(flat, ","), lambda x: F.trim(x)))
+    steps = steps.withColumn("__low", F.transform("__fields", lambda f: F.lower(f)))
+    subs = F.size(F.filter("__fields", lambda f: f.startswith("\u0001")))
     label = F.concat(
-        F.size(fields).cast("string"), F.lit(" fields"),
+        F.size("__fields").cast("string"), F.lit(" fields"),
         F.when(subs == 1, ", incl. 1 subquery").when(subs > 1, F.concat(F.lit(", incl. "), subs.cast("string"), F.lit(" subqueries"))).otherwise(""),
     )
     if watched is not None:
-        low = F.transform(fields, lambda f: F.lower(f))
-        present = F.filter(watched, lambda w: F.array_contains(low, F.lower(w)))
-        absent = F.filter(watched, lambda w: ~F.array_contains(low, F.lower(w)))
+        present = F.filter(watched, lambda w: F.array_contains("__low", F.lower(w)))
+        absent = F.filter(watched, lambda w: ~F.array_contains("__low", F.lower(w)))
         label = F.concat(
             label, F.when(F.size(present) > 0, F.concat(F.lit("; INCLUDES "), F.array_join(present, ", "))).otherwise(""),
             F.when(F.size(absent) > 0, F.concat(F.lit(f"; {MISSING} "), F.array_join(absent, ", "))).otherwise(""),
         )
-    short = F.concat(F.lit("SELECT <"), label, F.lit(">"), F.substr(sql, at + 1, F.length(sql) - at))
-    apt = F.upper(F.substring(sql, 1, 7)) == "SELECT "
-    return F.when(apt & (at >= 0) & (F.length(listed) > FIELD_LIST_MIN), short).otherwise(sql)
+    short = F.concat(F.lit("SELECT <"), label, F.lit(">"), F.substr(text, F.col("__at") + 1, F.length(text) - F.col("__at")))
+    out = steps.withColumn("compacted", F.when(F.col("__fields").isNotNull(), short).otherwise(text))
+    return out.drop("__at", "__listed", "__fields", "__low")

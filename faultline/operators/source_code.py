@@ -579,25 +579,32 @@ def objects_referenced(prep: DataFrame, known: DataFrame | None = None) -> DataF
     return fixed.unionByName(out.filter(~F.col("object").isin(STANDARD_OBJECTS)).join(known.select("object"), "object", "left_semi").select(*KEY, "object"))
 
 
-def flags(soql: DataFrame, changes: DataFrame, catches: DataFrame, writes: DataFrame, starts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Derived flags as (component, flag) rows."""
-    def mark(df: DataFrame, condition: Column, name: str) -> DataFrame:
-        return df.filter(condition).select(*KEY).distinct().withColumn("flag", F.lit(name))
-
-    controller = entries.filter(F.col("kind").isin("AuraEnabled", "RemoteAction", "RestResource")).select(*KEY).distinct()
-    ns = c.field_namespace(F.col("field"))
-    parts = [
-        mark(catches, F.col("effect").isin("empty", "swallow", "debug_only"), "silent_exception_handler"),
-        mark(writes, F.col("persistence") == "unpersisted_or_unresolved", "unpersisted_field_write"),
-        mark(changes, F.col("in_loop"), "dml_in_loop"), mark(soql, F.col("in_loop"), "soql_in_loop"),
-        mark(soql, F.col("is_dynamic"), "dynamic_soql"), mark(starts, F.col("in_loop"), "async_dispatch_in_loop"),
-        mark(soql.join(controller, KEY, "left_semi"), ~F.col("is_dynamic") & ~F.col("enforces_fls"), "no_fls_enforcement"),
-        mark(writes, ns.isNotNull(), "writes_managed_package_fields"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def flags(prep: DataFrame, stmts: DataFrame) -> DataFrame:
+    """Derived flags as (component, flag) rows; the statement-level ones come from one pass."""
+    text, loop = F.col("text"), F.col("in_loop")
+    static = text.rlike(QUERY)
+    dynamic = text.rlike(DYNAMIC_QUERY)
+    open_query = static & ~text.rlike(r"(?i)WITH\s+SECURITY_ENFORCED|WITH\s+USER_MODE")
+    seen = stmts.groupBy(*KEY).agg(
+        F.bool_or(loop & (text.rlike(DML) | text.rlike(DML_CALL))).alias("dml_in_loop"),
+        F.bool_or(loop & (static | dynamic)).alias("soql_in_loop"), F.bool_or(dynamic).alias("dynamic_soql"),
+        F.bool_or(loop & text.rlike(DISPATCH_CALL)).alias("async_dispatch_in_loop"), F.bool_or(open_query).alias("open_query"),
+    )
+    controller = prep.filter(F.col("code").rlike(r"@(?:AuraEnabled|RemoteAction)\b|(?i:@RestResource)\s*\(")).select(*KEY).withColumn(
+        "controller", F.lit(True)
+    )
+    seen = seen.join(controller, KEY, "left").withColumn("no_fls_enforcement", F.col("open_query") & F.coalesce("controller", F.lit(False)))
+    names = ("dml_in_loop", "soql_in_loop", "dynamic_soql", "async_dispatch_in_loop", "no_fls_enforcement")
+    by_statement = seen.select(*KEY, F.explode(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))).alias("flag"))
+    silent = catch_handlers(prep, stmts).filter(F.col("effect").isin("empty", "swallow", "debug_only")).select(
+        *KEY, F.lit("silent_exception_handler").alias("flag")
+    ).distinct()
+    foreign = c.field_namespace(F.col("field")).isNotNull()
+    by_write = field_writes(prep, stmts).select(*KEY, F.explode(F.array_compact(F.array(
+        F.when(F.col("persistence") == "unpersisted_or_unresolved", F.lit("unpersisted_field_write")),
+        F.when(foreign, F.lit("writes_managed_package_fields")),
+    ))).alias("flag")).distinct()
+    return by_statement.unionByName(silent).unionByName(by_write)
 
 
 def extract_errors(sources: DataFrame, max_chars: int) -> DataFrame:

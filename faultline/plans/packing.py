@@ -129,7 +129,8 @@ def query_compaction(spark, root):
     fields = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.lit("Field_"), i.cast("string"), F.lit("__c"))), ", ")
     sql = F.concat(F.lit("SELECT "), fields, F.lit(", (SELECT Id, Name FROM Kids WHERE A IN (1, 2)), COUNT(Id) FROM Obj__c WHERE X IN (1, (2))"))
     rows = table(spark, root, "part").select("p_partkey", sql.alias("sql"))
-    return rows.select("p_partkey", pk.compact_query(F.col("sql"), F.array(F.lit("Field_7__c"), F.lit("Field_30__c"))).alias("signature"))
+    short = pk.compact_queries(rows, "sql", F.array(F.lit("Field_7__c"), F.lit("Field_30__c")))
+    return short.select("p_partkey", F.col("compacted").alias("signature"))
 
 
 @query("text_cleaning", r"""

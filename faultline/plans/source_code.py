@@ -184,11 +184,7 @@ UNION ALL SELECT org_id, component_id, 'no_fls_enforcement' FROM {P} p WHERE s %
 
 
 def _flags(spark, root):
-    prep, stmts = classes(spark, root)
-    return sc.flags(
-        sc.queries(stmts), sc.dml(stmts), sc.catch_handlers(prep, stmts), sc.field_writes(prep, stmts),
-        sc.async_dispatches(prep, stmts, sv.class_names(spark, root)), sc.entry_points(prep, stmts),
-    )
+    return sc.flags(*classes(spark, root))
 
 
 @query("class_flags", FLAGS)

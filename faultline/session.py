@@ -46,6 +46,18 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/faultline/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by key over every core before work that costs far more than their bytes.
+
+    Meant for documents: keys are shuffled while rows are small, texts are taken
+    apart afterwards, and windows and joins over the same keys need no further
+    exchange.  A fixed count, because size-based coalescing would undo it.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     spark = df.sparkSession

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.session import spread
 from faultline.sources.tables import table
 
 DOCUMENT = """
@@ -31,8 +32,11 @@ concat('{"processType":"', CASE WHEN o_orderkey % 9 = 0 THEN 'Workflow' ELSE 'Au
 
 
 def flow_documents(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "orders").selectExpr(
-        "concat('org_', o_orderkey % 5) AS org_id", "concat('Flow_', o_orderkey) AS flow_id", f"{DOCUMENT} AS metadata",
+    orders = table(spark, root, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "concat('org_', o_orderkey % 5) AS org_id", "concat('Flow_', o_orderkey) AS flow_id"
+    )
+    return spread(orders, "org_id", "flow_id").selectExpr(
+        "org_id", "flow_id", f"{DOCUMENT} AS metadata",
         "CASE WHEN o_orderkey % 10 = 3 THEN 'Draft' ELSE 'Active' END AS status", "o_custkey % 60 AS version_number",
         "CASE WHEN o_orderkey % 11 = 0 THEN 'Pkg' END AS namespace",
     )

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.sources.tables import bind
+from faultline.session import spread
+from faultline.sources.tables import bind, table
 
 # braces are doubled: the text passes through a format call
 CLASS_SOURCES = """
-SELECT concat('org_', CAST(p_partkey % 5 AS STRING)) AS org_id, concat('Cls_', CAST(p_partkey AS STRING)) AS component_id, p_partkey, p_size,
+SELECT org_id, component_id, p_partkey, p_size,
 concat('/* header of ', p_name, ' {{ not a brace */
 public ', CASE p_size % 3 WHEN 0 THEN 'with sharing ' WHEN 1 THEN 'without sharing ' ELSE '' END, 'class Cls_', CAST(p_partkey AS STRING),
 CASE WHEN p_size % 4 = 1 THEN concat(' extends Base_', CAST(p_partkey % 7 AS STRING)) ELSE '' END,
@@ -59,7 +60,7 @@ CASE WHEN p_partkey % 6 = 0 THEN ' implements Database.AllowsCallouts, Queueable
     }}
     ', CASE WHEN p_partkey % 12 = 0 THEN 'class AppException extends Exception {{}}' ELSE '' END, '
 }}
-') AS code FROM {part}
+') AS code FROM {keyed}
 """
 
 TRIGGER_SOURCES = """
@@ -94,7 +95,10 @@ UNION ALL SELECT page_id, concat('lwc/cmp', CAST(page_id AS STRING), '/cmp', CAS
 
 
 def class_sources(spark: SparkSession, root: str) -> DataFrame:
-    return bind(spark, root, CLASS_SOURCES)
+    keyed = table(spark, root, "part").selectExpr(
+        "concat('org_', p_partkey % 5) AS org_id", "concat('Cls_', p_partkey) AS component_id", "p_partkey", "p_size", "p_name"
+    )
+    return spark.sql(CLASS_SOURCES, keyed=spread(keyed, "org_id", "component_id"))
 
 
 def trigger_sources(spark: SparkSession, root: str) -> DataFrame:
