@@ -152,10 +152,10 @@ def clients(rows: DataFrame) -> DataFrame:
 
 
 def log_parser(rows: DataFrame) -> DataFrame:
-    parses = actions(rows).filter(IS_PARSE).withColumn("one", F.lit(1))
+    parses = actions(rows).filter(IS_PARSE)  # all of one kind, which serves as the key
     fine = F.col("ok")
     size = F.when(fine, F.col("meta_size_kb"))
-    base = parses.groupBy("one").agg(
+    base = parses.groupBy("kind").agg(
         F.count(F.lit(1)).alias("parses"), _count(~fine).alias("failed"), _users(),
         _count(fine & F.coalesce("meta_stored", F.lit(False))).alias("stored"),
         _count("action = 'incident.file'").alias("via_incident"),
@@ -164,9 +164,9 @@ def log_parser(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(fine, F.col("meta_exceptions"))), F.lit(0)).alias("exceptions_found"),
         _count(fine & (F.coalesce("meta_exceptions", F.lit(0)) != 0)).alias("logs_with_exceptions"),
     )
-    ranks = nearest_rank(parses.filter(fine), ["one"], "meta_parse_ms", {"p50_parse_ms": 50, "p95_parse_ms": 95})
-    channels = counter_text(parses, ["one"], "shown_channel", "by_channel")
-    return base.join(ranks, "one", "left").join(channels, "one", "left").drop("one")
+    ranks = nearest_rank(parses.filter(fine), ["kind"], "meta_parse_ms", {"p50_parse_ms": 50, "p95_parse_ms": 95})
+    channels = counter_text(parses, ["kind"], "shown_channel", "by_channel")
+    return base.join(ranks, "kind", "left").join(channels, "kind", "left").drop("kind")
 
 
 def llm_by_user(usage: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions.scan import number_rows, scan
+from faultline.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------
 CLASS_FRAME = r"(?i)^Class\.([\w.]+?)(?:\.\w+)?:"
@@ -195,17 +196,21 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     )
     # one row per distinct masked text and set of exception types; a signature stands for itself
     q = q.withColumn("sig", F.when(F.col("raw").rlike("^[0-9a-f]{16}$"), F.col("raw")).otherwise(""))
+    # masked texts feed every branch below: written once to the shared folder
+    q = cut_lineage(q.select("query_id", "q", "types", "sig"))
     texts = q.select("q", "types", "sig").distinct().withColumn("q_id", F.xxhash64("q", "types", "sig"))
-    texts = texts.withColumn("q_words", c.words(F.col("q")))
+    texts = cut_lineage(texts.withColumn("q_words", c.words(F.col("q"))))
     shown = F.when(
         F.col("kind") == "field_report", F.concat(F.lit("field report "), F.coalesce("field", F.lit("")))
     ).otherwise(F.concat_ws(" ", F.coalesce("type", F.lit("")), F.coalesce("message_sample", F.lit(""))))
     i = issues.withColumn("e", c.mask_for_matching(shown)).withColumn("msg", c.mask_for_matching(F.col("message_sample"))).withColumn(
         "lfield", F.lower(F.coalesce("field", F.lit("")))
     ).withColumn("ltype", F.lower(F.coalesce("type", F.lit(""))))
+    i = cut_lineage(i.select("issue_id", "signature", "e", "msg", "lfield", "ltype", "resolution", "last_seen"))
     forms = i.select("e", "msg", "lfield").distinct().withColumn("e_id", F.xxhash64("e", "msg", "lfield")).withColumn(
         "e_words", c.words(F.col("e"))
     )
+    forms = cut_lineage(forms)
 
     msgs = forms.select(F.col("e_id").alias("s_id"), F.col("msg").alias("s_text"))
     qs = texts.select(F.col("q_id").alias("b_id"), F.col("q").alias("b_text"))
@@ -217,7 +222,8 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     runs = texts.select("q_id", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"\w+"), 0))).alias("tok"))
     fields = forms.filter("lfield <> ''").select("e_id", "lfield", F.length("lfield").alias("flen"))
     lengths = fields.select("flen").distinct()
-    pieces = runs.join(lengths, F.length("tok") >= F.col("flen")).select(
+    sized = runs.select("q_id", "tok", F.explode(F.sequence(F.lit(1), F.length("tok"))).alias("flen")).join(lengths, "flen", "left_semi")
+    pieces = sized.select(
         "q_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - F.col("flen") + 1), lambda p: F.substr(F.col("tok"), p, F.col("flen")))).alias("lfield")
     ).distinct()
     named = fields.join(pieces, "lfield").select("e_id", "q_id")
