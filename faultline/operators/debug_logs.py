@@ -283,8 +283,8 @@ def _named_texts(units: DataFrame, raised: DataFrame) -> DataFrame:
 def involved_components(units: DataFrame, raised: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Component names in unit labels, messages and stacks; with no org, a prefix rule."""
     tokens = _named_texts(units, raised).select(
-        "log_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME_TOKEN), 0))).alias("component_id")
-    ).distinct()
+        "log_id", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME_TOKEN), 0))).alias("component_id")
+    ).filter("component_id IS NOT NULL").distinct()
     if ids is None:
         cond = F.lit(False)
         for p in NAME_PREFIXES:
@@ -362,5 +362,5 @@ def section_page(section: DataFrame, order: str, offset: int, limit: int) -> Dat
 
 def split_text(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Whole texts to numbered lines: the header apart, blank lines dropped, CRLF accepted."""
-    lines = texts.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("line_no", "raw"))
+    lines = texts.select(key, F.posexplode_outer(F.split(F.col(text), r"\r\n|\r|\n")).alias("line_no", "raw"))
     return lines.filter((F.col("line_no") == 0) | (F.trim("raw") != "")).withColumn("is_header", F.col("line_no") == 0)

@@ -1,7 +1,9 @@
 """Flow metadata documents: elements, graph, writes, objects, flags.
 
 A document is one row, so everything inside it is done with array functions on
-that row: no shuffle, and flows of all orgs run side by side.
+that row: no shuffle, and flows of all orgs run side by side.  Arrays are
+unnested with the outer functions and filtered after: for the inner ones Spark
+adds a size filter that computes the array a second time.
 """
 
 from __future__ import annotations
@@ -162,55 +164,87 @@ def element_array(m: Column) -> Column:
 
 
 def elements(flows: DataFrame) -> DataFrame:
-    return flows.select(*KEY, F.inline(element_array(F.col("m")))).drop("targets")
+    return flows.select(*KEY, F.inline_outer(element_array(F.col("m")))).filter("name IS NOT NULL").drop("targets")
 
 
 def edges(flows: DataFrame) -> DataFrame:
-    each = flows.select(*KEY, F.inline(element_array(F.col("m"))))
-    return each.select(*KEY, F.col("name").alias("src"), F.explode("targets").alias("dst"))
+    each = flows.select(*KEY, F.inline_outer(element_array(F.col("m"))))
+    return each.select(*KEY, F.col("name").alias("src"), F.explode_outer("targets").alias("dst")).filter("dst IS NOT NULL")
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` applied to a value that is computed once, however often it is used.
+
+    A column used inside a lambda would be put in its place there and computed
+    again for every element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
+def _reached(g: Column, start: Column, rounds: Column) -> Column:
+    begin = F.when(F.array_contains(g["names"], start), F.array(start)).otherwise(F.array().cast("array<string>"))
+    return F.aggregate(rounds, begin, lambda acc, _r: F.array_union(
+        acc, F.transform(F.filter(g["pairs"], lambda p: F.array_contains(acc, p["src"])), lambda p: p["dst"])
+    ))
+
+
+def _knot(g: Column, rounds: Column) -> Column:
+    """What is left after repeatedly removing elements that nothing left points to: empty without a cycle."""
+    return F.aggregate(rounds, g["names"], lambda acc, _r: F.filter(
+        acc, lambda x: F.exists(g["pairs"], lambda p: (p["dst"] == x) & F.array_contains(acc, p["src"]))
+    ))
+
+
+def _depths(g: Column, rounds: Column) -> Column:
+    """Longest path to each element."""
+    zero = F.map_from_arrays(g["names"], F.transform(g["names"], lambda _x: F.lit(0)))
+
+    def longest(acc: Column, x: Column) -> Column:
+        before = F.transform(F.filter(g["pairs"], lambda p: p["dst"] == x), lambda p: acc[p["src"]] + 1)
+        return F.greatest(acc[x], F.coalesce(F.array_max(before), F.lit(0)))
+
+    return F.aggregate(rounds, zero, lambda acc, _r: F.map_from_arrays(g["names"], F.transform(g["names"], lambda x: longest(acc, x))))
+
+
+def with_graph(flows: DataFrame) -> DataFrame:
+    """Adds ``graph``: elements, what the start reaches, whether there is a cycle, and depths."""
+    start = F.col("m.start.connector.targetReference")
+
+    def named(els: Column) -> Column:
+        pairs = F.flatten(F.transform(els, lambda e: F.transform(e["targets"], lambda t: F.struct(e["name"].alias("src"), t.alias("dst")))))
+        return F.struct(els.alias("els"), F.array_distinct(F.transform(els, lambda e: e["name"])).alias("names"), pairs.alias("pairs"))
+
+    def inner(g: Column) -> Column:
+        return F.struct(g["els"].alias("els"), g["names"].alias("names"), F.filter(g["pairs"], lambda p: F.array_contains(g["names"], p["dst"])).alias("pairs"))
+
+    def measured(g: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g["names"])))
+        bare = F.filter(g["els"], lambda e: e["type"].isin(*FAULT_CAPABLE) & e["fault_target"].isNull())
+        return F.struct(
+            g["els"].alias("els"), g["names"].alias("names"), _reached(g, start, rounds).alias("reach"),
+            (F.size(_knot(g, rounds)) > 0).alias("has_cycles"), _depths(g, rounds).alias("depths"),
+            F.array_join(F.array_sort(F.transform(bare, lambda e: e["name"])), ",").alias("without_fault_path"),
+        )
+
+    return flows.withColumn("graph", _let(_let(_let(element_array(F.col("m")), named), inner), measured))
 
 
 def graphs(flows: DataFrame) -> DataFrame:
     """Reachability, cycles, order and depth of every flow's element graph."""
-    rows = flows.select(*KEY, F.col("m.start.connector.targetReference").alias("start"), element_array(F.col("m")).alias("els"))
-    rows = rows.withColumn("names", F.array_distinct(F.col("els.name")))
-    pairs = F.flatten(F.transform("els", lambda e: F.transform(e["targets"], lambda t: F.struct(e["name"].alias("src"), t.alias("dst")))))
-    # checkpointed as columns: each later step uses the one before it many times
-    rows = rows.withColumn("pairs", F.filter(pairs, lambda p: F.array_contains("names", p["dst"])))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("names")))
-    begin = F.when(F.array_contains("names", F.col("start")), F.array("start")).otherwise(F.array().cast("array<string>"))
-    reach = F.aggregate(
-        rounds, begin,
-        lambda acc, _r: F.array_union(acc, F.transform(F.filter("pairs", lambda p: F.array_contains(acc, p["src"])), lambda p: p["dst"])),
-    )
-    # what is left after repeatedly removing elements that nothing left points to
-    knot = F.aggregate(
-        rounds, F.col("names"),
-        lambda acc, _r: F.filter(acc, lambda x: F.exists("pairs", lambda p: (p["dst"] == x) & F.array_contains(acc, p["src"]))),
-    )
-    zero = F.map_from_arrays("names", F.transform("names", lambda _x: F.lit(0)))
-    depth = F.aggregate(
-        rounds, zero,
-        lambda acc, _r: F.map_from_arrays("names", F.transform(
-            "names", lambda x: F.greatest(
-                acc[x], F.coalesce(F.array_max(F.transform(F.filter("pairs", lambda p: p["dst"] == x), lambda p: acc[p["src"]] + 1)), F.lit(0))
-            ))),
-    )
-    rows = rows.withColumn("reach", reach).withColumn("has_cycles", F.size(knot) > 0).withColumn("depths", F.when(F.size(knot) == 0, depth))
+    rows = with_graph(flows).select(*KEY, F.col("m.start.connector.targetReference").alias("start"), "graph.*")
     order = F.array_sort(F.transform(F.map_entries("depths"), lambda d: F.struct(d["value"].alias("d"), d["key"].alias("n"))))
-    bare = F.filter("els", lambda e: e["type"].isin(*FAULT_CAPABLE) & e["fault_target"].isNull())
+    acyclic = ~F.col("has_cycles")
     return rows.select(
         *KEY, "start", "has_cycles", F.size("names").cast("bigint").alias("elements"),
-        F.array_join(F.array_sort(F.array_except("names", "reach")), ",").alias("unreachable"),
-        F.array_join(F.array_sort(F.transform(bare, lambda e: e["name"])), ",").alias("without_fault_path"),
-        F.when(F.array_contains("names", F.col("start")), F.array_max(F.map_values("depths"))).cast("bigint").alias("max_depth"),
-        F.coalesce(F.array_join(F.transform(order, lambda o: o["n"]), ","), F.lit("")).alias("topological_order"),
+        F.array_join(F.array_sort(F.array_except("names", "reach")), ",").alias("unreachable"), "without_fault_path",
+        F.when(acyclic & F.array_contains("names", F.col("start")), F.array_max(F.map_values("depths"))).cast("bigint").alias("max_depth"),
+        F.when(acyclic, F.array_join(F.transform(order, lambda o: o["n"]), ",")).otherwise("").alias("topological_order"),
     )
 
 
 def actions(flows: DataFrame) -> DataFrame:
     """Action calls with inputs and outputs; apex ones await resolution by the index."""
-    calls = flows.select(*KEY, F.explode("m.actionCalls").alias("a"))
+    calls = flows.select(*KEY, F.explode_outer("m.actionCalls").alias("a")).filter("a IS NOT NULL")
     type_ = F.nullif(F.trim("a.actionType"), F.lit(""))
     read = F.transform("a.inputParameters", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("text"), members(p["value"]).alias("bag")))
     nodes = F.transform(read, lambda p: F.struct(p["name"].alias("name"), value_node(p["text"], p["bag"]).alias("v")))
@@ -223,7 +257,7 @@ def actions(flows: DataFrame) -> DataFrame:
 
 
 def subflows(flows: DataFrame) -> DataFrame:
-    return flows.select(*KEY, F.explode("m.subflows").alias("s")).filter("s.flowName IS NOT NULL").select(
+    return flows.select(*KEY, F.explode_outer("m.subflows").alias("s")).filter("s.flowName IS NOT NULL").select(
         *KEY, F.col("s.name").alias("element"), F.col("s.flowName").alias("subflow")
     )
 
@@ -232,8 +266,8 @@ def _is_field(name: Column) -> Column:
     return F.coalesce(name.contains("__") | name.rlike(r"^\p{Lu}\w*$"), F.lit(False))
 
 
-def field_writes(flows: DataFrame) -> DataFrame:
-    """Direct writes with high confidence, writes through a persisted record variable with medium."""
+def with_writes(flows: DataFrame) -> DataFrame:
+    """Adds ``writes``: direct writes with high confidence, those through a persisted record variable with medium."""
     m = F.col("m")
     start_object = m["start"]["object"]
 
@@ -248,26 +282,34 @@ def field_writes(flows: DataFrame) -> DataFrame:
     def heads(name: str) -> Column:
         return F.coalesce(F.flatten(F.transform(m[name], lambda e: F.array(F.split(e["inputReference"], r"\.")[0], e["name"]))), F.array().cast("array<string>"))
 
-    persisted = F.concat(F.array(F.lit("$Record")), heads("recordUpdates"), heads("recordCreates"))
-    rows = flows.withColumn("persisted", persisted)
+    known = F.concat(F.array(F.lit("$Record")), heads("recordUpdates"), heads("recordCreates"))
 
-    def through(e: Column) -> Column:
+    def through(e: Column, persisted: Column) -> Column:
         def one(a: Column) -> Column:
             head = F.split(a["assignToReference"], r"\.")[0]
             own = head.startswith("$Record")
             return F.struct(
                 F.substring_index(a["assignToReference"], ".", -1).alias("field"), F.when(own, start_object).alias("object"),
                 F.lit("assignment").alias("element_type"), e["name"].alias("element"), a["value"].alias("node"),
-                F.when(own, "high").when(F.array_contains("persisted", head), "medium").alias("confidence"),
+                F.when(own, "high").when(F.array_contains(persisted, head), "medium").alias("confidence"),
             )
         dotted = F.filter(e["assignmentItems"], lambda a: a["assignToReference"].contains("."))
         return F.coalesce(F.transform(dotted, one), F.array())
 
-    assigned = F.coalesce(F.flatten(F.transform(m["assignments"], through)), F.array())
-    writes = rows.select(*KEY, F.inline(F.concat(direct("recordUpdates", "recordUpdate"), direct("recordCreates", "recordCreate"), assigned)))
-    writes = writes.filter(F.col("confidence").isNotNull() & _is_field(F.col("field"))).withColumn("bag", members(F.col("node")))
-    writes = writes.withColumn("v", value_node(F.col("node"), F.col("bag")))
-    return writes.select(
+    assigned = _let(known, lambda persisted: F.coalesce(
+        F.flatten(F.transform(m["assignments"], lambda e: through(e, persisted))), F.array()
+    ))
+    raw = F.concat(direct("recordUpdates", "recordUpdate"), direct("recordCreates", "recordCreate"), assigned)
+    rows = flows.withColumn("writes", F.filter(raw, lambda w: w["confidence"].isNotNull() & _is_field(w["field"])))
+    rows = rows.withColumn("writes", F.transform("writes", lambda w: F.struct(w.alias("w"), members(w["node"]).alias("bag"))))
+    return rows.withColumn("writes", F.transform("writes", lambda x: F.struct(
+        *[x["w"][n].alias(n) for n in ("field", "object", "element_type", "element", "confidence")], value_node(x["w"]["node"], x["bag"]).alias("v")
+    )))
+
+
+def field_writes(flows: DataFrame) -> DataFrame:
+    rows = with_writes(flows).select(*KEY, F.inline_outer("writes")).filter("field IS NOT NULL")
+    return rows.select(
         *KEY, "field", "object", "element_type", "element", "confidence", F.col("v.kind").alias("value_kind"),
         c.shown_value(F.col("v")).alias("value"), F.col("v.is_blank_assignment").alias("is_blank"),
     )
@@ -275,13 +317,18 @@ def field_writes(flows: DataFrame) -> DataFrame:
 
 def objects(flows: DataFrame) -> DataFrame:
     """Objects a flow reads and writes."""
-    els = flows.select(*KEY, F.inline(element_array(F.col("m"))))
-    start = flows.select(*KEY, F.col("m.start.object").alias("object"), F.lit(True).alias("reads"), F.lit(False).alias("writes"))
-    from_els = els.filter(F.col("type").isin("recordLookup", "recordUpdate", "recordCreate", "recordDelete")).select(
-        *KEY, F.col("target_object").alias("object"), (F.col("type") == "recordLookup").alias("reads"), (F.col("type") != "recordLookup").alias("writes")
+    def touch(obj: Column, reads: Column, writes: Column) -> Column:
+        return F.struct(obj.alias("object"), reads.alias("reads"), writes.alias("writes"))
+
+    changing = ("recordLookup", "recordUpdate", "recordCreate", "recordDelete")
+    from_elements = F.transform(
+        F.filter(element_array(F.col("m")), lambda e: e["type"].isin(*changing)),
+        lambda e: touch(e["target_object"], e["type"] == "recordLookup", e["type"] != "recordLookup"),
     )
-    from_writes = field_writes(flows).select(*KEY, "object", F.lit(False).alias("reads"), F.lit(True).alias("writes"))
-    return start.unionByName(from_els).unionByName(from_writes).filter("object IS NOT NULL").groupBy(*KEY, "object").agg(
+    from_writes = F.transform("writes", lambda w: touch(w["object"], F.lit(False), F.lit(True)))
+    start = F.array(touch(F.col("m.start.object"), F.lit(True), F.lit(False)))
+    rows = with_writes(flows).select(*KEY, F.inline_outer(F.concat(start, from_elements, from_writes)))
+    return rows.filter("object IS NOT NULL").groupBy(*KEY, "object").agg(
         F.bool_or("reads").alias("reads"), F.bool_or("writes").alias("writes")
     )
 
@@ -301,52 +348,64 @@ def value_nodes(flows: DataFrame) -> DataFrame:
         F.coalesce(F.flatten(F.transform(m["assignments"], lambda e: picked(e["assignmentItems"], "value"))), empty),
         F.coalesce(F.flatten(F.transform(m["actionCalls"], lambda e: picked(e["inputParameters"], "value"))), empty),
     )
-    own = flows.select(*KEY, F.explode(texts).alias("text")).filter("text IS NOT NULL").withColumn("bag", members(F.col("text")))
-    own = own.withColumn("v", value_node(F.col("text"), F.col("bag"))).select(*KEY, F.col("v.kind").alias("kind"))
-    every = own.unionByName(field_writes(flows).select(*KEY, F.col("value_kind").alias("kind")))
-    return every.groupBy(*KEY).agg(F.count(F.lit(1)).alias("values_total"), F.count_if(F.col("kind") == "unparsed").alias("values_unparsed"))
+    rows = with_writes(flows).withColumn("nodes", F.transform(
+        F.filter(texts, lambda t: t.isNotNull()), lambda t: F.struct(t.alias("text"), members(t).alias("bag"))
+    ))
+    own = F.transform("nodes", lambda n: value_node(n["text"], n["bag"])["kind"])
+    rows = rows.withColumn("kinds", F.concat(own, F.transform("writes", lambda w: w["v"]["kind"])))
+    return rows.select(
+        *KEY, F.size("kinds").cast("bigint").alias("values_total"),
+        F.size(F.filter("kinds", lambda x: x == "unparsed")).cast("bigint").alias("values_unparsed"),
+    )
 
 
-def flags(flows: DataFrame) -> DataFrame:
-    """Derived flags as (flow, flag) rows."""
+def with_flags(flows: DataFrame) -> DataFrame:
+    """Adds ``flags``; everything a flag depends on is in the document itself."""
     m = F.col("m")
     after = F.coalesce(m["start"]["triggerType"].contains("AfterSave"), F.lit(False))
-    self_update = F.exists(element_array(m), lambda e: (e["type"] == "recordUpdate") & (
+    self_update = F.exists("graph.els", lambda e: (e["type"] == "recordUpdate") & (
         F.coalesce(e["target_object"] == m["start"]["object"], F.lit(False)) | F.coalesce(e["target_reference"].startswith("$Record"), F.lit(False))))
-    base = flows.select(
-        *KEY, "namespace", (after & F.coalesce(self_update, F.lit(False))).alias("own_update"),
-        F.transform(m["start"]["filters"], lambda f: f["field"]).alias("filter_fields"),
-        (F.coalesce(m["start"]["doesRequireRecordChangedToMeetCriteria"], F.lit(True)) == F.lit(False)).alias("no_change_needed"),
+    cleared = F.transform(
+        F.filter("writes", lambda w: w["v"]["is_blank_assignment"] | F.coalesce(w["v"]["value"] == "false", F.lit(False))), lambda w: w["field"]
     )
-    writes = field_writes(flows)
-    clears = writes.filter(F.col("is_blank") | (F.col("value") == "false")).select(*KEY, "field").distinct()
-    guarded = base.select(*KEY, F.explode("filter_fields").alias("field")).join(clears, [*KEY, "field"], "left_semi").select(*KEY).distinct().withColumn("guarded", F.lit(True))
-    ns = c.field_namespace(F.col("field"))
-    foreign = writes.join(base.select(*KEY, "namespace"), KEY).filter(ns.isNotNull() & ~ns.eqNullSafe(F.col("namespace"))).select(*KEY).distinct().withColumn("foreign_write", F.lit(True))
-    g = graphs(flows).select(*KEY, "unreachable", "without_fault_path")
-    rows = base.join(guarded, KEY, "left").join(foreign, KEY, "left").join(g, KEY).na.fill(False, ["guarded", "foreign_write"])
+    watched = F.coalesce(F.transform(m["start"]["filters"], lambda f: f["field"]), F.array().cast("array<string>"))
+
+    def other_package(w: Column) -> Column:
+        ns = c.field_namespace(w["field"])
+        return ns.isNotNull() & ~ns.eqNullSafe(F.col("namespace"))
+
+    rows = with_writes(with_graph(flows)).withColumn("own_update", after & F.coalesce(self_update, F.lit(False))).withColumn(
+        "guarded", F.coalesce(F.arrays_overlap(watched, cleared), F.lit(False))
+    ).withColumn("foreign_write", F.exists("writes", other_package))
+    unchanged_ok = F.coalesce(m["start"]["doesRequireRecordChangedToMeetCriteria"], F.lit(True)) == F.lit(False)
     names = F.array_compact(F.array(
         F.when(F.col("own_update"), F.lit("self_referential_update")), F.when(F.col("guarded"), F.lit("loop_guard_detected")),
-        F.when(F.col("own_update") & ~F.col("guarded") & F.col("no_change_needed"), F.lit("loop_guard_missing")),
-        F.when(F.col("foreign_write"), F.lit("writes_managed_package_fields")), F.when(F.col("without_fault_path") != "", F.lit("no_fault_path")),
-        F.when(F.col("unreachable") != "", F.lit("unreachable_elements")),
+        F.when(F.col("own_update") & ~F.col("guarded") & unchanged_ok, F.lit("loop_guard_missing")),
+        F.when(F.col("foreign_write"), F.lit("writes_managed_package_fields")), F.when(F.col("graph.without_fault_path") != "", F.lit("no_fault_path")),
+        F.when(F.size(F.array_except(F.col("graph.names"), F.col("graph.reach"))) > 0, F.lit("unreachable_elements")),
     ))
-    return rows.select(*KEY, F.explode(names).alias("flag"))
+    return rows.withColumn("flags", names)
 
 
-def entry_points(flow_headers: DataFrame, flow_flags: DataFrame, triggers: DataFrame, updates: DataFrame) -> DataFrame:
+def flags(flows: DataFrame) -> DataFrame:
+    """Derived flags as (flow, flag) rows."""
+    return with_flags(flows).select(*KEY, F.explode_outer("flags").alias("flag")).filter("flag IS NOT NULL")
+
+
+def entry_points(flows: DataFrame, triggers: DataFrame, updates: DataFrame) -> DataFrame:
     """What runs when a record of an object is saved, as (org, object, bucket, component)."""
-    started = flow_headers.filter("start_object IS NOT NULL")
-    bucket = F.when(F.col("mechanism") == "Process Builder", "process_builder").when(
-        F.lower(F.coalesce("trigger_type", F.lit(""))).contains("beforesave"), "before_save_flows"
+    m = F.col("m")
+    bucket = F.when(F.lower(m["processType"]).isin(*PROCESS_BUILDER), "process_builder").when(
+        F.lower(F.coalesce(m["start"]["triggerType"], F.lit(""))).contains("beforesave"), "before_save_flows"
     ).otherwise("after_save_flows")
-    flows = started.select("org_id", F.col("start_object").alias("object"), bucket.alias("bucket"), F.col("flow_id").alias("component_id"))
-    loops = started.join(flow_flags.filter("flag = 'self_referential_update'").select(*KEY), KEY, "left_semi").select(
-        "org_id", F.col("start_object").alias("object"), F.lit("self_referential_automation").alias("bucket"), F.col("flow_id").alias("component_id")
+    loops = F.when(F.array_contains("flags", "self_referential_update"), F.lit("self_referential_automation"))
+    own = with_flags(flows).filter(m["start"]["object"].isNotNull()).select(
+        "org_id", m["start"]["object"].alias("object"), F.explode_outer(F.array_compact(F.array(bucket, loops))).alias("bucket"),
+        F.col("flow_id").alias("component_id"),
     )
     trig = triggers.filter("object IS NOT NULL").select("org_id", "object", F.lit("apex_triggers").alias("bucket"), "component_id")
     upd = updates.filter("object IS NOT NULL").select("org_id", "object", F.lit("workflow_field_updates").alias("bucket"), "component_id")
-    return flows.unionByName(loops).unionByName(trig).unionByName(upd)
+    return own.unionByName(trig).unionByName(upd)
 
 
 def entry_point_counts(points: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def statements(prep: DataFrame, with_methods: bool = True) -> DataFrame:
 
     Triggers have no methods, though their header looks like one.
     """
-    rows = prep.select(*KEY, F.posexplode(F.split("code", r"(?<=[{};])")).alias("no", "text")).filter("text <> ''")
+    rows = prep.select(*KEY, F.posexplode_outer(F.split("code", r"(?<=[{};])")).alias("no", "text")).filter("text <> ''")
     closer = F.substring("text", -1, 1)
     rows = rows.withColumn("closer", F.when(closer.isin("{", "}", ";"), closer)).withColumn(
         "step", F.when(closer == "{", 1).when(closer == "}", -1).otherwise(0)
@@ -140,8 +140,9 @@ def before_hit(text: Column, hit: Column) -> Column:
 
 def found(stmts: DataFrame, pattern: str, group_count: int = 0, column: str = "text") -> DataFrame:
     """One row per match, with the line it starts on."""
-    hits = stmts.withColumn("hits", F.regexp_extract_all(column, F.lit(pattern), 0)).filter(F.size("hits") > 0)
-    rows = hits.select("*", F.posexplode("hits").alias("hit_no", "hit")).drop("hits")
+    hits = stmts.filter(F.col(column).rlike(pattern))
+    # the outer form: the inner one makes Spark compute the matches a second time to filter on them
+    rows = hits.select("*", F.posexplode_outer(F.regexp_extract_all(column, F.lit(pattern), 0)).alias("hit_no", "hit"))
     ahead = before_hit(F.col(column), F.col("hit"))
     line = F.col("start_line") + F.length(ahead) - F.length(F.regexp_replace(ahead, "\n", ""))
     rows = rows.withColumn("line", line)
@@ -206,7 +207,7 @@ def entry_points(prep: DataFrame, stmts: DataFrame) -> DataFrame:
         F.regexp_extract_all(code, F.lit(r"(?i)@RestResource\s*\(urlMapping\s*=\s*'([^']*)'"), 1),
         lambda n: F.struct(F.lit("RestResource").alias("kind"), n.alias("detail")),
     )
-    marked = prep.select(*KEY, F.inline(F.concat(rest, *shown))).withColumn("inner_class", F.lit(None).cast("string"))
+    marked = prep.select(*KEY, F.inline_outer(F.concat(rest, *shown))).filter("kind IS NOT NULL").withColumn("inner_class", F.lit(None).cast("string"))
     return by_header.unionByName(marked)
 
 
@@ -292,7 +293,7 @@ def catch_handlers(prep: DataFrame, stmts: DataFrame) -> DataFrame:
 
 def static_state(prep: DataFrame) -> DataFrame:
     """Static collections, and whether anything clears or replaces them."""
-    lines = prep.select(*KEY, "code", F.posexplode(F.split("code", "\n")).alias("line_no", "text")).filter(F.col("text").rlike(STATIC_COLLECTION))
+    lines = prep.select(*KEY, "code", F.posexplode_outer(F.split("code", "\n")).alias("line_no", "text")).filter(F.col("text").rlike(STATIC_COLLECTION))
     name = F.regexp_extract("text", STATIC_COLLECTION, 3)
     first = lines.select(*KEY, "code", "line_no", name.alias("name"), (F.regexp_extract("text", STATIC_COLLECTION, 1) != "").alias("is_final"),
                          F.regexp_extract("text", STATIC_COLLECTION, 2).alias("collection"))
@@ -572,7 +573,7 @@ def objects_referenced(prep: DataFrame, known: DataFrame | None = None) -> DataF
     """Custom names and standard objects in a source; custom ones only if the org has them."""
     custom = F.regexp_extract_all("code", F.lit(CUSTOM_OBJECT), 0)
     standard = F.regexp_extract_all("code", F.lit(r"\b(" + "|".join(sorted(STANDARD_OBJECTS, key=len, reverse=True)) + r")\b"), 1)
-    out = prep.select(*KEY, F.explode(F.array_distinct(F.concat(custom, standard))).alias("object"))
+    out = prep.select(*KEY, F.explode_outer(F.array_distinct(F.concat(custom, standard))).alias("object")).filter("object IS NOT NULL")
     if known is None:
         return out
     fixed = out.filter(F.col("object").isin(STANDARD_OBJECTS))

@@ -143,4 +143,4 @@ def object_entry_points(spark, root):
     flows = documents(spark, root)
     trig = sc.triggers(sc.prepared(sv.trigger_sources(spark, root)))
     updates = field_updates(spark, root).withColumn("org_id", F.lit("org_0"))
-    return fl.entry_point_counts(fl.entry_points(fl.headers(flows), fl.flags(flows), trig, updates))
+    return fl.entry_point_counts(fl.entry_points(flows, trig, updates))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import source_code as sc
 from faultline.plans.registry import query
+from faultline.session import cut_lineage
 from faultline.sources import source_views as sv
 from faultline.sources.tables import table
 
@@ -13,9 +14,11 @@ JOB_KNOWN = "((k % 9) % 5 = k % 5 AND k % 9 IN (SELECT s_suppkey FROM {supplier}
 CLS_KNOWN = "((k % 11) % 5 = k % 5 AND k % 11 IN (SELECT p_partkey FROM {part}))"
 
 
-def classes(spark, root):
+def classes(spark, root, shared=False):
+    """Sources and their statements; ``shared`` writes the statements once for a job that reads them in several ways."""
     prep = sc.prepared(sv.class_sources(spark, root))
-    return prep, sc.statements(prep)
+    stmts = sc.statements(prep)
+    return prep, cut_lineage(stmts) if shared else stmts
 
 
 def trigger_rows(spark, root):
@@ -133,7 +136,7 @@ UNION ALL SELECT org_id, component_id, concat('Helper_', k % 4), 'namespaced_cla
 UNION ALL SELECT org_id, component_id, concat('Job_', k % 9), 'local_class', 'System.enqueueJob,constructor', '', NULL FROM {P} p WHERE s % 5 IN (0, 1) AND {JOB_KNOWN}
 """)
 def source_calls_to(spark, root):
-    prep, stmts = classes(spark, root)
+    prep, stmts = classes(spark, root, shared=True)
     names = sv.class_names(spark, root)
     return sc.calls_to(stmts, names, sc.async_dispatches(prep, stmts, names))
 
@@ -148,7 +151,7 @@ UNION ALL SELECT org_id, component_id, 3, NULL, TRUE, 'org_class', concat('Cls_'
 """)
 def source_call_sites(spark, root):
     names = sv.class_names(spark, root)
-    return sc.call_sites(classes(spark, root)[1], names).unionByName(sc.call_sites(trigger_rows(spark, root)[1], names))
+    return sc.call_sites(classes(spark, root, shared=True)[1], names).unionByName(sc.call_sites(trigger_rows(spark, root)[1], names))
 
 
 @query("source_facts", f"""
@@ -184,7 +187,7 @@ UNION ALL SELECT org_id, component_id, 'no_fls_enforcement' FROM {P} p WHERE s %
 
 
 def _flags(spark, root):
-    return sc.flags(*classes(spark, root))
+    return sc.flags(*classes(spark, root, shared=True))
 
 
 @query("class_flags", FLAGS)
