@@ -157,13 +157,16 @@ def log_limits(spark, root):
     return logs.limits(*lines(spark, root))
 
 
-@query("log_routing", f"""
+ROUTED = f"""
 SELECT log_id, line_no, section, evt, CASE section WHEN 'user_debug' THEN CASE WHEN n >= 4 THEN {trunc('lastp', 300)} ELSE raw END
   WHEN 'validation_failures' THEN {trunc('raw', 200)} ELSE CASE WHEN n >= 3 THEN {trunc('lastp', 200)} ELSE '' END END AS detail FROM (
   SELECT *, CASE WHEN evt IN ('CALLOUT_REQUEST', 'CALLOUT_RESPONSE', 'NAMED_CREDENTIAL_REQUEST', 'NAMED_CREDENTIAL_RESPONSE') THEN 'callouts' WHEN evt = 'USER_DEBUG' THEN 'user_debug'
     WHEN evt IN ('VALIDATION_RULE', 'VALIDATION_FAIL') THEN 'validation_failures' WHEN evt IN ('FLOW_START_INTERVIEW_BEGIN', 'FLOW_START_INTERVIEW_END', 'FLOW_ELEMENT_ERROR',
     'FLOW_FAULT_EVENT', 'FLOW_INTERVIEW_FINISHED') THEN 'flow_events' END AS section FROM {EV} e) s WHERE section IS NOT NULL
-""")
+"""
+
+
+@query("log_routing", ROUTED)
 def log_routing(spark, root):
     return logs.routed(rows(spark, root)[0])
 

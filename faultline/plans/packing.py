@@ -6,6 +6,7 @@ from faultline.functions.columns import without_empty_lines
 from faultline.functions.scan import has_large_key, number_rows
 from faultline.operators import debug_logs as logs
 from faultline.operators import packing as pk
+from faultline.plans.debug_logs import ROUTED, SUMMARY, UNITS
 from faultline.plans.debug_logs import rows as log_rows
 from faultline.plans.registry import query
 from faultline.sources import component_views  # noqa: F401
@@ -80,7 +81,29 @@ def log_items(spark, root):
     return units.unionByName(queries).unionByName(rest)
 
 
-@query("log_packing")
+LOG_ITEMS = f"""(SELECT log_id, 'execution_units' AS section, line_no AS pos, length(concat('{{"label":"', label, '","depth":', depth, ',"had_exception":', had_exception, '}}')) AS size, 0 AS wr, 0 AS wc,
+    had_exception OR depth = 0 AS urgent FROM {UNITS} u
+  UNION ALL SELECT log_id, 'soql_summary', first_line, length(concat('{{"signature":"', signature, '"', CASE WHEN object IS NOT NULL THEN concat(',"object":"', object, '"') ELSE '' END,
+    ',"occurrences":', occurrences, ',"total_rows":', total_rows, '}}')), total_rows, occurrences, FALSE FROM {SUMMARY} q
+  UNION ALL SELECT log_id, section, line_no, length(detail) + 2, 0, 0, FALSE FROM ({ROUTED}) r)"""
+FITS = "used + size + 2 <= room"
+
+
+# both sequential steps, the shares of the sections and the fit of the items, as recursion
+@query("log_packing", f"""
+WITH RECURSIVE it AS (SELECT * FROM {LOG_ITEMS} i),
+sr AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY need, section) AS rn, count(*) OVER (PARTITION BY log_id) AS n FROM (
+  SELECT log_id, section, (sum(size + 1) + 1 + length(section) + 6)::BIGINT AS need, count(*) AS total FROM it GROUP BY 1, 2) x),
+cp AS (SELECT log_id, section, need, total, rn, least(need, 800 // n) AS cap, 800 - least(need, 800 // n) AS lft FROM sr WHERE rn = 1
+  UNION ALL SELECT s.log_id, s.section, s.need, s.total, s.rn, least(s.need, c.lft // (s.n - s.rn + 1)), c.lft - least(s.need, c.lft // (s.n - s.rn + 1)) FROM cp c JOIN sr s ON s.log_id = c.log_id AND s.rn = c.rn + 1),
+od AS (SELECT it.log_id, it.section, size, cap - length(it.section) - 6 AS room, it.section NOT IN ('execution_units', 'soql_summary') AS gapless, row_number() OVER (PARTITION BY it.log_id, it.section ORDER BY
+    CASE it.section WHEN 'soql_summary' THEN -wr WHEN 'execution_units' THEN CASE WHEN urgent THEN 0 ELSE 1 END ELSE 0 END, CASE it.section WHEN 'soql_summary' THEN -wc WHEN 'user_debug' THEN -pos ELSE pos END, pos) AS rn
+  FROM it JOIN cp ON cp.log_id = it.log_id AND cp.section = it.section WHERE need > cap),
+gr AS (SELECT DISTINCT log_id, section, 0::BIGINT AS rn, 2::BIGINT AS used, 0 AS kept, TRUE AS open FROM od
+  UNION ALL SELECT o.log_id, o.section, o.rn, CASE WHEN g.open AND g.{FITS} THEN g.used + o.size + 2 ELSE g.used END, CASE WHEN g.open AND g.{FITS} THEN 1 ELSE 0 END, g.open AND (NOT o.gapless OR g.{FITS})
+  FROM gr g JOIN od o ON o.log_id = g.log_id AND o.section = g.section AND o.rn = g.rn + 1)
+SELECT c.log_id, c.section, c.total, CASE WHEN need <= cap THEN c.total ELSE (SELECT sum(kept) FROM gr g WHERE g.log_id = c.log_id AND g.section = c.section) END::BIGINT AS shown FROM cp c
+""".replace("g.used + size + 2 <= room", "g.used + o.size + 2 <= o.room"))
 def log_packing(spark, root):
     items = log_items(spark, root)
     return pk.pack_report(items, pk.pack_logs(items, 2200))
