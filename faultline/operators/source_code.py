@@ -72,6 +72,9 @@ DISPATCH_CALL = r"(?i)\b(System\s*\.\s*(?:enqueueJob|scheduleBatch|schedule)|Dat
 JOB_INTERFACES = "queueable schedulable database.batchable object system.queueable system.schedulable".split()
 NOT_TYPES = "final static public private protected global transient".split()
 MAX_CALL_SITES, GUARD_TEXT = 400, 160
+# a branch of one statement without braces: its head, and the parentheses of its condition three deep
+INLINE_GUARD = r"^\s*(else\s+if|if|for|while)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*(?=[^\s{;])"
+INLINE_ELSE = r"^\s*else\b(?!\s+if\b)\s*(?=[^\s{;])"
 # -----------------------------------------------------------------------------
 
 
@@ -145,7 +148,7 @@ def found(stmts: DataFrame, pattern: str, group_count: int = 0, column: str = "t
     rows = hits.select("*", F.posexplode_outer(F.regexp_extract_all(column, F.lit(pattern), 0)).alias("hit_no", "hit"))
     ahead = before_hit(F.col(column), F.col("hit"))
     line = F.col("start_line") + F.length(ahead) - F.length(F.regexp_replace(ahead, "\n", ""))
-    rows = rows.withColumn("line", line)
+    rows = rows.withColumn("line", line).withColumn("at", F.length(ahead))
     for i in range(1, group_count + 1):
         rows = rows.withColumn(f"g{i}", F.regexp_extract("hit", pattern, i))
     return rows
@@ -493,10 +496,20 @@ def guards(stmts: DataFrame) -> DataFrame:
     pieces = stmts.withColumn("t2", F.lead("text", 1).over(order)).withColumn("t3", F.lead("text", 2).over(order))
     start = F.regexp_extract("text", r"(?s)\bfor\s*\((.*)$", 1)
     whole = c.squeeze(F.concat(start, "t2", F.regexp_extract("t3", r"(?s)^(.*)\)\s*\{$", 1)))
-    classic = pieces.filter((F.col("closer") == ";") & F.col("loop_close").isNotNull() & (start != "")).select(
+    cut_head = (F.col("closer") == ";") & (start != "") & ~F.col("text").rlike(INLINE_GUARD)
+    classic = pieces.filter(cut_head & F.col("loop_close").isNotNull()).select(
         *KEY, "no", F.col("loop_close").alias("close_no"), F.col("depth").alias("level"), F.lit("for").alias("word"), whole.alias("cond")
     )
-    return blocks.select(*KEY, "no", "close_no", "level", "word", "cond").unionByName(classic)
+    block = blocks.select(*KEY, "no", "close_no", "level", "word", "cond").unionByName(classic)
+    single = stmts.filter((F.col("closer") == ";") & (F.col("text").rlike(INLINE_GUARD) | F.col("text").rlike(INLINE_ELSE)))
+    is_else = F.col("text").rlike(INLINE_ELSE)
+    head_text = F.when(is_else, F.regexp_extract("text", INLINE_ELSE, 0)).otherwise(F.regexp_extract("text", INLINE_GUARD, 0))
+    inline = single.select(
+        *KEY, "no", F.col("no").alias("close_no"), F.col("depth").alias("level"),
+        F.when(is_else, "else").otherwise(F.regexp_replace(F.regexp_extract("text", INLINE_GUARD, 1), r"\s+", " ")).alias("word"),
+        c.squeeze(F.regexp_extract("text", INLINE_GUARD, 2)).alias("cond"), F.length(head_text).alias("after"),
+    )
+    return block.withColumn("after", F.lit(None).cast("int")).unionByName(inline)
 
 
 def labelled_guards(stmts: DataFrame) -> DataFrame:
@@ -512,7 +525,7 @@ def labelled_guards(stmts: DataFrame) -> DataFrame:
         .when(F.col("word") == "else if", F.concat(F.lit("else if ("), "cond", F.lit(") [and not: "), "ruled", F.lit("]")))
         .otherwise(F.concat("word", F.lit(" ("), "cond", F.lit(")")))
     )
-    return out.select(*KEY, "no", "close_no", label.alias("label"))
+    return out.select(*KEY, "no", "close_no", "after", label.alias("label"))
 
 
 def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
@@ -530,7 +543,7 @@ def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
     )
     target = F.when(F.col("namespace").isNotNull(), F.col("ns_class")).when(F.col("chain") == "this", F.col("component_id")).otherwise(head)
     qualified = calls.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
-        *KEY, "no", "hit_no", "line", "method", "in_loop", "kind", target.alias("target"), "namespace", F.col("g2").alias("method_called"), "callee"
+        *KEY, "no", "hit_no", "at", "line", "method", "in_loop", "kind", target.alias("target"), "namespace", F.col("g2").alias("method_called"), "callee"
     )
     bare = found(stmts, BARE_CALL, 1).join(own.withColumnRenamed("own_name", "g1"), [*KEY, "g1"]).filter(
         (F.col("g1") != F.col("component_id")) & ~F.col("is_method")
@@ -538,20 +551,20 @@ def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
     ahead = F.rtrim(F.regexp_replace(before_hit(F.col("text"), F.col("hit")), r"\s+$", ""))
     word = F.lower(F.regexp_extract(ahead, r"([\w>\]]+)$", 1))
     bare = bare.filter((word == "") | word.isin("return else throw and or not in case when".split())).select(
-        *KEY, "no", "hit_no", "line", "method", "in_loop", F.lit("same_class").alias("kind"), F.col("component_id").alias("target"),
+        *KEY, "no", "hit_no", "at", "line", "method", "in_loop", F.lit("same_class").alias("kind"), F.col("component_id").alias("target"),
         F.lit(None).cast("string").alias("namespace"), F.col("g1").alias("method_called"), F.concat_ws(".", "component_id", "g1").alias("callee"),
     )
     sites = qualified.unionByName(bare)
     g = labelled_guards(stmts).select(
-        F.col("org_id").alias("q_org"), F.col("component_id").alias("q_comp"), F.col("no").alias("q_no"), F.col("close_no").alias("q_close"), "label"
+        F.col("org_id").alias("q_org"), F.col("component_id").alias("q_comp"), F.col("no").alias("q_no"), F.col("close_no").alias("q_close"), "after", "label"
     )
     # blocks around a statement: an equality on the component, then its nesting depth many rows
-    enclosed = sites.join(
-        g, (F.col("org_id") == F.col("q_org")) & (F.col("component_id") == F.col("q_comp")) & (F.col("q_no") < F.col("no")) & (F.col("q_close") >= F.col("no")), "left"
-    )
+    around = (F.col("q_no") < F.col("no")) & (F.col("q_close") >= F.col("no"))
+    same = (F.col("q_no") == F.col("no")) & (F.col("at") >= F.col("after"))  # a branch without braces, its condition apart
+    enclosed = sites.join(g, (F.col("org_id") == F.col("q_org")) & (F.col("component_id") == F.col("q_comp")) & (around | same), "left")
     cols = [x for x in sites.columns]
     out = enclosed.groupBy(*cols).agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("q_no", "label")))).alias("around"))
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("no", "hit_no", "callee"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("no", "at", "callee"))
     return out.withColumn("position", place).filter(F.col("position") <= MAX_CALL_SITES).select(
         *KEY, "position", "line", "method", "in_loop", "kind", "target", "namespace", "method_called", "callee",
         F.array_join(F.col("around.label"), " > ").alias("conditions"),

@@ -84,6 +84,19 @@ public class A {
     names = spark.createDataFrame([("o", "A"), ("o", "B")], "org_id string, name string")
     got = [(r.target, r.method_called, r.line, r.in_loop, r.conditions) for r in source_code.call_sites(stmts, names).orderBy("position").collect()]
     assert got == [("B", "go", 5, True, "for (Integer i = 0; i < 3; i++) > while (x)"), ("B", "stop", 8, False, ""), ("A", "a", 9, False, "if (y)")]
+    bare = """class A { void a() {
+      if (B.ask(f(1))) B.yes();
+      else if (c) B.maybe(); else B.no();
+      for (X x : xs) B.each(x);
+      if (d) { B.one(); } else B.two();
+      B.free();
+    } }"""
+    prep2 = source_code.prepared(spark.createDataFrame([("o", "A", bare)], "org_id string, component_id string, code string"))
+    told = {r.method_called: r.conditions for r in source_code.call_sites(source_code.statements(prep2), names).collect()}
+    assert told == {
+        "ask": "", "yes": "if (B.ask(f(1)))", "maybe": "else if (c) [and not: B.ask(f(1))]", "no": "else [not: B.ask(f(1)) / c]",
+        "each": "for (X x : xs)", "one": "if (d)", "two": "else [not: d]", "free": "",
+    }
     assert [(r.op, r.receiver, r.line, r.in_loop) for r in source_code.dml(stmts).collect()] == [("insert", "one", 6, True)]
     m = source_code.methods(prep, stmts).first()
     assert (m["name"], m.loc, m.complexity) == ("a", 7, 4)
