@@ -501,7 +501,8 @@ def guards(stmts: DataFrame) -> DataFrame:
         *KEY, "no", F.col("loop_close").alias("close_no"), F.col("depth").alias("level"), F.lit("for").alias("word"), whole.alias("cond")
     )
     block = blocks.select(*KEY, "no", "close_no", "level", "word", "cond").unionByName(classic)
-    single = stmts.filter((F.col("closer") == ";") & (F.col("text").rlike(INLINE_GUARD) | F.col("text").rlike(INLINE_ELSE)))
+    branch = (F.col("closer") == ";") & F.col("text").rlike(r"^\s*(?:else|if|for|while)\b")
+    single = stmts.filter(branch & (F.col("text").rlike(INLINE_GUARD) | F.col("text").rlike(INLINE_ELSE)))
     is_else = F.col("text").rlike(INLINE_ELSE)
     head_text = F.when(is_else, F.regexp_extract("text", INLINE_ELSE, 0)).otherwise(F.regexp_extract("text", INLINE_GUARD, 0))
     inline = single.select(
