@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +33,24 @@ def local_session(cpus: int = 8, app: str = "faultline", **extra: str) -> SparkS
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else a folder beside the warehouse.
+
+    The warehouse is shared on every cluster, so nothing is ever kept in a
+    folder of one machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="faultline-checkpoint-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_root(spark)}/faultline/{purpose}-{uuid.uuid4().hex}"
+    """A new folder for intermediate data, removed when the application ends."""
+    path = f"{shared_root(spark)}/faultline/{purpose}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
