@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import exact_dedup, language_id, mixing, sentencepiece_codec
+from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec
 from faultline.plans.registry import Query
 from faultline.sources.tables import table
 
@@ -62,3 +62,8 @@ def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     model = language_id.train(docs.filter(learnt))
     found = language_id.language_columns(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~learnt).alias("held_out"), "language.lang_pred", "language.score")
+
+
+@_query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, root, "documents"))
