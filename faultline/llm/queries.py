@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec
+from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec, topk_search
 from faultline.plans.registry import Query
 from faultline.sources.tables import table
 
@@ -67,3 +67,24 @@ def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
 @_query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, root, "documents"))
+
+
+@_query(
+    "op10_topk_search",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+               CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+    """,
+)
+def op10_topk_search(spark: SparkSession, root: str) -> DataFrame:
+    vectors = table(spark, root, "embeddings")
+    return topk_search.top_k(vectors, F.col("vec_id") % 100 == 0)
