@@ -2,7 +2,7 @@
 
 Documents are split by the next bytes of their text, level by level, until a
 group holds one document or its texts have ended.  A digit is a run of bytes;
-runs get longer (64 bytes, then up to 512, 4,096, ... in all), so the number of
+runs get longer (512 bytes, then up to 4,096, 32,768, ... in all), so the number of
 levels grows with the logarithm of the longest text.  Two texts are equal when
 they agree in every digit and end together: bytes are compared, never digests.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import stored, whole_text
 
-FIRST_BYTES = 64
+FIRST_BYTES = 512
 GROWTH = 8
 
 
@@ -65,7 +65,8 @@ def radix_groups(
         same = (F.col("__gid") == F.col("__g")) & (_digit(start, width) == F.col("__d")) & (_ended(end) == F.col("__e"))
         undecided = F.col("__n").isNotNull() & ~F.col("__e")
         placed = stored(
-            rows.join(groups, same, "left").select(
+            # the groups grow with the documents: merged at every size, never broadcast
+            rows.join(groups.hint("merge"), same, "left").select(
                 "__key", "__carry", "__uid", F.coalesce("__new", F.lit(-1)).alias("__gid"), F.coalesce("__n", F.lit(1)).alias("__n"),
                 F.when(F.col("__n").isNull(), F.col("__key")).otherwise(F.col("__keep")).alias("__keep"),
                 undecided.alias("__open"), F.when(undecided, F.col("__bytes")).alias("__bytes"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec, topk_search
+from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec, topk_search, toxicity
 from faultline.plans.registry import Query
 from faultline.sources.tables import table
 
@@ -88,3 +88,11 @@ def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
 def op10_topk_search(spark: SparkSession, root: str) -> DataFrame:
     vectors = table(spark, root, "embeddings")
     return topk_search.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+@_query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    learnt = toxicity.training_rows()
+    model = toxicity.train(docs.filter(learnt), table(spark, root, "labels").filter(learnt))
+    return toxicity.score_documents(docs, model).select("doc_id", (~learnt).alias("held_out"), "score", "predicted")
