@@ -30,7 +30,7 @@ MAX_EPOCHS = 3
 SEED = 20_011
 RANGES = 1 << 16
 FILL_ROUNDS = 8
-# patterns that may reach the driver; more is an error, never a cut
+# patterns that may reach the driver and be broadcast back; more is an error, never a cut
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -166,14 +166,14 @@ def _place_cuts(sizes: DataFrame, plan: Plan, rest: dict[tuple, int]) -> None:
     plan.extra = {p: [] for p in plan.patterns}
     kind = sizes.schema["__pattern"].dataType.simpleString()
     numbered = spark.createDataFrame([(list(p), i, rest[p]) for i, p in enumerate(plan.patterns)], f"p {kind}, id int, rest bigint")
-    rows = sizes.filter("__size > 0").join(numbered, F.col("__pattern").eqNullSafe(F.col("p"))).withColumn("range", _range())
+    rows = sizes.filter("__size > 0").join(F.broadcast(numbered), F.col("__pattern").eqNullSafe(F.col("p"))).withColumn("range", _range())
     # words before each range, by pattern: at most RANGES rows each
     totals = rows.groupBy("id", "rest", "range").agg(F.sum("__size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("id").orderBy("range"))
     edge = totals.withColumn("upto", upto).filter("upto > rest AND upto - n <= rest").select("id", F.col("range").alias("edge"), (F.col("upto") - F.col("n")).alias("before"))
     # inside the range of the cut, rows that agree in hash, key and size are taken together
     inside = (
-        rows.join(edge.withColumnRenamed("id", "e"), (F.col("id") == F.col("e")) & (F.col("range") == F.col("edge")))
+        rows.join(F.broadcast(edge.withColumnRenamed("id", "e")), (F.col("id") == F.col("e")) & (F.col("range") == F.col("edge")))
         .groupBy("id", "rest", "before", "edge", "__h", "__key").agg(F.sum("__size").alias("n"))
         .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("id").orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("id", "rest", "before", "edge")
@@ -191,7 +191,7 @@ def _place_cuts(sizes: DataFrame, plan: Plan, rest: dict[tuple, int]) -> None:
         if not left:
             break
         room = spark.createDataFrame([(list(p), n) for p, n in left.items()], f"p {kind}, room bigint")
-        free = apply_plan(sizes, plan).filter("__size > 0 AND __part = 0").join(room, F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size <= room")
+        free = apply_plan(sizes, plan).filter("__size > 0 AND __part = 0").join(F.broadcast(room), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size <= room")
         best = (
             free.groupBy("__pattern", "room", "__h", "__key").agg(F.sum("__size").alias("n")).filter("n <= room")
             .groupBy("__pattern").agg(F.max(F.struct("n", "__h", "__key")).alias("best")).collect()
@@ -216,7 +216,7 @@ def apply_plan(rows: DataFrame, plan: Plan) -> DataFrame:
         table.append((list(p), plan.copies[p], edge, h, key, [tuple(x) for x in plan.extra[p]]))
     kind = rows.schema["__pattern"].dataType.simpleString()
     cuts = spark.createDataFrame(table, f"p {kind}, copies int, edge bigint, h bigint, k {key_kind}, extra array<struct<h: bigint, k: {key_kind}>>")
-    joined = rows.join(cuts, F.col("__pattern").eqNullSafe(F.col("p")))
+    joined = rows.join(F.broadcast(cuts), F.col("__pattern").eqNullSafe(F.col("p")))
     at = _range()
     # a null key sorts first, as in the window that placed the cut
     in_edge = (at == F.col("edge")) & F.col("h").isNotNull() & (
@@ -242,7 +242,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     spark = docs.sparkSession
     kind = docs.schema[source].dataType.simpleString()
     known = spark.createDataFrame([(s, n, plan.target[s]) for s, n in plan.source_size.items()], f"__s {kind}, source_size bigint, target double")
-    chosen = apply_plan(sizes, plan).join(known, F.col("__pattern")[0].eqNullSafe(F.col("__s")))
+    chosen = apply_plan(sizes, plan).join(F.broadcast(known), F.col("__pattern")[0].eqNullSafe(F.col("__s")))
     taken = F.col("__size") * (F.col("__copies") + F.col("__part"))
     return chosen.select(F.col("__key").alias(key), F.col("__size").alias("size"), "source_size", "target", taken.cast("bigint").alias("taken"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec, topk_search, toxicity
+from faultline.llm import exact_dedup, html_extract, jaccard_join, language_id, license_scan, license_texts, mixing, pii, sentencepiece_codec, topk_search, toxicity
 from faultline.plans.registry import Query
 from faultline.sources.tables import table
 
@@ -96,3 +96,34 @@ def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
     learnt = toxicity.training_rows()
     model = toxicity.train(docs.filter(learnt), table(spark, root, "labels").filter(learnt))
     return toxicity.score_documents(docs, model).select("doc_id", (~learnt).alias("held_out"), "score", "predicted")
+
+
+@_query("op8_html_extract")
+def op8_html_extract(spark: SparkSession, root: str) -> DataFrame:
+    return html_extract.extract(table(spark, root, "pages"))
+
+
+@_query("op1_pii")
+def op1_pii(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.detect(table(spark, root, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [number(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+_KNOWN_SQL = " UNION ALL ".join(f"SELECT '{name}' AS name, '{body.replace(chr(39), chr(39) * 2)}' AS body" for name, body in license_texts.KNOWN)
+
+
+@_query(
+    "op5_license_scan",
+    f"""
+    WITH known AS (
+        SELECT sha256({license_scan.canonical_sql("body")}) AS known_digest, min(name) AS license FROM ({_KNOWN_SQL}) GROUP BY 1
+    ), rows AS (SELECT doc_id, {license_scan.canonical_sql("coalesce(text, '')")} AS t FROM documents)
+    SELECT doc_id, sha256(t) AS canonical_sha256, length(t) AS canonical_chars, license
+    FROM rows LEFT JOIN known ON sha256(t) = known_digest AND t <> ''
+    """,
+)
+def op5_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return license_scan.scan(docs, license_scan.known_digests(spark))
