@@ -11,7 +11,8 @@ copies of all its documents as fit, and for the rest documents in the order of
 a seeded hash.  The cut is found in a histogram over hash ranges, and by rows
 only inside the one range where it falls, so a source that holds a third of
 all rows is never sorted in one task.  What the cut leaves open is filled with
-the largest documents that still fit, one per round.
+the largest documents that still fit, one per round, and at last with one that
+goes over by less than what was missing.
 """
 
 from __future__ import annotations
@@ -186,24 +187,29 @@ def _place_cuts(sizes: DataFrame, plan: Plan, rest: dict[tuple, int]) -> None:
             plan.cuts[p], left[p] = (r["edge"], None, None), r["rest"] - r["before"]
         else:
             plan.cuts[p], left[p] = (r["edge"], r["last"]["__h"], r["last"]["__key"]), r["rest"] - r["last"]["upto"]
-    for _ in range(FILL_ROUNDS):
-        left = {p: n for p, n in left.items() if n > 0}
-        if not left:
+    open_ = dict(left)
+    for turn in range(FILL_ROUNDS + 1):
+        open_ = {p: n for p, n in open_.items() if n > 0}
+        if not open_:
             break
-        room = spark.createDataFrame([(list(p), n) for p, n in left.items()], f"p {kind}, room bigint")
-        free = apply_plan(sizes, plan).filter("__size > 0 AND __part = 0").join(F.broadcast(room), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size <= room")
-        best = (
-            free.groupBy("__pattern", "room", "__h", "__key").agg(F.sum("__size").alias("n")).filter("n <= room")
-            .groupBy("__pattern").agg(F.max(F.struct("n", "__h", "__key")).alias("best")).collect()
-        )
-        if not best:
+        # the last round may overshoot by less than what is still missing
+        last = turn == FILL_ROUNDS
+        room = spark.createDataFrame([(list(p), n) for p, n in open_.items()], f"p {kind}, room bigint")
+        free = apply_plan(sizes, plan).filter("__size > 0 AND __part = 0").join(F.broadcast(room), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size < 2 * room")
+        free = free.groupBy("__pattern", "room", "__h", "__key").agg(F.sum("__size").alias("n"))
+        one = F.struct("n", "__h", "__key")
+        fits = {tuple(r["__pattern"]): r for r in free.groupBy("__pattern").agg(
+            F.max(F.when(F.col("n") <= F.col("room"), one)).alias("below"), F.min(F.when((F.col("n") > F.col("room")) & (F.col("n") < 2 * F.col("room")), one)).alias("above"),
+        ).collect()}
+        found = {p: r["below"] for p, r in fits.items() if r["below"] is not None}
+        if last or not found:
+            found = {p: r["above"] if r["below"] is None else r["below"] for p, r in fits.items() if r["below"] or r["above"]}
+        for p, best in found.items():
+            plan.extra[p].append((best["__h"], best["__key"]))
+            left[p] -= best["n"]
+        if last or not found:
             break
-        gone = {}
-        for r in best:
-            p = tuple(r["__pattern"])
-            plan.extra[p].append((r["best"]["__h"], r["best"]["__key"]))
-            gone[p] = left[p] - r["best"]["n"]
-        left = gone
+        open_ = {p: left[p] for p in open_ if left[p] > 0}
 
 
 def apply_plan(rows: DataFrame, plan: Plan) -> DataFrame:
