@@ -194,9 +194,9 @@ def train(
     model = Model(background, own_toxic, own_ordinary, np.zeros(0), np.zeros(0), np.zeros(0))
     spread = sample.filter("fitting").select("t", "y").repartition(spark.sparkContext.defaultParallelism)
     found = spread.select("y", featurer(spark, model)(F.col("t")).alias("f")).toPandas()
-    x, y = np.array(found["f"].tolist(), float).reshape(len(found), -1), found["y"].to_numpy(float)
+    width = 2 + 2 * len(THRESHOLDS)
+    x, y = np.array(found["f"].tolist(), float).reshape(len(found), width), found["y"].to_numpy(float)
     if len(found) == 0 or y.min() == y.max():
-        width = 2 + 2 * len(THRESHOLDS)
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(found) else 0.5
         model.mean, model.scale, model.weights = np.zeros(width), np.ones(width), np.r_[math.log(share / (1 - share)), np.zeros(width)]
     else:
