@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove stored tables that no later step reads, and the shuffle files of finished steps.
+
+    Spark removes shuffle files when the driver's JVM finds their data frames
+    unused; between the large steps of one operator that is worth asking for.
+    """
+    for table in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def whole_text(name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import stored
+from faultline.llm.common import release, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(lower, F.col("a") == F.col("u"))
         hung = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = stored(hung.filter("a <> b").distinct(), purpose)
+        older, now = now, stored(hung.filter("a <> b").distinct(), purpose)
+        release(older.sparkSession, older)
         before, state = state, _state(now)
         if state == before:
             break
