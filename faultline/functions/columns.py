@@ -230,3 +230,17 @@ def json_size(value: Column) -> Column:
 def without_empty_lines(text: Column) -> Column:
     cleaned = F.regexp_replace(F.coalesce(text, F.lit("")), EMPTY_INFO_LINE, "")
     return F.regexp_replace(F.regexp_replace(cleaned, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, value>> of all matches; start is the true offset from 0, in characters.
+
+    Offsets are the lengths of what lies between the matches and of the matches before.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+
+    def upto(lengths: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+
+    return F.transform(hits, lambda h, i: F.struct((upto(F.transform(gaps, F.length), i + 1) + upto(F.transform(hits, F.length), i)).alias("start"), h.alias("value")))

@@ -1,13 +1,11 @@
 """Running computations whose groups may be very large.
 
-A window over ``PARTITION BY key`` puts a whole key into one task.  That is
-the cheapest plan as long as keys are moderate: one exchange serves every
-window over the key.  A key that holds a third of the rows would stall the
-job, so the same computation also exists in two levels (``wide=True``): rows
-are cut into chunks ``(key, order div chunk)``, each chunk is scanned on its
-own, one summary row per chunk is scanned per key, and the carried-in value is
-joined back to the chunk.  Both ways give the same result; ``has_large_key``
-measures which one a table needs.
+A window over ``PARTITION BY key`` puts a whole key into one task, and a key
+may hold a third of all rows.  Queries therefore scan in two levels
+(``wide=True``): rows are cut into chunks ``(key, order div chunk)``, each
+chunk is scanned on its own, one summary row per chunk is scanned per key, and
+the carried-in value is joined back to the chunk.  The plain window stays for
+keys that are bounded by nature, such as the text of one source.
 """
 
 from __future__ import annotations
@@ -16,22 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65_536
-# rows of one key that a single task may sort and sweep
-LARGE_KEY_ROWS = 5_000_000
 _CHUNK = "__chunk"
 
 
-def has_large_key(df: DataFrame, keys: list[str], limit: int = LARGE_KEY_ROWS) -> bool:
-    """Whether some key has more rows than one task should hold.
-
-    Reads the key columns only, counts before the shuffle, and brings one
-    number to the driver.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
-    return (largest or 0) > limit
-
-
 def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
     """The right side of a join back to its own source: keys under other names."""
     for i, k in enumerate(keys):

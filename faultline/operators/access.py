@@ -11,7 +11,6 @@ from faultline.functions.columns import UNASSIGNED, account_key, account_name, e
 
 ENVIRONMENT_ORDER = ("production", "sandbox", "developer", "scratch", "unknown")
 STALE_DAYS = 30
-MAX_LINKS = 50
 
 
 @dataclass(frozen=True)
@@ -170,7 +169,7 @@ def decorated_logs(library: DataFrame, links: DataFrame, registry: DataFrame, wh
     )
     shown = links.join(orgs.filter("org_seen").select(F.col("r_org").alias("org_id")), "org_id", "left_semi")
     filed = shown.groupBy(F.col("log_id").alias("l_log")).agg(
-        F.least(F.count(F.lit(1)), F.lit(MAX_LINKS)).alias("incident_links"),
+        F.count(F.lit(1)).alias("incident_links"),
         F.max_by("incident_id", F.struct("filed_at", "incident_id")).alias("last_incident"),
     )
     tagged = library.join(orgs, F.col("org_id") == F.col("r_org"), "left")

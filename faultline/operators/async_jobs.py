@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
@@ -15,7 +15,7 @@ from faultline.operators.debug_logs import last_field, levelled
 # ---- fixed values -----------------------------------------------------------
 MECHANISMS = ("System.enqueueJob", "Database.executeBatch", "System.scheduleBatch", "System.schedule")
 ASYNC_LIMIT = r"(?i)Too many (?:queueable jobs added to the queue|future calls|batch jobs|async)\S*:?\s*(\d+)?"
-MAX_CONSTRUCTIONS, MAX_DISPATCHES, NEAR_LINES = 60, 100, 25
+NEAR_LINES = 25
 # -----------------------------------------------------------------------------
 
 METHOD_EVENTS = ["METHOD_ENTRY", "METHOD_EXIT"]
@@ -123,8 +123,8 @@ def dispatches(found: DataFrame, wide: bool = False) -> DataFrame:
 
 
 def shown_dispatches(found: DataFrame, wide: bool = False) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("log_id").orderBy("line_no"))
-    return dispatches(found, wide).withColumn("position", place).filter(F.col("position") <= MAX_DISPATCHES)
+    """Every dispatch; how many of them a caller shows is the caller's affair."""
+    return dispatches(found, wide)
 
 
 def failures(found: DataFrame) -> DataFrame:
@@ -134,12 +134,10 @@ def failures(found: DataFrame) -> DataFrame:
 
 
 def job_constructions(found: DataFrame) -> DataFrame:
-    """Job-like classes constructed, counted per line and caller; the first sixty of a log."""
-    counted = found.filter((F.col("what") == "construction") & F.col("class").rlike(c.JOB_NAME)).groupBy(
+    """Job-like classes constructed, counted per line and caller."""
+    return found.filter((F.col("what") == "construction") & F.col("class").rlike(c.JOB_NAME)).groupBy(
         "log_id", "class", "line", "caller"
     ).agg(F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line"))
-    place = F.row_number().over(Window.partitionBy("log_id").orderBy("first_line"))
-    return counted.withColumn("position", place).filter(F.col("position") <= MAX_CONSTRUCTIONS).drop("position")
 
 
 def presence(found: DataFrame, entries: DataFrame) -> Column | DataFrame:

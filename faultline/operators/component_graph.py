@@ -15,10 +15,8 @@ from faultline.functions import columns as c
 # ---- fixed values -----------------------------------------------------------
 ASYNC = ("System.enqueueJob", "Database.executeBatch", "System.schedule", "System.scheduleBatch")
 JOB_KINDS = ("Queueable", "Batchable", "Schedulable")
-MAX_SITES = 30
 SEARCH_LIMIT = 25
 RECENT_DAYS = 14
-VERSION_SAMPLE = 400
 FEATURES = (("3.2.0", "async_dispatches"), ("3.3.0", "call_sites"))
 CODE_TYPES = ("ApexClass", "ApexTrigger")
 TEST_HINTS = ("test", "tests", "_test_", "testing", "mock", "testdata", "testsetup")
@@ -131,12 +129,11 @@ def inbound(edges: DataFrame, imports: DataFrame, actions: DataFrame, subflows:
 
 
 def inbound_sites(sites: DataFrame) -> DataFrame:
-    """The first call sites of each caller into each target, with the full count."""
+    """The call sites of each caller into each target, numbered, with their count."""
     rows = sites.filter("kind <> 'same_class'").withColumn("lower_target", F.lower("target"))
     total = rows.groupBy("org_id", "lower_target", "caller").agg(F.count(F.lit(1)).alias("total"))
     order = Window.partitionBy("org_id", "lower_target", "caller").orderBy("site_no", "line")
-    first = rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MAX_SITES)
-    return first.join(total, ["org_id", "lower_target", "caller"]).select(
+    return rows.withColumn("position", F.row_number().over(order)).join(total, ["org_id", "lower_target", "caller"]).select(
         "org_id", "lower_target", "caller", "position", "method_called", "caller_method", "line", "in_loop", "kind", "total"
     )
 
@@ -496,11 +493,9 @@ def stale_cards(cards: DataFrame, present: DataFrame) -> DataFrame:
     return code.select("org_id", "component_id", "extractor_version", F.array_join(lacking, ",").alias("missing")).filter("missing <> ''")
 
 
-def org_stale(cards: DataFrame, sample: int = VERSION_SAMPLE) -> DataFrame:
-    """Oldest extractor version among the first cards of each org."""
-    place = F.row_number().over(Window.partitionBy("org_id").orderBy("component_id"))
-    first = cards.filter(F.col("type").isin(*CODE_TYPES)).withColumn("place", place).filter(F.col("place") <= sample)
-    oldest = first.groupBy("org_id").agg(F.min(c.version_parts(F.col("extractor_version"))).alias("v"))
+def org_stale(cards: DataFrame) -> DataFrame:
+    """Oldest extractor version among all cards of each org."""
+    oldest = cards.filter(F.col("type").isin(*CODE_TYPES)).groupBy("org_id").agg(F.min(c.version_parts(F.col("extractor_version"))).alias("v"))
     lacking = F.array_compact(F.array(*[
         F.when(F.col("v") < F.array(*[F.lit(int(x)) for x in since.split(".")]), section) for since, section in FEATURES
     ]))

@@ -21,7 +21,6 @@ LIMIT_LINE = r"^\s*(?:Number of|Maximum)\s+(.+?):\s*(\d+)\s*out of\s*(\d+)(.*)$"
 DEFAULT_NS = "(default)"
 DML_DETAIL = r"Op:(\w+)\|Type:(\w+)\|Rows:(\d+)"
 NAME_TOKEN = r"\b[A-Za-z][A-Za-z0-9_]{2,}\b"
-NAME_PREFIXES = ("ibmc", "itcc", "APTS")
 MISSING_FIELD = r"(?i)without querying the requested field:\s*([\w.]+?)\.(\w+)"
 CALLOUT_EVENTS = ("CALLOUT_REQUEST", "CALLOUT_RESPONSE", "NAMED_CREDENTIAL_REQUEST", "NAMED_CREDENTIAL_RESPONSE")
 FLOW_EVENTS = (
@@ -280,14 +279,14 @@ def _named_texts(units: DataFrame, raised: DataFrame) -> DataFrame:
     )
 
 
-def involved_components(units: DataFrame, raised: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Component names in unit labels, messages and stacks; with no org, a prefix rule."""
+def involved_components(units: DataFrame, raised: DataFrame, ids: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Component names in unit labels, messages and stacks; with no org, those that begin with one of ``prefixes``."""
     tokens = _named_texts(units, raised).select(
         "log_id", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME_TOKEN), 0))).alias("component_id")
     ).filter("component_id IS NOT NULL").distinct()
     if ids is None:
         cond = F.lit(False)
-        for p in NAME_PREFIXES:
+        for p in prefixes:
             cond = cond | F.col("component_id").startswith(p)
         return tokens.filter(cond)
     return tokens.join(ids.select("component_id"), "component_id", "left_semi").select("log_id", "component_id")
@@ -355,7 +354,8 @@ def section_page(section: DataFrame, order: str, offset: int, limit: int) -> Dat
     total = section.groupBy("log_id").agg(F.count(F.lit(1)).alias("total"))
     place = F.row_number().over(Window.partitionBy("log_id").orderBy(order))
     page = section.withColumn("position", place).filter(F.col("position") <= offset + limit).filter(F.col("position") > offset)
-    return page.join(total, "log_id").withColumn("position", F.col("position") - 1).withColumn(
+    # a page past the end is empty, but still tells the total
+    return total.join(page, "log_id", "left").withColumn("position", F.col("position") - 1).withColumn(
         "next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit))
     )
 

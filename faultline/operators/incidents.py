@@ -165,12 +165,16 @@ def _contained_pairs(small: DataFrame, big: DataFrame) -> DataFrame:
             F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("b_text") - MIN_CONTAINED + 1), lambda i: F.substr(F.col("b_text"), i, F.lit(MIN_CONTAINED))))
         ).alias("gram"),
     )
-    if not short.isEmpty():
-        pairs = pairs.unionByName(grams.join(short, "gram").select("s_id", "b_id"))
+    pairs = pairs.unionByName(grams.join(short, "gram").select("s_id", "b_id"))
     joined = pairs.distinct().join(small, "s_id").join(big, "b_id")
     return joined.filter(F.contains("b_text", "s_text")).select("s_id", "b_id")
 
 
+def _text_id(*columns: str) -> Column:
+    """Identity of a group of texts: a 256-bit digest, as a short one would join wrong pairs at scale."""
+    return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(x), F.lit("")).alias(x) for x in columns])), 256)
+
+
 def _sharing_pairs(issues: DataFrame, queries: DataFrame) -> DataFrame:
     """(e_id, q_id) that share enough words for the least score that can count."""
     least = F.greatest(F.lit(2), F.ceil(F.size("e_words") * F.lit((MIN_SCORE - 15) / 70.0) - F.lit(1e-9)))
@@ -198,7 +202,7 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     q = q.withColumn("sig", F.when(F.col("raw").rlike("^[0-9a-f]{16}$"), F.col("raw")).otherwise(""))
     # masked texts feed every branch below: written once to the shared folder
     q = cut_lineage(q.select("query_id", "q", "types", "sig"))
-    texts = q.select("q", "types", "sig").distinct().withColumn("q_id", F.xxhash64("q", "types", "sig"))
+    texts = q.select("q", "types", "sig").distinct().withColumn("q_id", _text_id("q", "types", "sig"))
     texts = cut_lineage(texts.withColumn("q_words", c.words(F.col("q"))))
     shown = F.when(
         F.col("kind") == "field_report", F.concat(F.lit("field report "), F.coalesce("field", F.lit("")))
@@ -207,7 +211,7 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
         "lfield", F.lower(F.coalesce("field", F.lit("")))
     ).withColumn("ltype", F.lower(F.coalesce("type", F.lit(""))))
     i = cut_lineage(i.select("issue_id", "signature", "e", "msg", "lfield", "ltype", "resolution", "last_seen"))
-    forms = i.select("e", "msg", "lfield").distinct().withColumn("e_id", F.xxhash64("e", "msg", "lfield")).withColumn(
+    forms = i.select("e", "msg", "lfield").distinct().withColumn("e_id", _text_id("e", "msg", "lfield")).withColumn(
         "e_words", c.words(F.col("e"))
     )
     forms = cut_lineage(forms)
@@ -227,7 +231,7 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
         "q_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - F.col("flen") + 1), lambda p: F.substr(F.col("tok"), p, F.col("flen")))).alias("lfield")
     ).distinct()
     named = fields.join(pieces, "lfield").select("e_id", "q_id")
-    by_sig = i.select("e", "msg", "lfield", "signature").withColumn("e_id", F.xxhash64("e", "msg", "lfield")).join(
+    by_sig = i.select("e", "msg", "lfield", "signature").withColumn("e_id", _text_id("e", "msg", "lfield")).join(
         texts.filter("sig <> ''").select("q_id", "sig"), F.col("signature") == F.col("sig")
     ).select("e_id", "q_id")
     pairs = within.unionByName(around).unionByName(named).unionByName(by_sig).unionByName(

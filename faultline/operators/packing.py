@@ -213,6 +213,19 @@ def pack_search(hits: DataFrame, budget: int, overhead: int) -> DataFrame:
 # ---- query texts ------------------------------------------------------------
 
 
+def _outside_parentheses(text: Column) -> Column:
+    """What stands outside all parentheses; each outermost pair leaves one mark, however deep it nests."""
+    pieces = F.split(text, r"(?<=[()])|(?=[()])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = F.when(p == "(", acc["depth"] + 1).when(p == ")", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        kept = F.when((p == "(") & (acc["depth"] == 0), F.concat(acc["out"], F.lit("\u0001"))).when((acc["depth"] == 0) & (p != ")"), F.concat(acc["out"], p)).otherwise(acc["out"])
+        return F.struct(depth.alias("depth"), kept.alias("out"))
+
+    return F.aggregate(pieces, start, step)["out"]
+
+
 def compact_queries(rows: DataFrame, sql: str, watched: Column | None = None) -> DataFrame:
     """A long SELECT list as ``<N fields>``; fields watched for are said to be in it or not.
 
@@ -234,8 +247,7 @@ def compact_queries(rows: DataFrame, sql: str, watched: Column | None = None) ->
     steps = steps.withColumn("__listed", F.when(F.col("__at") >= 0, F.substr(text, F.lit(8), F.col("__at") - 7)))
     long_list = (F.upper(F.substring(text, 1, 7)) == "SELECT ") & (F.length("__listed") > FIELD_LIST_MIN)
     flat = F.when(long_list, F.col("__listed"))
-    for _ in range(8):  # subqueries nest a few levels at most
-        flat = F.regexp_replace(flat, r"\([^()]*\)", "\u0001")
+    flat = _outside_parentheses(flat)
     steps = steps.withColumn("__fields", F.transform(F.split(flat, ","), lambda x: F.trim(x)))
     steps = steps.withColumn("__low", F.transform("__fields", lambda f: F.lower(f)))
     subs = F.size(F.filter("__fields", lambda f: f.startswith("\u0001")))

@@ -26,15 +26,14 @@ METHOD_HEADER = (
     r"(?is)^\s*(?:@\w+(?:\([^)]*\))?\s*)*([\w<>\[\],.]+(?:\s+[\w<>\[\],.]+)*)\s+(\w+)\s*\(([^)]*)\)\s*\{$"
 )
 LOOP = r"\b(?:for|while)\s*\("
-LOOP_REACH = 400
 CATCH = r"catch\s*\(\s*([\w.]+)\s+(\w+)\s*\)"
 CLASS_DECL = r"(?is)\b(?:public|private|global)?\s*(?:virtual|abstract)?\s*(with sharing|without sharing|inherited sharing)?\s*\b(class|interface|enum)\s+(\w+)"
-QUERY = r"(?is)\[\s*SELECT\b.*?\]"
+QUERY = r"(?is)\[\s*SELECT\b(?:[^\]']++|'(?:[^'\\\n]|\\.)*+'|')*+\]"
 DYNAMIC_QUERY = r"(?i)Database\.(?:query|queryWithBinds|getQueryLocator|countQuery)\s*\("
 DML = r"(?i)\b(insert|update|delete|upsert|undelete|merge)\s+([A-Za-z_][\w.\[\]]*)"
 DML_CALL = r"(?i)Database\.(insert|update|delete|upsert|undelete|merge)\s*\("
 STATIC_COLLECTION = r"(?i)\bstatic\s+(final\s+)?(Map|List|Set)\s*<.*?>\s*(\w+)\s*="
-FIELD_WRITE = r"\b(\w+)\.([A-Za-z]\w*__c)\s*(?<![!<>=])=(?!=)\s*([^;]+);"
+FIELD_WRITE = r"\b(\w+)\.([A-Za-z]\w*__c)\s*(?<![!<>=])=(?!=)\s*((?:[^;']++|'(?:[^'\\\n]|\\.)*+'|')++);"
 MAP_LOOKUP = r"^\s*(\w+)\s*\.\s*get\s*\("
 CALLOUT = r"(?i)new\s+HttpRequest\s*\(|\bHttp\s*\(\)\s*\.\s*send|WebServiceCallout\.invoke|@future\s*\(\s*callout\s*=\s*true"
 CREDENTIAL = r"callout:([A-Za-z0-9_/]+)"
@@ -71,9 +70,19 @@ DISPATCH = {
 DISPATCH_CALL = r"(?i)\b(System\s*\.\s*(?:enqueueJob|scheduleBatch|schedule)|Database\s*\.\s*executeBatch)\s*\("
 JOB_INTERFACES = "queueable schedulable database.batchable object system.queueable system.schedulable".split()
 NOT_TYPES = "final static public private protected global transient".split()
-MAX_CALL_SITES, GUARD_TEXT = 400, 160
-# a branch of one statement without braces: its head, and the parentheses of its condition three deep
-INLINE_GUARD = r"^\s*(else\s+if|if|for|while)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*(?=[^\s{;])"
+# namespaces of the platform, which are no classes of the org
+NAMESPACES = (
+    "ConnectApi Auth Approval Cache Search Site Dom Process Flow Crypto EncodingUtil Url Label Pattern Matcher Http HttpRequest "
+    "HttpResponse Exception PageReference Id Boolean Long Double List Set Map Object SObject Savepoint Time Metadata Reports "
+    "QuickAction Wave KbManagement Sfc Canvas TxnSecurity Functions"
+).split()
+LITERAL = r"'(?:[^'\\\n]|\\.)*+'"
+# a statement up to its closing brace or semicolon; those inside string literals close nothing
+PIECE = rf"(?s)(?:[^{{}};']++|{LITERAL}|')*+(?:[{{}};]|\z)"
+# a brace that opens the values of a new collection, not a block
+INITIALISER = r"(?is)\bnew\s+[\w.]+(?:\s*<[\w\s.,<>\[\]]*>)?(?:\s*\[\s*\])?\s*\{$"
+BRACKETS = rf"(?s){LITERAL}|[()]|[^()']++|'"
+INLINE_HEAD = r"^\s*(else\s+if|if|for|while)\s*\("
 INLINE_ELSE = r"^\s*else\b(?!\s+if\b)\s*(?=[^\s{;])"
 # -----------------------------------------------------------------------------
 
@@ -86,12 +95,41 @@ def prepared(sources: DataFrame) -> DataFrame:
     return sources.withColumn("raw_code", F.col("code")).withColumn("code", stripped(F.col("code")))
 
 
+def _pieces(code: Column) -> Column:
+    """The source cut behind every brace and semicolon that ends or opens something.
+
+    String literals are passed over.  The braces of an initialiser belong to
+    the expression around them, so its pieces are joined to one statement.
+    """
+    cut = F.filter(F.regexp_extract_all(code, F.lit(PIECE), 0), lambda p: p != "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        opens = F.when(F.substring(p, -1, 1) == "{", 1).when(F.substring(p, -1, 1) == "}", -1).otherwise(0)
+        outside = acc["depth"] == 0
+        depth = F.when(outside, F.regexp_like(p, F.lit(INITIALISER)).cast("int")).otherwise(acc["depth"] + opens)
+        ends = outside & (depth == 0)
+        whole = F.concat(acc["cur"], p)
+        return F.struct(
+            depth.alias("depth"), F.when(ends, "").otherwise(whole).alias("cur"),
+            F.when(ends, F.array_append(acc["out"], whole)).otherwise(acc["out"]).alias("out"),
+        )
+
+    joined = F.aggregate(cut, start, step, lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
+    return F.when(F.exists(cut, lambda p: F.regexp_like(p, F.lit(INITIALISER))), joined).otherwise(cut)
+
+
+def _open_parentheses(text: Column) -> Column:
+    plain = F.regexp_replace(text, LITERAL, "")
+    return F.regexp_count(plain, F.lit(r"\(")) - F.regexp_count(plain, F.lit(r"\)"))
+
+
 def statements(prep: DataFrame, with_methods: bool = True) -> DataFrame:
     """Statements with line, position and level, the method around them and whether a loop is.
 
     Triggers have no methods, though their header looks like one.
     """
-    rows = prep.select(*KEY, F.posexplode_outer(F.split("code", r"(?<=[{};])")).alias("no", "text")).filter("text <> ''")
+    rows = prep.select(*KEY, F.posexplode_outer(_pieces(F.col("code"))).alias("no", "text")).filter("text <> ''")
     closer = F.substring("text", -1, 1)
     rows = rows.withColumn("closer", F.when(closer.isin("{", "}", ";"), closer)).withColumn(
         "step", F.when(closer == "{", 1).when(closer == "}", -1).otherwise(0)
@@ -114,15 +152,17 @@ def statements(prep: DataFrame, with_methods: bool = True) -> DataFrame:
         & ~F.lower(F.element_at(before, -1)).isin(CONTROL)
     )
     swept = swept.withColumn("is_method", is_method).withColumn("name", F.when(is_method, name)).withColumn("before", before)
-    # a loop runs to the end of the block that opens next, if that is near
-    after = Window.partitionBy(*KEY).orderBy("no").rowsBetween(0, Window.unboundedFollowing)
-    opens = F.first(F.when(F.col("step") == 1, F.struct("close_no", "end_pos")), ignorenulls=True).over(after)
-    swept = swept.withColumn("next_open", opens)
-    at = F.col("end_pos") - F.length("text") + F.regexp_instr(F.col("text"), F.lit(LOOP))
-    near = (F.col("next_open.end_pos") - at) < LOOP_REACH
-    swept = swept.withColumn("loop_close", F.when(F.regexp_like("text", F.lit(LOOP)) & near, F.col("next_open.close_no")))
+    # a loop runs to the end of its block, or of its one statement; the head of a for may hold two semicolons
+    order = Window.partitionBy(*KEY).orderBy("no")
+    third = F.lead(F.struct("step", "close_no", "no"), 2).over(order)
+    swept = swept.withColumn("third", third).withColumn("cut_head", (F.col("closer") == ";") & (_open_parentheses(F.col("text")) > 0))
+    reach = (
+        F.when(F.col("step") == 1, F.col("close_no")).when(F.col("cut_head") & (F.col("third.step") == 1), F.col("third.close_no"))
+        .when(F.col("cut_head"), F.col("third.no")).otherwise(F.col("no"))
+    )
+    swept = swept.withColumn("loop_close", F.when(F.regexp_like("text", F.lit(LOOP)), reach))
     marked = scan(
-        swept.drop("next_open"), KEY, "no",
+        swept.drop("third", "cut_head"), KEY, "no",
         lasts={"around": F.when(F.col("is_method"), F.struct("no", "close_no", "name", "end_pos", "close_pos"))},
         peaks={"loop_end": F.col("loop_close")},
     )
@@ -137,18 +177,19 @@ def extract_by(text: Column | str, pattern: Column, group: int) -> Column:
     return F.call_function("regexp_extract", F.col(text) if isinstance(text, str) else text, pattern, F.lit(group))
 
 
-def before_hit(text: Column, hit: Column) -> Column:
-    return F.call_function("substring_index", text, hit, F.lit(1))
+def ahead_of(text: str = "text") -> Column:
+    """The statement up to the match that ``found`` told."""
+    return F.substring(F.col(text), F.lit(1), F.col("at"))
 
 
 def found(stmts: DataFrame, pattern: str, group_count: int = 0, column: str = "text") -> DataFrame:
     """One row per match, with the line it starts on."""
     hits = stmts.filter(F.col(column).rlike(pattern))
     # the outer form: the inner one makes Spark compute the matches a second time to filter on them
-    rows = hits.select("*", F.posexplode_outer(F.regexp_extract_all(column, F.lit(pattern), 0)).alias("hit_no", "hit"))
-    ahead = before_hit(F.col(column), F.col("hit"))
-    line = F.col("start_line") + F.length(ahead) - F.length(F.regexp_replace(ahead, "\n", ""))
-    rows = rows.withColumn("line", line).withColumn("at", F.length(ahead))
+    rows = hits.select("*", F.posexplode_outer(c.matches(F.col(column), pattern)).alias("hit_no", "__hit"))
+    rows = rows.withColumn("hit", F.col("__hit.value")).withColumn("at", F.col("__hit.start")).drop("__hit")
+    ahead = ahead_of(column)
+    rows = rows.withColumn("line", F.col("start_line") + F.length(ahead) - F.length(F.regexp_replace(ahead, "\n", "")))
     for i in range(1, group_count + 1):
         rows = rows.withColumn(f"g{i}", F.regexp_extract("hit", pattern, i))
     return rows
@@ -248,7 +289,7 @@ def queries(stmts: DataFrame) -> DataFrame:
     limit = F.regexp_extract(flat, r"(?i)\bLIMIT\s+(\d+)", 1)
     static = hits.select(
         *KEY, "line", "method", "in_loop", F.lit(False).alias("is_dynamic"), c.query_object(flat).alias("object"),
-        F.array_join(listed, ",").alias("fields"), F.when(where != "", c.truncate(where, 200)).alias("where_text"),
+        F.array_join(listed, ",").alias("fields"), F.when(where != "", where).alias("where_text"),
         F.nullif(ordered, F.lit("")).alias("order_by"), F.nullif(limit, F.lit("")).cast("bigint").alias("limit_rows"),
         flat.rlike(r"(?i)WITH\s+SECURITY_ENFORCED|WITH\s+USER_MODE").alias("enforces_fls"), F.array_join(subs, ",").alias("subqueries"),
     )
@@ -326,7 +367,7 @@ def field_writes(prep: DataFrame, stmts: DataFrame) -> DataFrame:
     value = F.when(F.col("pattern") == "direct", c.source_literal(F.col("rhs"))).otherwise("string")
     return rows.select(
         *KEY, "line", "method", F.col("g2").alias("field"), F.col("g1").alias("receiver"), "pattern", "source_map", risk.alias("risk"),
-        value.alias("value_type"), c.truncate(F.col("rhs"), 120).alias("value"), passed.alias("passed_to"),
+        value.alias("value_type"), F.col("rhs").alias("value"), passed.alias("passed_to"),
         F.when(F.col("persisted_by").isNotNull(), "persisted").when(passed.isNotNull(), "passed_to_callee").otherwise("unpersisted_or_unresolved").alias("persistence"),
     )
 
@@ -362,7 +403,7 @@ def call_arguments(text: Column) -> Column:
 def async_dispatches(prep: DataFrame, stmts: DataFrame, names: DataFrame) -> DataFrame:
     """Where async work is started and, as far as the source tells, which class it runs."""
     rows = found(stmts, DISPATCH_CALL, 1).withColumn("mechanism", F.lower(F.regexp_replace("g1", r"\s", "")))
-    rows = rows.withColumn("rest", F.concat(F.lit("("), F.call_function("substring_index", F.col("text"), F.col("hit"), F.lit(-1))))
+    rows = rows.withColumn("rest", F.substr(F.col("text"), F.col("at") + F.length("hit")))
     rows = rows.withColumn("args", call_arguments(F.col("rest")))
 
     def argument(position: dict[str, int]) -> Column:
@@ -416,7 +457,7 @@ def async_dispatches(prep: DataFrame, stmts: DataFrame, names: DataFrame) -> Dat
     for key in ("delay_minutes", "scope_size", "job_name", "cron"):
         value = F.col(key)
         number = extract_by("scope", F.concat(F.lit(r"\b"), F.coalesce(F.when(value.rlike(r"^[A-Za-z_]\w*$"), value), F.lit("(none)")), F.lit(r"\s*=\s*(\d+)\s*;")), 1)
-        literal[key] = F.when(value.rlike(r"^'[^']*'$"), F.regexp_replace(value, "^'|'$", "")).when(number != "", number).otherwise(c.truncate(value, 80))
+        literal[key] = F.when(value.rlike(r"^'[^']*'$"), F.regexp_replace(value, "^'|'$", "")).when(number != "", number).otherwise(value)
     return rows.select(
         *KEY, "mechanism", "line", "method", "in_loop", "resolution",
         F.when(is_inner, F.col("component_id")).when(dotted & F.col("n_name").isNotNull(), F.col("outer")).otherwise(F.col("resolved")).alias("target"),
@@ -440,10 +481,10 @@ def qualified_calls(stmts: DataFrame, names: DataFrame) -> DataFrame:
     hits = hits.withColumn("head", F.col("segs")[0]).withColumn("second", F.try_element_at("segs", F.lit(2)))
     rows = _named(_named(hits, names, "head", "h"), names, "second", "s")
     capital = F.col("head").rlike("^[A-Z]")
-    could_be_ns = F.col("h_name").isNull() & capital & ~F.col("head").isin(SYSTEM_CLASSES) & ~F.col("head").rlike("__(c|r|e|mdt)$")
+    could_be_ns = F.col("h_name").isNull() & capital & ~F.col("head").isin(SYSTEM_CLASSES + NAMESPACES) & ~F.col("head").rlike("__(c|r|e|mdt)$")
     guessed = F.col("head").contains("_") & F.col("second").rlike("^[A-Z]")
     has_ns = could_be_ns & F.col("second").isNotNull() & (F.col("s_name").isNotNull() | guessed)
-    ahead = before_hit(F.col("text"), F.col("hit"))
+    ahead = ahead_of()
     return rows.withColumn("namespace", F.when(has_ns, F.col("head"))).withColumn(
         "ns_class", F.when(has_ns, F.coalesce("s_name", "second"))
     ).withColumn("is_new", ahead.rlike(r"\bnew\s*$")).withColumn("callee", F.concat_ws(".", "chain", "g2"))
@@ -461,8 +502,11 @@ def calls_to(stmts: DataFrame, names: DataFrame, dispatches: DataFrame) -> DataF
     made = _named(made, names, "g1", "n").filter((F.col("n_name") == F.col("g1")) & (F.col("g1") != F.col("component_id"))).select(
         *KEY, F.col("g1").alias("target"), F.lit("constructor").alias("via"), F.lit(None).cast("string").alias("method"), F.lit(True).alias("known"), F.lit(None).cast("string").alias("namespace")
     )
-    reflected = _named(found(stmts, FOR_NAME, 1), names, "g1", "n").filter((F.col("n_name") == F.col("g1")) & (F.col("g1") != F.col("component_id"))).select(
-        *KEY, F.col("g1").alias("target"), F.lit("Type.forName").alias("via"), F.lit(None).cast("string").alias("method"), F.lit(True).alias("known"), F.lit(None).cast("string").alias("namespace")
+    # of a dotted name the first part that is a class
+    named = found(stmts, FOR_NAME, 1).select(*KEY, "no", "at", F.posexplode(F.split("g1", r"\.")).alias("part_no", "part"))
+    named = _named(named, names, "part", "n").filter((F.col("n_name") == F.col("part")) & (F.col("part") != F.col("component_id")))
+    reflected = named.groupBy(*KEY, "no", "at").agg(F.min_by("part", "part_no").alias("target")).select(
+        *KEY, "target", F.lit("Type.forName").alias("via"), F.lit(None).cast("string").alias("method"), F.lit(True).alias("known"), F.lit(None).cast("string").alias("namespace")
     )
     started = dispatches.filter("target_in_kb AND target <> component_id").select(
         *KEY, "target", F.col("mechanism").alias("via"), F.lit(None).cast("string").alias("method"), F.lit(True).alias("known"), F.lit(None).cast("string").alias("namespace")
@@ -482,13 +526,33 @@ def calls_to(stmts: DataFrame, names: DataFrame, dispatches: DataFrame) -> DataF
     )
 
 
+def _inline_end(text: Column) -> Column:
+    """Length of the head of a branch without braces: up to the parenthesis that closes its condition, however deep that nests.
+
+    Null where the text is no such branch, or where no statement follows the head.
+    """
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = F.when(p == "(", acc["depth"] + 1).when(p == ")", acc["depth"] - 1).otherwise(acc["depth"])
+        pos = acc["pos"] + F.length(p)
+        ends = (acc["end"] == 0) & (p == ")") & (depth == 0)
+        return F.struct(pos.alias("pos"), depth.alias("depth"), F.when(ends, pos).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(BRACKETS), 0), start, step)["end"]
+    return F.when(text.rlike(INLINE_HEAD), F.when((end > 0) & F.substr(text, end + 1).rlike(r"^\s*[^\s{;]"), end))
+
+
+def _inline_heads(stmts: DataFrame) -> DataFrame:
+    return stmts.withColumn("inline_end", F.when(F.col("closer") == ";", _inline_end(F.col("text"))))
+
+
 def guards(stmts: DataFrame) -> DataFrame:
     """Blocks that run under a condition, with the text of it and what earlier branches ruled out."""
     opened = stmts.filter("step = 1").withColumn("head", c.squeeze(F.regexp_replace("text", r"\{$", "")))
     head = F.col("head")
     kw = F.regexp_extract(head, r"\b(else if|if|for|while|catch)\s*\(", 1)
     cond = F.regexp_extract(head, r"\b(?:else if|if|for|while|catch)\s*\((.*)\)$", 1)
-    cond = F.when(F.length(cond) > GUARD_TEXT, F.concat(F.substring(cond, 1, GUARD_TEXT), F.lit("..."))).otherwise(cond)
     word = F.when(kw != "", kw).when(head.rlike(r"\belse$"), "else").when(head.rlike(r"\btry$"), "try")
     blocks = opened.withColumn("word", word).withColumn("cond", cond).filter(F.col("word").isNotNull())
     # a for with semicolons is cut into three statements, the first of which holds the word
@@ -496,19 +560,24 @@ def guards(stmts: DataFrame) -> DataFrame:
     pieces = stmts.withColumn("t2", F.lead("text", 1).over(order)).withColumn("t3", F.lead("text", 2).over(order))
     start = F.regexp_extract("text", r"(?s)\bfor\s*\((.*)$", 1)
     whole = c.squeeze(F.concat(start, "t2", F.regexp_extract("t3", r"(?s)^(.*)\)\s*\{$", 1)))
-    cut_head = (F.col("closer") == ";") & (start != "") & ~F.col("text").rlike(INLINE_GUARD)
+    stmts = _inline_heads(stmts)
+    pieces = pieces.withColumn("inline_end", _inline_end(F.col("text")))
+    cut_head = (F.col("closer") == ";") & (start != "") & F.col("inline_end").isNull()
     classic = pieces.filter(cut_head & F.col("loop_close").isNotNull()).select(
         *KEY, "no", F.col("loop_close").alias("close_no"), F.col("depth").alias("level"), F.lit("for").alias("word"), whole.alias("cond")
     )
     block = blocks.select(*KEY, "no", "close_no", "level", "word", "cond").unionByName(classic)
     branch = (F.col("closer") == ";") & F.col("text").rlike(r"^\s*(?:else|if|for|while)\b")
-    single = stmts.filter(branch & (F.col("text").rlike(INLINE_GUARD) | F.col("text").rlike(INLINE_ELSE)))
     is_else = F.col("text").rlike(INLINE_ELSE)
-    head_text = F.when(is_else, F.regexp_extract("text", INLINE_ELSE, 0)).otherwise(F.regexp_extract("text", INLINE_GUARD, 0))
+    single = stmts.filter(branch & (F.col("inline_end").isNotNull() | is_else))
+    whole_head = F.substring(F.col("text"), F.lit(1), F.col("inline_end"))
+    space = F.length("text") - F.col("inline_end") - F.length(F.ltrim(F.regexp_replace(F.substr(F.col("text"), F.col("inline_end") + 1), r"^\s+", "")))
+    condition = F.regexp_replace(F.regexp_replace(whole_head, INLINE_HEAD, ""), r"\)$", "")
     inline = single.select(
         *KEY, "no", F.col("no").alias("close_no"), F.col("depth").alias("level"),
-        F.when(is_else, "else").otherwise(F.regexp_replace(F.regexp_extract("text", INLINE_GUARD, 1), r"\s+", " ")).alias("word"),
-        c.squeeze(F.regexp_extract("text", INLINE_GUARD, 2)).alias("cond"), F.length(head_text).alias("after"),
+        F.when(is_else, "else").otherwise(F.regexp_replace(F.regexp_extract("text", INLINE_HEAD, 1), r"\s+", " ")).alias("word"),
+        F.when(is_else, "").otherwise(c.squeeze(condition)).alias("cond"),
+        F.when(is_else, F.length(F.regexp_extract("text", INLINE_ELSE, 0))).otherwise(F.col("inline_end") + space).cast("int").alias("after"),
     )
     return block.withColumn("after", F.lit(None).cast("int")).unionByName(inline)
 
@@ -549,7 +618,7 @@ def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
     bare = found(stmts, BARE_CALL, 1).join(own.withColumnRenamed("own_name", "g1"), [*KEY, "g1"]).filter(
         (F.col("g1") != F.col("component_id")) & ~F.col("is_method")
     )
-    ahead = F.rtrim(F.regexp_replace(before_hit(F.col("text"), F.col("hit")), r"\s+$", ""))
+    ahead = F.rtrim(F.regexp_replace(ahead_of(), r"\s+$", ""))
     word = F.lower(F.regexp_extract(ahead, r"([\w>\]]+)$", 1))
     bare = bare.filter((word == "") | word.isin("return else throw and or not in case when".split())).select(
         *KEY, "no", "hit_no", "at", "line", "method", "in_loop", F.lit("same_class").alias("kind"), F.col("component_id").alias("target"),
@@ -566,7 +635,7 @@ def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
     cols = [x for x in sites.columns]
     out = enclosed.groupBy(*cols).agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("q_no", "label")))).alias("around"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("no", "at", "callee"))
-    return out.withColumn("position", place).filter(F.col("position") <= MAX_CALL_SITES).select(
+    return out.withColumn("position", place).select(
         *KEY, "position", "line", "method", "in_loop", "kind", "target", "namespace", "method_called", "callee",
         F.array_join(F.col("around.label"), " > ").alias("conditions"),
     )
@@ -622,12 +691,11 @@ def flags(prep: DataFrame, stmts: DataFrame) -> DataFrame:
     return by_statement.unionByName(silent).unionByName(by_write)
 
 
-def extract_errors(sources: DataFrame, max_chars: int) -> DataFrame:
+def extract_errors(sources: DataFrame) -> DataFrame:
     """Sources that cannot be read: one warning row each instead of a failed job."""
     code = stripped(F.col("code"))
     reason = (
         F.when(F.coalesce(F.trim("code"), F.lit("")) == "", "empty source")
-        .when(F.length("code") > max_chars, "source too long")
         .when(F.regexp_count(code, F.lit(r"\{")) != F.regexp_count(code, F.lit(r"\}")), "unbalanced braces")
     )
     return sources.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*KEY, "reason")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.columns import day_text, ratio
 
-MAX_DAYS, DEFAULT_DAYS = 400, 30
+DEFAULT_DAYS = 30
 
 # fixed values: tokens per tier, and the length of the rolling window
 TIERS = {
@@ -22,7 +22,8 @@ SUMMED = (
 
 
 def clamp_days(days: int | None) -> int:
-    return max(1, min(int(days or DEFAULT_DAYS), MAX_DAYS))
+    """Days asked for, at least one; a long period is honoured, never shortened."""
+    return max(1, int(days or DEFAULT_DAYS))
 
 
 def window(

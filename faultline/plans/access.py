@@ -104,7 +104,7 @@ def account_rename(spark, root):
 
 
 LOGS = f"""(SELECT l.log_id, label, source_log, l.org_id, g.name AS org_name, environment AS org_environment, l.owner, top_exception, components,
-  coalesce(g.account, l.account) AS account, archived, coalesce(l.owner, '') = 'user_7' AS can_manage, least(coalesce(n, 0), 50) AS incident_links, last_incident
+  coalesce(g.account, l.account) AS account, archived, coalesce(l.owner, '') = 'user_7' AS can_manage, coalesce(n, 0) AS incident_links, last_incident
 FROM <log_library> l LEFT JOIN {R} g ON g.org_id = l.org_id
 LEFT JOIN (SELECT log_id, count(*) AS n, arg_max(incident_id, (filed_at, incident_id)) AS last_incident FROM <log_links> k
   WHERE org_id IN (SELECT org_id FROM {VISIBLE} v) GROUP BY 1) i ON i.log_id = l.log_id

@@ -115,7 +115,7 @@ def inbound_references(spark, root):
 @query("inbound_call_sites", """
 SELECT org_id, lower_target, caller, position, method_called, caller_method, line, in_loop, kind, total FROM (
   SELECT *, lower(target) AS lower_target, row_number() OVER (PARTITION BY org_id, lower(target), caller ORDER BY site_no, line) AS position,
-    count(*) OVER (PARTITION BY org_id, lower(target), caller) AS total FROM <call_sites> s WHERE kind <> 'same_class') x WHERE position <= 30
+    count(*) OVER (PARTITION BY org_id, lower(target), caller) AS total FROM <call_sites> s WHERE kind <> 'same_class') x
 """)
 def inbound_call_sites(spark, root):
     return g.inbound_sites(view(spark, root, "call_sites"))
@@ -335,7 +335,7 @@ def stale_cards(spark, root):
 @query("org_stale_note", """
 SELECT org_id, CASE v WHEN 1 THEN '3.1.0' WHEN 2 THEN '3.2.0' ELSE '3.10.0' END AS oldest, CASE v WHEN 1 THEN 'async_dispatches,call_sites' WHEN 2 THEN 'call_sites' ELSE '' END AS missing FROM (
   SELECT org_id, min(CASE extractor_version WHEN '3.1.0' THEN 1 WHEN '3.2.0' THEN 2 ELSE 3 END) AS v FROM (
-    SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY component_id) AS r FROM <cards> c WHERE type IN ('ApexClass', 'ApexTrigger')) x WHERE r <= 400 GROUP BY 1) y
+    SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY component_id) AS r FROM <cards> c WHERE type IN ('ApexClass', 'ApexTrigger')) x GROUP BY 1) y
 """)
 def org_stale_note(spark, root):
     return g.org_stale(cards(spark, root))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from faultline.functions.scan import has_large_key
 from faultline.operators import async_jobs as jobs
 from faultline.operators import debug_logs as logs
 from faultline.plans.registry import query
@@ -62,8 +61,8 @@ COMPONENTS = f"(SELECT * FROM {TOKENS} k WHERE component_id IN (SELECT component
 
 
 def lines(spark, root):
-    """The log lines, and whether some log is too large for one task."""
-    wide = has_large_key(table(spark, root, "events"), ["user_id"])
+    """The log lines; logs are scanned in two levels, so one may be of any size."""
+    wide = True
     return view(spark, root, "log_lines", wide), wide
 
 
@@ -289,7 +288,7 @@ SELECT d.log_id, d.line_no, split_part(lastp, '(', 1) AS mechanism, line, caller
 FROM g d WHERE what = 'dispatch'
 """)
 def async_dispatches(spark, root):
-    return jobs.shown_dispatches(_evidence(spark, root), rows(spark, root)[1]).drop("position")
+    return jobs.shown_dispatches(_evidence(spark, root), rows(spark, root)[1])
 
 
 @query("async_failures", EVIDENCE + """

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import iso, slug
-from faultline.functions.scan import has_large_key
 from faultline.operators import access
 from faultline.operators import incidents as inc
 from faultline.operators import token_usage as usage
@@ -54,8 +53,7 @@ SELECT incident_id, org_id, signature, kind, n AS occurrence, n > 1 AS recurrenc
 """)
 def incident_recurrence(spark, root):
     rows = signed(spark, root)
-    wide = has_large_key(rows, ["org_id", "signature"])
-    return inc.recurrence(rows, view(spark, root, "resolutions"), wide)
+    return inc.recurrence(rows, view(spark, root, "resolutions"), wide=True)
 
 
 @query("incident_statistics", f"""
@@ -101,8 +99,7 @@ def incident_ids(spark, root):
     orders = table(spark, root, "orders").withColumnRenamed("o_orderkey", "incident_id")
     label = slug(F.concat(F.lit("Quote #"), F.col("o_orderpriority"), F.lit("!")), "incident")
     base = F.concat_ws("_", F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'"), label)
-    wide = has_large_key(orders, ["o_orderdate", "o_orderpriority"])
-    return inc.unique_ids(orders, base, "incident_id", wide).select("incident_id", "unique_id")
+    return inc.unique_ids(orders, base, "incident_id", wide=True).select("incident_id", "unique_id")
 
 
 @query("logs_already_filed", """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import without_empty_lines
-from faultline.functions.scan import has_large_key, number_rows
+from faultline.functions.scan import number_rows
 from faultline.operators import debug_logs as logs
 from faultline.operators import packing as pk
 from faultline.plans.debug_logs import ROUTED, SUMMARY, UNITS
@@ -36,7 +36,7 @@ def card_items(spark, root):
     )
     items = entries.unionByName(sites).unionByName(writes)
     keys = ["org_id", "component_id", "section"]
-    wide = has_large_key(items, keys)
+    wide = True
     numbered = number_rows(items, keys, F.floor(F.col("o1") / F.lit(100_000)), [F.col("o1"), F.col("o2")], "n", wide)
     return numbered.withColumn("item_no", F.col("n") - 1), wide
 

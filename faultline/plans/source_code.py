@@ -207,7 +207,7 @@ def extract_errors(spark, root):
     damaged = sv.class_sources(spark, root).withColumn(
         "code", F.when(F.col("p_partkey") % 13 == 0, " ").when(F.col("p_partkey") % 13 == 1, F.concat("code", F.lit("}"))).otherwise(F.col("code"))
     )
-    return sc.extract_errors(damaged, 1_000_000)
+    return sc.extract_errors(damaged)
 
 
 @query("bundle_files", """

@@ -140,7 +140,7 @@ def burst_windows(events: DataFrame, key: str, ts: str, limit: int, window_secon
     State is the open window of a key: its start and how many events it saw.
     """
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    rows = events.select(F.col(key).cast("string").alias("key"), F.timestamp_diff("SECOND", epoch, F.col(ts)).alias("sec"))
+    rows = events.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.timestamp_diff("SECOND", epoch, F.col(ts)).alias("sec"))
 
     def walk(key_, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         counts: dict[int, int] = {}

@@ -1,199 +1,134 @@
-"""Log rules against a plain one-pass reading of random logs."""
+"""Log rules on logs written by hand, and properties of every log."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import async_jobs, debug_logs
 
-CHOICES = [
-    "1|CODE_UNIT_STARTED|[EXTERNAL]|Unit{n}", "1|CODE_UNIT_STARTED|[EXTERNAL]|SyncJob", "1|CODE_UNIT_FINISHED|U",
-    "1|SOQL_EXECUTE_BEGIN|[1]|Aggregations:0|SELECT Id FROM Obj{n}__c WHERE A = 'x{n}'", "1|SOQL_EXECUTE_END|[1]|Rows:{n}",
-    "1|DML_BEGIN|[2]|Op:Update|Type:Obj{n}__c|Rows:{n}", "1|DML_BEGIN|[2]|odd", "1|DML_END|[2]",
-    "1|EXCEPTION_THROWN|[{n}]|System.LimitException: Too many queueable jobs added to the queue: 2", "1|EXCEPTION_THROWN|[3]|A.B: boom {n}",
-    "1|FATAL_ERROR|X.Y: dead", "Class.Foo.bar: line {n}, column 1", "Trigger.T: line 2, column 1", "   ", "1|USER_DEBUG|[1]|DEBUG|hi",
-    "1|LIMIT_USAGE_FOR_NS|(default)|", "1|LIMIT_USAGE_FOR_NS|Pkg|", "  Number of SOQL queries: {n} out of 100", "  Maximum CPU time: {n} out of 10000 ******* CLOSE TO LIMIT",
-    "1|METHOD_ENTRY|[1]|01p|M{n}.run(Integer)", "1|METHOD_EXIT|[1]|M{n}.run(Integer)", "1|CONSTRUCTOR_ENTRY|[{n}]|01p|Job{n}Queueable",
-    "1|SYSTEM_METHOD_ENTRY|[{n}]|System.enqueueJob(Object)", "no bars at all",
+NESTED = [
+    "1|CODE_UNIT_STARTED|[EXTERNAL]|Outer",
+    "1|SOQL_EXECUTE_BEGIN|[1]|Aggregations:0|SELECT Id FROM Order__c WHERE A = 'x' AND B = 12",
+    "1|SOQL_EXECUTE_END|[1]|Rows:3",
+    "1|CODE_UNIT_STARTED|[EXTERNAL]|Inner",
+    "1|DML_BEGIN|[2]|Op:Update|Type:Order__c|Rows:2",
+    "1|DML_END|[2]",
+    "1|EXCEPTION_THROWN|[3]|A.B: boom",
+    "1|CODE_UNIT_FINISHED|Inner",
+    "1|CODE_UNIT_STARTED|[EXTERNAL]|Later",
+    "1|CODE_UNIT_FINISHED|Later",
+    "1|FATAL_ERROR|X.Y: dead",
+    "Class.Foo.bar: line 7, column 1",
+    "Trigger.T: line 2, column 1",
+    "1|CODE_UNIT_FINISHED|Outer",
 ]
+TORN = [  # ends without begins, and a detail that says nothing
+    "1|SOQL_EXECUTE_END|[1]|Rows:1",
+    "1|DML_BEGIN|[2]|odd",
+    "1|DML_END|[2]",
+    "1|CODE_UNIT_FINISHED|Nobody",
+    "1|FATAL_ERROR|X.Y: dead",
+    "Class.Foo.bar: line 1, column 1",
+    "no bars at all",
+]
+LIMITS = [
+    "1|LIMIT_USAGE_FOR_NS|(default)|",
+    "  Number of SOQL queries: 5 out of 100",
+    "1|LIMIT_USAGE_FOR_NS|Pkg|",
+    "  Maximum CPU time: 9 out of 10000 ******* CLOSE TO LIMIT",
+    "1|LIMIT_USAGE_FOR_NS|(default)|",
+    "  Number of SOQL queries: 3 out of 100",
+]
+JOBS = [
+    "1|CODE_UNIT_STARTED|[EXTERNAL]|Start",
+    "1|METHOD_ENTRY|[1]|01p|Mailer.run(Integer)",
+    "1|CONSTRUCTOR_ENTRY|[5]|01p|SendQueueable",
+    "1|SYSTEM_METHOD_ENTRY|[9]|System.enqueueJob(Object)",
+    "1|EXCEPTION_THROWN|[9]|System.LimitException: Too many queueable jobs added to the queue: 2",
+    "1|METHOD_EXIT|[1]|Mailer.run(Integer)",
+    "1|SYSTEM_METHOD_ENTRY|[70]|System.enqueueJob(Object)",
+    "1|CODE_UNIT_FINISHED|Start",
+]
+SAMPLES = NESTED + TORN + LIMITS + JOBS
 
 
-def random_logs(count=12, length=70):
-    rnd = random.Random(7)
-    return {k: [rnd.choice(CHOICES).format(n=rnd.randrange(0, 4)) for _ in range(length)] for k in range(count)}
-
-
-def read_plainly(lines):
-    """The rules, one line after the other."""
-    frame = re.compile(r"^(Class\.[\w.]+?(\.\w+)?:\s*line\s*\d+|Trigger\.\w+:\s*line\s*\d+)")
-    units, open_units, soql, sql_open, dml, dml_open = [], [], [], [], [], []
-    exceptions, current, fatal, stack = [], None, False, []
-    frames, made, sent, failed = [], [], [], []
-
-    def top():
-        return (frames[-1]["stack"][-1] if frames[-1]["stack"] else frames[-1]["label"]) if frames else None
-
-    def near(line):
-        c = frames[-1]["ctor"] if frames else None
-        return c[0] if c and c[2] == top() and 0 <= line - c[1] <= 25 else None
-
-    for raw in lines:
-        if not raw.strip():
-            continue
-        parts = raw.split("|")
-        if fatal:
-            if frame.match(raw.strip()):
-                stack.append(raw.strip())
-                continue
-            fatal = False
-            if current is not None:
-                current["stack"], stack, current = "\n".join(stack), [], None
-        if len(parts) < 2:
-            continue
-        evt, last = parts[1], parts[-1]
-        line = int(parts[2][1:-1]) if len(parts) > 2 and re.match(r"^\[\d+\]$", parts[2]) else None
-        if evt == "CODE_UNIT_STARTED":
-            units.append([last, len(open_units), False])
-            open_units.append(units[-1])
-            frames.append({"label": last, "stack": [], "ctor": None})
-        elif evt == "CODE_UNIT_FINISHED":
-            if open_units:
-                open_units.pop()
-                frames.pop()
-        elif evt == "METHOD_ENTRY" and frames:
-            frames[-1]["stack"].append(last.split("(")[0])
-        elif evt == "METHOD_EXIT" and frames:
-            st, name = frames[-1]["stack"], last.split("(")[0]
-            if name in st:
-                at = len(st) - 1 - st[::-1].index(name)
-                del st[at:]
-        elif evt == "CONSTRUCTOR_ENTRY":
-            made.append((last, line, top()))
-            if frames:
-                frames[-1]["ctor"] = (last, line, top())
-        elif evt == "SYSTEM_METHOD_ENTRY":
-            sent.append([line, top(), near(line), False])
-        elif evt == "SOQL_EXECUTE_BEGIN":
-            sql_open.append(last)
-        elif evt == "SOQL_EXECUTE_END":
-            soql.append((re.sub(r"'[^']*'|:\w+|\b\d+\b", "?", sql_open.pop() if sql_open else ""), int(last.split(":")[1])))
-        elif evt == "DML_BEGIN":
-            dml_open.append("|".join(parts[2:]))
-        elif evt == "DML_END":
-            m = re.search(r"Op:(\w+)\|Type:(\w+)\|Rows:(\d+)", dml_open.pop() if dml_open else "")
-            dml.append((m.group(1), m.group(2)) if m else ("Unknown", None))
-        elif evt == "EXCEPTION_THROWN":
-            current = {"message": last, "stack": ""}
-            exceptions.append(current)
-            for u in open_units:
-                u[2] = True
-            if "Too many queueable" in last:
-                for d in reversed(sent):
-                    if d[0] == line and d[1] == top():
-                        d[3] = True
-                        break
-                failed.append((line, top(), near(line)))
-        elif evt == "FATAL_ERROR":
-            fatal, stack = True, []
-            if current is None:
-                current = {"message": last, "stack": ""}
-                exceptions.append(current)
-    limits, spaces, ns = {}, [], None
-    peaks = {}
-    for raw in lines:
-        m = re.search(r"\|LIMIT_USAGE_FOR_NS\|([^|]*)", raw)
-        if m:
-            ns = m.group(1)
-            limits[ns] = {}
-            if ns not in spaces:
-                spaces.append(ns)
-            continue
-        m = re.match(r"^\s*(?:Number of|Maximum)\s+(.+?):\s*(\d+)\s*out of\s*(\d+)(.*)$", raw)
-        if m:
-            space = ns or "(default)"
-            if space not in limits:
-                limits[space] = {}
-                spaces.append(space)
-            limits[space][m.group(1)] = int(m.group(2))
-            peaks[space, m.group(1)] = max(peaks.get((space, m.group(1)), 0), int(m.group(2)))
-    final = "(default)" if limits.get("(default)") else (spaces[0] if spaces else None)
-    flat = {(s, n, u, peaks[s, n] if peaks[s, n] > u else None, s == final) for s in limits for n, u in limits[s].items()}
-    return {
-        "units": [tuple(u) for u in units], "soql": sorted(soql), "dml": sorted(dml, key=str),
-        "exceptions": [(e["message"], e["stack"]) for e in exceptions], "limits": flat,
-        "sent": [tuple(s) for s in sent], "failed": failed, "made": sorted(set(made), key=str),
-    }
-
-
-@pytest.fixture(scope="module")
-def logs():
-    return random_logs()
-
-
-@pytest.fixture(scope="module")
-def expected(logs):
-    return {k: read_plainly(v) for k, v in logs.items()}
-
-
-@pytest.fixture(scope="module", params=[False, True], ids=["plain", "wide"])
-def parsed(request, spark, logs):
-    wide = request.param
-    # the chunk is smaller than a log, and rows come in no particular order
-    data = [(k, i, raw) for k, v in logs.items() for i, raw in enumerate(v, 1)]
-    random.Random(3).shuffle(data)
+def parse(spark, logs, wide, chunk=16, seed=3):
+    """All readings of some logs; the chunk is smaller than a log, and rows come in no particular order."""
     import faultline.functions.scan as scan_module
 
-    scan_module_chunk = scan_module.scan.__kwdefaults__["chunk"]
-    scan_module.scan.__kwdefaults__["chunk"] = 16
+    data = [(k, i, raw) for k, v in logs.items() for i, raw in enumerate(v, 1)]
+    random.Random(seed).shuffle(data)
+    before = scan_module.scan.__kwdefaults__["chunk"]
+    scan_module.scan.__kwdefaults__["chunk"] = chunk
     lines = spark.createDataFrame(data, "log_id bigint, line_no bigint, raw string").repartition(5)
     rows = debug_logs.events(lines)
     found = async_jobs.evidence(rows, wide)
-    out = {
-        "units": debug_logs.execution_units(rows, wide).collect(), "soql": debug_logs.query_events(rows, wide).collect(),
-        "dml": debug_logs.dml_events(rows, wide).collect(), "exceptions": debug_logs.thrown(rows, wide).collect(),
-        "limits": debug_logs.limits(lines, wide).collect(), "sent": async_jobs.dispatches(found, wide).collect(),
-        "failed": async_jobs.failures(found).collect(), "made": async_jobs.job_constructions(found).collect(),
-    }
-    scan_module.scan.__kwdefaults__["chunk"] = scan_module_chunk
+    tables = {
+        "units": debug_logs.execution_units(rows, wide), "soql": debug_logs.query_events(rows, wide), "dml": debug_logs.dml_events(rows, wide),
+        "exceptions": debug_logs.thrown(rows, wide), "limits": debug_logs.limits(lines, wide), "sent": async_jobs.shown_dispatches(found, wide),
+        "failed": async_jobs.failures(found), "made": async_jobs.job_constructions(found),
+    }
+    out = {name: table.collect() for name, table in tables.items()}
+    scan_module.scan.__kwdefaults__["chunk"] = before
     return out
 
 
-def of(rows, log):
-    return [r for r in rows if r.log_id == log]
+def of(rows, log, *columns):
+    found = sorted((r for r in rows if r.log_id == log), key=lambda r: r.asDict().get("line_no") or 0)
+    return [tuple(r[c] for c in columns) for r in found]
 
 
-def test_units(parsed, expected):
-    for log, want in expected.items():
-        got = sorted(of(parsed["units"], log), key=lambda r: r.line_no)
-        assert [(r.label, r.depth, r.had_exception) for r in got] == want["units"]
+@pytest.fixture(scope="module", params=[False, True], ids=["plain", "wide"])
+def parsed(request, spark):
+    return parse(spark, {1: NESTED, 2: TORN, 3: LIMITS, 4: JOBS}, request.param, chunk=3)
+
+
+def test_units(parsed):
+    assert of(parsed["units"], 1, "label", "depth", "had_exception") == [("Outer", 0, True), ("Inner", 1, True), ("Later", 1, False)]
+    assert of(parsed["units"], 2, "label") == []
+
 
+def test_queries_and_dml(parsed):
+    assert of(parsed["soql"], 1, "signature", "rows") == [("SELECT Id FROM Order__c WHERE A = ? AND B = ?", 3)]
+    assert of(parsed["soql"], 2, "signature", "rows") == [("", 1)]
+    assert of(parsed["dml"], 1, "operation", "object") == [("Update", "Order__c")]
+    assert of(parsed["dml"], 2, "operation", "object") == [("Unknown", None)]
 
-def test_queries_and_dml(parsed, expected):
-    for log, want in expected.items():
-        assert sorted((r.signature, r.rows) for r in of(parsed["soql"], log)) == want["soql"]
-        assert sorted(((r.operation, r.object) for r in of(parsed["dml"], log)), key=str) == want["dml"]
 
+def test_exceptions(parsed):
+    assert of(parsed["exceptions"], 1, "message", "stack") == [("A.B: boom", "Class.Foo.bar: line 7, column 1\nTrigger.T: line 2, column 1")]
+    assert of(parsed["exceptions"], 2, "message") == [("X.Y: dead",)]
 
-def test_exceptions(parsed, expected):
-    for log, want in expected.items():
-        got = sorted(of(parsed["exceptions"], log), key=lambda r: r.line_no)
-        assert [(r.message, r.stack) for r in got] == want["exceptions"]
 
+def test_limits(parsed):
+    got = {r[:1] + r[1:] for r in of(parsed["limits"], 3, "namespace", "name", "used", "peak_used", "is_final")}
+    assert got == {("(default)", "SOQL queries", 3, 5, True), ("Pkg", "CPU time", 9, None, False)}
 
-def test_limits(parsed, expected):
-    for log, want in expected.items():
-        assert {(r.namespace, r.name, r.used, r.peak_used, r.is_final) for r in of(parsed["limits"], log)} == want["limits"]
 
+def test_async(parsed):
+    assert of(parsed["sent"], 4, "line", "caller", "job_class_guess", "failed") == [(9, "Mailer.run", "SendQueueable", True), (70, "Start", None, False)]
+    assert of(parsed["failed"], 4, "line", "caller", "job_class_guess") == [(9, "Mailer.run", "SendQueueable")]
+    assert of(parsed["made"], 4, "class", "line", "caller", "count") == [("SendQueueable", 5, "Mailer.run", 1)]
 
-def test_async(parsed, expected):
-    for log, want in expected.items():
-        got = sorted(of(parsed["sent"], log), key=lambda r: r.line_no)
-        assert [(r.line, r.caller, r.job_class_guess, r.failed) for r in got] == want["sent"]
-        got = sorted(of(parsed["failed"], log), key=lambda r: r.line_no)
-        assert [(r.line, r.caller, r.job_class_guess) for r in got] == want["failed"]
-        assert sorted({(r["class"], r.line, r.caller) for r in of(parsed["made"], log)}, key=str) == want["made"]
+
+def test_no_log_is_cut_short(spark):
+    many = ["1|CODE_UNIT_STARTED|[EXTERNAL]|Start"]
+    for i in range(130):
+        many += [f"1|CONSTRUCTOR_ENTRY|[{i}]|01p|Job{i}Queueable", f"1|SYSTEM_METHOD_ENTRY|[{i}]|System.enqueueJob(Object)"]
+    got = parse(spark, {1: many}, True)
+    assert len(got["sent"]) == 130 and len(got["made"]) == 130
+
+
+def test_readings_do_not_depend_on_scan_order_or_other_logs(spark):
+    rnd = random.Random(7)
+    logs = {k: [rnd.choice(SAMPLES) for _ in range(70)] for k in range(8)}
+    table = lambda got, log: {name: sorted(str(r) for r in rows if r.log_id == log) for name, rows in got.items()}
+    plain, wide, other_order = (parse(spark, logs, w, seed=s) for w, s in ((False, 3), (True, 3), (True, 4)))
+    for log in logs:
+        assert table(plain, log) == table(wide, log) == table(other_order, log)
+    alone = parse(spark, {5: logs[5]}, True)
+    assert table(alone, 5) == table(wide, 5)
 
 
 def test_runs_and_pages(spark):
@@ -205,6 +140,8 @@ def test_runs_and_pages(spark):
         assert [(r.label, r.repeat) for r in got] == [("a", 2), ("b", 2), ("a", 1)]
     page = debug_logs.section_page(units, "line_no", 1, 2).orderBy("position").collect()
     assert [(r.position, r.label, r.total, r.next_offset) for r in page] == [(1, "a", 5, 3), (2, "b", 5, 3)]
+    past = debug_logs.section_page(units, "line_no", 9, 2).collect()
+    assert [(r.position, r.label, r.total, r.next_offset) for r in past] == [(None, None, 5, None)]
 
 
 def test_crlf_text(spark):
@@ -213,7 +150,8 @@ def test_crlf_text(spark):
     assert [(r.raw, r.is_header) for r in got] == [("59.0 APEX_CODE,FINE", True), ("one", False), ("two", False), ("three", False)]
 
 
-def test_prefix_rule(spark):
-    units = spark.createDataFrame([(1, "ibmcOrder and Other")], "log_id int, label string")
+def test_prefixes_are_the_callers(spark):
+    units = spark.createDataFrame([(1, "acmeOrder and Other")], "log_id int, label string")
     none = spark.createDataFrame([], "log_id int, message string, stack string")
-    assert [r.component_id for r in debug_logs.involved_components(units, none).collect()] == ["ibmcOrder"]
+    assert debug_logs.involved_components(units, none).count() == 0
+    assert [r.component_id for r in debug_logs.involved_components(units, none, prefixes=("acme",)).collect()] == ["acmeOrder"]
