@@ -228,9 +228,9 @@ def log_visibility(spark, root):
 
 
 @query("log_section_page", f"""
-SELECT log_id, position, detail, total, CASE WHEN total > 3 THEN 3 END AS next_offset FROM (
-  SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) - 1 AS position, count(*) OVER (PARTITION BY log_id) AS total,
-   CASE WHEN n >= 4 THEN {trunc('lastp', 300)} ELSE raw END AS detail FROM {EV} e WHERE evt = 'USER_DEBUG') s WHERE position BETWEEN 1 AND 2
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) - 1 AS position, CASE WHEN n >= 4 THEN {trunc('lastp', 300)} ELSE raw END AS detail FROM {EV} e WHERE evt = 'USER_DEBUG')
+SELECT t.log_id, position, detail, total, CASE WHEN total > 3 THEN 3 END AS next_offset FROM (SELECT log_id, count(*) AS total FROM d GROUP BY 1) t
+LEFT JOIN (SELECT log_id, position, detail FROM d WHERE position BETWEEN 1 AND 2) p ON p.log_id = t.log_id
 """)
 def log_section_page(spark, root):
     section = logs.routed(rows(spark, root)[0]).filter("section = 'user_debug'")

@@ -158,7 +158,21 @@ def known_issue_match(spark, root):
     return inc.match_known(issues, spread(reports.unionByName(ids), "query_id"))
 
 
-@query("passage_match")
+# masked and lower-cased as the operator does; DuckDB's word boundary knows ASCII only, so letters and digits are spelt out
+MASKED = r'''trim(regexp_replace(lower(regexp_replace(text, ''' + "'" + r"""''[^'']*''|"[^"]*"|:[\p{L}\p{N}_]+|\b\d+\b', '?', 'g')), '\s+', ' ', 'g'))"""
+STOPPED = "('the', 'and', 'for', 'with', 'this', 'that', 'was', 'are', 'not', 'from', 'line', 'column', 'class', 'trigger', 'attempt', 'error', 'exception', 'system')"
+WORDS = "list_filter(list_distinct(regexp_extract_all({0}, '[a-z_][a-z0-9_.]{{2,}}')), lambda w: w NOT IN " + STOPPED + ")"
+
+
+@query("passage_match", rf"""
+WITH q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {MASKED} AS q FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS issue_id, doc_id, {MASKED} AS msg FROM documents),
+qw AS (SELECT *, {WORDS.format('q')} AS qws FROM q), dw AS (SELECT *, {WORDS.format('msg')} AS dws FROM d),
+s AS (SELECT query_id, issue_id, doc_id, CASE WHEN length(msg) >= 12 AND (contains(q, msg) OR (length(q) >= 12 AND contains(msg, q))) THEN 90
+  WHEN len(dws) > 0 AND len(list_intersect(qws, dws)) >= 2 THEN floor(70.0 * len(list_intersect(qws, dws)) / len(dws)) ELSE 0 END AS score FROM qw, dw),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC, issue_id) AS place FROM s WHERE score >= 40)
+SELECT query_id, place, issue_id, CAST(score AS BIGINT) AS score FROM r WHERE place <= 8
+""")
 def passage_match(spark, root):
     """Texts with real overlap: benchmark passages against documents as recorded messages."""
     issues = table(spark, root, "documents").select(
