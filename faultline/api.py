@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators import access, async_jobs, component_graph, debug_logs, incidents
+from faultline.operators import access, activity, async_jobs, component_graph, debug_logs, incidents, packing, summary, token_usage
 from faultline.operators.access import Identity
 
 
@@ -127,3 +127,68 @@ def normalize_logs(lines: DataFrame, component_ids: DataFrame | None = None, wid
 
 def log_section(section: DataFrame, order: str, offset: int = 0, limit: int = 50) -> DataFrame:
     return debug_logs.section_page(section, order, offset, limit)
+
+
+# ---- usage, activity, summary -------------------------------------------------
+
+
+def usage_report(ledger: DataFrame, as_of: str, days: int | None = None, username: str | None = None, org_id: str | None = None) -> DataFrame:
+    """Token use by user, organisation and model over the last days, with the total."""
+    return token_usage.report(token_usage.window(ledger, as_of, days, username, org_id))
+
+
+def usage_by_day(ledger: DataFrame, as_of: str, days: int | None = None) -> DataFrame:
+    return token_usage.by_day(token_usage.window(ledger, as_of, days), as_of, days)
+
+
+def quota(users: DataFrame, ledger: DataFrame, as_of: str) -> DataFrame:
+    """What each user may still spend, and whether the next turn is allowed."""
+    return token_usage.turn_allowed(token_usage.quota_status(users, ledger, as_of))
+
+
+def activity_report(ledger: DataFrame, usage: DataFrame, registry: DataFrame, as_of: str, days: int | None = None) -> dict[str, DataFrame]:
+    """All sections of the activity report over one window, each a table."""
+    rows = activity.conform(token_usage.window(ledger, as_of, days))
+    spent = token_usage.window(usage, as_of, days)
+    users, orgs = activity.users(rows, spent), activity.orgs(rows, registry)
+    return {
+        "totals": activity.totals(rows, spent), "by_day": activity.by_day_channel(rows, as_of, days), "channels": activity.by_channel(rows),
+        "features": activity.features(rows), "categories": activity.categories(rows), "tools": activity.tools(rows), "clients": activity.clients(rows),
+        "users": users, "segments": activity.segments(users), "ladder": activity.ladder(rows), "orgs": orgs, "accounts": activity.accounts(orgs),
+        "hours": activity.hours(rows), "errors": activity.errors(rows), "recent": activity.recent(rows),
+    }
+
+
+def own_activity(ledger: DataFrame, usage: DataFrame, username: str, as_of: str, days: int | None = None, last: int = 50) -> dict[str, DataFrame]:
+    """One user's own report: totals, days, channels, features, tools, and the last events."""
+    rows = activity.conform(token_usage.window(ledger, as_of, days))
+    spent = token_usage.window(usage, as_of, days)
+    mine = rows.filter(F.col("username") == username)
+    return {
+        "totals": activity.own_report(rows, spent, username), "by_day": activity.by_day_channel(mine, as_of, days), "channels": activity.by_channel(mine),
+        "features": activity.features(mine), "tools": activity.tools(mine), "recent": activity.recent(mine, last),
+    }
+
+
+def executive_summary(ledger: DataFrame, usage: DataFrame, registry: DataFrame, as_of: str, days: int) -> dict[str, DataFrame]:
+    """The lists of the executive summary for one period."""
+    rows, spent = activity.conform(token_usage.window(ledger, as_of, days)), token_usage.window(usage, as_of, days)
+    effort = summary.org_effort(rows, spent, registry)
+    return {
+        "trend": summary.trend(rows, spent, as_of, days), "top_orgs": summary.top_orgs(effort),
+        "top_accounts": summary.top_accounts(effort), "top_people": summary.top_people(rows, spent), "channels": summary.channel_mix(rows),
+        "top_features": summary.top_features(rows), "top_models": summary.top_models(spent),
+    }
+
+
+# ---- context within a budget ----------------------------------------------------
+
+
+def packed_card(items: DataFrame, max_chars: int) -> DataFrame:
+    """The items of each card section that fit a budget of characters."""
+    return packing.pack_cards(items, ["org_id", "component_id"], max_chars, wide=True)
+
+
+def packed_log(items: DataFrame, max_chars: int) -> DataFrame:
+    """What fits of each log, with what was left out by section."""
+    return packing.pack_report(items, packing.pack_logs(items, max_chars))

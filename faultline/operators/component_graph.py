@@ -101,20 +101,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def inbound(edges: DataFrame, imports: DataFrame, actions: DataFrame, subflows: DataFrame) -> DataFrame:
     """Everything that starts a component: async dispatches, then calls they do not explain, then UI and flows."""
-    dispatched = edges.filter(F.col("via").isin(*ASYNC) & (F.col("src") != F.col("dst")))
-    first = dispatched.select("org_id", F.col("dst").alias("target"), F.col("src").alias("caller"), "via", F.lit("dispatch").alias("source"))
-    # the ways one class reaches another are a handful, so this set stays small
-    calls = edges.groupBy("org_id", "src", "dst").agg(F.collect_set("via").alias("vias"))
-    pairs = dispatched.select("org_id", "src", "dst").distinct().withColumn("started", F.lit(True))
-    calls = calls.join(pairs, ["org_id", "src", "dst"], "left")
-    started = F.coalesce("started", F.lit(False))
-    left = F.array_sort(
-        F.filter("vias", lambda v: ~v.isin(*ASYNC) & ~(started & (v == "constructor")))
-    )
-    second = calls.withColumn("left", left).filter(F.size("left") > 0).select(
-        "org_id", F.col("dst").alias("target"), F.col("src").alias("caller"), F.array_join("left", ",").alias("via"),
-        F.lit("call").alias("source"),
-    )
+    # one pass over the edges; the ways one class reaches another are a handful, so both lists stay small
+    starts = F.when(F.col("via").isin(*ASYNC) & (F.col("src") != F.col("dst")), F.col("via"))
+    calls = edges.groupBy("org_id", "src", "dst").agg(F.collect_set("via").alias("vias"), F.collect_list(starts).alias("started"))
+    left = F.array_sort(F.filter("vias", lambda v: ~v.isin(*ASYNC) & ~((F.size("started") > 0) & (v == "constructor"))))
+    way = lambda via, source: F.struct(via.alias("via"), F.lit(source).alias("source"))
+    called = F.filter(F.array(way(F.array_join(left, ","), "call")), lambda w: w["via"] != "")
+    ways = F.concat(F.transform("started", lambda v: way(v, "dispatch")), called)
+    first = calls.select("org_id", F.col("dst").alias("target"), F.col("src").alias("caller"), F.inline(ways))
     ui = imports.select(
         "org_id", F.split("import_name", r"\.")[0].alias("target"), F.col("bundle").alias("caller")
     ).filter("target <> ''").distinct().select("*", F.lit("lwc_apex_import").alias("via"), F.lit("ui").alias("source"))
@@ -125,7 +119,7 @@ def inbound(edges: DataFrame, imports: DataFrame, actions: DataFrame, subflows:
     subs = subflows.select(
         "org_id", F.col("subflow").alias("target"), F.col("flow_id").alias("caller"), F.lit("subflow").alias("via"), F.lit("flow").alias("source")
     )
-    return first.unionByName(second).unionByName(ui).unionByName(from_flows).unionByName(subs)
+    return first.unionByName(ui).unionByName(from_flows).unionByName(subs)
 
 
 def inbound_sites(sites: DataFrame) -> DataFrame:
@@ -303,7 +297,7 @@ def recently_changed(components: DataFrame, cards: DataFrame, manifest: DataFram
         "path", manifest_key(F.col("type"), F.col("component_id"))
     )
     aged = keyed.join(manifest, ["org_id", "path"]).filter(F.col("age_seconds") / 86400.0 <= recent_days)
-    return aged.select("org_id", "component_id", c.age_days(F.col("age_seconds")).alias("age_days")).orderBy("age_days", "component_id")
+    return aged.select("org_id", "component_id", c.age_days(F.col("age_seconds")).alias("age_days"))
 
 
 def suspects(primary: DataFrame, cards: DataFrame, manifest: DataFrame, writes: DataFrame, field: str) -> DataFrame:
@@ -325,9 +319,7 @@ def suspects(primary: DataFrame, cards: DataFrame, manifest: DataFrame, writes:
         + points(F.col("writes_field"), 35) + points(F.col("type") == "ApexTrigger", 15) + points(F.col("type") == "Flow", 12)
         + points(F.col("has_dml"), 8) + points(F.col("has_callout"), 8) + points(is_test, -40) + points(F.col("is_managed"), -25)
     )
-    return df.select("org_id", "component_id", "type", "age_days", F.bround(score, 1).alias("score")).orderBy(
-        F.desc("score"), "component_id"
-    )
+    return df.select("org_id", "component_id", "type", "age_days", F.bround(score, 1).alias("score"))
 
 
 # ---- field writers ----------------------------------------------------------
@@ -349,7 +341,10 @@ def entry_criteria(writes: DataFrame) -> DataFrame:
 
 
 def field_writers(touch: DataFrame, cards: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Writers with card and recency; production first, then by risk."""
+    """Writers with card and recency.
+
+    is_test_class and risk_rank order the writers of one field; the table of all is not sorted.
+    """
     is_test, how = test_verdict(F.col("component"), F.col("is_test_flag"))
     info = cards.select(
         "org_id", F.col("component_id").alias("component"), "type", "is_test_flag", "namespace", "is_customer_authored",
@@ -363,7 +358,6 @@ def field_writers(touch: DataFrame, cards: DataFrame, manifest: DataFrame) -> Da
             F.coalesce("is_customer_authored", F.lit(True)).alias("is_customer_authored"), "namespace",
             rank_of(F.col("risk"), RISK_IN_ANSWER).alias("risk_rank"),
         )
-        .orderBy("org_id", "field", "is_test_class", "risk_rank", "component")
     )
 
 
@@ -389,7 +383,7 @@ def by_mechanism(touch: DataFrame) -> DataFrame:
     order = {m: i for i, m in enumerate(MECHANISMS)}
     return touch.groupBy("org_id", "field", "mechanism").agg(F.count(F.lit(1)).alias("writers")).withColumn(
         "place", rank_of(F.col("mechanism"), order, len(order))
-    ).orderBy("org_id", "field", "place")
+    )
 
 
 # ---- statistics and search --------------------------------------------------

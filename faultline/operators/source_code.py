@@ -169,7 +169,7 @@ def statements(prep: DataFrame, with_methods: bool = True) -> DataFrame:
     inside = (F.col("around.close_no") >= F.col("no"))
     return marked.withColumn("method", F.when(inside, F.col("around.name"))).withColumn(
         "in_loop", F.coalesce(F.col("loop_end") >= F.col("no"), F.lit(False))
-    ).withColumn("method_at", F.when(inside, F.struct("around.end_pos", "around.close_pos")))
+    ).withColumn("method_at", F.when(inside, F.struct("around.end_pos", "around.close_pos"))).withColumn("method_no", F.when(inside, F.col("around.no")))
 
 
 def extract_by(text: Column | str, pattern: Column, group: int) -> Column:
@@ -256,22 +256,26 @@ def entry_points(prep: DataFrame, stmts: DataFrame) -> DataFrame:
 
 
 def methods(prep: DataFrame, stmts: DataFrame) -> DataFrame:
+    """Signature, lines and complexity; what a body holds is summed over its statements, its text is not copied."""
     heads = stmts.filter("is_method")
-    body = F.substr(F.col("code"), F.col("end_pos"), F.coalesce(F.col("close_pos"), F.length("code")) - F.col("end_pos") + 1)
     words = F.transform("before", F.lower)
     is_ctor = F.col("name") == F.col("component_id")
-    rows = heads.join(prep.select(*KEY, "code"), KEY).withColumn("body", body)
-    complexity = (
-        F.lit(1) + F.regexp_count("body", F.lit(r"\b(if|for|while|case|catch)\b")) + F.regexp_count("body", F.lit("&&"))
-        + F.regexp_count("body", F.lit(r"\|\|")) + F.regexp_count("body", F.lit(r"\?"))
-    )
+    text = F.col("text")
+    branches = (
+        F.regexp_count(text, F.lit(r"\b(if|for|while|case|catch)\b")) + F.regexp_count(text, F.lit("&&"))
+        + F.regexp_count(text, F.lit(r"\|\|")) + F.regexp_count(text, F.lit(r"\?"))
+    )
+    inside = stmts.filter((F.col("method_no") < F.col("no")) & ~F.col("is_method"))
+    held = inside.groupBy(*KEY, F.col("method_no").alias("no")).agg(F.sum(branches).alias("branches"), F.sum("breaks").alias("body_lines"))
+    rows = heads.join(held, [*KEY, "no"], "left")
+    complexity = F.lit(1) + F.coalesce("branches", F.lit(0))
     return rows.select(
         *KEY, "no", "name", F.concat("name", F.lit("("), F.trim(F.regexp_extract("text", METHOD_HEADER, 3)), F.lit(")")).alias("signature"),
         F.try_element_at(F.filter(words, lambda w: w.isin(VISIBILITIES)), F.lit(1)).alias("visibility"),
         F.array_contains(words, "static").alias("is_static"),
         F.when(~is_ctor, F.element_at("before", -1)).alias("returns"),
         F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"@(\w+)"), 1))), ",").alias("annotations"),
-        (F.length("body") - F.length(F.regexp_replace("body", "\n", ""))).cast("bigint").alias("loc"),
+        F.coalesce("body_lines", F.lit(0)).cast("bigint").alias("loc"),
         complexity.cast("bigint").alias("complexity"),
     )
 

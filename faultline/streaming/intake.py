@@ -122,13 +122,15 @@ def hourly_cap(reports: DataFrame, folder: str, cap: int = UI_HOURLY_MAX) -> Dat
         order = Window.partitionBy("user_id", "hour").orderBy("arrived_at", "event_id")
         first = batch.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap)
         if number > 0:
-            before = spark.read.parquet(counts).filter(F.col("batch") < number)
+            # only the days at hand are read; a batch spans few
+            days = [row["day"] for row in batch.select(F.to_date("hour").alias("day")).distinct().collect()]
+            before = spark.read.parquet(counts).filter((F.col("batch") < number) & F.col("day").isin(days))
             used = before.groupBy("user_id", "hour").agg(F.sum("n").alias("used"))
             first = first.join(used, ["user_id", "hour"], "left").filter(F.col("r") + F.coalesce("used", F.lit(0)) <= cap)
         kept = first.select("user_id", "hour", "event_id")
         kept.write.mode("overwrite").parquet(f"{admitted}/batch={number}")
         done = spark.read.parquet(f"{admitted}/batch={number}")
-        done.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        done.groupBy("user_id", "hour", F.to_date("hour").alias("day")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("day").parquet(f"{counts}/batch={number}")
 
     drain(rows, each, f"{folder}/checkpoint")
     return spark.read.parquet(admitted)
