@@ -64,7 +64,23 @@ def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", (~learnt).alias("held_out"), "language.lang_pred", "language.score")
 
 
-@_query("op9_jaccard_join")
+@_query(
+    "op9_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS MATERIALIZED (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+    ), sets AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END AS s FROM w
+    ), rows AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS x FROM sets),
+    edges AS MATERIALIZED (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+    SELECT sets.doc_id, any_value(len(s)) AS n_shingles, min(b) AS component_id FROM sets JOIN reach ON sets.doc_id = reach.a GROUP BY sets.doc_id
+    """,
+)
 def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, root, "documents"))
 
