@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,16 @@ BATCH_ROWS = 512
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, so that a batch of very long texts fits a Python worker."""
+    """What operators with Python need: short Arrow batches, so that very long texts fit a worker, and this package on its path.
+
+    A cluster installs the package on its workers; where driver and workers
+    share a machine, workers find it beside the driver's.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
