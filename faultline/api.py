@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators import access, activity, async_jobs, component_graph, debug_logs, incidents, packing, summary, token_usage
+from faultline.operators import access, activity, async_jobs, component_graph, debug_logs, incidents, org_index, packing, summary, token_usage
 from faultline.operators.access import Identity
+from faultline.sources import stores
 
 
 @dataclass
@@ -37,6 +38,13 @@ def _of(df: DataFrame, org_id: str) -> DataFrame:
     return df.filter(F.col("org_id") == org_id)
 
 
+def refresh(classes: DataFrame, triggers: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Extract the sources of some organisations, replace their part of the knowledgebase, and return the tables."""
+    index = org_index.extract(classes, triggers)
+    stores.save_knowledgebase(index, folder)
+    return stores.load_knowledgebase(classes.sparkSession, folder)
+
+
 def list_orgs(t: Tables, who: Identity, text: str = "") -> DataFrame:
     return access.filter_orgs(access.visible_orgs(t.registry, who), text)
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline.operators import org_index
 from faultline.operators import source_code as sc
 from faultline.plans.registry import query
 from faultline.session import cut_lineage
@@ -103,12 +104,15 @@ def source_static_state(spark, root):
 PERSIST = "CASE WHEN s % 2 = 0 THEN 'audit' END AS passed_to, CASE WHEN s % 2 = 1 THEN 'persisted' ELSE 'passed_to_callee' END AS persistence"
 
 
-@query("source_field_writes", f"""
+FIELD_WRITES = f"""
 SELECT org_id, component_id, 17::BIGINT AS line, 'run' AS method, 'Status__c' AS field, 'rec' AS receiver, 'map_lookup' AS pattern, 'cache' AS source_map,
   CASE WHEN k % 2 = 0 AND k % 8 <> 0 THEN 'high' ELSE 'medium' END AS risk, 'string' AS value_type, 'cache.get(''x'')' AS value, {PERSIST} FROM {P} p
 UNION ALL SELECT org_id, component_id, 18, 'run', 'Amount__c', 'rec', 'direct', NULL, 'low', CASE k % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'boolean' WHEN 2 THEN 'string' ELSE 'reference' END,
   CASE k % 4 WHEN 0 THEN '5' WHEN 1 THEN 'true' WHEN 2 THEN '''txt''' ELSE 'other.Value__c' END, {PERSIST} FROM {P} p
-""")
+"""
+
+
+@query("source_field_writes", FIELD_WRITES)
 def source_field_writes(spark, root):
     return sc.field_writes(*classes(spark, root))
 
@@ -129,26 +133,32 @@ def source_async_dispatches(spark, root):
     return _dispatches(spark, root)
 
 
-@query("source_calls_to", f"""
+CALLS_TO = f"""
 SELECT org_id, component_id, concat('Cls_', k % 11) AS target, CASE WHEN {CLS_KNOWN} THEN 'local_class' ELSE 'unresolved_receiver' END AS kind, 'method_call' AS via, 'check' AS methods_called, NULL::VARCHAR AS namespace
   FROM {P} p WHERE k % 11 <> k
 UNION ALL SELECT org_id, component_id, concat('Helper_', k % 4), 'namespaced_class', 'method_call', 'other', 'PKG_CORE' FROM {P} p
 UNION ALL SELECT org_id, component_id, concat('Job_', k % 9), 'local_class', 'System.enqueueJob,constructor', '', NULL FROM {P} p WHERE s % 5 IN (0, 1) AND {JOB_KNOWN}
-""")
+"""
+
+
+@query("source_calls_to", CALLS_TO)
 def source_calls_to(spark, root):
     prep, stmts = classes(spark, root, shared=True)
     names = sv.class_names(spark, root)
     return sc.calls_to(stmts, names, sc.async_dispatches(prep, stmts, names))
 
 
-@query("source_call_sites", f"""
+CALL_SITES = f"""
 SELECT org_id, component_id, row_number() OVER (PARTITION BY org_id, component_id ORDER BY line) AS position, * EXCLUDE (org_id, component_id) FROM (
 SELECT org_id, component_id, 7::BIGINT AS line, 'run' AS method, FALSE AS in_loop, 'org_class' AS kind, concat('Cls_', k % 11) AS target, NULL::VARCHAR AS namespace, 'check' AS method_called,
   concat('Cls_', k % 11, '.check') AS callee, 'if (a > 0)' AS conditions FROM {P} p WHERE k % 11 <> k AND {CLS_KNOWN}
 UNION ALL SELECT org_id, component_id, 9, 'run', FALSE, 'namespaced_class', concat('Helper_', k % 4), 'PKG_CORE', 'other', concat('PKG_CORE.Helper_', k % 4, '.other'), 'else if (a < 0 && ids != null) [and not: a > 0]' FROM {P} p
 UNION ALL SELECT org_id, component_id, 11, 'run', FALSE, 'same_class', component_id, NULL, 'fetch', concat(component_id, '.fetch'), 'else [not: a > 0 / a < 0 && ids != null]' FROM {P} p
 UNION ALL SELECT org_id, component_id, 3, NULL, TRUE, 'org_class', concat('Cls_', k), NULL, 'run', concat('Cls_', k, '.run'), 'for (SObject s : Trigger.new)' FROM {T} t WHERE k IN (SELECT p_partkey FROM {{part}})) x
-""")
+"""
+
+
+@query("source_call_sites", CALL_SITES)
 def source_call_sites(spark, root):
     names = sv.class_names(spark, root)
     return sc.call_sites(classes(spark, root, shared=True)[1], names).unionByName(sc.call_sites(trigger_rows(spark, root)[1], names))
@@ -227,3 +237,42 @@ SELECT concat('cmp', page_id) AS bundle, concat_ws(',', least(concat('Cls_', pag
 """)
 def ui_bundles(spark, root):
     return sc.ui_bundles(sc.decoded_files(sv.bundle_files(spark, root)))
+
+
+# ---- extraction to index -------------------------------------------------------------
+
+
+def _lookups(spark, root):
+    return org_index.lookups(org_index.extract(
+        sv.class_sources(spark, root).select("org_id", "component_id", "code"), sv.trigger_sources(spark, root).select("org_id", "component_id", "code"),
+        sv.class_names(spark, root),
+    ))
+
+
+# triggers call the class of their own number
+TRIGGER_CALLS = f"SELECT org_id, component_id, concat('Cls_', k) AS target FROM {T} t WHERE k IN (SELECT p_partkey FROM {{part}})"
+EDGES = f"SELECT DISTINCT org_id, component_id, target FROM ({CALLS_TO}) c WHERE kind <> 'unresolved_receiver' UNION {TRIGGER_CALLS}"
+
+
+@query("index_degrees", f"""
+SELECT org_id, id AS component_id, sum(o)::BIGINT AS calls, sum(i)::BIGINT AS called_by FROM (
+  SELECT org_id, component_id AS id, 1 AS o, 0 AS i FROM ({EDGES}) e UNION ALL SELECT org_id, target, 0, 1 FROM ({EDGES}) e) x GROUP BY 1, 2
+""")
+def index_degrees(spark, root):
+    """Callers and callees of every component, from the sources themselves."""
+    return _lookups(spark, root)["degrees"]
+
+
+@query("index_inbound_sites", f"""
+SELECT org_id, lower(target) AS lower_target, component_id AS caller, row_number() OVER (PARTITION BY org_id, lower(target), component_id ORDER BY position, line) AS position,
+  method_called, method AS caller_method, line, in_loop, kind, count(*) OVER (PARTITION BY org_id, lower(target), component_id) AS total FROM ({CALL_SITES}) s WHERE kind <> 'same_class'
+""")
+def index_inbound_sites(spark, root):
+    return _lookups(spark, root)["inbound_sites"]
+
+
+@query("index_field_touch", f"""
+SELECT org_id, field, component_id AS component, 'Apex' AS mechanism, risk, source_map, persistence, min(line) AS write_id FROM ({FIELD_WRITES}) w GROUP BY ALL
+""")
+def index_field_touch(spark, root):
+    return _lookups(spark, root)["field_touch"].drop("risk_rank")

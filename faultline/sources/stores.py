@@ -23,8 +23,8 @@ def load_knowledgebase(spark: SparkSession, folder: str, org_id: str | None = No
     for name in KNOWLEDGEBASE:
         try:
             df = spark.read.parquet(f"{folder}/{name}")
-        except Exception as e:  # a table never saved reads as absent
-            if "PATH_NOT_FOUND" not in str(e):
+        except Exception as e:  # a table never saved, or saved without a row, reads as absent
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             continue
         found[name] = df if org_id is None else df.filter(F.col("org_id") == org_id)

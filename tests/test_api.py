@@ -47,3 +47,20 @@ def test_summary(spark, queries):
     got = api.executive_summary(ledger, usage, orgs, AS_OF, 15)
     same(got["top_orgs"], queries["summary_top_orgs"](spark, SF))
     same(got["top_models"], queries["summary_top_models"](spark, SF))
+
+
+def test_refresh_feeds_the_lookups(spark, tmp_path):
+    classes = spark.createDataFrame([
+        ("o", "A", "public class A {\n  public void run() { if (x) { B.go(1); } rec.State__c = 'n;m'; update rec; }\n}"),
+        ("o", "B", "public class B {\n  public static void go(Integer n) { return; }\n}"),
+        ("p", "B", "public class B {\n}"),
+    ], "org_id string, component_id string, code string")
+    triggers = spark.createDataFrame([("o", "T", "trigger T on Order__c (before insert) { B.go(2); }")], "org_id string, component_id string, code string")
+    index = api.refresh(classes, triggers, str(tmp_path))
+    tables = api.Tables(cards=index["cards"], call_edges=index["call_edges"], call_sites=index["call_sites"], field_writes=index["field_writes"])
+    sites = api.component_method(tables, "o", "A", "go").collect() if "method" in tables.call_sites.columns else tables.call_sites.filter("caller = 'A'").collect()
+    assert [(r.target, r.method_called, r.conditions) for r in sites] == [("B", "go", "if (x)")]
+    assert sorted((r.src, r.dst, r.via) for r in tables.call_edges.collect()) == [("A", "B", "method_call"), ("T", "B", "method_call")]
+    assert [(r.component, r.field, r.persistence) for r in tables.field_writes.collect()] == [("A", "State__c", "persisted")]
+    again = api.refresh(classes.filter("org_id = 'p'"), triggers.filter("false"), str(tmp_path))
+    assert again["call_edges"].count() == 2 and again["cards"].count() == 4
