@@ -7,15 +7,34 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec
-from faultline.llm.common import stored
+from faultline.llm.common import noted, release, remove, stored
 from faultline.llm.queries import model_path
 from faultline.sources.tables import table
 
+# intermediate tables of the stage that ran last
+_tables: list[str] = []
+
+
+def _stage(function):
+    """A stage may remove what the stage before has stored: that one's result is written by now."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _tables)
+        release(spark)
+        with noted(_tables):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; texts that are null or have no letter go."""
     model = language_id.train(docs.filter(language_id.training_rows(docs)))
@@ -23,21 +42,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter(F.col("__language.lang_pred") != language_id.UNDETERMINED).select(docs.columns)
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
     return exact_dedup.keep_one(docs)
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: the one with the smallest doc_id."""
     return jaccard_join.keep_one(docs)
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: each document as often as its words are taken."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
     return sentencepiece_codec.encode_documents(docs, model_path())
@@ -57,6 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        after = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            release(spark, before)
+        docs = before = after
     return docs

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.session import scratch_path
 
+# where paths of stored tables are noted, inside ``noted``
+_notes: list[list[str]] = []
 # rows of one Arrow batch: texts may be very long, so batches are kept short
 BATCH_ROWS = 512
 
@@ -37,18 +41,36 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
+    for paths in _notes:
+        paths.append(path)
     return table
 
 
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note the tables stored meanwhile, for a caller that knows when their results have been written."""
+    _notes.append(paths)
+    try:
+        yield
+    finally:
+        _notes.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove noted tables; those that are gone already don't matter."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove stored tables that no later step reads, and the shuffle files of finished steps.
 
     Spark removes shuffle files when the driver's JVM finds their data frames
     unused; between the large steps of one operator that is worth asking for.
     """
-    for table in tables:
-        where = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, [table.stored_at for table in tables])
     gc.collect()
     spark._jvm.System.gc()
 

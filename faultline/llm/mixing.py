@@ -29,7 +29,7 @@ from faultline.llm.common import stored, whole_text
 
 MAX_EPOCHS = 3
 SEED = 20_011
-RANGES = 1 << 16
+RANGES = 1 << 12
 FILL_ROUNDS = 8
 # patterns that may reach the driver and be broadcast back; more is an error, never a cut
 MAX_PATTERNS = 100_000

@@ -29,7 +29,7 @@ from faultline.llm.common import short_batches
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # distinct words a worker remembers in each of two generations, and pairs before it starts afresh
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 MEMO_PAIRS = 1_000_000
 LONGEST_REMEMBERED = 64
 
