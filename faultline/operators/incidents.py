@@ -231,12 +231,7 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
         "q_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - F.col("flen") + 1), lambda p: F.substr(F.col("tok"), p, F.col("flen")))).alias("lfield")
     ).distinct()
     named = fields.join(pieces, "lfield").select("e_id", "q_id")
-    by_sig = i.select("e", "msg", "lfield", "signature").withColumn("e_id", _text_id("e", "msg", "lfield")).join(
-        texts.filter("sig <> ''").select("q_id", "sig"), F.col("signature") == F.col("sig")
-    ).select("e_id", "q_id")
-    pairs = within.unionByName(around).unionByName(named).unionByName(by_sig).unionByName(
-        _sharing_pairs(forms, texts)
-    ).distinct()
+    pairs = within.unionByName(around).unionByName(named).unionByName(_sharing_pairs(forms, texts)).distinct()
 
     scored = pairs.join(forms, "e_id").join(texts, "q_id")
     shared = F.size(F.array_intersect("q_words", "e_words"))
@@ -248,9 +243,12 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     base = F.when(contained, 90).when((F.col("lfield") != "") & F.contains("q", "lfield"), 80).otherwise(share)
     scored = scored.select("e", "msg", "lfield", "q", "types", "sig", base.alias("base"))
 
-    hits = i.join(scored, ["e", "msg", "lfield"]).withColumn(
-        "base", F.when((F.col("sig") != "") & (F.col("sig") == F.col("signature")), 100).otherwise(F.col("base"))
-    )
+    # issues of one form and type score alike for a text, so the best few of them are enough; a signature stands for itself
+    alike = Window.partitionBy("e", "msg", "lfield", "ltype").orderBy(F.desc(F.col("resolution").isNotNull()), F.desc("last_seen"), "issue_id")
+    few = i.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= limit).drop("nth")
+    worded = few.join(scored, ["e", "msg", "lfield"]).filter((F.col("sig") == "") | (F.col("sig") != F.col("signature")))
+    signed_ones = i.join(texts.filter("sig <> ''").select("q", "types", "sig"), F.col("signature") == F.col("sig")).withColumn("base", F.lit(100))
+    hits = worded.select(*signed_ones.columns).unionByName(signed_ones)
     typed = F.exists(F.filter(F.split("types", " "), lambda t: t != ""), lambda t: F.contains(F.col("ltype"), t)) & (F.col("ltype") != "")
     hits = hits.withColumn("score", F.when((F.col("base") > 0) & typed, F.col("base") + 15).otherwise(F.col("base")))
     hits = hits.filter(F.col("score") >= MIN_SCORE).withColumn("score", F.least("score", F.lit(100)).cast("bigint"))
