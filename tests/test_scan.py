@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions.scan import has_large_key, nearest_rank, number_rows, scan
+from faultline.functions.scan import nearest_rank, number_rows, scan
 
 
 def rows(seed=1):
@@ -53,8 +53,3 @@ def test_nearest_rank(spark, n, wide):
     row = nearest_rank(df, ["k"], "v", {"p50": 50, "p95": 95}, wide).first()
     ordered = sorted(values)
     assert (row.p50, row.p95) == tuple(ordered[int(round(p / 100.0 * (n - 1)))] for p in (50, 95))
-
-
-def test_large_key(spark):
-    df = spark.createDataFrame([("a",)] * 5 + [("b",)], "k string")
-    assert has_large_key(df, ["k"], 4) and not has_large_key(df, ["k"], 5)
