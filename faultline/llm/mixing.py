@@ -8,11 +8,13 @@ pattern table reaches the driver; its size is checked, not trusted.
 
 The words a pattern is to give are then turned into documents: as many whole
 copies of all its documents as fit, and for the rest documents in the order of
-a seeded hash.  The cut is found in a histogram over hash ranges, and by rows
-only inside the one range where it falls, so a source that holds a third of
-all rows is never sorted in one task.  What the cut leaves open is filled with
-the largest documents that still fit, one per round, and at last with one that
-goes over by less than what was missing.
+a seeded hash, each that still fits.  That is done by cuts: among the documents
+no longer than the room left, behind the one that didn't fit before, all up to
+the next that doesn't fit, until none is left.  A cut is found in a histogram
+over hash ranges, and by rows only inside the one range where it falls, so a
+source that holds a third of all rows is never sorted in one task.  What then
+remains open is shorter than any document left; one that goes over by less than
+what is missing is taken at last.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from faultline.llm.common import stored, whole_text
 MAX_EPOCHS = 3
 SEED = 20_011
 RANGES = 1 << 12
-FILL_ROUNDS = 8
 # patterns that may reach the driver and be broadcast back; more is an error, never a cut
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,7 +124,8 @@ class Plan:
     flow: dict
     patterns: list[tuple]
     copies: dict[tuple, int]
-    cuts: dict[tuple, tuple | None] = field(default_factory=dict)  # (hash, key) of the last document of the seeded part
+    # the seeded part: (size at most, behind this place, before this place), a place being (range, hash, key), None without end
+    cuts: dict[tuple, list[tuple]] = field(default_factory=dict)
     extra: dict[tuple, list] = field(default_factory=dict)
 
 
@@ -135,6 +137,11 @@ def _range(h: str = "__h") -> Column:
     return F.shiftrightunsigned(F.col(h), 64 - RANGES.bit_length() + 1)
 
 
+def _place() -> Column:
+    """Where a document stands in the seeded order; a null key comes first."""
+    return F.struct(_range().alias("r"), F.col("__h").alias("h"), F.col("__key").alias("k"))
+
+
 def sized(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """key, size, membership pattern (sorted, without repeats) and seeded hash of each row."""
     rows = docs.select(F.col(key).alias("__key"), word_count(text).alias("__size"), F.array_sort(F.array_distinct(sources)).alias("__pattern"))
@@ -165,72 +172,65 @@ def plan_mix(sizes: DataFrame, weight_cycle: Sequence[float] = (1, 2, 3), share:
 def _place_cuts(sizes: DataFrame, plan: Plan, rest: dict[tuple, int]) -> None:
     spark = sizes.sparkSession
     plan.extra = {p: [] for p in plan.patterns}
+    plan.cuts = {p: [] for p in plan.patterns}
     kind = sizes.schema["__pattern"].dataType.simpleString()
-    numbered = spark.createDataFrame([(list(p), i, rest[p]) for i, p in enumerate(plan.patterns)], f"p {kind}, id int, rest bigint")
-    rows = sizes.filter("__size > 0").join(F.broadcast(numbered), F.col("__pattern").eqNullSafe(F.col("p"))).withColumn("range", _range())
-    # words before each range, by pattern: at most RANGES rows each
-    totals = rows.groupBy("id", "rest", "range").agg(F.sum("__size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("id").orderBy("range"))
-    edge = totals.withColumn("upto", upto).filter("upto > rest AND upto - n <= rest").select("id", F.col("range").alias("edge"), (F.col("upto") - F.col("n")).alias("before"))
-    # inside the range of the cut, rows that agree in hash, key and size are taken together
-    inside = (
-        rows.join(F.broadcast(edge.withColumnRenamed("id", "e")), (F.col("id") == F.col("e")) & (F.col("range") == F.col("edge")))
-        .groupBy("id", "rest", "before", "edge", "__h", "__key").agg(F.sum("__size").alias("n"))
-        .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("id").orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "rest", "before", "edge")
-        .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "__h", "__key"))).alias("last"))
-    )
-    left = {}
-    for r in inside.collect():  # a row per pattern
-        p = plan.patterns[r["id"]]
-        if r["last"] is None:
-            plan.cuts[p], left[p] = (r["edge"], None, None), r["rest"] - r["before"]
-        else:
-            plan.cuts[p], left[p] = (r["edge"], r["last"]["__h"], r["last"]["__key"]), r["rest"] - r["last"]["upto"]
-    open_ = dict(left)
-    for turn in range(FILL_ROUNDS + 1):
-        open_ = {p: n for p, n in open_.items() if n > 0}
-        if not open_:
-            break
-        # the last round may overshoot by less than what is still missing
-        last = turn == FILL_ROUNDS
-        room = spark.createDataFrame([(list(p), n) for p, n in open_.items()], f"p {kind}, room bigint")
-        free = apply_plan(sizes, plan).filter("__size > 0 AND __part = 0").join(F.broadcast(room), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size < 2 * room")
-        free = free.groupBy("__pattern", "room", "__h", "__key").agg(F.sum("__size").alias("n"))
-        one = F.struct("n", "__h", "__key")
-        fits = {tuple(r["__pattern"]): r for r in free.groupBy("__pattern").agg(
-            F.max(F.when(F.col("n") <= F.col("room"), one)).alias("below"), F.min(F.when((F.col("n") > F.col("room")) & (F.col("n") < 2 * F.col("room")), one)).alias("above"),
-        ).collect()}
-        found = {p: r["below"] for p, r in fits.items() if r["below"] is not None}
-        if last or not found:
-            found = {p: r["above"] if r["below"] is None else r["below"] for p, r in fits.items() if r["below"] or r["above"]}
-        for p, best in found.items():
-            plan.extra[p].append((best["__h"], best["__key"]))
-            left[p] -= best["n"]
-        if last or not found:
-            break
-        open_ = {p: left[p] for p in open_ if left[p] > 0}
+    place = f"struct<r: bigint, h: bigint, k: {sizes.schema['__key'].dataType.simpleString()}>"
+    room = dict(rest)
+    open_: dict[tuple, tuple | None] = {p: None for p in plan.patterns if room[p] > 0}
+    while open_:
+        state = spark.createDataFrame([(list(p), i, room[p], open_[p]) for i, p in enumerate(plan.patterns) if p in open_], f"p {kind}, id int, room bigint, behind {place}")
+        rows = sizes.filter("__size > 0").join(F.broadcast(state), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size <= room")
+        rows = rows.filter(F.col("behind").isNull() | (_place() > F.col("behind"))).withColumn("range", _range())
+        # words up to each range, by pattern: at most RANGES rows each
+        upto = F.sum("n").over(Window.partitionBy("id").orderBy("range"))
+        totals = rows.groupBy("id", "room", "range").agg(F.sum("__size").alias("n")).withColumn("upto", upto)
+        found = totals.groupBy("id").agg(F.max("upto").alias("total"), F.min(F.when(F.col("upto") > F.col("room"), F.struct("range", (F.col("upto") - F.col("n")).alias("before")))).alias("edge")).collect()
+        cut = {}
+        edges = [(r["id"], r["edge"]["range"], r["edge"]["before"]) for r in found if r["edge"] is not None]
+        if edges:
+            edge = spark.createDataFrame(edges, "e int, edge bigint, before bigint")
+            # inside the range of the cut, rows that agree in hash and key are taken together
+            inside = (
+                rows.join(F.broadcast(edge), (F.col("id") == F.col("e")) & (F.col("range") == F.col("edge")))
+                .groupBy("id", "room", "before", "__h", "__key").agg(F.sum("__size").alias("n"))
+                .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("id").orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)))
+                .groupBy("id", "before")
+                .agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("last"), F.min(F.when(F.col("upto") > F.col("room"), _place())).alias("first"))
+            )
+            cut = {r["id"]: (r["before"] if r["last"] is None else r["last"], tuple(r["first"])) for r in inside.collect()}
+        before, open_ = open_, {}
+        for r in found:  # a row per pattern
+            p = plan.patterns[r["id"]]
+            taken, stop = cut.get(r["id"], (r["total"], None))
+            plan.cuts[p].append((room[p], before[p], stop))
+            room[p] -= taken
+            if stop is not None and room[p] > 0:
+                open_[p] = stop
+    # nothing fits any more; one may overshoot by less than what is still missing
+    missing = [(list(p), n) for p, n in room.items() if n > 0]
+    if not missing:
+        return
+    free = apply_plan(sizes, plan).filter("__size > 0 AND __part = 0").join(F.broadcast(spark.createDataFrame(missing, f"p {kind}, room bigint")), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size < 2 * room")
+    free = free.groupBy("__pattern", "room", "__h", "__key").agg(F.sum("__size").alias("n")).filter("n < 2 * room")
+    for r in free.groupBy("__pattern").agg(F.min(F.struct("n", "__h", "__key")).alias("above")).collect():
+        plan.extra[tuple(r["__pattern"])].append((r["above"]["__h"], r["above"]["__key"]))
 
 
 def apply_plan(rows: DataFrame, plan: Plan) -> DataFrame:
     """Adds __copies (whole repetitions) and __part (1 if the document is in the seeded part)."""
     spark = rows.sparkSession
     key_kind = rows.schema["__key"].dataType.simpleString()
-    table = []
-    for p in plan.patterns:
-        edge, h, key = plan.cuts.get(p, (None, None, None))
-        table.append((list(p), plan.copies[p], edge, h, key, [tuple(x) for x in plan.extra[p]]))
+    place = f"struct<r: bigint, h: bigint, k: {key_kind}>"
+    table = [(list(p), plan.copies[p], plan.cuts.get(p, []), [tuple(x) for x in plan.extra.get(p, [])]) for p in plan.patterns]
     kind = rows.schema["__pattern"].dataType.simpleString()
-    cuts = spark.createDataFrame(table, f"p {kind}, copies int, edge bigint, h bigint, k {key_kind}, extra array<struct<h: bigint, k: {key_kind}>>")
-    joined = rows.join(F.broadcast(cuts), F.col("__pattern").eqNullSafe(F.col("p")))
-    at = _range()
-    # a null key sorts first, as in the window that placed the cut
-    in_edge = (at == F.col("edge")) & F.col("h").isNotNull() & (
-        (F.col("__h") < F.col("h")) | ((F.col("__h") == F.col("h")) & (F.col("__key").isNull() | F.coalesce(F.col("__key") <= F.col("k"), F.lit(False))))
+    cuts = spark.createDataFrame(
+        table, f"p {kind}, copies int, cuts array<struct<most: bigint, behind: {place}, before: {place}>>, extra array<struct<h: bigint, k: {key_kind}>>"
     )
+    joined = rows.join(F.broadcast(cuts), F.col("__pattern").eqNullSafe(F.col("p"))).withColumn("__place", _place())
+    at = F.col("__place")
+    in_cut = F.exists("cuts", lambda c: (F.col("__size") <= c["most"]) & (c["behind"].isNull() | (at > c["behind"])) & (c["before"].isNull() | (at < c["before"])))
     named = F.exists("extra", lambda x: (x["h"] == F.col("__h")) & x["k"].eqNullSafe(F.col("__key")))
-    part = F.coalesce(F.col("edge").isNotNull() & ((at < F.col("edge")) | in_edge), F.lit(False)) | named
-    return joined.select(*rows.columns, F.col("copies").alias("__copies"), F.when((F.col("__size") > 0) & part, 1).otherwise(0).alias("__part"))
+    return joined.select(*rows.columns, F.col("copies").alias("__copies"), F.when((F.col("__size") > 0) & (in_cut | named), 1).otherwise(0).alias("__part"))
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
