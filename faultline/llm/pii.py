@@ -4,14 +4,19 @@ Entities (e-mail and IP addresses, card and phone numbers) are found by pattern
 in every whole text.  Which other terms give an entity away is estimated from
 the corpus: a term t beside an entity e discloses the share PMI(t; e) / IC(e)
 of it, where IC(e) = log(N / df(e)) and PMI(t; e) = log(N n(t, e) / (df(t) df(e))),
-counted in documents.  1 means that t never occurs without e.  Terms above the
-threshold, seen beside e in enough different contexts (so copies of one
-document don't count), are spans of their own.  A span is generalised if its
-general form (the domain, the network, the shape of a word) discloses less than
-the threshold, else removed.
-
-Every step is linear: a mention has two contexts of bounded length, pairs arise
-only inside them, and all counts are partial before the shuffle.
+counted in whole documents.  1 means that t never occurs without e.  Terms above
+the threshold, seen beside e in enough different contexts (so copies of one
+document don't count), are spans of their own wherever they stand in the
+documents of e.  A span is generalised if its general form (the domain, the
+network, the shape of a word) discloses less than the threshold, else removed.
+
+A term is a run of letters, or several joined by apostrophes or hyphens; a
+joined word counts both as a whole and by its runs, without a possessive s.
+
+Pairs are proposed by contexts of bounded length beside the mentions.  Those
+whose document counts can't reach the threshold are left out, and for the
+others the documents that hold both are counted.  All counts are partial before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -37,8 +42,11 @@ LEAST_CONTEXTS = 3
 REACH = 120
 # contexts that agree so close to the mention are one, as in repeated lines
 NEAR = 24
-_LEFT = r"(?<!\S)\p{L}{3,}+(?=\p{Punct}*+\s)"
-_RIGHT = r"(?<=\s)\p{L}{3,}+(?=\p{Punct}*+(?:\s|$))"
+_LETTER = r"[\p{L}\p{M}]"
+_JOINED = rf"(?:['’‐-](?![sS](?!{_LETTER})){_LETTER}++)"
+WORD = rf"{_LETTER}++{_JOINED}*+"
+JOINED_WORD = rf"{_LETTER}++{_JOINED}++"
+LEAST_LETTERS = 3
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
@@ -111,53 +119,89 @@ def _shape(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, r"\p{Lu}", "X"), r"\p{Ll}", "x")
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    low = F.lower(text)
+    found = F.array_distinct(F.concat(F.split(low, r"[^\p{L}\p{M}]+"), F.regexp_extract_all(low, F.lit(JOINED_WORD), F.lit(0))))
+    return F.filter(found, lambda w: F.length(w) >= LEAST_LETTERS)
+
+
+def _occurrences(text: Column, terms: Column) -> Column:
+    """array<struct<start, end, surface>> of all places of ``terms`` in a text, in order; of a joined word the whole goes before its runs."""
+    known = lambda w: F.array_contains(terms, F.lower(w))
+    place = lambda at, w: F.struct(at.cast("int").alias("start"), (at + F.length(w)).cast("int").alias("end"), w.alias("surface"))
+    hits = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.arrays_zip(F.slice(F.split(text, WORD, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("word"))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, surface: string>>").alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        at, word = a["at"] + F.length(x["gap"]), x["word"]
+        runs = F.filter(_matches(word, _LETTER + "++", F.lit(True)), lambda m: known(m["value"]))
+        found = (
+            F.when(known(word), F.concat(a["found"], F.array(place(at, word))))
+            .when(F.rlike(word, F.lit("['’‐-]")) & (F.size(runs) > 0), F.concat(a["found"], F.transform(runs, lambda m: place(at + m["start"], m["value"]))))
+            .otherwise(a["found"])
+        )
+        return F.struct((at + F.length(word)).alias("at"), found.alias("found"))
+
+    return F.aggregate(words, nothing, step, lambda a: a["found"])
+
+
 def find_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: uid, key, length, entities with their contexts (stored)."""
+    """One row per row of ``docs``: uid, key, entities with their contexts, and the text t, null without entities unless all are kept (stored)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), whole_text(text).alias("t"))
     rows = rows.withColumn("found", _entities(F.col("t")))
     left = lambda s: F.when(s["start"] > REACH, F.regexp_replace(F.substring(F.col("t"), s["start"] - REACH + 1, F.lit(REACH)), r"^\S+", "")).otherwise(F.substring(F.col("t"), F.lit(1), s["start"]))
     right = lambda s: F.when(s["end"] + REACH < F.length("t"), F.regexp_replace(F.substring(F.col("t"), s["end"] + 1, F.lit(REACH)), r"\S+$", "")).otherwise(F.substring(F.col("t"), s["end"] + 1, F.lit(REACH)))
     context = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), left(s).alias("left"), right(s).alias("right"))
-    return stored(rows.select("uid", "key", F.transform("found", context).alias("entities"), *(["t"] if keep_text else [])), "pii-entities")
+    return stored(rows.select("uid", "key", F.transform("found", context).alias("entities"), F.when(F.lit(keep_text) | (F.size("found") > 0), F.col("t")).alias("t")), "pii-entities")
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, df): in how many documents each run of letters occurs, over the whole corpus."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole_text(text)), r"[^\p{L}]+"))).alias("word"))
-    return words.filter(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(word, df): in how many documents each term occurs, over the whole corpus."""
+    words = docs.select(F.explode(_terms(whole_text(text))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 def disclosing_terms(docs: DataFrame, entities: DataFrame, text: str = "text", threshold: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """Spans (uid, start, end, word, entity, general) of terms that give away an entity beside them; and entity counts."""
+    """Spans (uid, start, end, general) of terms that give away an entity of their document; and entity counts."""
     mentions = entities.filter(F.size("entities") > 0).select("uid", F.explode("entities").alias("m")).select(
-        "uid", _identity(F.col("m.kind"), F.col("m.value")).alias("entity"), _general(F.col("m.kind"), F.col("m.value")).alias("general"), "m.start", "m.end", "m.left", "m.right"
-    )
-    always = F.lit(True)
-    before = F.transform(_matches(F.col("left"), _LEFT, always), lambda w: F.struct((F.col("start") - F.length("left") + w["start"]).alias("at"), w["value"].alias("w")))
-    behind = F.transform(_matches(F.col("right"), _RIGHT, always), lambda w: F.struct((F.col("end") + w["start"]).alias("at"), w["value"].alias("w")))
-    beside = mentions.select("uid", "entity", F.xxhash64(F.right("left", F.lit(NEAR)), F.left("right", F.lit(NEAR))).alias("context"), F.explode(F.concat(before, behind)).alias("x")).select(
-        "uid", "entity", "context", F.col("x.at").alias("at"), F.col("x.w").alias("surface"), F.lower("x.w").alias("term")
+        "uid", _identity(F.col("m.kind"), F.col("m.value")).alias("entity"), _general(F.col("m.kind"), F.col("m.value")).alias("general"), "m.left", "m.right"
     )
-    beside = stored(beside, "pii-terms")
+    # other entities in a context are no terms
+    around = F.regexp_replace(F.concat_ws(" ", "left", "right"), EMAIL, " ")
+    beside = mentions.select("entity", F.xxhash64(F.right("left", F.lit(NEAR)), F.left("right", F.lit(NEAR))).alias("context"), F.explode(_terms(around)).alias("term")).distinct()
     corpus = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    per_entity = mentions.select("uid", "entity", "general").distinct()
+    per_entity = stored(mentions.select("uid", "entity", "general").distinct(), "pii-mentions")
     df_entity = stored(per_entity.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("df_e"), F.min("general").alias("general")), "pii-entity-counts")
-    contexts = beside.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= least_contexts)
-    together = beside.select("entity", "term", "uid").distinct().groupBy(F.col("entity").alias("e2"), F.col("term").alias("t2")).agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = contexts.join(together, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2"))).join(df_entity, F.col("entity") == F.col("e"))
     counts = stored(document_frequency(docs, text), "pii-df")
     n = F.lit(float(max(corpus, 1)))
-    pmi = F.log(n * F.col("n_te") / (F.col("df") * F.col("df_e")))
-    share = F.when(F.col("df_e") < n, pmi / F.log(n / F.col("df_e")))
-    telling = pairs.join(counts, F.col("term") == F.col("word")).filter(share >= threshold).select(F.col("entity").alias("e3"), F.col("term").alias("t3"), "df_e", "general")
+    proposed = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= least_contexts)
+    proposed = proposed.join(df_entity.select("e", "df_e"), F.col("entity") == F.col("e")).join(counts, F.col("term") == F.col("word"))
+    # both stand together in no more documents than the rarer alone: pairs that can't reach the threshold even so need no count
+    most = F.log(n / F.greatest("df", "df_e")) / F.log(n / F.col("df_e"))
+    proposed = stored(proposed.filter((F.col("df_e") < n) & (most >= threshold - 1e-9)).select(F.col("entity").alias("e2"), F.col("term").alias("t2"), "df", "df_e"), "pii-pairs")
+    words = entities.filter(F.size("entities") > 0).select("uid", F.explode(_terms(F.col("t"))).alias("term"))
+    words = words.join(proposed.select(F.col("t2").alias("t")).distinct(), F.col("term") == F.col("t"), "left_semi")
+    pairs = words.join(per_entity.select(F.col("uid").alias("u"), "entity"), F.col("uid") == F.col("u")).select("uid", "entity", "term")
+    pairs = stored(pairs.join(proposed.select("e2", "t2"), (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2")), "left_semi"), "pii-together")
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    share = F.log(n * F.col("n_te") / (F.col("df") * F.col("df_e"))) / F.log(n / F.col("df_e"))
+    telling = together.join(proposed, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2"))).filter(share >= threshold).select(F.col("entity").alias("e3"), F.col("term").alias("t3"), "df_e")
     # a general form stands for at least as many documents as its most frequent word
     shapes = counts.groupBy(_shape(F.col("word")).alias("shape")).agg(F.max("df").alias("df_shape"))
     telling = telling.join(shapes, _shape(F.col("t3")) == F.col("shape"), "left")
     vague = F.log(n / F.greatest("df_shape", "df_e")) / F.log(n / F.col("df_e")) < threshold
-    spans = beside.join(telling, (F.col("entity") == F.col("e3")) & (F.col("term") == F.col("t3"))).select(
-        "uid", F.col("at").alias("start"), (F.col("at") + F.length("surface")).alias("end"), F.when(vague, _shape(F.col("surface"))).alias("general")
+    telling = telling.select("e3", "t3", F.coalesce(vague, F.lit(False)).alias("vague"))
+    sought = pairs.join(telling, (F.col("entity") == F.col("e3")) & (F.col("term") == F.col("t3"))).groupBy(F.col("uid").alias("u")).agg(
+        F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("vague"), F.col("term"))).alias("vague")
     )
-    return spans.groupBy("uid", "start", "end").agg(F.min("general").alias("general")), df_entity
+    marked = entities.filter(F.size("entities") > 0).join(sought, F.col("uid") == F.col("u"))
+    emails = F.filter("entities", lambda m: m["kind"] == "email")  # the only ones with letters
+    found = F.filter(_occurrences(F.col("t"), F.col("terms")), lambda x: ~F.exists(emails, lambda m: (m["start"] < x["end"]) & (x["start"] < m["end"])))
+    spans = marked.select("uid", "vague", F.explode(found).alias("x"))
+    general = F.when(F.array_contains("vague", F.lower("x.surface")), _shape(F.col("x.surface")))
+    return stored(spans.select("uid", "x.start", "x.end", general.alias("general")), "pii-terms"), df_entity
 
 
 def _with_terms(entities: DataFrame, terms: DataFrame) -> DataFrame:
@@ -174,8 +218,8 @@ def _plain(spans: Column) -> Column:
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ``base`` and ``spans`` (arrays of start, rank, kind, end), in order.
 
-    ``base`` holds the entities; ``spans`` the same and the terms that disclose
-    them.  A null text counts as empty; null keys and repeated rows are rows
+    ``base`` holds the entities; ``spans`` the same and, anywhere in the text,
+    the terms that disclose them.  A null text counts as empty; null keys and repeated rows are rows
     like any other; an empty table gives none; other columns take no part.
     Two entities of different kinds may overlap; terms overlap no entity.
     """

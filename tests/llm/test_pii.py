@@ -66,3 +66,27 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert all(r.spans == [] for r in pii.detect(odd_documents).collect()) and pii.detect(odd_documents).count() == 10
     assert pii.detect(no_documents).count() == 0 and pii.sanitise(no_documents).count() == 0
     assert sorted(r.text for r in pii.sanitise(odd_documents).collect()) == sorted(r.text or "" for r in odd_documents.collect())
+
+
+def test_terms_far_from_the_entity(spark):
+    gap = " and so on" * 30
+    names = ["Zorgon", "O'Brien", "Anna-Lena", "Blorb"]
+    mails = ["a.b@mail.com", "c.d@mail.com", "e.f@mail.com", "g.h@mail.com"]
+    rows = []
+    for k, (name, mail) in enumerate(zip(names, mails)):
+        # beside the entity in three documents, further apart in five more
+        rows += [(10 * k + i, f"{word} we {name} at {mail} or {word}") for i, word in enumerate(("call", "meet", "hire"))]
+        rows += [(10 * k + 3 + i, f"{name.upper()} was here{gap} {mail}{gap} and \"{name}'s ({name})/{name}, {name}ing.") for i in range(5)]
+    rows += [(100 + i, f"call we at or meet hire was here and so on ing Anna and Lena {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: [r_ for r_ in r.spans if r_.kind == "term"] for r in pii.detect(docs).collect()}
+    texts = dict(rows)
+    for k, name in enumerate(names):
+        for i in range(8):
+            text = texts[10 * k + i]
+            want = [m.start() for m in re.finditer(re.escape(name) + r"(?![a-z]{2})", text, re.I)]
+            assert len(want) == (1 if i < 3 else 4)
+            assert [(s.start, text[s.start : s.end].lower()) for s in got[10 * k + i]] == [(at, name.lower()) for at in want]
+    assert not any(got[100 + i] for i in range(100))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(name in clean[10 * k + i].replace(f"{name}ing", "") for k, name in enumerate(names) for i in range(8))
