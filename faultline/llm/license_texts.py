@@ -1,4 +1,10 @@
-"""Known licence texts: the default table of the licence scan, a parameter of it."""
+"""Known licence texts: the default table of the licence scan, a parameter of it.
+
+Short texts and notices stand here, full texts as published in ``licenses``, one
+file each, named by the licence and, behind a tilde, the printing.
+"""
+
+from importlib.resources import files
 
 # Public licence texts and the usual one-line notices, as published.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -51,6 +57,21 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """
 
+_LAST_TERM = "END OF TERMS AND CONDITIONS"
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files; where terms end before an appendix, both with and without it."""
+    out = []
+    for file in sorted(files("faultline.llm").joinpath("licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, body = file.name.removesuffix(".txt").split("~")[0], file.read_text(encoding="utf-8")
+            out.append((name, body))
+            if _LAST_TERM in body:
+                out.append((name, body[: body.index(_LAST_TERM) + len(_LAST_TERM)]))
+    return out
+
+
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -69,4 +90,5 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *_full_texts(),
 )

@@ -1,5 +1,7 @@
 """Copies of known texts in other dress, and what must not match."""
 
+from pathlib import Path
+
 from faultline.llm import license_scan, license_texts
 
 
@@ -17,6 +19,15 @@ def test_known_texts_in_other_dress(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_licences_in_full(spark):
+    full = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(name, Path("/usr/share/common-licenses", file).read_text()) for file, name in full.items()]
+    rows += [("GPL-3.0-only", rows[2][1].split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"), ("none", rows[2][1][:9_000])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect():
+        assert r.license == (None if r.doc_id == "none" else r.doc_id)
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     known = license_scan.known_digests(spark, [("nothing", ""), ("ours", "Alpha, beta; GAMMA delta epsilon.")])
     got = sorted((str(r.doc_id), r.license) for r in license_scan.scan(odd_documents, known).collect() if r.license)
