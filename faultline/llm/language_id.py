@@ -36,28 +36,25 @@ class Model:
     log_prior: np.ndarray
 
 
-def ngram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of all character n-grams of a text, lower-cased, with a space at both ends."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+def ngram_buckets(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Buckets of all character n-grams of a text, lower-cased, with a space at both ends, in one array or more.
+
+    A long text is read in blocks that start max(ORDERS) - 1 characters early; an
+    n-gram counts in the block where it ends.
+    """
+    padded = f" {text.lower()} "
     shift = np.uint32(32 - buckets.bit_length() + 1)
-    out, value = [], np.zeros(len(codes), dtype=np.uint32)
-    for n in ORDERS:
-        if len(codes) < n:
-            break
-        value = (value[: len(codes) - n + 1] ^ codes[n - 1 :]) * _MIX[(n - 1) % 3]
-        value ^= value >> np.uint32(15)
-        out.append((value * np.uint32(0x27D4EB2F) + np.uint32(n)) * _MIX[0] >> shift)
-    return np.concatenate(out).astype(np.int64)
-
-
-def _blocks(text: str) -> Iterator[str]:
-    """A text in blocks that overlap so far that every n-gram is in one of them."""
-    step = BLOCK_CHARS
-    if len(text) <= step:
-        yield text
-        return
-    for at in range(0, len(text), step):
-        yield text[at : at + step]
+    for at in range(0, len(padded), BLOCK_CHARS):
+        own = min(at, max(ORDERS) - 1)
+        codes = np.frombuffer(padded[at - own : at + BLOCK_CHARS].encode("utf-32-le", "replace"), dtype=np.uint32)
+        out, value = [], np.zeros(len(codes), dtype=np.uint32)
+        for n in ORDERS:
+            if len(codes) < n:
+                break
+            value = (value[: len(codes) - n + 1] ^ codes[n - 1 :]) * _MIX[(n - 1) % 3]
+            value ^= value >> np.uint32(15)
+            out.append((value[max(0, own - n + 1) :] * np.uint32(0x27D4EB2F) + np.uint32(n)) * _MIX[0] >> shift)
+        yield np.concatenate(out).astype(np.int64)
 
 
 def train(
@@ -87,8 +84,8 @@ def train(
         for batch in batches:
             for t, l in zip(batch["t"], batch["l"], strict=True):
                 own = totals.setdefault(l, np.zeros(buckets, np.int64))
-                for block in _blocks(t):
-                    own += np.bincount(ngram_buckets(block, buckets), minlength=buckets)
+                for block in ngram_buckets(t, buckets):
+                    own += np.bincount(block, minlength=buckets)
         for l, own in totals.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"l": l, "bucket": at, "n": own[at]})
@@ -111,9 +108,9 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
             names.append(UNDETERMINED)
             continue
         total = model.log_prior.copy()
-        for block in _blocks(text):
+        for block in ngram_buckets(text, len(model.log_prob)):
             # the sparse row of the text: how often each bucket occurs
-            at, n = np.unique(ngram_buckets(block, len(model.log_prob)), return_counts=True)
+            at, n = np.unique(block, return_counts=True)
             total += n.astype(np.float32) @ model.log_prob[at]
         best = int(np.argmax(total))
         names.append(model.languages[best])

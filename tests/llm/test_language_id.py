@@ -32,6 +32,15 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert language_id.language_columns(no_documents, model).count() == 0
 
 
+def test_blocks_of_a_long_text_hold_every_ngram(monkeypatch):
+    text = "Ein Text über Blöcke, 👍 in two languages. " * 7
+    whole = sorted(int(x) for part in language_id.ngram_buckets(text) for x in part)
+    assert len(whole) == 3 * (len(text) + 2) - 3
+    for size in (1, 2, 3, 7, 64, len(text) + 1):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", size)
+        assert sorted(int(x) for part in language_id.ngram_buckets(text) for x in part) == whole
+
+
 def test_too_many_languages_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
     docs = spark.createDataFrame([(i, "x", f"l{i}") for i in range(3)], "doc_id int, text string, lang string")
