@@ -36,8 +36,11 @@ def _stage(function):
 
 @_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows; texts that are null or have no letter go."""
+    """Documents with a letter, whatever language the model finds and how surely; texts that are null or have no letter go."""
     model = language_id.train(docs.filter(language_id.training_rows(docs)))
+    if not model.languages:
+        # no labelled row: every text would be undetermined
+        return docs.filter(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
     found = language_id.language_columns(docs, model, name="__language")
     return found.filter(F.col("__language.lang_pred") != language_id.UNDETERMINED).select(docs.columns)
 

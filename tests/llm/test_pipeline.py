@@ -47,3 +47,9 @@ def test_odd_rows(spark, odd_documents, no_documents):
             docs = stored(stage(spark, docs, SF), "test-stage")
             if name != "SentencePiece":
                 assert docs.columns == odd_documents.columns
+
+
+def test_no_labelled_row(spark, odd_documents):
+    docs = odd_documents.drop("lang").selectExpr("*", "cast(null as string) AS lang").select(odd_documents.columns)
+    kept = corpus_pipeline.language_stage(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "2", "5", "6", "8", "None"])
