@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import exact_dedup, html_extract, jaccard_join, language_id, license_scan, license_texts, mixing, pii, sentencepiece_codec, topk_search, toxicity
+from faultline.llm import (
+    exact_dedup,
+    hard_negatives,
+    html_extract,
+    jaccard_join,
+    language_id,
+    license_scan,
+    license_texts,
+    mixing,
+    pii,
+    sentencepiece_codec,
+    simhash,
+    spelling,
+    topk_search,
+    toxicity,
+)
 from faultline.plans.registry import Query
 from faultline.sources.tables import table
 
@@ -143,3 +158,95 @@ _KNOWN_SQL = " UNION ALL ".join(f"SELECT '{name}' AS name, '{body.replace(chr(39
 def op5_license_scan(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return license_scan.scan(docs, license_scan.known_digests(spark))
+
+
+@_query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, d.vec_id AS other_id, a.label = d.label AS same,
+               CAST(list_sum(list_transform(list_zip(a.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v a JOIN v d ON a.vec_id % 50 = 0 AND a.vec_id <> d.vec_id
+    ), positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored
+        WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    ), met AS (
+        SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS place
+        FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+             AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    )
+    SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE place <= 3
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    vectors = table(spark, root, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, label=label)
+
+
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of bytes, half a byte at a time."""
+    steps = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(f"{c}::BIGINT")
+    half = f"xor([{', '.join(steps)}][(xor(c, b) & 15) + 1], c >> 4)"
+    halves = f"flatten(list_transform({codes}, lambda x: [x & 15, x >> 4]))"
+    return f"xor(4294967295::BIGINT, list_reduce({halves}, lambda c, b: {half}, 4294967295::BIGINT))"
+
+
+# one run in so many is misspelt before words are counted
+NOISE = 199
+
+
+@_query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE runs AS (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+        FROM documents
+    ), per_doc AS (SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL
+    ), coded AS (
+        SELECT run, k, list_transform(string_split(id || ':' || run, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS points FROM per_doc
+    ), hashed AS (
+        SELECT run, k, {_crc32_sql("flatten(list_transform(points, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END))")} AS h FROM coded
+    ), spelt AS (
+        SELECT CASE WHEN h % {NOISE} = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k
+        FROM hashed
+    ), words AS (
+        SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+    ), gaps AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+        SELECT DISTINCT a.word AS a, b.word AS b, b.n AS bn FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT DISTINCT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+        UNION SELECT DISTINCT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word
+    ), best AS (
+        SELECT a, b, bn, count(*) OVER (PARTITION BY a) AS k FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) = 1
+    ), forms AS (
+        SELECT word, CASE WHEN bn >= 5 * n THEN b END AS form, n, coalesce(k, 0) AS n_near, CASE WHEN bn >= 5 * n THEN bn END AS form_n
+        FROM words LEFT JOIN best ON word = a
+    ), ways(word, reached) AS (
+        SELECT word, word FROM words
+        UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON ways.reached = forms.word WHERE forms.form IS NOT NULL
+    )
+    SELECT f.word, f.form, w.reached AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN ways w ON f.word = w.word JOIN forms last ON w.reached = last.word AND last.form IS NULL
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, root, "documents"), noise=NOISE)
+
+
+@_query("op13_simhash")
+def op13_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_components(table(spark, root, "documents"))
