@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
-from faultline.functions.scan import scan
+from faultline.functions.scan import CHUNK_ROWS, scan
 from faultline.operators.debug_logs import last_field, levelled
+from faultline.session import written
 
 # ---- fixed values -----------------------------------------------------------
 MECHANISMS = ("System.enqueueJob", "Database.executeBatch", "System.scheduleBatch", "System.schedule")
@@ -20,6 +21,7 @@ NEAR_LINES = 25
 
 METHOD_EVENTS = ["METHOD_ENTRY", "METHOD_EXIT"]
 EVIDENCE = ["CONSTRUCTOR_ENTRY", "SYSTEM_METHOD_ENTRY", "EXCEPTION_THROWN"]
+REDUCED = ["k_log", "k_unit", "part", "k_line", "method", "state", "ops"]
 
 
 def framed(rows: DataFrame, wide: bool = False) -> DataFrame:
@@ -33,44 +35,133 @@ def framed(rows: DataFrame, wide: bool = False) -> DataFrame:
     return placed.filter("step = 0").withColumn("unit", F.when(F.col("inner") >= 0, F.col("unit")))
 
 
-def callers(events: DataFrame) -> DataFrame:
-    """The method on top of the stack for each evidence event.
+class ChunkStack:
+    """What a run of method events does to any stack it may start from.
+
+    Entries pushed since the last exit that found no partner here lie on top
+    whatever lay below, so exits and questions that meet them are settled at
+    once.  The rest is kept in order: ``+name`` an entry that stays, ``-name`` an
+    exit that pops to an entry of that name below, if there is one, ``?`` a
+    question for the top of the stack.
+    """
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.ops: list[str] = []
+        self.states = 0
+
+    def _settle(self) -> None:
+        self.ops += [f"+{name}" for name in self.open]
+        self.open, self.at = [], {}
+
+    def enter(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append(name)
+
+    def leave(self, name: str) -> bool:
+        """Pop to the nearest entry of the name; false if none is known here."""
+        found = self.at.get(name)
+        if not found:
+            return False
+        place = found[-1]
+        for gone in reversed(self.open[place:]):
+            self.at[gone].pop()
+        del self.open[place:]
+        return True
+
+    def exit(self, name: str) -> None:
+        if not self.leave(name):
+            self._settle()
+            self.ops.append(f"-{name}")
+
+    def top(self) -> tuple[str | None, int | None]:
+        """(name, None) if the top is known here, else (None, number of the question)."""
+        if self.open:
+            return self.open[-1], None
+        if not self.ops or self.ops[-1] != "?":
+            self.ops.append("?")
+            self.states += 1
+        return None, self.states - 1
+
+    def effect(self) -> list[str]:
+        self._settle()
+        return self.ops
+
+    def apply(self, ops: list[str]) -> list[str | None]:
+        """Run a chunk's effect on this stack, which is the real one; answers to its questions."""
+        answers: list[str | None] = []
+        for op in ops:
+            if op == "?":
+                answers.append(self.open[-1] if self.open else None)
+            elif op[0] == "+":
+                self.enter(op[1:])
+            else:
+                self.leave(op[1:])
+        return answers
+
+
+def callers(events: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """(k_log, k_line, method): the method on top of the stack for each evidence event.
 
     An exit pops back to the nearest entry of the same name and is ignored if
     there is none; no window function says that.  Stacks of different code
-    units are independent, so the pass is per unit, not per log, and streams
-    over sorted partitions keeping only the stack of the unit at hand.
+    units are independent, and a unit is cut into chunks of lines: each chunk
+    is reduced on its own to its effect on a stack, answering what needs no
+    earlier event; the effects of a unit, a few operations each, are run in
+    order; what they answer is joined back.
     """
     inside = events.filter(F.col("unit").isNotNull()).select(
-        "log_id", F.col("unit.line_no").alias("unit_line"), "line_no", "evt", c.callee(F.col("last_part")).alias("callee")
+        "log_id", F.col("unit.line_no").alias("unit_line"), "line_no", "evt", c.callee(F.col("last_part")).alias("callee"),
+        F.floor(F.col("line_no") / F.lit(chunk)).alias("part"),
     )
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, stack = None, []
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stack = None, ChunkStack()
         for pdf in batches:
             out = []
-            for log, unit_line, line, evt, name in zip(pdf["log_id"], pdf["unit_line"], pdf["line_no"], pdf["evt"], pdf["callee"]):
-                if (log, unit_line) != unit:
-                    unit, stack = (log, unit_line), []
+            for log, unit_line, part, line, evt, name in zip(pdf["log_id"], pdf["unit_line"], pdf["part"], pdf["line_no"], pdf["evt"], pdf["callee"], strict=True):
+                if (log, unit_line, part) != key:
+                    if key is not None:
+                        out.append((*key, None, None, None, stack.effect()))
+                    key, stack = (log, unit_line, part), ChunkStack()
                 if evt == "METHOD_ENTRY":
-                    stack.append(name)
+                    stack.enter(name)
                 elif evt == "METHOD_EXIT":
-                    depth = next((i for i in range(len(stack), 0, -1) if stack[i - 1] == name), 0)
-                    if depth:
-                        del stack[depth - 1 :]
+                    stack.exit(name)
                 else:
-                    out.append((log, line, stack[-1] if stack else None))
-            yield pd.DataFrame(out, columns=["k_log", "k_line", "method"])
+                    out.append((*key, line, *stack.top(), None))
+            yield pd.DataFrame(out, columns=REDUCED).astype({"state": "Int64", "k_line": "Int64"})
+        if key is not None:
+            yield pd.DataFrame([(*key, None, None, None, stack.effect())], columns=REDUCED).astype({"state": "Int64", "k_line": "Int64"})
 
-    return (
-        inside.repartition("log_id", "unit_line").sortWithinPartitions("log_id", "unit_line", "line_no")
-        .mapInPandas(walk, "k_log bigint, k_line bigint, method string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, stack = None, ChunkStack()
+        for pdf in batches:
+            out = []
+            for log, unit_line, part, ops in zip(pdf["k_log"], pdf["k_unit"], pdf["part"], pdf["ops"], strict=True):
+                if (log, unit_line) != unit:
+                    unit, stack = (log, unit_line), ChunkStack()
+                out += [(log, unit_line, part, i, name) for i, name in enumerate(stack.apply(list(ops))) if name is not None]
+            yield pd.DataFrame(out, columns=["a_log", "a_unit", "a_part", "a_state", "above"])
+
+    chunks = inside.repartition("log_id", "part").sortWithinPartitions("log_id", "part", "unit_line", "line_no").mapInPandas(
+        reduce, "k_log bigint, k_unit bigint, part bigint, k_line bigint, method string, state bigint, ops array<string>"
+    )
+    chunks = written(chunks, "method-stacks")
+    effects = chunks.filter("ops IS NOT NULL AND size(ops) > 0").select("k_log", "k_unit", "part", "ops")
+    answers = effects.repartition("k_log", "k_unit").sortWithinPartitions("k_log", "k_unit", "part").mapInPandas(
+        run, "a_log bigint, a_unit bigint, a_part bigint, a_state bigint, above string"
     )
+    same = (F.col("k_log") == F.col("a_log")) & (F.col("k_unit") == F.col("a_unit")) & (F.col("part") == F.col("a_part")) & (F.col("state") == F.col("a_state"))
+    asked = chunks.filter("k_line IS NOT NULL").join(answers, same, "left")
+    return asked.select("k_log", "k_line", F.coalesce("method", "above").alias("method"))
 
 
 def evidence(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Constructions, dispatches and async-limit failures with caller and the nearest construction."""
-    events = framed(rows, wide)
+    # read twice, by the stacks and by what is told of them
+    events = written(framed(rows.drop("raw"), wide), "log-frames")
     text = F.col("last_part")
     is_new = (F.col("evt") == "CONSTRUCTOR_ENTRY") & (F.trim(text) != "") & ~F.trim(text).startswith("<")
     mechanism = F.lit(None).cast("string")

@@ -155,3 +155,57 @@ def test_prefixes_are_the_callers(spark):
     none = spark.createDataFrame([], "log_id int, message string, stack string")
     assert debug_logs.involved_components(units, none).count() == 0
     assert [r.component_id for r in debug_logs.involved_components(units, none, prefixes=("acme",)).collect()] == ["acmeOrder"]
+
+
+def plain_callers(events):
+    """The rule as a loop: one stack per unit, an exit pops to the nearest entry of its name."""
+    stacks, out = {}, {}
+    for log, unit, line, evt, name in sorted(events, key=lambda e: (e[0], e[2])):
+        stack = stacks.setdefault((log, unit), [])
+        if evt == "METHOD_ENTRY":
+            stack.append(name)
+        elif evt == "METHOD_EXIT":
+            if name in stack:
+                while stack.pop() != name:
+                    pass
+        else:
+            out[log, line] = stack[-1] if stack else None
+    return out
+
+
+@pytest.mark.parametrize("chunk,seed", [(1, 1), (3, 2), (7, 3), (10_000, 4)])
+def test_stacks_split_into_chunks(spark, chunk, seed):
+    rnd = random.Random(seed)
+    kinds = ["METHOD_ENTRY", "METHOD_EXIT", "METHOD_ENTRY", "METHOD_EXIT", "EXCEPTION_THROWN"]
+    data = [(log, rnd.choice([0, 0, 0, 7]), line, rnd.choice(kinds), rnd.choice("abcdef")) for log in range(5) for line in range(1, 150)]
+    rows = spark.createDataFrame([(log, (unit,), line, evt, f"{name}(Integer)") for log, unit, line, evt, name in data], "log_id bigint, unit struct<line_no:bigint>, line_no bigint, evt string, last_part string")
+    got = {(r.k_log, r.k_line): r.method for r in async_jobs.callers(rows.repartition(4), chunk).collect()}
+    assert got == plain_callers(data)
+
+
+def test_a_chunk_effect_is_short_where_calls_are_closed():
+    stack = async_jobs.ChunkStack()
+    stack.exit("before")
+    for i in range(1_000):
+        stack.enter("a")
+        stack.enter(f"b{i}")
+        assert stack.top() == (f"b{i}", None)
+        stack.exit("a")
+    stack.enter("stays")
+    assert stack.effect() == ["-before", "+stays"]
+    unmatched = async_jobs.ChunkStack()
+    for i in range(50_000):
+        unmatched.enter("open")
+        unmatched.exit("nobody")
+    assert len(unmatched.effect()) == 100_000
+
+
+def test_one_unit_spread_over_tasks(spark):
+    n = 400_000
+    rows = spark.range(1, n + 1).select(
+        F.lit(1).cast("bigint").alias("log_id"), F.struct(F.lit(0).cast("bigint").alias("line_no")).alias("unit"), F.col("id").alias("line_no"),
+        F.when(F.col("id") == 1, "METHOD_ENTRY").when(F.col("id") % 4 == 2, "METHOD_ENTRY").when(F.col("id") % 4 == 3, "METHOD_EXIT").otherwise("EXCEPTION_THROWN").alias("evt"),
+        F.when(F.col("id") == 1, "outer()").otherwise("inner()").alias("last_part"),
+    )
+    found = async_jobs.callers(rows, 4_096)
+    assert found.groupBy("method").count().collect() == [("outer", n // 2 - 1)]
