@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions.scan import scan
+from faultline.session import written
 
 KEY = ["org_id", "component_id"]
 
@@ -84,11 +85,38 @@ INITIALISER = r"(?is)\bnew\s+[\w.]+(?:\s*<[\w\s.,<>\[\]]*>)?(?:\s*\[\s*\])?\s*\{
 BRACKETS = rf"(?s){LITERAL}|[()]|[^()']++|'"
 INLINE_HEAD = r"^\s*(else\s+if|if|for|while)\s*\("
 INLINE_ELSE = r"^\s*else\b(?!\s+if\b)\s*(?=[^\s{;])"
+# a comment mark behind a quote may stand inside a literal; the text as literals, comments and the rest
+MARK_IN_LITERAL = r"'[^'\n]*(?://|/\*)"
+CODE_TOKENS = rf"(?s){LITERAL}|/\*.*?\*/|//[^\n]*|[^'/]++|['/]"
+# methods marked as entry points, by annotation
+MARKED_METHODS = {
+    kind: rf"@{kind}[^\n]*\n\s*(?:public|global|private)?\s*(?:static\s+)?[\w<>\[\],\s]+\s+(\w+)\s*\("
+    for kind in ("AuraEnabled", "InvocableMethod", "future", "RemoteAction")
+}
+REST_RESOURCE = r"(?i)@RestResource\s*\(urlMapping\s*=\s*'([^']*)'"
+# what a handler does with its exception
+HANDLER_FACTS = {
+    "wraps_and_rethrows": r"\bthrow\s+new\b",
+    "adds_error": r"\.addError\s*\(",
+    "publishes_event": r"EventBus\.publish\s*\(",
+    "persists_log": r"(?i)\b(insert|upsert|update)\b|Database\.(insert|upsert)",
+    "sends_email": r"Messaging\.sendEmail\s*\(",
+    "debug_only": r"System\.debug\s*\(",
+}
+# a call that is handed a variable, before and behind its name; words that only look like calls
+HANDED_TO = (r"\b([A-Za-z_][\w.]*)\s*\([^)]*\b", r"\b")
+NO_CALLEES = ("if", "for", "while", "return", "System")
+# words that may stand right before a call
+BEFORE_CALL = "return else throw and or not in case when".split()
 # -----------------------------------------------------------------------------
 
 
 def stripped(code: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", "")
+    """The source without comments; comment marks inside string literals are none."""
+    plain = F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", "")
+    tokens = F.regexp_extract_all(code, F.lit(CODE_TOKENS), 0)
+    by_token = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("/*"), " ").when(t.startswith("//"), "").otherwise(t)), "")
+    return F.when(code.rlike(MARK_IN_LITERAL), by_token).otherwise(plain)
 
 
 def prepared(sources: DataFrame) -> DataFrame:
@@ -172,6 +200,31 @@ def statements(prep: DataFrame, with_methods: bool = True) -> DataFrame:
     ).withColumn("method_at", F.when(inside, F.struct("around.end_pos", "around.close_pos"))).withColumn("method_no", F.when(inside, F.col("around.no")))
 
 
+def beside_code(rows: DataFrame, prep: DataFrame, *steps) -> DataFrame:
+    """Rows with what ``steps`` read from the text of their class.
+
+    A step takes a row (as a struct) and the text and returns columns by name.
+    The rows of a class are bounded by its text; they meet it once, and the
+    text itself goes no further.
+    """
+    names = [x for x in rows.columns if x not in KEY]
+    held = rows.groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("__rows"))
+
+    def with_found(step):
+        def extend(x: Column) -> Column:
+            row = {n: x[n] for n in names}
+            row |= step(row, F.col("code"))
+            names[:] = row
+            return F.struct(*[v.alias(n) for n, v in row.items()])
+
+        return extend
+
+    items = F.col("__rows")
+    for step in steps:
+        items = F.transform(items, with_found(step))
+    return held.join(prep.select(*KEY, "code"), KEY).select(*KEY, F.inline(items))
+
+
 def extract_by(text: Column | str, pattern: Column, group: int) -> Column:
     """regexp_extract with a pattern that differs per row."""
     return F.call_function("regexp_extract", F.col(text) if isinstance(text, str) else text, pattern, F.lit(group))
@@ -241,20 +294,22 @@ def entry_points(prep: DataFrame, stmts: DataFrame) -> DataFrame:
         )
     )
     code = F.col("code")
-    shown = []
-    for kind in ("AuraEnabled", "InvocableMethod", "future", "RemoteAction"):
-        pattern = rf"@{kind}[^\n]*\n\s*(?:public|global|private)?\s*(?:static\s+)?[\w<>\[\],\s]+\s+(\w+)\s*\("
-        shown.append(F.transform(
-            F.regexp_extract_all(code, F.lit(pattern), 1), _marked(kind)
-        ))
+    shown = [F.transform(F.regexp_extract_all(code, F.lit(pattern), 1), _marked(kind)) for kind, pattern in MARKED_METHODS.items()]
     rest = F.transform(
-        F.regexp_extract_all(code, F.lit(r"(?i)@RestResource\s*\(urlMapping\s*=\s*'([^']*)'"), 1),
-        lambda n: F.struct(F.lit("RestResource").alias("kind"), n.alias("detail")),
+        F.regexp_extract_all(code, F.lit(REST_RESOURCE), 1), lambda n: F.struct(F.lit("RestResource").alias("kind"), n.alias("detail"))
     )
     marked = prep.select(*KEY, F.inline_outer(F.concat(rest, *shown))).filter("kind IS NOT NULL").withColumn("inner_class", F.lit(None).cast("string"))
     return by_header.unionByName(marked)
 
 
+def trigger_entry_points(prep: DataFrame) -> DataFrame:
+    """A trigger is entered by the events of its object."""
+    return triggers(prep).filter(F.col("object").isNotNull()).select(
+        *KEY, F.lit("Trigger").alias("kind"), F.lit(None).cast("string").alias("inner_class"),
+        F.concat("object", F.lit(" ("), "events", F.lit(")")).alias("detail"),
+    )
+
+
 def methods(prep: DataFrame, stmts: DataFrame) -> DataFrame:
     """Signature, lines and complexity; what a body holds is summed over its statements, its text is not copied."""
     heads = stmts.filter("is_method")
@@ -316,43 +371,45 @@ def dml(stmts: DataFrame) -> DataFrame:
 
 def catch_handlers(prep: DataFrame, stmts: DataFrame) -> DataFrame:
     """What each handler does with its exception, by a fixed precedence."""
-    heads = found(stmts.filter("step = 1"), CATCH, 2).join(prep.select(*KEY, "code"), KEY)
-    body = F.substr(F.col("code"), F.col("end_pos") + 1, F.coalesce(F.col("close_pos"), F.length("code")) - F.col("end_pos") - 1)
-    rows = heads.withColumn("body", body)
-    b = F.col("body")
-    n = F.size(F.filter(F.split(b, ";"), lambda s: F.regexp_replace(s, r"\s+", "") != ""))
-    facts = {
-        "wraps_and_rethrows": b.rlike(r"\bthrow\s+new\b"),
-        "rethrows": F.regexp_like(b, F.concat(F.lit(r"\bthrow\b\s+"), "g2", F.lit(r"\b"))),
-        "adds_error": b.rlike(r"\.addError\s*\("),
-        "publishes_event": b.rlike(r"EventBus\.publish\s*\("),
-        "persists_log": b.rlike(r"(?i)\b(insert|upsert|update)\b|Database\.(insert|upsert)"),
-        "sends_email": b.rlike(r"Messaging\.sendEmail\s*\("),
-        "debug_only": b.rlike(r"System\.debug\s*\("),
-    }
-    rows = rows.select("*", *[v.alias(k) for k, v in facts.items()], n.cast("bigint").alias("statements"))
+    heads = found(stmts.filter("step = 1"), CATCH, 2).select(*KEY, "line", "method", F.col("g1").alias("type"), "g2", "end_pos", "close_pos")
+
+    def body(x: dict, code: Column) -> dict:
+        return {"body": F.substr(code, x["end_pos"] + 1, F.coalesce(x["close_pos"], F.length(code)) - x["end_pos"] - 1)}
+
+    def told(x: dict, code: Column) -> dict:
+        facts = {name: F.regexp_like(x["body"], F.lit(pattern)) for name, pattern in HANDLER_FACTS.items()}
+        facts["rethrows"] = F.regexp_like(x["body"], F.concat(F.lit(r"\bthrow\b\s+"), x["g2"], F.lit(r"\b")))
+        facts["statements"] = F.size(F.filter(F.split(x["body"], ";"), lambda s: F.regexp_replace(s, r"\s+", "") != "")).cast("bigint")
+        return facts
+
+    rows = beside_code(heads, prep, body, told)
     effect = (
         F.when(F.col("wraps_and_rethrows"), "wrap_rethrow").when(F.col("rethrows"), "rethrow").when(F.col("adds_error"), "add_error")
         .when(F.col("publishes_event"), "publishes_event").when(F.col("persists_log"), "persist_log")
         .when(F.col("debug_only") & (F.col("statements") > 0), "debug_only").when(F.col("statements") == 0, "empty").otherwise("swallow")
     )
-    return rows.select(*KEY, "line", "method", F.col("g1").alias("type"), *facts, "statements", effect.alias("effect"))
+    return rows.select(*KEY, "line", "method", "type", *HANDLER_FACTS, "rethrows", "statements", effect.alias("effect"))
 
 
 def static_state(prep: DataFrame) -> DataFrame:
-    """Static collections, and whether anything clears or replaces them."""
-    lines = prep.select(*KEY, "code", F.posexplode_outer(F.split("code", "\n")).alias("line_no", "text")).filter(F.col("text").rlike(STATIC_COLLECTION))
-    name = F.regexp_extract("text", STATIC_COLLECTION, 3)
-    first = lines.select(*KEY, "code", "line_no", name.alias("name"), (F.regexp_extract("text", STATIC_COLLECTION, 1) != "").alias("is_final"),
-                         F.regexp_extract("text", STATIC_COLLECTION, 2).alias("collection"))
-    one = first.groupBy(*KEY, "name").agg(F.min_by(F.struct("is_final", "collection", "code"), "line_no").alias("x"))
-    renewed = F.regexp_count(F.col("x.code"), F.concat(F.lit(r"\b"), "name", F.lit(r"\s*=\s*new\b")))
-    cleared = F.regexp_count(F.col("x.code"), F.concat(F.lit(r"\b"), "name", F.lit(r"\s*\.\s*clear\s*\(\s*\)")))
-    return one.select(*KEY, "name", "x.is_final", "x.collection", ((renewed > 1) | (cleared > 0)).alias("reset_elsewhere"))
+    """Static collections, and whether anything clears or replaces them; found in the text where it lies."""
+    part = lambda x, i: F.regexp_extract(x, STATIC_COLLECTION, i)
+    lines = F.filter(F.split("code", "\n"), lambda x: x.rlike(STATIC_COLLECTION))
+    named = F.transform(lines, lambda x: F.struct(part(x, 3).alias("name"), (part(x, 1) != "").alias("is_final"), part(x, 2).alias("collection")))
+
+    def state(x: Column) -> Column:
+        renewed = F.regexp_count(F.col("code"), F.concat(F.lit(r"\b"), x["name"], F.lit(r"\s*=\s*new\b")))
+        cleared = F.regexp_count(F.col("code"), F.concat(F.lit(r"\b"), x["name"], F.lit(r"\s*\.\s*clear\s*\(\s*\)")))
+        return F.struct(x["name"].alias("name"), x["is_final"].alias("is_final"), x["collection"].alias("collection"), ((renewed > 1) | (cleared > 0)).alias("reset_elsewhere"))
+
+    rows = prep.filter(F.col("code").rlike(STATIC_COLLECTION)).withColumn("named", named)
+    # of several lines with one name the first counts
+    first = F.filter("named", lambda x, i: ~F.exists(F.slice("named", F.lit(1), i), lambda y: y["name"] == x["name"]))
+    return rows.select(*KEY, F.inline(F.transform(first, state)))
 
 
 def field_writes(prep: DataFrame, stmts: DataFrame) -> DataFrame:
-    """Field assignments with risk (stale static caches) and whether the value is committed."""
+    """Field assignments with risk (stale static caches) and its reason, and whether the value is committed."""
     hits = found(stmts, FIELD_WRITE, 3).withColumn("rhs", F.trim("g3"))
     source = F.nullif(F.regexp_extract("rhs", MAP_LOOKUP, 1), F.lit(""))
     pattern = F.when(source.isNotNull(), "map_lookup").when(F.col("rhs").rlike(r"^\s*new\s+"), "constructor").otherwise("direct")
@@ -362,16 +419,25 @@ def field_writes(prep: DataFrame, stmts: DataFrame) -> DataFrame:
     commits = commits.groupBy(*KEY, "g1", "in_method").agg(F.min("line").alias("persisted_by"))
     rows = hits.withColumn("in_method", F.coalesce("method", F.lit(""))).join(state, [*KEY, "source_map"], "left").join(
         commits, [*KEY, "g1", "in_method"], "left"
-    ).join(prep.select(*KEY, "code"), KEY)
-    callee = extract_by("code", F.concat(F.lit(r"\b([A-Za-z_][\w.]*)\s*\([^)]*\b"), "g1", F.lit(r"\b")), 1)
-    passed = F.when(F.col("persisted_by").isNull() & (callee != "") & ~callee.isin("if", "for", "while", "return", "System"), callee)
+    )
+    # where a receiver goes to is a fact of the class, found once for each receiver
+    receivers = hits.select(*KEY, "g1").distinct()
+    handed = beside_code(receivers, prep, lambda x, code: {"callee": extract_by(code, F.concat(F.lit(HANDED_TO[0]), x["g1"], F.lit(HANDED_TO[1])), 1)})
+    rows = rows.join(handed, [*KEY, "g1"], "left")
+    passed = F.when(F.col("persisted_by").isNull() & (F.col("callee") != "") & ~F.col("callee").isin(*NO_CALLEES), F.col("callee"))
     risk = (
         F.when(F.col("pattern") != "map_lookup", "low").when(~F.coalesce("reset_elsewhere", F.lit(True)), "high").otherwise("medium")
     )
+    reason = F.when(F.col("pattern") == "map_lookup", F.concat(
+        F.lit("read from "), "source_map",
+        F.when(F.col("reset_elsewhere").isNull(), ", not computed for this record")
+        .when(F.col("reset_elsewhere"), ", a static collection; check that its reset covers this path")
+        .otherwise(", a static collection that is never reset: a value of another record may remain"),
+    ))
     value = F.when(F.col("pattern") == "direct", c.source_literal(F.col("rhs"))).otherwise("string")
     return rows.select(
-        *KEY, "line", "method", F.col("g2").alias("field"), F.col("g1").alias("receiver"), "pattern", "source_map", risk.alias("risk"),
-        value.alias("value_type"), F.col("rhs").alias("value"), passed.alias("passed_to"),
+        *KEY, "line", "method", F.col("g2").alias("field"), F.col("g1").alias("receiver"), "pattern", "source_map", risk.alias("risk"), reason.alias("reason"),
+        value.alias("value_type"), F.col("rhs").alias("value"), "persisted_by", passed.alias("passed_to"),
         F.when(F.col("persisted_by").isNotNull(), "persisted").when(passed.isNotNull(), "passed_to_callee").otherwise("unpersisted_or_unresolved").alias("persistence"),
     )
 
@@ -422,52 +488,66 @@ def async_dispatches(prep: DataFrame, stmts: DataFrame, names: DataFrame) -> Dat
     proper = F.lit(None).cast("string")
     for m in DISPATCH:
         proper = F.when(F.col("mechanism") == m.lower(), m).otherwise(proper)
-    rows = rows.withColumn("mechanism", proper).join(prep.select(*KEY, "code"), KEY)
-    scope = F.substr(F.col("code"), F.col("method_at.end_pos"), F.col("method_at.close_pos") - F.col("method_at.end_pos") + 1)
-    rows = rows.withColumn("scope", F.coalesce(scope, F.col("code"))).withColumn(
-        "expr", F.regexp_replace(F.trim("job"), r"^\(\s*[\w.<>]+\s*\)\s*", "")
-    ).withColumn("ident", F.regexp_extract("expr", r"^(?:this\s*\.\s*)?([A-Za-z_]\w*)$", 1))
-
-    def assigned(text: str) -> Column:
-        return extract_by(text, F.concat(F.lit(r"\b"), "ident", F.lit(r"\s*=\s*new\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\s*\(")), 1)
-
-    def declared(text: str) -> Column:
-        kinds = F.regexp_extract_all(text, F.concat(F.lit(r"\b([A-Za-z_][\w.]*)\s+"), "ident", F.lit(r"\s*[=;,)]")), F.lit(1))
-        fit = F.filter(kinds, lambda t: ~F.lower(t).isin(JOB_INTERFACES + CONTROL + NOT_TYPES))
-        return F.coalesce(F.try_element_at(fit, F.lit(1)), F.lit(""))
-
-    first_new = F.regexp_replace(F.regexp_extract("expr", "^" + NEW, 0), r"(?s)^new\s+|\s*\($|\s", "")
-    any_new = F.regexp_replace(F.regexp_extract("expr", NEW, 0), r"(?s)^new\s+|\s*\($|\s", "")
-    is_name = (F.col("ident") != "") & (F.col("expr") != "this")
-    steps = [
-        (first_new != "", first_new, "constructor"), (F.col("expr") == "this", F.col("component_id"), "this"),
-        (is_name & (assigned("scope") != ""), assigned("scope"), "variable_assignment"),
-        (is_name & (assigned("code") != ""), assigned("code"), "variable_assignment"),
-        (is_name & (declared("scope") != ""), declared("scope"), "declared_type"),
-        (is_name & (declared("code") != ""), declared("code"), "declared_type"),
-        (~is_name & (any_new != ""), any_new, "constructor_in_expression"),
-    ]
-    target, how = F.lit(None).cast("string"), F.lit("unresolved")
-    for cond, value, name in reversed(steps):
-        target, how = F.when(cond, value).otherwise(target), F.when(cond, name).otherwise(how)
-    rows = rows.withColumn("resolved", target).withColumn("resolution", how)
+    expr = F.regexp_replace(F.trim("job"), r"^\(\s*[\w.<>]+\s*\)\s*", "")
+    rows = rows.withColumn("mechanism", proper).withColumn("expr", expr).withColumn("ident", F.regexp_extract("expr", r"^(?:this\s*\.\s*)?([A-Za-z_]\w*)$", 1))
+    told = ("delay_minutes", "scope_size", "job_name", "cron")
+    rows = rows.select(*KEY, "mechanism", "line", "method", "in_loop", "expr", "ident", "method_at", F.col("component_id").alias("own"), *told)
+
+    def scope(x: dict, code: Column) -> dict:
+        at = x["method_at"]
+        return {"scope": F.coalesce(F.substr(code, at["end_pos"], at["close_pos"] - at["end_pos"] + 1), code)}
+
+    def resolve(x: dict, code: Column) -> dict:
+        ident, job = x["ident"], x["expr"]
+
+        def assigned(text: Column) -> Column:
+            return extract_by(text, F.concat(F.lit(r"\b"), ident, F.lit(r"\s*=\s*new\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\s*\(")), 1)
+
+        def declared(text: Column) -> Column:
+            kinds = F.regexp_extract_all(text, F.concat(F.lit(r"\b([A-Za-z_][\w.]*)\s+"), ident, F.lit(r"\s*[=;,)]")), F.lit(1))
+            fit = F.filter(kinds, lambda t: ~F.lower(t).isin(JOB_INTERFACES + CONTROL + NOT_TYPES))
+            return F.coalesce(F.try_element_at(fit, F.lit(1)), F.lit(""))
+
+        first_new = F.regexp_replace(F.regexp_extract(job, "^" + NEW, 0), r"(?s)^new\s+|\s*\($|\s", "")
+        any_new = F.regexp_replace(F.regexp_extract(job, NEW, 0), r"(?s)^new\s+|\s*\($|\s", "")
+        is_name = (ident != "") & (job != "this")
+        steps = [
+            (first_new != "", first_new, "constructor"), (job == "this", x["own"], "this"),
+            (is_name & (assigned(x["scope"]) != ""), assigned(x["scope"]), "variable_assignment"),
+            (is_name & (assigned(code) != ""), assigned(code), "variable_assignment"),
+            (is_name & (declared(x["scope"]) != ""), declared(x["scope"]), "declared_type"),
+            (is_name & (declared(code) != ""), declared(code), "declared_type"),
+            (~is_name & (any_new != ""), any_new, "constructor_in_expression"),
+        ]
+        found_as = F.lit(None).cast("struct<target:string,how:string>")
+        for cond, value, name in reversed(steps):
+            found_as = F.when(cond, F.struct(value.alias("target"), F.lit(name).alias("how"))).otherwise(found_as)
+        literal = {}
+        for key in told:
+            number = extract_by(x["scope"], F.concat(F.lit(r"\b"), F.coalesce(F.when(x[key].rlike(r"^[A-Za-z_]\w*$"), x[key]), F.lit("(none)")), F.lit(r"\s*=\s*(\d+)\s*;")), 1)
+            literal[f"{key}_value"] = F.when(x[key].rlike(r"^'[^']*'$"), F.regexp_replace(x[key], "^'|'$", "")).when(number != "", number).otherwise(x[key])
+        return {"found_as": found_as, **literal}
+
+    def inner(x: dict, code: Column) -> dict:
+        resolved = x["found_as"]["target"]
+        return {
+            "resolved": resolved, "resolution": F.coalesce(x["found_as"]["how"], F.lit("unresolved")),
+            "declares_it": F.regexp_like(code, F.concat(F.lit(r"\bclass\s+"), F.coalesce(resolved, F.lit("(none)")), F.lit(r"\b"))),
+        }
+
+    rows = beside_code(rows, prep, scope, resolve, inner)
     known = names.select(F.col("org_id").alias("n_org"), F.col("name").alias("n_name"))
     outer = F.split("resolved", r"\.")[0]
     rows = rows.withColumn("outer", outer).join(known, (F.col("org_id") == F.col("n_org")) & (F.col("outer") == F.col("n_name")), "left")
     is_known = F.col("n_name").isNotNull() | (F.col("outer") == F.col("component_id"))
     dotted = F.col("resolved").contains(".")
-    is_inner = ~dotted & ~is_known & F.regexp_like("code", F.concat(F.lit(r"\bclass\s+"), F.coalesce("resolved", F.lit("(none)")), F.lit(r"\b")))
-    literal = {}
-    for key in ("delay_minutes", "scope_size", "job_name", "cron"):
-        value = F.col(key)
-        number = extract_by("scope", F.concat(F.lit(r"\b"), F.coalesce(F.when(value.rlike(r"^[A-Za-z_]\w*$"), value), F.lit("(none)")), F.lit(r"\s*=\s*(\d+)\s*;")), 1)
-        literal[key] = F.when(value.rlike(r"^'[^']*'$"), F.regexp_replace(value, "^'|'$", "")).when(number != "", number).otherwise(value)
+    is_inner = ~dotted & ~is_known & F.col("declares_it")
     return rows.select(
         *KEY, "mechanism", "line", "method", "in_loop", "resolution",
         F.when(is_inner, F.col("component_id")).when(dotted & F.col("n_name").isNotNull(), F.col("outer")).otherwise(F.col("resolved")).alias("target"),
         F.when(is_inner, F.col("resolved")).when(dotted, F.substring_index("resolved", ".", -1)).alias("inner_class"),
         F.coalesce(is_inner | (F.when(dotted, F.col("n_name").isNotNull()).otherwise(is_known)), F.lit(False)).alias("target_in_kb"),
-        *[v.alias(k) for k, v in literal.items()],
+        *[F.col(f"{k}_value").alias(k) for k in told],
     )
 
 
@@ -547,10 +627,6 @@ def _inline_end(text: Column) -> Column:
     return F.when(text.rlike(INLINE_HEAD), F.when((end > 0) & F.substr(text, end + 1).rlike(r"^\s*[^\s{;]"), end))
 
 
-def _inline_heads(stmts: DataFrame) -> DataFrame:
-    return stmts.withColumn("inline_end", F.when(F.col("closer") == ";", _inline_end(F.col("text"))))
-
-
 def guards(stmts: DataFrame) -> DataFrame:
     """Blocks that run under a condition, with the text of it and what earlier branches ruled out."""
     opened = stmts.filter("step = 1").withColumn("head", c.squeeze(F.regexp_replace("text", r"\{$", "")))
@@ -561,19 +637,23 @@ def guards(stmts: DataFrame) -> DataFrame:
     blocks = opened.withColumn("word", word).withColumn("cond", cond).filter(F.col("word").isNotNull())
     # a for with semicolons is cut into three statements, the first of which holds the word
     order = Window.partitionBy(*KEY).orderBy("no")
-    pieces = stmts.withColumn("t2", F.lead("text", 1).over(order)).withColumn("t3", F.lead("text", 2).over(order))
+    starts = (F.col("closer") == ";") & F.col("loop_close").isNotNull() & F.col("text").rlike(r"\bfor\s*\(")
+    near = stmts.select(*KEY, "no", "depth", "loop_close", "closer", "text", F.coalesce(starts, F.lit(False)).alias("starts"))
+    near = near.withColumn("second", F.lag("starts", 1, False).over(order)).withColumn("third", F.lag("starts", 2, False).over(order))
+    near = near.filter("starts OR second OR third").withColumn("t2", F.lead("text", 1).over(order)).withColumn("t3", F.lead("text", 2).over(order))
     start = F.regexp_extract("text", r"(?s)\bfor\s*\((.*)$", 1)
-    whole = c.squeeze(F.concat(start, "t2", F.regexp_extract("t3", r"(?s)^(.*)\)\s*\{$", 1)))
-    stmts = _inline_heads(stmts)
-    pieces = pieces.withColumn("inline_end", _inline_end(F.col("text")))
-    cut_head = (F.col("closer") == ";") & (start != "") & F.col("inline_end").isNull()
-    classic = pieces.filter(cut_head & F.col("loop_close").isNotNull()).select(
+    # the third part ends at the block's parenthesis, or, without braces, at the first that nothing in it opens
+    braced, bare = F.regexp_extract("t3", r"(?s)^(.*)\)\s*\{$", 1), F.regexp_extract("t3", r"(?s)^([^()]*+(?:\([^()]*+\)[^()]*+)*+)\)", 1)
+    whole = c.squeeze(F.concat(start, "t2", F.when(F.col("t3").endswith("{"), braced).otherwise(bare)))
+    cut_head = F.col("starts") & (start != "") & _inline_end(F.col("text")).isNull()
+    classic = near.filter(cut_head).select(
         *KEY, "no", F.col("loop_close").alias("close_no"), F.col("depth").alias("level"), F.lit("for").alias("word"), whole.alias("cond")
     )
     block = blocks.select(*KEY, "no", "close_no", "level", "word", "cond").unionByName(classic)
     branch = (F.col("closer") == ";") & F.col("text").rlike(r"^\s*(?:else|if|for|while)\b")
     is_else = F.col("text").rlike(INLINE_ELSE)
-    single = stmts.filter(branch & (F.col("inline_end").isNotNull() | is_else))
+    branches = stmts.filter(branch).select(*KEY, "no", "depth", "text", _inline_end(F.col("text")).alias("inline_end"))
+    single = branches.filter(F.col("inline_end").isNotNull() | is_else)
     whole_head = F.substring(F.col("text"), F.lit(1), F.col("inline_end"))
     space = F.length("text") - F.col("inline_end") - F.length(F.ltrim(F.regexp_replace(F.substr(F.col("text"), F.col("inline_end") + 1), r"^\s+", "")))
     condition = F.regexp_replace(F.regexp_replace(whole_head, INLINE_HEAD, ""), r"\)$", "")
@@ -602,6 +682,39 @@ def labelled_guards(stmts: DataFrame) -> DataFrame:
     return out.select(*KEY, "no", "close_no", "after", label.alias("label"))
 
 
+def innermost(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, no, block_no): the block (no, close_no) around each statement, of nested ones the last; null outside all.
+
+    Blocks nest, so the one around a statement is the last one opened at the
+    level below the statement's own.  Level and last opening are running values
+    over the source: no statement meets the blocks of its class one by one.
+    """
+    what = lambda df, no, opens, closes: df.select(*KEY, F.col(no).alias("no"), F.lit(opens).alias("opens"), F.lit(closes).alias("closes"))
+    marks = what(stmts, "no", 0, 0).unionByName(what(blocks, "no", 1, 0)).unionByName(what(blocks, "close_no", 0, 1))
+    earlier = Window.partitionBy(*KEY).orderBy("no").rangeBetween(Window.unboundedPreceding, -1)
+    level = F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(earlier), F.lit(0))
+    placed = marks.withColumn("level", level).filter("closes = 0").withColumn("level", F.col("level") - 1 + F.col("opens"))
+    last = Window.partitionBy(*KEY, "level").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = F.last(F.when(F.col("opens") == 1, F.col("no")), ignorenulls=True).over(last)
+    return placed.withColumn("block_no", opened).filter("opens = 0").select(*KEY, "no", "block_no")
+
+
+def condition_paths(labelled: DataFrame, inside: DataFrame) -> DataFrame:
+    """(key, no, after, path): every guard's condition behind those of the blocks around it, outermost first.
+
+    ``inside`` tells the block around each statement.  Each round hangs a
+    guard's path onto that of the block it points to and points it to where that
+    one points: rounds grow with the logarithm of the nesting.
+    """
+    ways = labelled.join(inside, [*KEY, "no"]).select(*KEY, "no", "after", F.col("label").alias("path"), F.col("block_no").alias("up"))
+    ways = written(ways, "condition-paths")
+    while not ways.filter("up IS NOT NULL").isEmpty():
+        above = ways.select(*KEY, F.col("no").alias("up"), F.col("path").alias("upper"), F.col("up").alias("beyond"))
+        longer = F.concat_ws(" > ", "upper", "path")
+        ways = written(ways.join(above, [*KEY, "up"], "left").select(*KEY, "no", "after", longer.alias("path"), F.col("beyond").alias("up")), "condition-paths")
+    return ways.drop("up")
+
+
 def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
     """Every call in source order with its method, line and enclosing conditions."""
     own = stmts.filter("is_method").select(*KEY, F.col("name").alias("own_name")).distinct()
@@ -617,31 +730,29 @@ def call_sites(stmts: DataFrame, names: DataFrame) -> DataFrame:
     )
     target = F.when(F.col("namespace").isNotNull(), F.col("ns_class")).when(F.col("chain") == "this", F.col("component_id")).otherwise(head)
     qualified = calls.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
-        *KEY, "no", "hit_no", "at", "line", "method", "in_loop", "kind", target.alias("target"), "namespace", F.col("g2").alias("method_called"), "callee"
+        *KEY, "no", "at", "line", "method", "in_loop", "kind", target.alias("target"), "namespace", F.col("g2").alias("method_called"), "callee"
     )
     bare = found(stmts, BARE_CALL, 1).join(own.withColumnRenamed("own_name", "g1"), [*KEY, "g1"]).filter(
         (F.col("g1") != F.col("component_id")) & ~F.col("is_method")
     )
     ahead = F.rtrim(F.regexp_replace(ahead_of(), r"\s+$", ""))
     word = F.lower(F.regexp_extract(ahead, r"([\w>\]]+)$", 1))
-    bare = bare.filter((word == "") | word.isin("return else throw and or not in case when".split())).select(
-        *KEY, "no", "hit_no", "at", "line", "method", "in_loop", F.lit("same_class").alias("kind"), F.col("component_id").alias("target"),
+    bare = bare.filter((word == "") | word.isin(BEFORE_CALL)).select(
+        *KEY, "no", "at", "line", "method", "in_loop", F.lit("same_class").alias("kind"), F.col("component_id").alias("target"),
         F.lit(None).cast("string").alias("namespace"), F.col("g1").alias("method_called"), F.concat_ws(".", "component_id", "g1").alias("callee"),
     )
     sites = qualified.unionByName(bare)
-    g = labelled_guards(stmts).select(
-        F.col("org_id").alias("q_org"), F.col("component_id").alias("q_comp"), F.col("no").alias("q_no"), F.col("close_no").alias("q_close"), "after", "label"
-    )
-    # blocks around a statement: an equality on the component, then its nesting depth many rows
-    around = (F.col("q_no") < F.col("no")) & (F.col("q_close") >= F.col("no"))
-    same = (F.col("q_no") == F.col("no")) & (F.col("at") >= F.col("after"))  # a branch without braces, its condition apart
-    enclosed = sites.join(g, (F.col("org_id") == F.col("q_org")) & (F.col("component_id") == F.col("q_comp")) & (around | same), "left")
-    cols = [x for x in sites.columns]
-    out = enclosed.groupBy(*cols).agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("q_no", "label")))).alias("around"))
+    guard = written(labelled_guards(stmts), "guards")
+    inside = written(innermost(stmts, guard.filter("after IS NULL")), "guard-of-statement")
+    paths = condition_paths(guard, inside)
+    # a branch without braces holds what stands behind its condition; else the block around the statement counts
+    same_line = paths.filter("after IS NOT NULL").select(*KEY, "no", "after", F.col("path").alias("own_path"))
+    block = paths.filter("after IS NULL").select(*KEY, F.col("no").alias("block_no"), "path")
+    placed = sites.join(inside, [*KEY, "no"]).join(block, [*KEY, "block_no"], "left").join(same_line, [*KEY, "no"], "left")
+    conditions = F.coalesce(F.when(F.col("at") >= F.col("after"), F.col("own_path")), "path", F.lit(""))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("no", "at", "callee"))
-    return out.withColumn("position", place).select(
-        *KEY, "position", "line", "method", "in_loop", "kind", "target", "namespace", "method_called", "callee",
-        F.array_join(F.col("around.label"), " > ").alias("conditions"),
+    return placed.withColumn("position", place).select(
+        *KEY, "position", "line", "method", "in_loop", "kind", "target", "namespace", "method_called", "callee", conditions.alias("conditions"),
     )
 
 

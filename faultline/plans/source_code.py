@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from faultline.operators import org_index
 from faultline.operators import source_code as sc
 from faultline.plans.registry import query
-from faultline.session import cut_lineage
+from faultline.session import written
 from faultline.sources import source_views as sv
 from faultline.sources.tables import table
 
@@ -19,7 +19,7 @@ def classes(spark, root, shared=False):
     """Sources and their statements; ``shared`` writes the statements once for a job that reads them in several ways."""
     prep = sc.prepared(sv.class_sources(spark, root))
     stmts = sc.statements(prep)
-    return prep, cut_lineage(stmts) if shared else stmts
+    return prep, written(stmts, "statements") if shared else stmts
 
 
 def trigger_rows(spark, root):
@@ -50,9 +50,10 @@ UNION ALL SELECT org_id, component_id, 'Batchable', 'Database.Batchable', NULL F
 UNION ALL SELECT org_id, component_id, 'Queueable', 'Queueable (inner class Inner_Job)', 'Inner_Job' FROM {P} p
 UNION ALL SELECT org_id, component_id, 'AuraEnabled', 'fetch()', NULL FROM {P} p
 UNION ALL SELECT org_id, component_id, 'InvocableMethod', 'act()', NULL FROM {P} p WHERE k % 5 = 0
+UNION ALL SELECT org_id, component_id, 'Trigger', concat(CASE WHEN k % 2 = 0 THEN 'Account' ELSE 'Order__c' END, ' (before insert', CASE WHEN k % 3 = 0 THEN ', after update' ELSE '' END, ')'), NULL FROM {T} t
 """)
 def source_entry_points(spark, root):
-    return sc.entry_points(*classes(spark, root))
+    return sc.entry_points(*classes(spark, root)).unionByName(sc.trigger_entry_points(sc.prepared(sv.trigger_sources(spark, root))))
 
 
 @query("source_methods", f"""
@@ -101,13 +102,15 @@ def source_static_state(spark, root):
     return sc.static_state(sc.prepared(sv.class_sources(spark, root)))
 
 
-PERSIST = "CASE WHEN s % 2 = 0 THEN 'audit' END AS passed_to, CASE WHEN s % 2 = 1 THEN 'persisted' ELSE 'passed_to_callee' END AS persistence"
+PERSIST = "CASE WHEN s % 2 = 1 THEN 19 END::BIGINT AS persisted_by, CASE WHEN s % 2 = 0 THEN 'audit' END AS passed_to, CASE WHEN s % 2 = 1 THEN 'persisted' ELSE 'passed_to_callee' END AS persistence"
 
 
 FIELD_WRITES = f"""
 SELECT org_id, component_id, 17::BIGINT AS line, 'run' AS method, 'Status__c' AS field, 'rec' AS receiver, 'map_lookup' AS pattern, 'cache' AS source_map,
-  CASE WHEN k % 2 = 0 AND k % 8 <> 0 THEN 'high' ELSE 'medium' END AS risk, 'string' AS value_type, 'cache.get(''x'')' AS value, {PERSIST} FROM {P} p
-UNION ALL SELECT org_id, component_id, 18, 'run', 'Amount__c', 'rec', 'direct', NULL, 'low', CASE k % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'boolean' WHEN 2 THEN 'string' ELSE 'reference' END,
+  CASE WHEN k % 2 = 0 AND k % 8 <> 0 THEN 'high' ELSE 'medium' END AS risk,
+  concat('read from cache', CASE WHEN k % 2 = 1 THEN ', not computed for this record' WHEN k % 8 = 0 THEN ', a static collection; check that its reset covers this path'
+    ELSE ', a static collection that is never reset: a value of another record may remain' END) AS reason, 'string' AS value_type, 'cache.get(''x'')' AS value, {PERSIST} FROM {P} p
+UNION ALL SELECT org_id, component_id, 18, 'run', 'Amount__c', 'rec', 'direct', NULL, 'low', NULL, CASE k % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'boolean' WHEN 2 THEN 'string' ELSE 'reference' END,
   CASE k % 4 WHEN 0 THEN '5' WHEN 1 THEN 'true' WHEN 2 THEN '''txt''' ELSE 'other.Value__c' END, {PERSIST} FROM {P} p
 """
 
@@ -161,7 +164,8 @@ UNION ALL SELECT org_id, component_id, 3, NULL, TRUE, 'org_class', concat('Cls_'
 @query("source_call_sites", CALL_SITES)
 def source_call_sites(spark, root):
     names = sv.class_names(spark, root)
-    return sc.call_sites(classes(spark, root, shared=True)[1], names).unionByName(sc.call_sites(trigger_rows(spark, root)[1], names))
+    both = classes(spark, root)[1].unionByName(trigger_rows(spark, root)[1])
+    return sc.call_sites(written(both, "statements"), names)
 
 
 @query("source_facts", f"""

@@ -71,3 +71,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage like a checkpoint, and later passes read only their columns."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,6 +39,49 @@ def test_conditions_of_any_depth(spark):
     assert calls(spark, f"if ({long}) {{ B.go(); }}")[0][2] == f"if ({long})"
 
 
+def test_conditions_around_a_call_are_those_of_its_blocks(spark):
+    depth = 37
+    deep = " ".join(f"if (c{i}) {{ B.at{i}();" for i in range(depth)) + " }" * depth + " B.after();"
+    got = calls(spark, deep)
+    assert [g[2] for g in got] == [" > ".join(f"if (c{j})" for j in range(i + 1)) for i in range(depth)] + [""]
+    got = calls(spark, "for (Integer i = 0; i < n; i++) { if (i > 1) { B.a(); } else B.b(); B.c(); }", "for (Integer k = 0; k < n; k++) B.d();", "B.e();", "try { B.f(); } catch (E e) { B.g(); }")
+    loop = "for (Integer i = 0; i < n; i++)"
+    assert [(g[0], g[2]) for g in got] == [
+        ("B.a", f"{loop} > if (i > 1)"), ("B.b", f"{loop} > else [not: i > 1]"), ("B.c", loop), ("B.d", "for (Integer k = 0; k < n; k++)"), ("B.e", ""), ("B.f", "try"), ("B.g", "catch (E e)"),
+    ]
+
+
+def test_no_range_join_in_the_plan(spark):
+    _, stmts, known = read(spark, body("if (a) { B.go(); }"))
+    plan = sc.call_sites(stmts, known)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any(mark in line for line in joins for mark in ("<", ">"))
+
+
+def test_a_class_of_very_many_calls(spark):
+    lines = [f"if (c{i}) {{ B.go(); B.go(); }}" if i % 50 == 0 else "B.go(); B.go();" for i in range(50_000)]
+    _, stmts, known = read(spark, body(*lines))
+    rows = sc.call_sites(stmts, known)
+    assert rows.count() == 100_000 and rows.filter("conditions <> ''").count() == 2_000
+
+
+def test_comment_marks_in_literals(spark):
+    got = calls(spark, "String u = 'https://x.example'; B.go(); // B.no();", "String v = '/* '; B.a(); /* B.no(); */ B.b('*/');", "B.c(); // don't")
+    assert [g[0] for g in got] == ["B.go", "B.a", "B.b", "B.c"]
+
+
+def test_facts_of_a_class_reach_its_handlers_writes_and_jobs(spark):
+    code = body(
+        "try { B.a(); } catch (X e) { try { throw e; } catch (Y f) { } }", "rec.A__c = cache.get(k);", "other.B__c = 1;", "save(other);", "Queueable q = new B();", "System.enqueueJob(q);",
+    ).replace("public class A {", "public class A {\n  static Map<String, Id> cache = new Map<String, Id>();\n  static Map<String, Id> cache = null;")
+    prep, stmts, known = read(spark, code)
+    assert {(r.type, r.effect, r.rethrows) for r in sc.catch_handlers(prep, stmts).collect()} == {("X", "rethrow", True), ("Y", "empty", False)}
+    assert [(r.name, r.reset_elsewhere) for r in sc.static_state(prep).collect()] == [("cache", False)]
+    writes = {r.field: (r.risk, r.passed_to, r.reason) for r in sc.field_writes(prep, stmts).collect()}
+    assert writes["B__c"] == ("low", "save", None) and writes["A__c"][0] == "high" and "never reset" in writes["A__c"][2]
+    assert [(r.target, r.resolution) for r in sc.async_dispatches(prep, stmts, known).collect()] == [("B", "variable_assignment")]
+
+
 def test_every_call_is_told(spark):
     got = calls(spark, *[f"B.go({i});" for i in range(450)])
     assert len(got) == 450 and got[-1] == ("B.go", 452, "")
