@@ -423,7 +423,7 @@ def field_updates(documents: DataFrame) -> DataFrame:
     formula = F.nullif("m.formula", F.lit(""))
     kind = F.when(formula.isNotNull(), "formula").when(F.col("m.literalValue").isNotNull(), "literal").when(op != "", "operation")
     return rows.select(
-        F.col("full_name").alias("component_id"),
+        *[x for x in documents.columns if x == "org_id"], F.col("full_name").alias("component_id"),
         F.when(F.col("full_name").contains("."), F.split("full_name", r"\.")[0]).otherwise(F.col("m.targetObject")).alias("object"),
         F.substring_index("m.field", ".", -1).alias("field"), F.col("m.field").alias("field_path"), F.col("m.operation").alias("operation"),
         kind.alias("value_kind"), F.coalesce(formula, "m.literalValue", F.nullif(op, F.lit(""))).alias("value"),

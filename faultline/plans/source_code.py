@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from faultline.operators import org_index
 from faultline.operators import source_code as sc
-from faultline.plans.registry import query
-from faultline.session import written
+from faultline.plans import flows as flow_plans
+from faultline.plans.registry import ORACLES, query
+from faultline.session import scratch_path, written
+from faultline.sources import flow_views as fv
 from faultline.sources import source_views as sv
 from faultline.sources.tables import table
 
@@ -280,3 +282,61 @@ SELECT org_id, field, component_id AS component, 'Apex' AS mechanism, risk, sour
 """)
 def index_field_touch(spark, root):
     return _lookups(spark, root)["field_touch"].drop("risk_rank")
+
+
+FLOW_WRITERS = f"""
+SELECT w.org_id, field, w.flow_id AS component, CASE WHEN k % 9 = 0 THEN 'Process Builder' ELSE 'Flow' END AS mechanism, 'declarative' AS risk, NULL::VARCHAR AS source_map, NULL::VARCHAR AS persistence, 0::BIGINT AS write_id
+  FROM ({ORACLES["flow_field_writes"]}) w JOIN {flow_plans.O} o ON o.org_id = w.org_id AND o.flow_id = w.flow_id
+UNION ALL SELECT 'org_0', field, component_id, 'Workflow/Approval field update', 'declarative', NULL, NULL, 0 FROM {flow_plans.UPDATES} u
+"""
+
+
+def _sources(spark, root):
+    code = ("org_id", "component_id", "code")
+    return {
+        "classes": sv.class_sources(spark, root).select(*code), "triggers": sv.trigger_sources(spark, root).select(*code),
+        "flows": fv.flow_documents(spark, root), "updates": fv.field_update_documents(spark, root).withColumn("org_id", F.lit("org_0")),
+    }
+
+
+@query("index_writers", f"""
+SELECT org_id, field, component_id AS component, 'Apex' AS mechanism, risk, source_map, persistence, min(line) AS write_id FROM ({FIELD_WRITES}) w GROUP BY ALL
+UNION ALL SELECT DISTINCT * FROM ({FLOW_WRITERS}) f
+""")
+def index_writers(spark, root):
+    """Writers of every field from classes, flows and field updates."""
+    return org_index.lookups(org_index.extract(**_sources(spark, root)))["field_touch"].drop("risk_rank")
+
+
+@query("index_statistics", f"""
+WITH c AS (SELECT org_id, count(CASE WHEN k % 10 = 0 THEN 1 END) AS callouts, CASE WHEN count(CASE WHEN k % 10 = 0 THEN 1 END) > 0 THEN 1 ELSE 0 END AS credentials,
+    CASE WHEN count(CASE WHEN k % 12 = 0 THEN 1 END) > 0 THEN 1 ELSE 0 END AS exceptions, count(CASE WHEN k % 2 = 0 AND k % 8 <> 0 THEN 1 END) AS loose FROM {P} p GROUP BY 1),
+f AS (SELECT org_id, count(CASE WHEN k % 9 = 0 THEN 1 END) AS processes, count(*) AS bare FROM {flow_plans.O} o GROUP BY 1)
+SELECT org_id, unnest(['process_builder_processes', 'classes_with_callouts', 'named_credentials_referenced', 'custom_exceptions_defined', 'flows_without_fault_paths', 'never_cleared_static_collections']) AS statistic,
+  unnest([coalesce(processes, 0), coalesce(callouts, 0), coalesce(credentials, 0), coalesce(exceptions, 0), coalesce(bare, 0), coalesce(loose, 0)])::BIGINT AS value FROM c FULL JOIN f USING (org_id)
+""")
+def index_statistics(spark, root):
+    """Processes, callouts, credentials, exceptions, fault paths and static collections of every organisation."""
+    return org_index.lookups(org_index.extract(**_sources(spark, root)))["statistics"]
+
+
+@query("index_refreshed", f"""
+SELECT org_id, id AS component_id, sum(o)::BIGINT AS calls, sum(i)::BIGINT AS called_by FROM (
+  SELECT org_id, component_id AS id, 1 AS o, 0 AS i FROM ({EDGES}) e UNION ALL SELECT org_id, target, 0, 1 FROM ({EDGES}) e) x GROUP BY 1, 2
+""")
+def index_refreshed(spark, root):
+    """Callers and callees after the index was built from an older state of the sources and refreshed: those of a rebuild."""
+    now = _sources(spark, root)
+    # the classes that others name and that have no source of their own
+    named = sv.class_names(spark, root).join(now["classes"].select("org_id", F.col("component_id").alias("name")), ["org_id", "name"], "left_anti")
+    empty = named.select("org_id", F.col("name").alias("component_id"), F.concat(F.lit("public class "), "name", F.lit(" {}")).alias("code"))
+    now["classes"] = now["classes"].unionByName(empty)
+    number = F.regexp_extract("component_id", r"(\d+)$", 1).cast("bigint") % 10
+    older = now["classes"].filter(number != 0).withColumn(
+        "code", F.when(number == 1, F.concat("code", F.lit("class Zz { void zz() { Cls_1.check(1); Cls_2.check(2); } }"))).otherwise(F.col("code"))
+    )
+    gone = now["classes"].filter(number == 2).withColumn("component_id", F.concat(F.lit("Old_"), "component_id"))
+    folder = scratch_path(spark, "index")
+    org_index.refresh(spark, folder, **{**now, "classes": older.unionByName(gone)})
+    org_index.refresh(spark, folder, **now)
+    return org_index.lookups(org_index.load(spark, folder))["degrees"]

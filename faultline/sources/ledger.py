@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.columns import whole
 from faultline.operators.activity import EXPORT_FIELDS, export_rows
 from faultline.operators.token_usage import clamp_days, days_with_user, retained, without_user
-from faultline.session import cut_lineage
+from faultline.sources import snapshots
 
 ACTIVITY_SCHEMA = """at string, kind string, username string, role string, channel string, action string, category string, org_id string,
 tool string, client string, status int, ok boolean, ms bigint, token_kind string,
@@ -54,49 +54,51 @@ def read_days(spark: SparkSession, folder: str, schema: str, as_of: str, days: i
     return rows.filter((name >= first) & (name <= F.concat(F.date_format(end, "yyyy-MM-dd"), F.lit(".jsonl"))))
 
 
+TABLE = "ledger"
+
+
 def append(rows: DataFrame, folder: str) -> None:
     """Add rows to their day partitions."""
-    rows.write.partitionBy("day").mode("append").parquet(folder)
+    spark = rows.sparkSession
+    state = snapshots.current(spark, folder)
+    snapshots.commit(spark, state, state.parts + snapshots.add(state, TABLE, rows, folder, "day"), folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
-
-
-def _replace_days(rows: DataFrame, folder: str) -> None:
-    rows.write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+    return snapshots.read(spark, folder, TABLE)
 
 
 def forget_user(spark: SparkSession, folder: str, username: str) -> int:
-    """Rewrite only the days on which the user appears; the number of days touched."""
-    ledger = read(spark, folder)
-    days = cut_lineage(days_with_user(ledger, username))
-    touched = days.count()
+    """Rewrite only the days on which the user appears; the number of days touched.
+
+    The days kept and the days emptied change in one commit: a run that breaks
+    off before it leaves the ledger as it was.
+    """
+    state = snapshots.current(spark, folder)
+    ledger = snapshots.read(spark, folder, TABLE, state)
+    # a ledger has a few hundred days at most
+    touched = {f"day={r['day']}" for r in days_with_user(ledger, username).collect()}
     if touched:
-        # kept rows are written aside before the partitions they came from are replaced
-        kept = cut_lineage(without_user(ledger.join(days, "day", "left_semi"), username))
-        emptied = days.join(kept.select("day").distinct(), "day", "left_anti")
-        _replace_days(kept, folder)
-        _drop_days(spark, folder, emptied)
-    return touched
-
-
-def _drop_days(spark: SparkSession, folder: str, days: DataFrame) -> list[str]:
-    """Remove whole day partitions; a ledger has a few hundred of them at most."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    gone = [str(r["day"]) for r in days.orderBy("day").collect()]
-    for day in gone:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/day={day}")
-        path.getFileSystem(conf).delete(path, True)
-    return gone
+        kept = without_user(snapshots.read(spark, folder, TABLE, state, touched), username)
+        written = snapshots.add(state, TABLE, kept, folder, "day")
+        snapshots.commit(spark, state, [p for p in state.parts if p[2] not in touched] + written, folder)
+    return len(touched)
 
 
 def prune(spark: SparkSession, folder: str, as_of: str, keep_days: int = 365) -> list[str]:
-    """Drop day partitions older than the retention; the days dropped."""
-    days = read(spark, folder).select("day").distinct()
+    """Drop day partitions older than the retention, in one commit; the days dropped."""
+    state = snapshots.current(spark, folder)
+    days = spark.createDataFrame([(p[2].removeprefix("day="),) for p in state.parts], "name string").distinct().select(F.col("name").cast("date").alias("day"))
     old = days.join(retained(days, as_of, keep_days), "day", "left_anti")
-    return _drop_days(spark, folder, old)
+    gone = sorted(str(r["day"]) for r in old.collect())
+    if gone:
+        snapshots.commit(spark, state, [p for p in state.parts if p[2].removeprefix("day=") not in gone], folder)
+    return gone
+
+
+def vacuum(spark: SparkSession, folder: str) -> int:
+    """Delete what was forgotten and pruned from storage; the partition folders deleted."""
+    return snapshots.vacuum(spark, folder)
 
 
 def export_csv(rows: DataFrame, folder: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KNOWLEDGEBASE = (
-    "cards call_edges call_sites field_writes entry_points object_touch manifest org_statistics"
+    "cards call_edges call_sites field_writes entry_filters entry_points facts object_touch manifest org_statistics"
 ).split()
 
 

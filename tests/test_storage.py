@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import debug_logs
-from faultline.sources import files, ledger, stores
+from faultline.sources import files, ledger, snapshots, stores
 
 
 def test_day_files(spark, tmp_path):
@@ -31,6 +32,31 @@ def test_retention_and_removal(spark, tmp_path):
     assert sorted(r.n for r in ledger.read(spark, folder).collect()) == [4, 4]
 
 
+def test_a_broken_run_changes_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ledger")
+    data = [("2024-01-01", "a", 1), ("2024-01-01", "b", 2), ("2024-01-02", "a", 3), ("2024-01-03", "b", 4)]
+    df = spark.createDataFrame(data, "d string, username string, n int").withColumn("day", F.to_date("d")).drop("d")
+    ledger.append(df, folder)
+    state = snapshots.current(spark, folder)
+
+    def broken(*_):
+        raise OSError("lost")
+
+    rows = lambda: sorted(r.n for r in ledger.read(spark, folder).collect())
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "commit", broken)
+        for step in (lambda: ledger.forget_user(spark, folder, "a"), lambda: ledger.prune(spark, folder, "2024-01-03", 1), lambda: ledger.append(df, folder)):
+            with pytest.raises(OSError):
+                step()
+            assert rows() == [1, 2, 3, 4]
+    assert ledger.forget_user(spark, folder, "a") == 2 and rows() == [2, 4]
+    # a writer that read the state before is refused
+    with pytest.raises(snapshots.Overtaken):
+        snapshots.commit(spark, state, [], folder)
+    assert rows() == [2, 4] and ledger.vacuum(spark, folder) > 0 and rows() == [2, 4] and ledger.vacuum(spark, folder) == 0
+    assert ledger.forget_user(spark, folder, "b") == 2 and rows() == []
+
+
 def test_export(spark, tmp_path):
     rows = spark.createDataFrame([(1, "=HYPERLINK(1)", "u")], "event_id int, client string, username string")
     for name in ("kind", "role", "channel", "action", "category", "org_id", "tool", "token_kind"):
