@@ -256,6 +256,16 @@ def expansion(seeds: DataFrame, edges: DataFrame, cards: DataFrame) -> DataFrame
     return reached.join(cards, ["org_id", "component_id"], "left_semi")
 
 
+def with_writers(primary: DataFrame, touch: DataFrame, cards: DataFrame, field: str) -> DataFrame:
+    """The context pack with the writers of a suspect field that have a card."""
+    writers = touch.filter(F.col("field") == field).select("org_id", F.col("component").alias("component_id")).distinct()
+    known = writers.join(cards, ["org_id", "component_id"], "left_semi")
+    both = primary.select("org_id", "component_id", "is_named", F.lit(False).alias("writes_field")).unionByName(
+        known.select("org_id", "component_id", F.lit(False).alias("is_named"), F.lit(True).alias("writes_field"))
+    )
+    return both.groupBy("org_id", "component_id").agg(F.bool_or("is_named").alias("is_named"), F.bool_or("writes_field").alias("writes_field"))
+
+
 def object_touch(cards: DataFrame, writes: DataFrame) -> DataFrame:
     """(org, object, role, component): a class with any DML counts as writer of the objects it refers to."""
     told = cards.filter(F.col("object").isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ MATCH_LIMIT, MIN_SCORE, MIN_CONTAINED = 8, 40, 12
 RECENT_FIXES = 6
 # -----------------------------------------------------------------------------
 
+# characters of the patterns of one automaton, and of the texts it runs over in one task
+AUTOMATON_CHARS = 1 << 20
+TEXT_CHARS = 1 << 24
+
 
 def first_frame(stack: Column) -> Column:
     """Class of the first class frame among the lines of a stack."""
@@ -134,8 +140,10 @@ def already_filed(links: DataFrame) -> DataFrame:
 # that share such a key are scored:
 #   signature        the query is the signature
 #   text contained   a word inside the contained text is a whole word of the
-#                    containing one; the rarest such word is the key
-#   field named      the field equals a piece of a word of the query
+#                    containing one; the rarest such word is the key.  Texts of
+#                    one or two words have none: they are the patterns of
+#                    automata that run over the containing texts
+#   field named      the fields are patterns likewise
 #   words shared     sharing enough words means sharing one of the rarest ones
 # Queries and issues are first reduced to distinct masked texts.
 
@@ -144,6 +152,38 @@ def _spaced(text: str) -> Column:
     return F.split(F.col(text), " ")
 
 
+def patterns_inside(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(p_id, t_id): patterns (p_id, p_text) that stand anywhere in texts (t_id, t_text); empty patterns stand nowhere.
+
+    Patterns are cut into shards by their measured size, each an automaton that
+    reads a text once, whatever the number of patterns; texts are dealt out in
+    blocks.  A task holds one shard and one block.
+    """
+    chars = lambda df, name: df.agg(F.coalesce(F.sum(F.length(name)), F.lit(0))).first()[0]
+    spark = texts.sparkSession
+    patterns = patterns.filter(F.length("p_text") > 0)
+    shards = max(1, -(-chars(patterns, "p_text") // AUTOMATON_CHARS))
+    blocks = max(spark.sparkContext.defaultParallelism, -(-chars(texts, "t_text") // TEXT_CHARS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = patterns.select("p_id", "p_text", F.pmod(F.xxhash64("p_text"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    t = texts.select("t_id", "t_text", F.pmod(F.xxhash64("t_id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+
+    def cell(_: tuple, own: pd.DataFrame, read: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(own) and len(read):
+            automaton = ahocorasick.Automaton()
+            for text, ids in own.groupby("p_text")["p_id"]:
+                automaton.add_word(text, (text, tuple(ids)))
+            automaton.make_automaton()
+            for t_id, text in zip(read["t_id"], read["t_text"], strict=True):
+                hits = dict(found for _, found in automaton.iter(text))
+                out += [(p_id, t_id) for ids in hits.values() for p_id in ids]
+        return pd.DataFrame(out, columns=["p_id", "t_id"])
+
+    kinds = [df.schema[name].dataType.simpleString() for df, name in ((patterns, "p_id"), (texts, "t_id"))]
+    return p.groupBy("shard", "block").cogroup(t.groupBy("shard", "block")).applyInPandas(cell, f"p_id {kinds[0]}, t_id {kinds[1]}")
+
+
 def _contained_pairs(small: DataFrame, big: DataFrame) -> DataFrame:
     """(s_id, b_id) such that ``small.text`` occurs in ``big.text``; both at least twelve characters."""
     s = small.filter(F.length("s_text") >= MIN_CONTAINED).withColumn("toks", _spaced("s_text"))
@@ -158,14 +198,10 @@ def _contained_pairs(small: DataFrame, big: DataFrame) -> DataFrame:
         F.min_by("tok", F.struct(F.coalesce("df", F.lit(0)), "tok")).alias("tok")
     )
     pairs = key.join(b_tokens, "tok").select("s_id", "b_id")
-    # two words or fewer: no inner word; the first twelve characters are the key
-    short = s.filter(F.size("toks") <= 2).select("s_id", F.substring("s_text", 1, MIN_CONTAINED).alias("gram"))
-    grams = big.filter(F.length("b_text") >= MIN_CONTAINED).select(
-        "b_id", F.explode(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("b_text") - MIN_CONTAINED + 1), lambda i: F.substr(F.col("b_text"), i, F.lit(MIN_CONTAINED))))
-        ).alias("gram"),
-    )
-    pairs = pairs.unionByName(grams.join(short, "gram").select("s_id", "b_id"))
+    # two words or fewer: no inner word
+    short = s.filter(F.size("toks") <= 2).select(F.col("s_id").alias("p_id"), F.col("s_text").alias("p_text"))
+    inside = patterns_inside(short, big.select(F.col("b_id").alias("t_id"), F.col("b_text").alias("t_text")))
+    pairs = pairs.unionByName(inside.select(F.col("p_id").alias("s_id"), F.col("t_id").alias("b_id")))
     joined = pairs.distinct().join(small, "s_id").join(big, "b_id")
     return joined.filter(F.contains("b_text", "s_text")).select("s_id", "b_id")
 
@@ -222,15 +258,9 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     q_small = texts.select(F.col("q_id").alias("s_id"), F.col("q").alias("s_text"))
     m_big = forms.select(F.col("e_id").alias("b_id"), F.col("msg").alias("b_text"))
     around = _contained_pairs(q_small, m_big).select(F.col("b_id").alias("e_id"), F.col("s_id").alias("q_id"))
-    # a field is word characters only, so it lies inside one word of the query
-    runs = texts.select("q_id", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"\w+"), 0))).alias("tok"))
-    fields = forms.filter("lfield <> ''").select("e_id", "lfield", F.length("lfield").alias("flen"))
-    lengths = fields.select("flen").distinct()
-    sized = runs.select("q_id", "tok", F.explode(F.sequence(F.lit(1), F.length("tok"))).alias("flen")).join(lengths, "flen", "left_semi")
-    pieces = sized.select(
-        "q_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - F.col("flen") + 1), lambda p: F.substr(F.col("tok"), p, F.col("flen")))).alias("lfield")
-    ).distinct()
-    named = fields.join(pieces, "lfield").select("e_id", "q_id")
+    fields = forms.select(F.col("e_id").alias("p_id"), F.col("lfield").alias("p_text"))
+    named = patterns_inside(fields, texts.select(F.col("q_id").alias("t_id"), F.col("q").alias("t_text")))
+    named = named.select(F.col("p_id").alias("e_id"), F.col("t_id").alias("q_id"))
     pairs = within.unionByName(around).unionByName(named).unionByName(_sharing_pairs(forms, texts)).distinct()
 
     scored = pairs.join(forms, "e_id").join(texts, "q_id")

@@ -95,6 +95,11 @@ def to_extract(after: DataFrame, done: DataFrame) -> DataFrame:
     return after.join(done, ["path", "hash", "extractor_version"], "left_anti")
 
 
-def run_record(diff: DataFrame, run_id: str) -> DataFrame:
-    """One changelog row of an extraction run."""
-    return totals(by_kind(diff)).withColumn("run_id", F.lit(run_id))
+def run_record(diff: DataFrame, run_id: str, at: str | None = None) -> DataFrame:
+    """One changelog row of an extraction run, with the time it ran; what it removed is a table (``removed_paths``)."""
+    return totals(by_kind(diff)).withColumn("run_id", F.lit(run_id)).withColumn("run_at", F.lit(at).cast("string"))
+
+
+def removed_paths(diff: DataFrame, run_id: str) -> DataFrame:
+    """The paths that an extraction run found gone."""
+    return diff.filter("status = 'removed'").select(F.lit(run_id).alias("run_id"), "path")

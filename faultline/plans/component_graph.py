@@ -226,6 +226,14 @@ def suspect_ranking(spark, root):
     return g.suspects(primary(spark, root), told, view(spark, root, "component_manifest"), view(spark, root, "field_writes"), FIELD)
 
 
+@query("suspect_field_pack", f"""
+SELECT org_id, component_id, bool_or(is_named) AS is_named, bool_or(writes) AS writes_field FROM (SELECT org_id, component_id, is_named, FALSE AS writes FROM {PRIMARY} p
+  UNION ALL SELECT org_id, component, FALSE, TRUE FROM <field_writes> w WHERE field = '{FIELD}' AND (org_id, component) IN (SELECT org_id, component_id FROM <cards> c)) x GROUP BY 1, 2
+""")
+def suspect_field_pack(spark, root):
+    return g.with_writers(primary(spark, root), field_touch_map(spark, root), cards(spark, root), FIELD)
+
+
 @query("field_touch_map", f"SELECT * FROM {FIELD_TOUCH} t")
 def field_touch_map(spark, root):
     return g.field_touch(view(spark, root, "field_writes"))

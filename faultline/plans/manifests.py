@@ -53,10 +53,15 @@ def manifest_merge(spark, root):
 
 
 @query("extraction_log", f"""
-SELECT *, added + changed + unchanged AS total, changed + removed + unchanged = 0 AS first_connection, 'run_1' AS run_id FROM (SELECT {N} FROM {DIFF} d) s
+SELECT *, added + changed + unchanged AS total, changed + removed + unchanged = 0 AS first_connection, 'run_1' AS run_id, '2024-01-30T00:00:00Z' AS run_at FROM (SELECT {N} FROM {DIFF} d) s
 """)
 def extraction_log(spark, root):
-    return m.run_record(diff(spark, root), "run_1")
+    return m.run_record(diff(spark, root), "run_1", f"{AS_OF}T00:00:00Z")
+
+
+@query("extraction_removed", f"SELECT 'run_1' AS run_id, path FROM {DIFF} d WHERE status = 'removed'")
+def extraction_removed(spark, root):
+    return m.removed_paths(diff(spark, root), "run_1")
 
 
 @query("sources_to_extract", """
