@@ -8,7 +8,7 @@ from faultline.operators.token_usage import WINDOW_DAYS
 from faultline.plans.event_intake import UI
 from faultline.plans.incidents import SIGNED
 from faultline.plans.registry import query
-from faultline.sources.views import AS_OF, VIEWS, _nest, _spark_text
+from faultline.sources.views import AS_OF, VIEWS, _nest, _spark_text, view
 from faultline.streaming import intake
 
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
@@ -47,12 +47,16 @@ def stream_quota(spark, root):
 
 
 @query("stream_recurrence", f"""
-SELECT org_id, signature, strftime(min(filed_at), {ISO}) AS first_seen, strftime(max(filed_at), {ISO}) AS last_seen, arg_max(incident_id, (filed_at, incident_id)) AS latest_incident, count(*) AS occurrences
-FROM {SIGNED} s WHERE signature IS NOT NULL GROUP BY 1, 2
+SELECT org_id, signature, strftime(min(filed_at), {ISO}) AS first_seen, strftime(max(filed_at), {ISO}) AS last_seen, arg_max(incident_id, (filed_at, incident_id)) AS latest_incident, count(*) AS occurrences,
+  arg_min(struct_pack(k := kind), (filed_at, s.incident_id)).k AS first_kind, arg_min(struct_pack(k := exc_type), (filed_at, s.incident_id)).k AS first_exc_type, arg_min(struct_pack(k := message), (filed_at, s.incident_id)).k AS first_message,
+  arg_max(resolution, (resolved_at, s.incident_id)) FILTER (resolution IS NOT NULL) AS resolution
+FROM {SIGNED} s LEFT JOIN (SELECT incident_id AS rid, resolution, resolved_at FROM <resolutions> r0) r ON rid = s.incident_id WHERE signature IS NOT NULL GROUP BY 1, 2
 """)
 def stream_recurrence(spark, root):
     rows = incidents.signed(stream_view(spark, root, "incidents", "orders"))
     out = intake.recurrence(rows, intake.fresh_folder(spark, "recurrence"))
+    resolved = incidents.signed(view(spark, root, "incidents")).join(view(spark, root, "resolutions"), "incident_id")
+    out = intake.with_resolutions(out, resolved).drop("resolution_recorded_at")
     return out.withColumn("first_seen", iso(F.col("first_seen"))).withColumn("last_seen", iso(F.col("last_seen")))
 
 
