@@ -182,28 +182,33 @@ def _let(value: Column, then) -> Column:
 
 
 def _reached(g: Column, start: Column, rounds: Column) -> Column:
-    begin = F.when(F.array_contains(g["names"], start), F.array(start)).otherwise(F.array().cast("array<string>"))
-    return F.aggregate(rounds, begin, lambda acc, _r: F.array_union(
-        acc, F.transform(F.filter(g["pairs"], lambda p: F.array_contains(acc, p["src"])), lambda p: p["dst"])
-    ))
+    """Names of the elements that the start reaches: one step outward a round, from those found last."""
+    first = F.array_position(g["names"], start)
+    begin = F.when(first > 0, F.array(first.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
+    def step(acc: Column, _r: Column) -> Column:
+        onward = F.array_except(F.array_distinct(F.flatten(F.transform(acc["last"], lambda i: g["after"][i]))), acc["seen"])
+        return F.when(F.size(acc["last"]) == 0, acc).otherwise(F.struct(F.concat(acc["seen"], onward).alias("seen"), onward.alias("last")))
 
-def _knot(g: Column, rounds: Column) -> Column:
-    """What is left after repeatedly removing elements that nothing left points to: empty without a cycle."""
-    return F.aggregate(rounds, g["names"], lambda acc, _r: F.filter(
-        acc, lambda x: F.exists(g["pairs"], lambda p: (p["dst"] == x) & F.array_contains(acc, p["src"]))
-    ))
+    found = F.aggregate(rounds, F.struct(begin.alias("seen"), begin.alias("last")), step, lambda acc: acc["seen"])
+    return F.transform(found, lambda i: g["names"][i])
 
 
-def _depths(g: Column, rounds: Column) -> Column:
-    """Longest path to each element."""
-    zero = F.map_from_arrays(g["names"], F.transform(g["names"], lambda _x: F.lit(0)))
+def _layers(g: Column, rounds: Column) -> Column:
+    """Longest path to each element, by peeling: in each round go those whose predecessors have all gone.
 
-    def longest(acc: Column, x: Column) -> Column:
-        before = F.transform(F.filter(g["pairs"], lambda p: p["dst"] == x), lambda p: acc[p["src"]] + 1)
-        return F.greatest(acc[x], F.coalesce(F.array_max(before), F.lit(0)))
+    Elements on or behind a cycle never go; theirs is null.
+    """
+    none = F.struct(F.transform(g["names"], lambda _x: F.lit(None).cast("int")).alias("gone"), F.lit(True).alias("moved"))
 
-    return F.aggregate(rounds, zero, lambda acc, _r: F.map_from_arrays(g["names"], F.transform(g["names"], lambda x: longest(acc, x))))
+    def step(acc: Column, r: Column) -> Column:
+        free = lambda i: F.forall(g["before"][i], lambda p: acc["gone"][p].isNotNull())
+        nxt = F.transform(acc["gone"], lambda d, i: F.when(d.isNotNull(), d).when(free(i), r - 1))
+        left = lambda x: F.size(F.filter(x, lambda d: d.isNull()))
+        peeled = F.transform(F.array(nxt), lambda x: F.struct(x.alias("gone"), (left(x) < left(acc["gone"])).alias("moved")))[0]
+        return F.when(acc["moved"], peeled).otherwise(acc)
+
+    return F.aggregate(rounds, none, step, lambda acc: acc["gone"])
 
 
 def with_graph(flows: DataFrame) -> DataFrame:
@@ -215,14 +220,18 @@ def with_graph(flows: DataFrame) -> DataFrame:
         return F.struct(els.alias("els"), F.array_distinct(F.transform(els, lambda e: e["name"])).alias("names"), pairs.alias("pairs"))
 
     def inner(g: Column) -> Column:
-        return F.struct(g["els"].alias("els"), g["names"].alias("names"), F.filter(g["pairs"], lambda p: F.array_contains(g["names"], p["dst"])).alias("pairs"))
+        place = lambda x: F.array_position(g["names"], x).cast("int") - 1
+        ways = lambda end, other: F.transform(g["names"], lambda x: F.filter(
+            F.transform(F.filter(g["pairs"], lambda p: p[end] == x), lambda p: place(p[other])), lambda i: i >= 0
+        ))
+        return F.struct(g["els"].alias("els"), g["names"].alias("names"), ways("dst", "src").alias("before"), ways("src", "dst").alias("after"))
 
     def measured(g: Column) -> Column:
         rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g["names"])))
         bare = F.filter(g["els"], lambda e: e["type"].isin(*FAULT_CAPABLE) & e["fault_target"].isNull())
         return F.struct(
             g["els"].alias("els"), g["names"].alias("names"), _reached(g, start, rounds).alias("reach"),
-            (F.size(_knot(g, rounds)) > 0).alias("has_cycles"), _depths(g, rounds).alias("depths"),
+            _layers(g, rounds).alias("depths"),
             F.array_join(F.array_sort(F.transform(bare, lambda e: e["name"])), ",").alias("without_fault_path"),
         )
 
@@ -232,16 +241,109 @@ def with_graph(flows: DataFrame) -> DataFrame:
 def graphs(flows: DataFrame) -> DataFrame:
     """Reachability, cycles, order and depth of every flow's element graph."""
     rows = with_graph(flows).select(*KEY, F.col("m.start.connector.targetReference").alias("start"), "graph.*")
-    order = F.array_sort(F.transform(F.map_entries("depths"), lambda d: F.struct(d["value"].alias("d"), d["key"].alias("n"))))
+    rows = rows.withColumn("has_cycles", F.exists("depths", lambda d: d.isNull()))
+    order = F.array_sort(F.transform(F.arrays_zip("depths", "names"), lambda x: F.struct(x["depths"].alias("d"), x["names"].alias("n"))))
     acyclic = ~F.col("has_cycles")
     return rows.select(
         *KEY, "start", "has_cycles", F.size("names").cast("bigint").alias("elements"),
         F.array_join(F.array_sort(F.array_except("names", "reach")), ",").alias("unreachable"), "without_fault_path",
-        F.when(acyclic & F.array_contains("names", F.col("start")), F.array_max(F.map_values("depths"))).cast("bigint").alias("max_depth"),
+        F.when(acyclic & F.array_contains("names", F.col("start")), F.array_max("depths")).cast("bigint").alias("max_depth"),
         F.when(acyclic, F.array_join(F.transform(order, lambda o: o["n"]), ",")).otherwise("").alias("topological_order"),
     )
 
 
+# ---- conditions, paths and assignments as rows --------------------------------
+
+PRECEDENCE = {"NOT": 3, "AND": 2, "OR": 1}
+
+
+def _strength(op: Column) -> Column:
+    out = F.lit(0)
+    for name, value in PRECEDENCE.items():
+        out = F.when(op == name, value).otherwise(out)
+    return out
+
+
+def logic_postfix(logic: Column, n: Column) -> Column:
+    """Condition logic over numbered conditions, as ``1 AND (2 OR 3)``, in postfix order: ``1 2 3 OR AND``.
+
+    Plain ``and`` or ``or`` joins all ``n`` conditions; none is ``and``.  One
+    fold over the words: operators wait until a weaker one, a closing
+    parenthesis or the end comes, so those that wait inside one parenthesis
+    grow in strength.
+    """
+    word = F.upper(F.coalesce(F.trim(logic), F.lit("and")))
+    numbers = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i.cast("string"))
+    spelled = F.when(word == "AND", F.array_join(numbers, " AND ")).when(word == "OR", F.array_join(numbers, " OR ")).otherwise(word)
+    tokens = F.regexp_extract_all(spelled, F.lit(r"\d+|AND|OR|NOT|[()]"), 0)
+    empty = F.array().cast("array<string>")
+    begin = F.struct(empty.alias("out"), empty.alias("inner"), F.array().cast("array<array<string>>").alias("outer"))
+
+    def step(acc: Column, t: Column) -> Column:
+        def state(out: Column, inner: Column, outer: Column) -> Column:
+            return F.struct(out.alias("out"), inner.alias("inner"), outer.alias("outer"))
+
+        weaker = F.filter(acc["inner"], lambda o: _strength(o) < _strength(t))
+        stronger = F.filter(acc["inner"], lambda o: _strength(o) >= _strength(t))
+        above = F.coalesce(F.try_element_at(acc["outer"], F.lit(-1)), empty)
+        return (
+            F.when(t == "(", state(acc["out"], empty, F.array_append(acc["outer"], acc["inner"])))
+            .when(t == ")", state(F.concat(acc["out"], F.reverse(acc["inner"])), above, F.slice(acc["outer"], 1, F.greatest(F.size(acc["outer"]) - 1, F.lit(0)))))
+            .when(t == "NOT", state(acc["out"], F.array_append(acc["inner"], t), acc["outer"]))
+            .when(t.isin("AND", "OR"), state(F.concat(acc["out"], F.reverse(stronger)), F.array_append(weaker, t), acc["outer"]))
+            .otherwise(state(F.array_append(acc["out"], t), acc["inner"], acc["outer"]))
+        )
+
+    # a parenthesis left open closes at the end
+    done = F.aggregate(tokens, begin, step, lambda acc: F.concat(acc["out"], F.reverse(acc["inner"]), F.flatten(F.reverse(F.transform(acc["outer"], F.reverse)))))
+    return F.array_join(done, " ")
+
+
+def conditions(flows: DataFrame) -> DataFrame:
+    """Every condition of entry filters, decision rules and lookups, numbered as the logic numbers them."""
+    m = F.col("m")
+    none = F.lit(None).cast("string")
+
+    def group(place: str, element: Column, rule: Column, logic: Column, given: Column) -> Column:
+        return F.struct(
+            F.lit(place).alias("place"), element.alias("element"), rule.alias("rule"), F.lower(F.coalesce(logic, F.lit("and"))).alias("logic"), given.alias("given")
+        )
+
+    start = F.array(group("start", none, none, m["start"]["filterLogic"], m["start"]["filters"]))
+    rules = F.flatten(F.transform(m["decisions"], lambda d: F.transform(d["rules"], lambda r: group("rule", d["name"], r["name"], r["conditionLogic"], r["conditions"]))))
+    lookups = F.transform(m["recordLookups"], lambda e: group("lookup", e["name"], none, none, e["filters"]))
+    groups = F.concat(start, *[F.coalesce(x, F.array().cast("array<struct<place:string,element:string,rule:string,logic:string,given:%s>>" % _COND)) for x in (rules, lookups)])
+    rows = flows.select(*KEY, F.inline_outer(groups)).filter("place IS NOT NULL")
+    rows = rows.withColumn("postfix", logic_postfix(F.col("logic"), F.size("given")))
+    rows = rows.select(*KEY, "place", "element", "rule", "logic", "postfix", F.posexplode_outer("given").alias("position", "c")).filter("c IS NOT NULL")
+    text = F.coalesce("c.value", "c.rightValue")
+    rows = rows.withColumn("v", value_node(text, members(text)))
+    return rows.select(
+        *KEY, "place", "element", "rule", "logic", "postfix", (F.col("position") + 1).cast("bigint").alias("position"),
+        F.coalesce("c.field", "c.leftValueReference").alias("field"), F.col("c.operator").alias("operator"),
+        F.col("v.kind").alias("value_kind"), c.shown_value(F.col("v")).alias("value"),
+    )
+
+
+def scheduled_paths(flows: DataFrame) -> DataFrame:
+    rows = flows.select(*KEY, F.explode_outer("m.start.scheduledPaths").alias("p")).filter("p IS NOT NULL")
+    return rows.select(
+        *KEY, F.coalesce("p.name", "p.label").alias("name"), F.col("p.offsetNumber").alias("offset_number"), F.col("p.offsetUnit").alias("offset_unit"),
+        F.col("p.recordField").alias("base_field"), F.col("p.timeSource").alias("time_source"),
+    )
+
+
+def assignments(flows: DataFrame) -> DataFrame:
+    """Every assignment with its target, operator and value, in order."""
+    each = flows.select(*KEY, F.explode_outer("m.assignments").alias("e")).filter("e.name IS NOT NULL")
+    rows = each.select(*KEY, F.col("e.name").alias("element"), F.posexplode_outer("e.assignmentItems").alias("position", "a")).filter("a IS NOT NULL")
+    rows = rows.withColumn("v", value_node(F.col("a.value"), members(F.col("a.value"))))
+    return rows.select(
+        *KEY, "element", (F.col("position") + 1).cast("bigint").alias("position"), F.col("a.assignToReference").alias("target"), F.col("a.operator").alias("operator"),
+        F.col("v.kind").alias("value_kind"), c.shown_value(F.col("v")).alias("value"),
+    )
+
+
 def actions(flows: DataFrame) -> DataFrame:
     """Action calls with inputs and outputs; apex ones await resolution by the index."""
     calls = flows.select(*KEY, F.explode_outer("m.actionCalls").alias("a")).filter("a IS NOT NULL")

@@ -68,6 +68,31 @@ def flow_graphs(spark, root):
     return fl.graphs(documents(spark, root))
 
 
+@query("flow_conditions", f"""
+SELECT org_id, flow_id, 'start' AS place, NULL::VARCHAR AS element, NULL::VARCHAR AS rule, 'and' AS logic, '1' AS postfix, 1::BIGINT AS position, 'Status__c' AS field, 'EqualTo' AS operator,
+  'literal' AS value_kind, 'x' AS value FROM {O} o WHERE k % 2 = 0
+UNION ALL SELECT org_id, flow_id, 'rule', 'Check', 'R1', 'and', '1', 1, '$Record.A__c', 'EqualTo', 'literal', 'true' FROM {O} o
+UNION ALL SELECT org_id, flow_id, 'lookup', 'Look', NULL, 'and', '1', 1, 'Name', 'EqualTo', 'reference', '$Record.Name' FROM {O} o
+""")
+def flow_conditions(spark, root):
+    return fl.conditions(documents(spark, root))
+
+
+@query("flow_scheduled_paths", f"""
+SELECT org_id, flow_id, 'Later' AS name, 2::BIGINT AS offset_number, 'Days' AS offset_unit, NULL::VARCHAR AS base_field, 'RecordField' AS time_source FROM {O} o WHERE k % 8 = 0
+""")
+def flow_scheduled_paths(spark, root):
+    return fl.scheduled_paths(documents(spark, root))
+
+
+@query("flow_assignments", f"""
+SELECT org_id, flow_id, 'Asg' AS element, unnest([1, 2, 3, 4])::BIGINT AS position, unnest(['$Record.Amount__c', 'acc.Pkg__Name__c', 'loose.Other__c', 'plain']) AS target,
+  unnest(['Assign', 'Assign', 'Assign', 'Add']) AS operator, unnest(['global', 'formula', 'unparsed', 'literal']) AS value_kind, unnest(['$User.Id', '1+1', 'unparsed', '5']) AS value FROM {O} o
+""")
+def flow_assignments(spark, root):
+    return fl.assignments(documents(spark, root))
+
+
 @query("flow_actions", f"""
 SELECT org_id, flow_id, 'Act' AS element, CASE WHEN c % 3 = 0 THEN 'emailAlert' ELSE 'apex' END AS action_type, concat('Cls_', c) AS action_name, 'id=$Record.Id' AS inputs, 'out' AS outputs,
   CASE WHEN c % 3 = 0 THEN 'standard_action' ELSE 'pending' END AS resolution FROM {O} o
