@@ -35,12 +35,16 @@ def local_session(cpus: int = 8, app: str = "faultline", **extra: str) -> SparkS
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else a folder beside the warehouse.
 
-    The warehouse is shared on every cluster, so nothing is ever kept in a
-    folder of one machine.
+    A warehouse on the driver's own disk is shared with executors only where
+    they run on that machine; on a cluster such a session must name a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        own_disk = warehouse.startswith("file:") or ":" not in warehouse.split("/")[0]
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{warehouse}/_scratch"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
