@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import short_batches, spark_hash_partitions, stored
-from faultline.llm.topk_search import complete
+from faultline.llm.vectors import LEAST as _LEAST
+from faultline.llm.vectors import MOST as _MOST
+from faultline.llm.vectors import complete, exact_products, norms_of, whole_numbers
 
 SCALE = 256
 POSITIVES = 5
@@ -41,11 +43,8 @@ CELL_ANCHORS = 4_096
 CELL_NUMBERS = 1 << 21
 # found scores kept before all but the best go
 PENDING = 1 << 20
-# a product of norms below this keeps every sum exact in float64
-_EXACT = float(1 << 52)
 # widening of angles (radians) and, relative to the norms, of scores
 _ANGLE, _SCORE = 1e-6, 1e-9
-_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
@@ -62,24 +61,6 @@ class Vectors:
         return Vectors(self.ids[at], self.labels[at], self.values[at], self.norms[at], self.angles[at])
 
 
-def whole_numbers(vectors: list, width: int, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) row by row as float64, which holds them exactly; zero beyond a vector's end."""
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    with np.errstate(over="ignore"):
-        out = np.floor(out * float(scale))
-    return np.clip(out, -np.finfo(np.float64).max, np.finfo(np.float64).max)
-
-
-def norms_of(values: np.ndarray) -> np.ndarray:
-    """Euclidean norms without overflow on the way (infinite if they are beyond a double)."""
-    most = np.abs(values).max(axis=1, initial=0.0)
-    safe = np.where(most > 0, most, 1.0)
-    with np.errstate(over="ignore"):
-        return np.linalg.norm(values / safe[:, None], axis=1) * most
-
-
 def angles_to(values: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Angles of rows to reference directions; a zero vector's are 0."""
     most = np.abs(values).max(axis=1, initial=0.0)
@@ -107,20 +88,7 @@ def directions(values: np.ndarray, count: int = REFERENCES) -> np.ndarray:
 
 def scores(a: Vectors, b: Vectors) -> np.ndarray:
     """Exact inner products of all rows of ``a`` with all of ``b``, those beyond a long as the nearest long."""
-    if not len(a.ids) or not len(b.ids):
-        return np.zeros((len(a.ids), len(b.ids)), np.int64)
-    limit = _EXACT**0.5
-    if a.norms.max() * b.norms.max() < _EXACT:
-        return (a.values @ b.values.T).astype(np.int64)
-    out = np.zeros((len(a.ids), len(b.ids)), np.int64)
-    wide_a, wide_b = a.norms >= limit, b.norms >= limit
-    out[np.ix_(~wide_a, ~wide_b)] = (a.values[~wide_a] @ b.values[~wide_b].T).astype(np.int64)
-    for rows, cols in ((wide_a, np.ones(len(b.ids), bool)), (~wide_a, wide_b)):
-        if rows.any() and cols.any():
-            left = [[int(x) for x in row] for row in a.values[rows]]
-            right = [[int(x) for x in row] for row in b.values[cols]]
-            out[np.ix_(rows, cols)] = [[min(max(sum(x * y for x, y in zip(p, q, strict=True)), _LEAST), _MOST) for q in right] for p in left]
-    return out
+    return exact_products(a.values, b.values, a.norms, b.norms)
 
 
 class Windows:

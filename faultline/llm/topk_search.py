@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import short_batches, spark_hash_partitions
+from faultline.llm.vectors import EXACT, complete, exact_products, whole_numbers
 
 K = 10
 SCALE = 1024
@@ -34,35 +35,16 @@ CELL_QUERIES = 8_192
 # rows of the sample
 SAMPLE = 2_048
 PIVOTS = 32
-# below this, products are exact in float64
-_EXACT = float(1 << 53)
 
 
-def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-
-
-def complete(vector: Column) -> Column:
-    """Not null and without null, NaN or infinite components."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return vector.isNotNull() & ~bad
-
-
-def _matrix(vectors: list, width: int) -> np.ndarray:
-    """Rows side by side; a vector that is shorter than the widest counts as zero beyond its end."""
-    out = np.zeros((len(vectors), width), dtype=np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T exactly: in float64 where every partial sum fits, else in whole numbers."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.array((a.astype(object) @ b.astype(object).T), dtype=np.int64).reshape(len(a), len(b))
+def _bounds(queries: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """Highest score each query can have in each block: exact where float64 is, else widened for rounding."""
+    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bounds = positive @ top.T + negative @ bottom.T
+        size = positive @ np.abs(top).T - negative @ np.abs(bottom).T
+        bounds = np.where(size < EXACT, bounds, bounds + size * 1e-9 + 1)
+    return np.where(np.isnan(bounds), np.inf, bounds)
 
 
 def search(
@@ -73,20 +55,20 @@ def search(
     ``floor`` is a score that the k-th best of all documents is known to reach.
     """
     # document ranges: documents nearest to the same reference point lie together
-    near = np.argmax(_products(vectors, pivots), axis=1) if len(pivots) else np.zeros(len(ids), np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = np.argmax(vectors @ pivots.T, axis=1) if len(pivots) and vectors.size else np.zeros(len(ids), np.int64)
     order = np.lexsort((ids, near))
     ids, vectors = ids[order], vectors[order]
     starts = np.arange(0, len(ids), block)
     top, bottom = np.maximum.reduceat(vectors, starts, axis=0), np.minimum.reduceat(vectors, starts, axis=0)
-    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = _products(positive, top) + _products(negative, bottom)
+    bounds = _bounds(queries, top, bottom)
     visit = np.argsort(-bounds, axis=1, kind="stable")
     kth = floor.copy()
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
     active = np.arange(len(query_ids))
     for turn in range(len(starts)):
         at = visit[active, turn]
-        go = bounds[active, at] >= kth[active]  # a tie may still win by a smaller id
+        go = np.nextafter(bounds[active, at], np.inf) >= kth[active]  # a tie may still win by a smaller id
         active, at = active[go], at[go]
         if not len(active):
             break
@@ -95,7 +77,7 @@ def search(
         for part in np.split(by_block, cuts):
             lo = starts[at[part[0]]]
             own_ids, mine = ids[lo : lo + block], active[part]
-            scores = _products(queries[mine], vectors[lo : lo + block])
+            scores = exact_products(queries[mine], vectors[lo : lo + block])
             for row, q in enumerate(mine):
                 line = scores[row]
                 take = np.flatnonzero((line >= kth[q]) & (own_ids != query_ids[q]))
@@ -103,7 +85,7 @@ def search(
                     continue
                 s, d = np.concatenate([best[q][0], line[take]]), np.concatenate([best[q][1], own_ids[take]])
                 if len(s) > k:
-                    keep = np.lexsort((d, -s))[:k]
+                    keep = np.lexsort((d, ~s))[:k]
                     s, d = s[keep], d[keep]
                 best[q] = (s, d)
                 if len(s) >= k:
@@ -121,23 +103,24 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     end; empty ones score 0.  Rows repeated with one key: all are candidates of
     other queries, none of its own key's query, which is asked once.  With
     fewer than ``k`` candidates all are given; an empty table gives no rows.
+    Scores beyond a long count as the nearest long, in ranking, too.
     Other columns take no part.
     """
     spark = vectors.sparkSession
     short_batches(spark)
     rows = vectors.filter(F.col(key).isNotNull() & complete(F.col(vector))).select(
-        F.col(key).cast("bigint").alias("id"), whole_numbers(F.col(vector), scale).alias("v"), is_query.alias("asks")
+        F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks")
     )
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("int")).alias("q"), F.max(F.size("v")).alias("width")).first()
     n, asked, width = sizes["n"], sizes["q"] or 0, sizes["width"] or 0
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    sample_ids, sample_vectors = np.array([r["id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], width)
+    sample_ids, sample_vectors = np.array([r["id"] for r in sample], np.int64), whole_numbers([r["v"] for r in sample], width, scale)
     shared = spark.sparkContext.broadcast((sample_ids, sample_vectors))
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near_ids, near = shared.value
         for batch in batches:
-            ids, scores = batch["id"].to_numpy(np.int64), _products(_matrix(list(batch["v"]), width), near)
+            ids, scores = batch["id"].to_numpy(np.int64), exact_products(whole_numbers(list(batch["v"]), width, scale), near)
             floor = []
             for i, line in zip(ids, scores, strict=True):
                 line = line[near_ids != i]
@@ -148,8 +131,8 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
         if not len(docs) or not len(asks):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype="int64")
         q, d, s = search(
-            asks["id"].to_numpy(np.int64), _matrix(list(asks["v"]), width), asks["floor"].to_numpy(np.int64),
-            docs["id"].to_numpy(np.int64), _matrix(list(docs["v"]), width), shared.value[1][:PIVOTS], k,
+            asks["id"].to_numpy(np.int64), whole_numbers(list(asks["v"]), width, scale), asks["floor"].to_numpy(np.int64),
+            docs["id"].to_numpy(np.int64), whole_numbers(list(docs["v"]), width, scale), shared.value[1][:PIVOTS], k,
         )
         return pd.DataFrame({"query_id": q, "id": d, "score": s})
 
@@ -157,7 +140,7 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     query_groups = max(1, -(-asked // CELL_QUERIES))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     docs = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(doc_groups)).cast("int").alias("dg"), every(query_groups).alias("qg"))
-    asks = rows.filter("asks").select("id", "v").dropDuplicates(["id"]).mapInPandas(start, "id bigint, v array<bigint>, floor bigint")
+    asks = rows.filter("asks").select("id", "v").dropDuplicates(["id"]).mapInPandas(start, "id bigint, v array<double>, floor bigint")
     asks = asks.select("id", "v", "floor", F.pmod(F.xxhash64("id"), F.lit(query_groups)).cast("int").alias("qg"), every(doc_groups).alias("dg"))
     found = docs.groupBy("dg", "qg").cogroup(asks.groupBy("dg", "qg")).applyInPandas(cell, "query_id bigint, id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

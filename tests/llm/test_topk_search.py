@@ -49,3 +49,16 @@ def test_odd_rows(spark):
 def test_large_values_stay_exact(spark):
     rows = [(i, [2.0**17 + i, -(2.0**18) + 3 * i, 1.0]) for i in range(12)]
     assert run(spark, [(*r, 0, 0) for r in rows]) == brute(rows)
+
+
+@pytest.mark.parametrize("kind,large", [("float", 1e30), ("double", 1e300), ("float", 2.0**45)])
+def test_finite_values_of_any_size(spark, kind, large):
+    rows = [(i, [float(i % 5), 2.0 - i % 3, 0.5]) for i in range(30)] + [(30 + i, [(-1) ** i * large, float(i), 1.0]) for i in range(8)]
+    table = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>").repartition(3)
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    whole = {i: [math.floor(1024.0 * x) for x in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 4 == 0):
+        clipped = lambda d: min(max(sum(x * y for x, y in zip(whole[q], whole[d])), -(1 << 63)), (1 << 63) - 1)  # noqa: B023, E731
+        want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(sorted((-clipped(d), d) for d in whole if d != q)[:10])]
+    assert sorted(tuple(r) for r in topk_search.top_k(table, F.col("vec_id") % 4 == 0).collect()) == want
