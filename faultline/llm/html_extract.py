@@ -19,7 +19,7 @@ adverts, notices and comments are noise on any host, and where a page marks its
 article, text is looked for inside it, and the tree removes nothing there.  So
 hosts with one page work, too.  A class or id that names furniture is only a
 hint: an element that holds most of the text is a wrapper whatever its name,
-and so is one around the article.
+and so is one around the article.  Comments go whatever their share.
 
 Pages are parsed once.  Counting is by host, node and text with partial counts
 before the shuffle; what goes back to a page is only the list of its own noisy
@@ -29,7 +29,7 @@ contents.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 import xxhash
@@ -59,31 +59,100 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"},
 }
+RAW = ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")
 SCOPES = frozenset("html body table ul ol dl article main section div td th".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu submenu sidebar breadcrumb "
     "breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related "
-    "recommended recommendations comments comment disqus respond reply replies toolbar pagination pager login search widget widgets".split()
+    "recommended recommendations comments comment disqus respond reply replies feedback toolbar pagination pager login search widget widgets links tags".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 ARTICLE_FURNITURE = FURNITURE - {"banner", "search", "widget", "widgets", "alert"}
-COMMENTS = frozenset("comments comment disqus respond reply replies".split())
-# an element with a name of furniture is a wrapper if it holds more than this share of the text; comments are often longer than what they are about
+COMMENTS = frozenset("comments comment disqus respond reply replies feedback".split())
+# a name with one of these words tells a state of the element ("has-sidebar", "comments-open"), not what it is
+STATES = frozenset("has no not with without open opened closed enabled disabled allow allowed allows".split())
+# an element with a name of furniture is a wrapper if it holds more than this share of the text without comments; comments, often longer than what they are about, are never one
 MOST = 0.5
-MOST_COMMENTS = 0.9
 OUTSIDE, INSIDE, MAYBE = 0, 1, 2
 _WORDS = re.compile(r"[a-z]+")
 
 
-class _Page(HTMLParser):
-    """Text blocks of a page: (node, outside, inside or maybe inside an article, text, innermost element named like furniture)."""
+# a tag to its end; quotes hide a > only as the value of an attribute
+_TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/=>"'][^\s/=>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in RAW}
+
+
+class _Page:
+    """Text blocks of a page: (node, outside, inside or maybe inside an article, text, innermost element named like furniture).
+
+    Reading takes linear time and memory, whatever the page: every search that
+    ran to the end of the page in vain is not made again, and of the open
+    elements the positions are kept by tag.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, str, int]] = []
-        self.stack: list[tuple[str, str, bool, int, int]] = []  # tag, node, silent, inside an article, named
+        self.blocks: list[tuple[int, int, str, int]] = []
+        self.stack: list[tuple[str, int, bool, int, int]] = []  # tag, node, silent, inside an article, named
         self.named: list[tuple[int, bool, bool]] = [(0, False, False)]  # of elements named like furniture: the next one around, inside an article, comments
         self.text: list[str] = []
+        # positions in the stack: of each tag, of scopes, of elements that aren't inline
+        self.opened: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.outline: list[int] = []
+
+    def read(self, source: str) -> None:
+        """Feed the tags and texts of a page, in order.
+
+        A mark of a comment, or a tag, that never ends is no reason to lose the
+        text behind it: of the comment only the mark goes, a < without any >
+        behind it is text, and a tag whose every > stands in quotes ends at the
+        first, as do all tags behind it.
+        """
+        last = source.rfind(">")
+        endless: set[str] = set()
+        quotes = True
+
+        def end_of(mark: re.Pattern, at: int) -> re.Match | None:
+            found = None if mark.pattern in endless else mark.search(source, at)
+            if not found:
+                endless.add(mark.pattern)
+            return found
+
+        at = 0
+        while (start := source.find("<", at)) >= 0:
+            if start > at:
+                self._data(source[at:start])
+            sign = source[start + 1 : start + 3]
+            if source.startswith("<!--", start):
+                end = end_of(_COMMENT_END, start + 2)
+                at = end.end() if end else start + 4
+            elif start > last or not (sign[:1].isalpha() and sign[:1].isascii() or sign[:1] in ("!", "?", "/")):
+                self._data("<")
+                at = start + 1
+            elif sign[0] in "!?" or (sign[0] == "/" and not (sign[1:].isalpha() and sign.isascii())):
+                at = source.index(">", start) + 1
+            else:
+                tag = _TAG.match(source, start) if quotes else None
+                if tag:
+                    at, name, rest = tag.end(), tag[1].lower(), tag[2]
+                else:
+                    quotes = False
+                    at = source.index(">", start) + 1
+                    name, _, rest = source[start:at].strip("</>").partition(" ")
+                    name = name.lower()
+                if sign[0] == "/":
+                    self._end(name)
+                elif name in RAW:
+                    end = end_of(_RAW_END[name], at)
+                    at = end.start() if end else len(source) if name in ("script", "style") else at
+                    if name not in INLINE:
+                        self._flush()
+                else:
+                    self._start(name, rest)
+        self._data(source[at:])
+        self._flush()
 
     def _flush(self) -> None:
         if self.text:
@@ -91,27 +160,31 @@ class _Page(HTMLParser):
             self.text = []
             if whole:
                 # the node of a block is its nearest element that isn't inline
-                node, inside = next(((n, i) for t, n, _, i, _ in reversed(self.stack) if t not in INLINE), ("", OUTSIDE))
+                _, node, _, inside, _ = self.stack[self.outline[-1]] if self.outline else ("", 0, False, OUTSIDE, 0)
                 self.blocks.append((node, inside, whole, self.stack[-1][4] if self.stack else 0))
 
-    def _furniture(self, tag: str, attributes: dict[str, str | None], inside: int) -> bool:
+    def _furniture(self, tag: str, attributes: dict[str, str], inside: int) -> bool:
         if tag in SILENT or (tag == "header" and not inside) or "hidden" in attributes or attributes.get("aria-hidden") == "true":
             return True
-        if "display:none" in (attributes.get("style") or "").replace(" ", "").lower():
+        if "display:none" in attributes.get("style", "").replace(" ", "").lower():
             return True
-        return tag not in ("html", "body", "article", "main") and (attributes.get("role") or "").lower() in ROLES
+        return tag not in ("html", "body", "article", "main") and attributes.get("role", "").lower() in ROLES
 
-    def _name(self, tag: str, attributes: dict[str, str | None], inside: int, above: int) -> int:
+    def _name(self, tag: str, attributes: dict[str, str], inside: int, above: int) -> int:
         """The element in ``named`` if its class or id names furniture, else the one around it."""
         if tag in ("html", "body", "article", "main"):
             return above
-        words = set(_WORDS.findall(f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower()))
+        words: set[str] = set()
+        for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+            parts = set(_WORDS.findall(name))
+            if parts.isdisjoint(STATES):
+                words |= parts
         if words.isdisjoint(ARTICLE_FURNITURE if inside else FURNITURE) and (inside or "header" not in words):
             return above
         self.named.append((above, bool(inside), not words.isdisjoint(COMMENTS)))
         return len(self.named) - 1
 
-    def main_blocks(self) -> list[tuple[str, int, str, int]]:
+    def main_blocks(self) -> list[tuple[int, int, str, int]]:
         """Blocks of the article if one is marked, else of the page, without furniture."""
         for kind in (INSIDE, MAYBE):
             marked = self._without_furniture([b for b in self.blocks if b[1] == kind], True)
@@ -120,43 +193,66 @@ class _Page(HTMLParser):
                 return marked
         return [(node, OUTSIDE, text, name) for node, _, text, name in self._without_furniture(self.blocks, False)]
 
-    def _without_furniture(self, blocks: list[tuple[str, int, str, int]], article: bool) -> list[tuple[str, int, str, int]]:
-        """``blocks`` outside all named elements that hold too little of them; for an article only names inside it count."""
+    def _without_furniture(self, blocks: list[tuple[int, int, str, int]], article: bool) -> list[tuple[int, int, str, int]]:
+        """``blocks`` outside comments and outside all other named elements that hold too little of the rest; for an article only names inside it count."""
+        gone = [False] * len(self.named)
+        for name in range(1, len(gone)):
+            above, inside, comments = self.named[name]
+            gone[name] = gone[above] or (comments and (inside or not article))
+        blocks = [b for b in blocks if not gone[b[3]]]
         held = [0] * len(self.named)
         for _, _, text, name in blocks:
             held[name] += len(text)
         # elements come after those around them
         for name in range(len(held) - 1, 0, -1):
             held[self.named[name][0]] += held[name]
-        gone = [False] * len(held)
         for name in range(1, len(held)):
-            above, inside, comments = self.named[name]
-            gone[name] = gone[above] or ((inside or not article) and held[name] <= (MOST_COMMENTS if comments else MOST) * held[0])
+            above, inside, _ = self.named[name]
+            gone[name] = gone[name] or gone[above] or ((inside or not article) and held[name] <= MOST * held[0])
         return [b for b in blocks if not gone[b[3]]]
 
+    def _nearest(self, tags: frozenset[str]) -> int:
+        """Position of the innermost open element of ``tags``, -1 without one."""
+        return max((self.opened[t][-1] for t in tags if self.opened.get(t)), default=-1)
+
+    def _open(self, tag: str, node: int, silent: bool, inside: int, name: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, node, silent, inside, name))
+        self.opened.setdefault(tag, []).append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        if tag not in INLINE:
+            self.outline.append(at)
+
+    def _drop(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.opened[self.stack.pop()[0]].pop()
+        for positions in (self.scopes, self.outline):
+            while positions and positions[-1] >= at:
+                positions.pop()
+
     def _close(self, at: int) -> None:
-        if any(t not in INLINE for t, *_ in self.stack[at:]) or (self.stack and self.stack[-1][4] != (self.stack[at - 1][4] if at else 0)):
+        if (self.outline and self.outline[-1] >= at) or (self.stack and self.stack[-1][4] != (self.stack[at - 1][4] if at else 0)):
             self._flush()
-        del self.stack[at:]
+        self._drop(at)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _start(self, tag: str, rest: str) -> None:
         if tag not in INLINE:
             self._flush()
             ends = CLOSES.get(tag)
-            for at in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[at][0]
-                if t == "p" or (ends and t in ends):
+            if ends:
+                while (at := self._nearest(ends | {"p"})) > self._nearest(SCOPES - ends):
                     self._close(at)
-                    if not ends:
-                        break
-                elif t in SCOPES and not (ends and t in ends):
-                    break
+            elif (at := self._nearest(frozenset({"p"}))) > (self.scopes[-1] if self.scopes else -1):
+                self._close(at)
         if tag in VOID:
             return
-        attributes = dict(attrs)
-        _, above, silent, inside, name = self.stack[-1] if self.stack else ("", "", False, OUTSIDE, 0)
+        attributes: dict[str, str] = {}
+        for key, *values in _ATTRIBUTE.findall(rest):
+            attributes.setdefault(key.lower(), unescape("".join(values)))
+        _, above, silent, inside, name = self.stack[-1] if self.stack else ("", 0, False, OUTSIDE, 0)
         silent = silent or self._furniture(tag, attributes, inside)
-        role = (attributes.get("role") or "").lower()
+        role = attributes.get("role", "").lower()
         if not silent:
             if tag == "main" or role == "main":
                 inside = INSIDE
@@ -165,33 +261,32 @@ class _Page(HTMLParser):
         around, name = name, name if silent else self._name(tag, attributes, inside, name)
         if (silent or name != around) and self.text:
             self._flush()
-        style = "".join(f".{x}" for x in sorted((attributes.get("class") or "").split()))
-        self.stack.append((tag, above if tag in INLINE else f"{above}/{tag}{style}", silent, inside, name))
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
+        if tag not in INLINE:
+            # a node is known by a running hash of its path, as long as its parent's
+            style = "".join(f".{x}" for x in sorted(attributes.get("class", "").split()))
+            above = xxhash.xxh3_64_intdigest(f"{above:x}/{tag}{style}")
+        self._open(tag, above, silent, inside, name)
+        if tag in INLINE and rest.endswith("/"):
+            self._drop(len(self.stack) - 1)
+
+    def _end(self, tag: str) -> None:
+        if not self.opened.get(tag):
             return
-        if tag not in VOID:
-            self.stack.pop()
-
-    def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[at][0]
-            if t == tag:
-                if self.stack[at][2] and not (at and self.stack[at - 1][2]):
-                    self.text = []
-                self._close(at)
-                return
-            if tag in INLINE and t not in INLINE or tag == "p" and t in SCOPES:
-                return
+        at = self.opened[tag][-1]
+        # inline elements end inside their block, paragraphs inside their scope
+        bounds = self.outline if tag in INLINE else self.scopes if tag == "p" else ()
+        if bounds and bounds[-1] > at:
+            return
+        if self.stack[at][2] and not (at and self.stack[at - 1][2]):
+            self.text = []
+        self._close(at)
 
-    def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][2]):
-            self.text.append(data)
+    def _data(self, data: str) -> None:
+        if data and not (self.stack and self.stack[-1][2]):
+            self.text.append(unescape(data))
 
 
-def _chars(blocks: list[tuple[str, int, str, int]]) -> int:
+def _chars(blocks: list[tuple[int, int, str, int]]) -> int:
     return sum(len(b[2]) for b in blocks)
 
 
@@ -203,10 +298,8 @@ def page_blocks(html: str | None) -> list[tuple[int, bool, str]]:
     if not html:
         return []
     page = _Page()
-    page.feed(html)
-    page.close()
-    page._flush()
-    return [(xxhash.xxh3_64_intdigest(node) - (1 << 63), inside != OUTSIDE, text) for node, inside, text, _ in page.main_blocks()]
+    page.read(html)
+    return [(node - (1 << 63), inside != OUTSIDE, text) for node, inside, text, _ in page.main_blocks()]
 
 
 def host(url: Column) -> Column:

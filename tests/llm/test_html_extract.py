@@ -89,3 +89,38 @@ def test_reposts_and_near_copies_keep_their_text(spark):
     assert all(got[300 + i] == f"Story {i} as it was told by writer {i} that day" for i in range(12))
     assert all(got[400 + i] == f"Take {i} A story that was told before, at length and in full" for i in range(5))
     assert got[500] == "Good evening A story under a greeting of its own, told once"
+
+
+def test_comments_go_at_any_share():
+    many = "<p>comment text</p>" * 50
+    assert text(f"<article><p>Body one.</p><section class='comments'>{many}</section></article>") == "Body one."
+    assert text(f"<div><p>Body one.</p></div><div class='user-feedback'>{many}</div>") == "Body one."
+    assert text(f"<article><div id=disqus_thread>{many}</div></article>") == ""
+    # a name that tells a state is none; short furniture beside long comments is still furniture
+    assert text(f"<div class='post comments-open'><p>Body one.</p><div class=comments>{many}</div></div>") == "Body one."
+    assert text(f"<div class=sidebar>Latest</div><p>Body one, told here.</p><div class=comments>{many}</div>") == "Body one, told here."
+    assert text("<ul class=links><li>Home<li>About</ul><p>Body one, told here.</p><p class=tags>a b</p>") == "Body one, told here."
+
+
+def test_marks_without_an_end_lose_no_text():
+    assert text("<p>a<!-- b<p>c") == "a b c" and text("<p>a<!-- <p>b</p> -->c<!--d") == "acd"
+    assert text("<!--><p>a<!---><p>b<!-- x --!>c") == "a bc"
+    assert text("<p>a < b <1> <?x?>c<!x>d</>e</1>f") == "a < b <1> cdef"
+    assert text("<p>a<b") == "a<b" and text('<p>a<i title="x>b</i> c') == "ab c" and text('<p>a<i t=">" <b u=">"') == 'a" "'
+    assert text("<p title=it's>a</p><p data-x='a>b' title=\"c>d\">e</p>") == "a e"
+    assert text("<title>x<y</title><p>a<textarea>x<b</textarea>b<title>c") == "a b c" and text("<p>a<script>x") == "a"
+
+
+def test_broken_and_deep_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    marks = ["<!--", "<![CDATA[", "<!x ", "<?", "<a ", "<a href=\"", "<a b=\">\"", "</a ", "<title>", "<b></p>", "<b></i>", "<center>", "<li>", "<ul><li>", "<td><b>x<br>", "<", "&#"]
+    for mark in marks:
+        started = time.process_time()
+        assert "story" in text("<p>story</p>" + mark * 100_000), mark
+        assert time.process_time() - started < 20, mark
+    tracemalloc.start()
+    assert text("<div class=a>" * 100_000 + "story") == "story"
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
