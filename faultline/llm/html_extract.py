@@ -8,6 +8,16 @@ of their number: texts that recur on page after page tell nothing, texts of one
 page tell most.  Of a node of low importance the contents that stand on two or
 more distinct pages are removed, never a text of one page.
 
+Elements have presentations, too: which elements with text stand directly in a
+node on a page.  A node's presentation importance is the entropy of its
+presentations over its distinct pages.  The composite importance of a branch is
+(1 - g^l) times that of its top plus g^l times the mean of its l parts, the
+branches inside and the contents of the top itself; it is found from the leaves
+up on a page's own elements, with the site's figures.  A branch is noise if it
+and all branches inside it are of low importance.  Where a page marks its
+article, only such whole branches inside it lose their repeated contents, and
+the bound is stricter; on other pages contents count on their own.
+
 Near copies are not distinct pages.  A page weighs the mean of 1 / n over its
 characters, n being the pages of the host where the text they stand in occurs:
 k copies weigh one page together, and a page of its own weighs one.  Where
@@ -16,8 +26,7 @@ so reposts under other headlines are still one page.
 
 What elements say about themselves comes first: scripts, menus, footers, forms,
 adverts, notices and comments are noise on any host, and where a page marks its
-article, text is looked for inside it, and the tree removes nothing there.  So
-hosts with one page work, too.  A class or id that names furniture is only a
+article, text is looked for inside it.  So hosts with one page work, too.  A class or id that names furniture is only a
 hint: an element that holds most of the text is a wrapper whatever its name,
 and so is one around the article.  Comments go whatever their share.
 
@@ -42,6 +51,10 @@ from faultline.llm.common import short_batches, stored
 LEAST_PAGES = 4
 # importance below which a node outside marked articles is noise
 NOISE_OUTSIDE = 0.35
+# composite importance below which a branch inside a marked article is noise
+NOISE_INSIDE = 0.1
+# weight g of what a branch holds against the presentation of its top
+INNER = 0.9
 # distinct pages from which on a noisy node's content is repeated
 REPEATED = 2
 # share of a page's characters that stand on other pages of the host, from which on it is a near copy
@@ -95,6 +108,7 @@ class _Page:
     def __init__(self) -> None:
         self.blocks: list[tuple[int, int, str, int]] = []
         self.stack: list[tuple[str, int, bool, int, int]] = []  # tag, node, silent, inside an article, named
+        self.above: dict[int, tuple[int, bool]] = {}  # of a node: its parent, and whether that is inside an article, too
         self.named: list[tuple[int, bool, bool]] = [(0, False, False)]  # of elements named like furniture: the next one around, inside an article, comments
         self.text: list[str] = []
         # positions in the stack: of each tag, of scopes, of elements that aren't inline
@@ -211,6 +225,28 @@ class _Page:
             gone[name] = gone[name] or gone[above] or ((inside or not article) and held[name] <= MOST * held[0])
         return [b for b in blocks if not gone[b[3]]]
 
+    def elements(self, blocks: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
+        """(node, parent, presentation) of the elements around ``blocks``, parents first; of an article only those inside it, 0 being the top."""
+        parents: dict[int, int] = {}
+        parts: dict[int, set[int]] = {}
+        for node, inside, _, _ in blocks:
+            path = []
+            here = node
+            while here and here not in parts:
+                parent, within = self.above[here]
+                if inside and not within:
+                    break
+                parts[here] = set()
+                path.append((here, parent))
+                here = parent
+            for at, parent in reversed(path):
+                parents[at] = parent if parent in parents else 0
+                parts.setdefault(parents[at], set()).add(at)
+            if node in parents:
+                parts[node].add(0)
+        digest = lambda node: xxhash.xxh3_64_intdigest(",".join(f"{x:x}" for x in sorted(parts[node])))
+        return [(node, parent, digest(node)) for node, parent in parents.items()]
+
     def _nearest(self, tags: frozenset[str]) -> int:
         """Position of the innermost open element of ``tags``, -1 without one."""
         return max((self.opened[t][-1] for t in tags if self.opened.get(t)), default=-1)
@@ -264,7 +300,9 @@ class _Page:
         if tag not in INLINE:
             # a node is known by a running hash of its path, as long as its parent's
             style = "".join(f".{x}" for x in sorted(attributes.get("class", "").split()))
-            above = xxhash.xxh3_64_intdigest(f"{above:x}/{tag}{style}")
+            parent, above = above, xxhash.xxh3_64_intdigest(f"{above:x}/{tag}{style}")
+            within = bool(self.stack) and self.stack[-1][3] != OUTSIDE
+            self.above.setdefault(above, (parent, within))
         self._open(tag, above, silent, inside, name)
         if tag in INLINE and rest.endswith("/"):
             self._drop(len(self.stack) - 1)
@@ -290,16 +328,47 @@ def _chars(blocks: list[tuple[int, int, str, int]]) -> int:
     return sum(len(b[2]) for b in blocks)
 
 
+def _read(html: str | None) -> tuple[list[tuple[int, bool, str]], list[tuple[int, int, int]]]:
+    """Blocks of the text of a page (node, inside an article, text) in page order, and the elements around them."""
+    if not html:
+        return [], []
+    page = _Page()
+    page.read(html)
+    blocks = page.main_blocks()
+    long = lambda node: node - (1 << 63)
+    return (
+        [(long(node), inside != OUTSIDE, text) for node, inside, text, _ in blocks],
+        [(long(node), long(parent), long(presentation)) for node, parent, presentation in page.elements(blocks)],
+    )
+
+
 def page_blocks(html: str | None) -> list[tuple[int, bool, str]]:
     """(node hash, inside an article, text) in page order; furniture left out.
 
     If any part of the page is marked as its article, only blocks inside such parts are given.
     """
-    if not html:
-        return []
-    page = _Page()
-    page.read(html)
-    return [(node - (1 << 63), inside != OUTSIDE, text) for node, inside, text, _ in page.main_blocks()]
+    return _read(html)[0]
+
+
+def noisy_branches(elements: list[tuple[int, int]], presentation: dict[int, float], contents: dict[int, float], bound: float = NOISE_INSIDE) -> list[int]:
+    """Tops of all branches whose composite importance, and that of all branches inside, is below ``bound``.
+
+    ``elements`` are (node, parent) with parents first.  A node on too few pages
+    to have figures is important.
+    """
+    parts: dict[int, list[float]] = {node: [contents[node]] if node in contents else [] for node, _ in elements}
+    noise = dict.fromkeys(parts, True)
+    for node, parent in reversed(elements):
+        inner = parts[node]
+        held = INNER ** len(inner)
+        # a node without elements inside is what its contents are
+        whole = node in contents and len(inner) == 1
+        composite = inner[0] if whole else (1 - held) * presentation.get(node, 1.0) + held * sum(inner) / len(inner) if inner else 1.0
+        noise[node] = noise[node] and composite < bound
+        if parent in parts:
+            parts[parent].append(composite)
+            noise[parent] = noise[parent] and noise[node]
+    return [node for node, _ in elements if noise[node]]
 
 
 def host(url: Column) -> Column:
@@ -307,50 +376,114 @@ def host(url: Column) -> Column:
 
 
 def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page: __key, __url, __host, __inside (the text is a marked article), __nodes and __texts of its blocks, __page (stored).
+    """Per page: __key, __url, __host, __inside (the text is a marked article), __nodes and __texts of its blocks, __elements, __page (stored).
 
-    __page is the same for pages of the same text, whatever stands around it.
+    __page is the same for pages of the same text in the same nodes, whatever furniture stands around it.
     """
     short_batches(pages.sparkSession)
 
-    @F.pandas_udf("inside boolean, nodes array<bigint>, texts array<string>")
+    @F.pandas_udf("inside boolean, nodes array<bigint>, texts array<string>, element array<bigint>, parent array<bigint>, presentation array<bigint>")
     def blocks_of(sources: pd.Series) -> pd.DataFrame:
-        found = [page_blocks(s if isinstance(s, str) else None) for s in sources]
+        found = [_read(s if isinstance(s, str) else None) for s in sources]
         return pd.DataFrame({
-            "inside": [any(inside for _, inside, _ in blocks) for blocks in found],
-            "nodes": [[node for node, _, _ in blocks] for blocks in found],
-            "texts": [[text for _, _, text in blocks] for blocks in found],
+            "inside": [any(inside for _, inside, _ in blocks) for blocks, _ in found],
+            "nodes": [[node for node, _, _ in blocks] for blocks, _ in found],
+            "texts": [[text for _, _, text in blocks] for blocks, _ in found],
+            **{name: [[e[at] for e in elements] for _, elements in found] for at, name in enumerate(("element", "parent", "presentation"))},
         })
 
     rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"), host(F.col(url)).alias("__host"), blocks_of(F.col(html)).alias("b"))
-    return stored(rows.select("__key", "__url", "__host", F.col("b.inside").alias("__inside"), F.col("b.nodes").alias("__nodes"), F.col("b.texts").alias("__texts"), F.xxhash64("b.texts").alias("__page")), "pages-parsed")
+    return stored(rows.select(
+        "__key", "__url", "__host", F.col("b.inside").alias("__inside"), F.col("b.nodes").alias("__nodes"), F.col("b.texts").alias("__texts"),
+        F.arrays_zip(F.col("b.element").alias("element"), F.col("b.parent").alias("parent"), F.col("b.presentation").alias("presentation")).alias("__elements"),
+        F.xxhash64("b.inside", "b.nodes", "b.texts").alias("__page"),
+    ), "pages-parsed")
 
 
-def style_tree(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Noise of every host, from the rows of ``parsed``: (host, page, noise), noise being the page's (node, content) to remove."""
-    blocks = rows.filter("NOT __inside AND __host <> ''").select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.explode(F.arrays_zip("__nodes", "__texts")).alias("b"))
-    found = blocks.select("host", "page", F.col("b.__nodes").alias("node"), F.xxhash64("b.__texts").alias("content"), F.length("b.__texts").alias("chars")).distinct()
-    found = stored(found, "style-tree")
+def _same(*pairs: tuple[str, str]) -> Column:
+    """Equality of the named columns, pair by pair."""
+    on = F.lit(True)
+    for a, b in pairs:
+        on = on & (F.col(a) == F.col(b))
+    return on
+
+
+def page_weights(found: DataFrame) -> DataFrame:
+    """(h, p, weight): how many distinct pages a page is, from rows (host, page, content, chars)."""
     texts = found.select("host", "page", "content", "chars").distinct()
     shared = texts.groupBy(F.col("host").alias("h"), F.col("content").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = texts.join(shared, (F.col("host") == F.col("h")) & (F.col("content") == F.col("c")), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    counted = texts.join(shared, _same(("host", "h"), ("content", "c")), "left").withColumn("n", F.coalesce("n", F.lit(1)))
     sums = counted.groupBy(F.col("host").alias("h"), F.col("page").alias("p")).agg(
         F.sum("chars").alias("all"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("chars"))), F.lit(0)).alias("common"), F.sum(F.when(F.col("n") > 1, F.col("chars") / F.col("n")).otherwise(0.0)).alias("parts")
     )
     own = F.col("all") - F.col("common")
     weight = F.when(F.col("common") >= NEAR_COPY * F.col("all"), F.col("parts") / F.col("common")).otherwise((own + F.col("parts")) / F.col("all"))
-    weighed = found.join(sums.select("h", "p", weight.alias("weight")), (F.col("host") == F.col("h")) & (F.col("page") == F.col("p"))).select("host", "page", "node", "content", "weight")
-    weighed = stored(weighed, "style-tree-weights")
+    return sums.select("h", "p", weight.alias("weight"))
+
+
+def content_importance(weighed: DataFrame) -> DataFrame:
+    """(h, k, pages, importance) of the contents of each node, from rows (host, page, node, content, weight)."""
     contents = weighed.groupBy("host", "node", "content").agg(F.sum("weight").alias("n"))
     spread = contents.groupBy("host", "node").agg(F.avg(F.log(F.greatest("n", F.lit(1.0)))).alias("entropy"))
     sizes = weighed.select("host", "node", "page", "weight").distinct().groupBy(F.col("host").alias("h"), F.col("node").alias("k")).agg(F.sum("weight").alias("pages"))
-    noisy = spread.join(sizes, (F.col("host") == F.col("h")) & (F.col("node") == F.col("k"))).filter(
-        (F.col("pages") >= least_pages) & (1 - F.col("entropy") / F.log("pages") < NOISE_OUTSIDE)
-    ).select("h", "k")
-    gone = contents.filter(F.col("n") >= REPEATED).join(noisy, (F.col("host") == F.col("h")) & (F.col("node") == F.col("k")), "left_semi")
+    joined = spread.join(sizes, _same(("host", "h"), ("node", "k")))
+    return joined.select("h", "k", "pages", F.when(F.col("pages") > 1, 1 - F.col("entropy") / F.log("pages")).otherwise(1.0).alias("importance"))
+
+
+def presentation_importance(presented: DataFrame) -> DataFrame:
+    """(h, k, pages, importance) of the presentations of each node, from rows (host, page, node, presentation, weight)."""
+    kinds = presented.groupBy("host", "node", "presentation").agg(F.sum("weight").alias("n"))
+    # sum of -n/m log(n/m) = log m - sum of n log n / m
+    sums = kinds.groupBy(F.col("host").alias("h"), F.col("node").alias("k")).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("logs"))
+    entropy = (F.log("pages") - F.col("logs") / F.col("pages")) / F.log("pages")
+    return sums.select("h", "k", "pages", F.when(F.col("pages") > 1, entropy).otherwise(1.0).alias("importance"))
+
+
+def style_tree(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Noise of every host, from the rows of ``parsed``: (host, page, noise), noise being the page's (node, content) to remove."""
+    hosted = rows.filter("__host <> ''").select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.col("__inside").alias("inside"), "__nodes", "__texts", "__elements")
+    blocks = hosted.select("host", "page", "inside", F.explode(F.arrays_zip("__nodes", "__texts")).alias("b"))
+    found = blocks.select("host", "page", "inside", F.col("b.__nodes").alias("node"), F.xxhash64("b.__texts").alias("content"), F.length("b.__texts").alias("chars")).distinct()
+    found = stored(found, "style-tree")
+    weights = stored(page_weights(found), "style-tree-pages")
+    weighed = found.join(weights, _same(("host", "h"), ("page", "p"))).select("host", "page", "inside", "node", "content", "weight")
+    weighed = stored(weighed, "style-tree-weights")
+    importance = content_importance(weighed).filter(F.col("pages") >= least_pages)
+    importance = stored(importance.select("h", "k", "importance"), "style-tree-contents")
+    noisy = importance.filter(F.col("importance") < NOISE_OUTSIDE)
+    gone = weighed.groupBy("host", "node", "content").agg(F.sum("weight").alias("n")).filter(F.col("n") >= REPEATED).join(noisy, _same(("host", "h"), ("node", "k")), "left_semi")
     gone = gone.select(F.col("host").alias("h"), F.col("node").alias("k"), F.col("content").alias("c"))
-    hits = weighed.join(gone, (F.col("host") == F.col("h")) & (F.col("node") == F.col("k")) & (F.col("content") == F.col("c")), "left_semi")
-    return hits.groupBy("host", "page").agg(F.collect_list(F.struct("node", "content")).alias("noise"))
+    hits = weighed.join(gone, _same(("host", "h"), ("node", "k"), ("content", "c")), "left_semi")
+    hits = stored(hits.groupBy("host", "page", "inside").agg(F.collect_list(F.struct("node", "content")).alias("noise")), "style-tree-hits")
+
+    # marked articles: only whole branches inside them
+    asked = hits.filter("inside").select(F.col("host").alias("h1"), F.col("page").alias("p1"), "noise")
+    sites = asked.select("h1").distinct()
+    elements = hosted.filter("inside").select("host", "page", "__elements").join(sites, F.col("host") == F.col("h1"), "left_semi").dropDuplicates(["host", "page"])
+    each = elements.select("host", "page", F.explode("__elements").alias("e")).select("host", "page", F.col("e.element").alias("node"), F.col("e.presentation").alias("presentation"))
+    each = stored(each.join(weights, _same(("host", "h"), ("page", "p"))).select("host", "page", "node", "presentation", "weight"), "style-tree-elements")
+    styles = presentation_importance(each).filter(F.col("pages") >= least_pages).select(F.col("h").alias("h2"), F.col("k").alias("k2"), F.col("importance").alias("style"))
+    figures = each.select("host", "page", "node").join(asked.select("h1", "p1"), _same(("host", "h1"), ("page", "p1")), "left_semi")
+    figures = figures.join(styles, _same(("host", "h2"), ("node", "k2")), "left").join(importance, _same(("host", "h"), ("node", "k")), "left")
+    figures = figures.groupBy(F.col("host").alias("h3"), F.col("page").alias("p3")).agg(F.collect_list(F.struct("node", "style", "importance")).alias("figures"))
+    pages = elements.join(asked, _same(("host", "h1"), ("page", "p1"))).join(figures, _same(("host", "h3"), ("page", "p3")))
+
+    @F.pandas_udf("array<bigint>")
+    def branches(trees: pd.Series, owned: pd.Series, sites: pd.Series) -> pd.Series:
+        out = []
+        for tree, own, site in zip(trees, owned, sites, strict=True):
+            style = {f["node"]: f["style"] for f in site if f["style"] is not None}
+            contents = {f["node"]: f["importance"] for f in site if f["importance"] is not None}
+            # contents of too few pages to have figures are important
+            contents = {node: contents.get(node, 1.0) for node in own}
+            out.append(noisy_branches([(e["element"], e["parent"]) for e in tree], style, contents))
+        return pd.Series(out)
+
+    owners = weighed.filter("inside").join(asked.select("h1", "p1"), _same(("host", "h1"), ("page", "p1")), "left_semi")
+    owners = owners.groupBy(F.col("host").alias("h4"), F.col("page").alias("p4")).agg(F.collect_set("node").alias("own"))
+    judged = pages.join(owners, _same(("host", "h4"), ("page", "p4"))).select("host", "page", "noise", branches("__elements", "own", "figures").alias("noisy"))
+    within = judged.select("host", "page", F.filter("noise", lambda x: F.array_contains("noisy", x["node"])).alias("noise")).filter(F.size("noise") > 0)
+    return hits.filter("NOT inside").select("host", "page", "noise").unionByName(within)
 
 
 def main_text(html: str | None, noisy: set[int]) -> str:
@@ -368,7 +501,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     rows = parsed(pages, key, url, html)
     noise = stored(style_tree(rows), "style-tree-noise")
-    apart = F.col("__inside") | (F.col("__host") == "")
+    apart = F.col("__host") == ""
     joined = rows.filter(~apart).join(noise, (F.col("__host") == F.col("host")) & (F.col("__page") == F.col("page")), "left")
     left = F.filter(F.arrays_zip("__nodes", "__texts"), lambda b: ~F.array_contains("noise", F.struct(b["__nodes"].alias("node"), F.xxhash64(b["__texts"]).alias("content"))))
     kept = F.when(F.col("noise").isNull(), F.col("__texts")).otherwise(F.transform(left, lambda b: b["__texts"]))

@@ -1,6 +1,8 @@
 """Pages written by hand, and the article of every given page."""
 
 import html
+import math
+import random
 import re
 
 from faultline.llm import html_extract
@@ -124,3 +126,99 @@ def test_broken_and_deep_pages_take_linear_time_and_memory():
     assert text("<div class=a>" * 100_000 + "story") == "story"
     assert tracemalloc.get_traced_memory()[1] < 200_000_000
     tracemalloc.stop()
+
+
+def test_whole_branches_inside_articles(spark):
+    # only the tree can tell the words behind every article from the article
+    page = "<nav>m</nav><article><h1>Title {0}</h1><p>What happened on day {0}, told by {0} people.</p>{1}</article>"
+    outro = "<div class=outro><p>Thanks for reading</p><p>Write to us</p></div>"
+    mixed = "<div class=outro><p>Thanks for reading</p><p>Story {0} goes on</p></div>"
+    rows = [(i, "https://tells.example/", page.format(i, outro)) for i in range(8)]
+    # a sentence said again among others isn't a branch, nor is one with something of its own
+    rows += [(100 + i, "https://says.example/", page.format(i, "<p>As ever, all is well.</p>")) for i in range(8)]
+    rows += [(200 + i, "https://mixes.example/", page.format(i, mixed.format(i))) for i in range(8)]
+    # too few distinct pages
+    rows += [(300 + i, "https://few.example/", page.format(i, outro)) for i in range(3)]
+    rows += [(400 + i, "https://copies.example/", page.format(7, outro)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert html_extract.style_tree(html_extract.parsed(pages)).count() == 8
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for i, _, source in rows:
+        told = text(source)
+        assert got[i] == (told.removesuffix(" Thanks for reading Write to us") if i < 100 else told)
+
+
+def by_hand(sources):
+    """The texts of one host's pages, by the stated rule, in plain loops."""
+    read = [html_extract._read(x) for x in sources]
+    distinct = {tuple(blocks): (blocks, elements) for blocks, elements in read if blocks}
+    texts = {p: {t for _, _, t in blocks} for p, (blocks, _) in distinct.items()}
+    weight = {}
+    for p, own in texts.items():
+        n = {t: sum(t in x for x in texts.values()) for t in own}
+        size = {t: len(t) / n[t] for t in own}
+        common = [t for t in own if n[t] > 1]
+        if sum(map(len, common)) >= 2 / 3 * sum(map(len, own)):
+            weight[p] = sum(size[t] for t in common) / sum(map(len, common))
+        else:
+            weight[p] = sum(size.values()) / sum(map(len, own))
+    contents, shown, pages, elements_on = {}, {}, {}, {}
+    for p, (blocks, elements) in distinct.items():
+        for node, t in {(node, t) for node, _, t in blocks}:
+            contents[node, t] = contents.get((node, t), 0) + weight[p]
+        for node in {node for node, _, _ in blocks}:
+            pages[node] = pages.get(node, 0) + weight[p]
+        for node, _, kind in elements:
+            if blocks[0][1]:
+                shown[node, kind] = shown.get((node, kind), 0) + weight[p]
+                elements_on[node] = elements_on.get(node, 0) + weight[p]
+    important, style = {}, {}
+    for node, m in pages.items():
+        if m >= html_extract.LEAST_PAGES:
+            logs = [math.log(max(w, 1)) for (k, _), w in contents.items() if k == node]
+            important[node] = 1 - sum(logs) / len(logs) / math.log(m)
+    for node, m in elements_on.items():
+        if m >= html_extract.LEAST_PAGES:
+            style[node] = -sum(w / m * math.log(w / m, m) for (k, _), w in shown.items() if k == node)
+    out = []
+    for blocks, elements in read:
+
+        def composite(node):
+            inner = [composite(k) for k, above, _ in elements if above == node]
+            values = [c for c, _ in inner]
+            if node in {k for k, _, _ in blocks}:
+                values.append(important.get(node, 1))
+                if not inner:
+                    return values[0], values[0] < 0.1
+            held = 0.9 ** len(values)
+            c = (1 - held) * style.get(node, 1) + held * sum(values) / len(values)
+            return c, c < 0.1 and all(noise for _, noise in inner)
+
+        kept = []
+        for node, inside, t in blocks:
+            noise = important.get(node, 1) < 0.35 and contents[node, t] >= 2
+            if not (noise and (not inside or composite(node)[1])):
+                kept.append(t)
+        out.append(" ".join(kept))
+    return out
+
+
+def test_importance_by_hand_on_small_hosts(spark):
+    rng = random.Random(8)
+    rows = []
+    for site in range(24):
+        tops = [f"<div class=t{i}>{'<p>said on every page</p>' * rng.randint(0, 1)}<b>notice {rng.randint(0, 2)}</b></div>" for i in range(rng.randint(1, 4))]
+        mark = rng.choice(["article", "div"])
+        for i in range(rng.randint(2, 14)):
+            own = "".join(f"<p>{' '.join(str(rng.randint(0, 999)) for _ in range(rng.choice((2, 12, 40))))}</p>" for _ in range(rng.randint(site % 3, 3)))
+            around = [rng.choice(tops) if rng.random() < 0.3 else top for top in tops if rng.random() < 0.95]
+            inner = f"<section class=s>{rng.choice(['<p>read on</p>', '<ul><li>read on', '<p>read on</p><p>or not</p>'])}</section>" if rng.random() < 0.9 else ""
+            rows.append((len(rows), f"https://{site}.example/", f"<{mark}>{own}{''.join(around)}{inner}</{mark}>"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    changed = {"<article>": 0, "<div>": 0}
+    for site in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == site]
+        for (i, _, source), want in zip(mine, by_hand([r[2] for r in mine]), strict=True):
+            assert got[i] == want, (site, source)
+            changed[source[: source.index(">") + 1]] += want != text(source)
+    assert min(changed.values()) > 5
