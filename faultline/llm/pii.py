@@ -21,6 +21,8 @@ the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +44,60 @@ LEAST_CONTEXTS = 3
 REACH = 120
 # contexts that agree so close to the mention are one, as in repeated lines
 NEAR = 24
+# values of one stretch of a running sum, code points of one piece of a text
+STRETCH = 256
+PIECE = 512
 _LETTER = r"[\p{L}\p{M}]"
 _JOINED = rf"(?:['’‐-](?![sS](?!{_LETTER})){_LETTER}++)"
 WORD = rf"{_LETTER}++{_JOINED}*+"
-JOINED_WORD = rf"{_LETTER}++{_JOINED}++"
+JOINED_WORD = rf"(?<!{_LETTER}){_LETTER}++{_JOINED}++"
 LEAST_LETTERS = 3
+# a letter that stands for each code point of an address where terms are sought
+BLANK = "\u16a0"
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, step: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For each place of an int array what ``step`` makes of 0 and all values before it; by stretches, so that no long list is copied value by value."""
+
+    def follow(first: Column, some: Column) -> Column:
+        return F.aggregate(some, F.array(first.cast("int")).cast("array<int>"), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x)).cast("array<int>")))
+
+    def combine(stretches: Column) -> Column:
+        totals = F.transform(stretches, lambda some: F.aggregate(some, F.lit(0), step))
+        inside = lambda heads: F.flatten(F.transform(stretches, lambda some, i: F.slice(follow(heads[i], some), F.lit(1), F.size(some))))
+        return _with(follow(F.lit(0), totals), inside)
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / STRETCH).cast("int")), lambda i: F.slice(v, i * STRETCH + 1, F.lit(STRETCH)))
+    return _with(values, lambda v: _with(cut(v), combine))
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points, for ``_part``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` (from 0) on; no more than the pieces that hold them are read."""
+    first = F.floor(start / PIECE).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, F.floor((start + length) / PIECE).cast("int") - first + 1), "")
+    return F.substring(near, (start - first * PIECE + 1).cast("int"), length.cast("int"))
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
     """array<struct<start, value>> of a pattern's matches; start in code points from 0."""
+
+    def place(hits: Column, gaps: Column) -> Column:
+        before = _before(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)))
+        starts = F.zip_with(before, gaps, lambda b, g: b + F.length(g))
+        return F.zip_with(starts, hits, lambda at, h: F.struct(at.alias("start"), h.alias("value")))
+
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    upto = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    found = F.transform(hits, lambda h, i: F.struct((upto(F.transform(gaps, F.length), i + 1) + upto(F.transform(hits, F.length), i)).alias("start"), h.alias("value")))
+    found = _with(hits, lambda h: _with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)), lambda g: place(h, g)))
     return F.when(possible, found).otherwise(F.array().cast("array<struct<start: int, value: string>>"))
 
 
@@ -127,34 +170,41 @@ def _terms(text: Column) -> Column:
 
 
 def _occurrences(text: Column, terms: Column) -> Column:
-    """array<struct<start, end, surface>> of all places of ``terms`` in a text, in order; of a joined word the whole goes before its runs."""
+    """array<struct<start, end, surface>> of all places of ``terms`` in a text, in order; of a joined word the whole goes before its runs.
+
+    Words that overlap an e-mail address are none: the address is overwritten
+    by letters of no term.
+    """
     known = lambda w: F.array_contains(terms, F.lower(w))
+    nothing = F.array().cast("array<struct<start: int, end: int, surface: string>>")
     place = lambda at, w: F.struct(at.cast("int").alias("start"), (at + F.length(w)).cast("int").alias("end"), w.alias("surface"))
-    hits = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    words = F.arrays_zip(F.slice(F.split(text, WORD, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("word"))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, surface: string>>").alias("found"))
-
-    def step(a: Column, x: Column) -> Column:
-        at, word = a["at"] + F.length(x["gap"]), x["word"]
-        runs = F.filter(_matches(word, _LETTER + "++", F.lit(True)), lambda m: known(m["value"]))
-        found = (
-            F.when(known(word), F.concat(a["found"], F.array(place(at, word))))
-            .when(F.rlike(word, F.lit("['’‐-]")) & (F.size(runs) > 0), F.concat(a["found"], F.transform(runs, lambda m: place(at + m["start"], m["value"]))))
-            .otherwise(a["found"])
+
+    def places(m: Column) -> Column:
+        at, word = m["start"], m["value"]
+        runs = F.filter(_matches(word, _LETTER + "++", F.lit(True)), lambda r: known(r["value"]))
+        return (
+            F.when(known(word), F.array(place(at, word)))
+            .when(F.rlike(word, F.lit("['’‐-]")), F.transform(runs, lambda r: place(at + r["start"], r["value"])))
+            .otherwise(nothing)
         )
-        return F.struct((at + F.length(word)).alias("at"), found.alias("found"))
 
-    return F.aggregate(words, nothing, step, lambda a: a["found"])
+    hits = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    cover = lambda g, h: F.concat(g, F.coalesce(F.repeat(F.lit(BLANK), F.length(h)), F.lit("")))
+    plain = F.when(F.contains(text, F.lit("@")), F.array_join(F.zip_with(F.split(text, EMAIL, -1), hits, cover), "")).otherwise(text)
+    return _with(plain, lambda t: F.flatten(F.transform(_matches(t, WORD, F.lit(True)), places)))
 
 
 def find_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: uid, key, entities with their contexts, and the text t, null without entities unless all are kept (stored)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), whole_text(text).alias("t"))
     rows = rows.withColumn("found", _entities(F.col("t")))
-    left = lambda s: F.when(s["start"] > REACH, F.regexp_replace(F.substring(F.col("t"), s["start"] - REACH + 1, F.lit(REACH)), r"^\S+", "")).otherwise(F.substring(F.col("t"), F.lit(1), s["start"]))
-    right = lambda s: F.when(s["end"] + REACH < F.length("t"), F.regexp_replace(F.substring(F.col("t"), s["end"] + 1, F.lit(REACH)), r"\S+$", "")).otherwise(F.substring(F.col("t"), s["end"] + 1, F.lit(REACH)))
-    context = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), left(s).alias("left"), right(s).alias("right"))
-    return stored(rows.select("uid", "key", F.transform("found", context).alias("entities"), F.when(F.lit(keep_text) | (F.size("found") > 0), F.col("t")).alias("t")), "pii-entities")
+    left = lambda p, s: F.when(s["start"] > REACH, F.regexp_replace(_part(p, s["start"] - REACH, F.lit(REACH)), r"^\S+", "")).otherwise(_part(p, F.lit(0), s["start"]))
+    right = lambda p, n, s: F.when(s["end"] + REACH < n, F.regexp_replace(_part(p, s["end"], F.lit(REACH)), r"\S+$", "")).otherwise(_part(p, s["end"], F.lit(REACH)))
+    context = lambda p, n, s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), left(p, s).alias("left"), right(p, n, s).alias("right"))
+    around = _with(_pieces(F.col("t")), lambda p: _with(F.length("t"), lambda n: F.transform("found", lambda s: context(p, n, s))))
+    none = F.array().cast("array<struct<start: int, rank: int, kind: string, end: int, value: string, left: string, right: string>>")
+    around = F.when(F.size("found") > 0, around).otherwise(none)
+    return stored(rows.select("uid", "key", around.alias("entities"), F.when(F.lit(keep_text) | (F.size("found") > 0), F.col("t")).alias("t")), "pii-entities")
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -182,9 +232,10 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, text: str = "text", t
     most = F.log(n / F.greatest("df", "df_e")) / F.log(n / F.col("df_e"))
     proposed = stored(proposed.filter((F.col("df_e") < n) & (most >= threshold - 1e-9)).select(F.col("entity").alias("e2"), F.col("term").alias("t2"), "df", "df_e"), "pii-pairs")
     words = entities.filter(F.size("entities") > 0).select("uid", F.explode(_terms(F.col("t"))).alias("term"))
-    words = words.join(proposed.select(F.col("t2").alias("t")).distinct(), F.col("term") == F.col("t"), "left_semi")
-    pairs = words.join(per_entity.select(F.col("uid").alias("u"), "entity"), F.col("uid") == F.col("u")).select("uid", "entity", "term")
-    pairs = stored(pairs.join(proposed.select("e2", "t2"), (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2")), "left_semi"), "pii-together")
+    # a term meets the entities it is proposed with, then those stay that are in the document: never all terms x all entities of one document
+    pairs = words.join(proposed.select("e2", "t2"), F.col("term") == F.col("t2")).select("uid", F.col("e2").alias("entity"), "term")
+    held = per_entity.select(F.col("uid").alias("u"), F.col("entity").alias("e"))
+    pairs = stored(pairs.join(held, (F.col("uid") == F.col("u")) & (F.col("entity") == F.col("e")), "left_semi"), "pii-together")
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     share = F.log(n * F.col("n_te") / (F.col("df") * F.col("df_e"))) / F.log(n / F.col("df_e"))
     telling = together.join(proposed, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2"))).filter(share >= threshold).select(F.col("entity").alias("e3"), F.col("term").alias("t3"), "df_e")
@@ -197,9 +248,7 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, text: str = "text", t
         F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("vague"), F.col("term"))).alias("vague")
     )
     marked = entities.filter(F.size("entities") > 0).join(sought, F.col("uid") == F.col("u"))
-    emails = F.filter("entities", lambda m: m["kind"] == "email")  # the only ones with letters
-    found = F.filter(_occurrences(F.col("t"), F.col("terms")), lambda x: ~F.exists(emails, lambda m: (m["start"] < x["end"]) & (x["start"] < m["end"])))
-    spans = marked.select("uid", "vague", F.explode(found).alias("x"))
+    spans = marked.select("uid", "vague", F.explode(_occurrences(F.col("t"), F.col("terms"))).alias("x"))
     general = F.when(F.array_contains("vague", F.lower("x.surface")), _shape(F.col("x.surface")))
     return stored(spans.select("uid", "x.start", "x.end", general.alias("general")), "pii-terms"), df_entity
 
@@ -250,13 +299,13 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     replaced = judged.select("uid", "start", "end", F.when(safe, F.col("form")).otherwise(F.concat(F.lit("["), F.col("kind"), F.lit("]"))).alias("new"))
     replaced = replaced.unionByName(terms.select("uid", "start", "end", F.coalesce("general", F.lit(f"[{TERM}]")).alias("new")))
     listed = replaced.groupBy(F.col("uid").alias("u")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("spans"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def put(a: Column, s: Column) -> Column:
-        fresh = F.struct(F.concat(a["out"], F.substring(F.col("t"), a["at"] + 1, s["start"] - a["at"]), s["new"]).alias("out"), s["end"].alias("at"))
-        inside = F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(inside)
+    def put(pieces: Column) -> Column:
+        ends = F.transform("spans", lambda s: s["end"])
+        # a span that starts before the end of an earlier one goes with it
+        new = F.zip_with("spans", _before(ends, lambda a, x: F.greatest(a, x)), lambda s, at: F.when(s["start"] >= at, F.concat(_part(pieces, at, s["start"] - at), s["new"])).otherwise(""))
+        return F.concat(F.array_join(new, ""), _with(F.array_max(ends), lambda end: _part(pieces, end, F.length("t") - end)))
 
-    folded = F.aggregate("spans", start, put, lambda a: F.concat(a["out"], F.substring(F.col("t"), a["at"] + 1, F.length("t"))))
+    folded = _with(_pieces(F.col("t")), put)
     joined = entities.join(listed, F.col("uid") == F.col("u"), "left")
     return joined.select(F.col("key").alias(key), F.when(F.col("spans").isNull(), F.col("t")).otherwise(folded).alias(text))

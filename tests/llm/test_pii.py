@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from faultline.llm import pii
 
 PATTERNS = (
@@ -90,3 +92,39 @@ def test_terms_far_from_the_entity(spark):
     assert not any(got[100 + i] for i in range(100))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert not any(name in clean[10 * k + i].replace(f"{name}ing", "") for k, name in enumerate(names) for i in range(8))
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    cards = " ".join(f"n{i}@m{i}.example.com 10.{i % 200}.{i // 200 % 200}.7" for i in range(50_000))
+    texts = [cards, "é😀 " * 700 + "a@b.c" + " ü😀" * 700, "x@y.z " * 3_000]
+    started = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert time.time() - started < 100
+    assert all(got[i] == entities(t) for i, t in enumerate(texts))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert "@" not in clean[1].replace("@b.c", "") and clean[1].startswith("é😀 " * 700) and clean[1].endswith(" ü😀" * 700)
+    assert clean[0].count(" ") == cards.count(" ")
+
+
+def test_contexts_and_parts_of_texts(spark):
+    rng = random.Random(11)
+    rows = [("".join(rng.choice("aé😀 \n") for _ in range(rng.choice((0, 5, 511, 512, 513, 1_500)))), rng.randint(0, 1_600), rng.randint(0, 700)) for _ in range(200)]
+    table = spark.createDataFrame(rows, "t string, start int, n int")
+    for r in table.select("*", pii._part(pii._pieces(F.col("t")), F.col("start"), F.col("n")).alias("part")).collect():
+        assert r.part == r.t[r.start : r.start + r.n]
+    lists = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 255, 256, 257, 900)]
+    sums = spark.createDataFrame([(x,) for x in lists], "v array<int>").select("v", pii._before(F.col("v")).alias("b"), pii._before(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).collect()
+    for r in sums:
+        assert r.b == [sum(r.v[:i]) for i in range(len(r.v))] and r.m == [max([0, *r.v[:i]]) for i in range(len(r.v))]
+
+
+def test_terms_overlap_no_address(spark):
+    rows = [(i, f"{w} Zorgon at zorgon@mail.com or xzorgon@mail.comzorgon {w}, éZorgon@mail.com") for i, w in enumerate(("call", "meet", "hire", "so"))]
+    rows += [(100 + i, f"call meet hire so at or com mail {i}") for i in range(100)]
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("doc_id < 100").collect():
+        text = dict(rows)[r.doc_id]
+        terms = [(s.start, text[s.start : s.end]) for s in r.spans if s.kind == "term"]
+        assert terms == [(text.index("Zorgon"), "Zorgon")]
