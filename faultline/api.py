@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import access, activity, async_jobs, component_graph, debug_logs, incidents, org_index, packing, summary, token_usage
 from faultline.operators.access import Identity
+from faultline.session import cut_lineage
 from faultline.sources import stores
 
 
@@ -117,20 +118,30 @@ def list_logs(t: Tables, who: Identity, **filters: str) -> DataFrame:
     return access.search_logs(access.decorated_logs(t.log_library, t.log_links, t.registry, who), who, **filters)
 
 
-def normalize_logs(lines: DataFrame, component_ids: DataFrame | None = None, wide: bool = False) -> dict[str, DataFrame]:
-    """All sections of all logs."""
-    rows = debug_logs.events(lines)
-    units = debug_logs.execution_units(rows, wide)
-    raised = debug_logs.thrown(rows, wide)
-    found = async_jobs.evidence(rows, wide)
-    return {
-        "execution_units": units, "exceptions": debug_logs.exceptions(raised),
-        "soql_summary": debug_logs.query_summary(debug_logs.query_events(rows, wide)),
-        "dml_summary": debug_logs.dml_summary(debug_logs.dml_events(rows, wide)), "routed": debug_logs.routed(rows),
-        "limits": debug_logs.limits(lines, wide), "involved_components": debug_logs.involved_components(units, raised, component_ids),
-        "dispatches": async_jobs.shown_dispatches(found, wide), "failed_async_limit": async_jobs.failures(found),
-        "job_constructions": async_jobs.job_constructions(found),
+def normalize_logs(
+    lines: DataFrame, component_ids: DataFrame | None = None, headers: DataFrame | None = None, wide: bool = False
+) -> dict[str, DataFrame]:
+    """All sections of all logs from one pass over the lines; ``headers`` (log_id, header) adds what the log levels hide."""
+    found = debug_logs.sweep(lines, wide)
+    units, raised = debug_logs.execution_units(found, wide), debug_logs.thrown(found, wide)
+    jobs = cut_lineage(async_jobs.evidence(found, wide))
+    entries = debug_logs.entry_units(units)
+    components = debug_logs.involved_components(units, raised, component_ids)
+    queries = debug_logs.query_summary(debug_logs.query_events(found, wide))
+    routed, limits = debug_logs.routed(found), debug_logs.limits(found, wide)
+    sections = {
+        "meta": debug_logs.log_meta(found, units, raised, components), "context": entries,
+        "execution_units": units, "exceptions": debug_logs.exceptions(raised), "soql_summary": queries,
+        "dml_summary": debug_logs.dml_summary(debug_logs.dml_events(found, wide)),
+        **{name: routed.filter(F.col("section") == name).drop("section") for name in debug_logs.ROUTED},
+        "limits_by_namespace": limits, "limits_final": limits.filter("is_final"), "involved_components": components,
+        "missing_fields": debug_logs.missing_field_evidence(raised, queries), "async_presence": async_jobs.presence(jobs, entries),
+        "dispatches": async_jobs.shown_dispatches(jobs, wide), "failed_async_limit": async_jobs.failures(jobs),
+        "job_constructions": async_jobs.job_constructions(jobs),
     }
+    if headers is not None:
+        sections["visibility"] = debug_logs.visibility(headers, found)
+    return sections
 
 
 def log_section(section: DataFrame, order: str, offset: int = 0, limit: int = 50) -> DataFrame:

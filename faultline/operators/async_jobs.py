@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions.scan import CHUNK_ROWS, scan
-from faultline.operators.debug_logs import last_field, levelled
+from faultline.operators.debug_logs import EVIDENCE_EVENTS, METHOD_EVENTS, Sweep, last_field, levelled
 from faultline.session import written
 
 # ---- fixed values -----------------------------------------------------------
@@ -19,14 +19,15 @@ ASYNC_LIMIT = r"(?i)Too many (?:queueable jobs added to the queue|future calls|b
 NEAR_LINES = 25
 # -----------------------------------------------------------------------------
 
-METHOD_EVENTS = ["METHOD_ENTRY", "METHOD_EXIT"]
-EVIDENCE = ["CONSTRUCTOR_ENTRY", "SYSTEM_METHOD_ENTRY", "EXCEPTION_THROWN"]
 REDUCED = ["k_log", "k_unit", "part", "k_line", "method", "state", "ops"]
 
 
-def framed(rows: DataFrame, wide: bool = False) -> DataFrame:
+def framed(rows: DataFrame | Sweep, wide: bool = False) -> DataFrame:
     """Method and evidence events, each with the code unit that is innermost when it is read."""
-    levels = levelled(rows, "unit", METHOD_EVENTS + EVIDENCE, wide)
+    if isinstance(rows, Sweep):
+        unit = F.when(F.col("opened").isNotNull(), F.struct(F.col("opened.line_no").alias("line_no"), F.col("opened.text").alias("label")))
+        return rows.stacks.filter((F.col("step") == 0) & F.col("evt").isin(*METHOD_EVENTS, *EVIDENCE_EVENTS)).withColumn("unit", unit)
+    levels = levelled(rows.drop("raw"), "unit", METHOD_EVENTS + EVIDENCE_EVENTS, wide)
     inner = F.when(F.col("step") == 1, F.col("open_before")).otherwise(F.col("open_before") - 1)
     start = F.when(F.col("step") == 1, F.struct("line_no", last_field(3).alias("label")))
     placed = scan(
@@ -158,10 +159,11 @@ def callers(events: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     return asked.select("k_log", "k_line", F.coalesce("method", "above").alias("method"))
 
 
-def evidence(rows: DataFrame, wide: bool = False) -> DataFrame:
+def evidence(rows: DataFrame | Sweep, wide: bool = False) -> DataFrame:
     """Constructions, dispatches and async-limit failures with caller and the nearest construction."""
     # read twice, by the stacks and by what is told of them
-    events = written(framed(rows.drop("raw"), wide), "log-frames")
+    events = framed(rows, wide)
+    events = events if isinstance(rows, Sweep) else written(events, "log-frames")
     text = F.col("last_part")
     is_new = (F.col("evt") == "CONSTRUCTOR_ENTRY") & (F.trim(text) != "") & ~F.trim(text).startswith("<")
     mechanism = F.lit(None).cast("string")

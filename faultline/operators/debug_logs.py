@@ -3,15 +3,22 @@
 Input is ``lines(log_id, line_no, raw)``.  Whatever depends on line order is a
 scan of ``functions.scan`` over the log; ``wide=True`` spreads one log over
 many tasks and is for tables in which some log is too large for one.
+
+An operator takes the lines or events of its own section alone, or a ``Sweep``:
+all running values of all sections from one ordered pass, for callers that want
+several sections.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions.scan import scan
+from faultline.session import written
 
 # ---- fixed values -----------------------------------------------------------
 CLASS_FRAME = r"^Class\.([\w.]+?)(?:\.(\w+))?:\s*line\s*(\d+)"
@@ -27,6 +34,7 @@ FLOW_EVENTS = (
     "FLOW_START_INTERVIEW_BEGIN", "FLOW_START_INTERVIEW_END", "FLOW_ELEMENT_ERROR", "FLOW_FAULT_EVENT",
     "FLOW_INTERVIEW_FINISHED",
 )
+ROUTED = ("callouts", "user_debug", "validation_failures", "flow_events")
 VALIDATION_EVENTS = ("VALIDATION_RULE", "VALIDATION_FAIL", "VALIDATION_FORMULA")
 # begin and end event of each kind of stack
 STACKS = {
@@ -34,6 +42,9 @@ STACKS = {
     "soql": ("SOQL_EXECUTE_BEGIN", "SOQL_EXECUTE_END"),
     "dml": ("DML_BEGIN", "DML_END"),
 }
+# read beside the stacks, each inside the code unit that is innermost
+METHOD_EVENTS = ["METHOD_ENTRY", "METHOD_EXIT"]
+EVIDENCE_EVENTS = ["CONSTRUCTOR_ENTRY", "SYSTEM_METHOD_ENTRY", "EXCEPTION_THROWN"]
 # -----------------------------------------------------------------------------
 
 
@@ -46,7 +57,22 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
-def of(rows: DataFrame, *names: str) -> DataFrame:
+@dataclass
+class Sweep:
+    """What one ordered pass over the lines finds, written to the shared folder.
+
+    ``lines``: every line with its event, length, the header of the frame run
+    it is in, the exception before it and its limit block.  ``stacks``: begin,
+    end and method events with their level and ``opened``, the begin row
+    (line_no, text) of the entry they close or are in.
+    """
+
+    lines: DataFrame
+    stacks: DataFrame
+
+
+def of(rows: DataFrame | Sweep, *names: str) -> DataFrame:
+    rows = rows.lines if isinstance(rows, Sweep) else rows
     return rows.filter(F.col("evt").isin(*names))
 
 
@@ -56,7 +82,71 @@ def last_field(least: int, otherwise: Column | str = "") -> Column:
     return F.when(F.col("n_parts") >= least, F.col("last_part")).otherwise(fallback)
 
 
-def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None, wide: bool = False) -> DataFrame:
+def _payload(kind: str) -> Column:
+    """What the begin row of a stack tells of its entry."""
+    if kind == "dml":
+        return F.when(F.col("n_parts") >= 3, F.array_join(F.slice("parts", 3, F.col("n_parts")), "|")).otherwise("")
+    return last_field(4 if kind == "soql" else 3)
+
+
+def _is_frame() -> Column:
+    return _trimmed().rlike(CLASS_FRAME) | _trimmed().rlike(TRIGGER_FRAME)
+
+
+def _trimmed() -> Column:
+    return F.regexp_replace("raw", r"^\s+|\s+$", "")
+
+
+def _limit_namespace() -> Column:
+    """The namespace a limit header opens, null for every other line."""
+    ns = F.trim(F.regexp_extract("raw", LIMIT_HEADER, 1))
+    return F.when(F.col("raw").rlike(LIMIT_HEADER), F.when(ns == "", DEFAULT_NS).otherwise(ns))
+
+
+def sweep(lines: DataFrame, wide: bool = False) -> Sweep:
+    """One scan over all lines for every section, then one over the stack events for their pairs.
+
+    The stacks are independent sums in the same scan; a line belongs to one of
+    them at most, so one scan by (log, stack, level) pairs them all.
+    """
+    evt = F.col("evt")
+    rows = lines.withColumn("parts", F.split("raw", r"\|")).select(
+        "log_id", "line_no", "raw", "parts", F.size("parts").alias("n_parts"),
+        F.try_element_at("parts", F.lit(2)).alias("evt"), F.element_at("parts", -1).alias("last_part"),
+        F.length("raw").alias("chars"), (F.trim("raw") == "").alias("is_blank"), _is_frame().alias("is_frame"), _limit_namespace().alias("own_ns"),
+    )
+    kind, step = F.lit(None).cast("string"), F.lit(0)
+    sums = {"others": F.coalesce(evt == "EXCEPTION_THROWN", F.lit(False)).cast("int"), "block": F.col("own_ns").isNotNull().cast("int")}
+    for name, (begin, end) in STACKS.items():
+        sums[f"{name}_total"] = F.when(evt == begin, 1).when(evt == end, -1).otherwise(0)
+        kind = F.when(evt.isin(begin, end), name).otherwise(kind)
+        step = F.when(evt == begin, 1).when(evt == end, -1).otherwise(step)
+    kind = F.when(evt.isin(*METHOD_EVENTS, *EVIDENCE_EVENTS), "unit").otherwise(kind)
+    own = F.struct("line_no", "evt")
+    swept = scan(
+        rows.withColumn("of_stack", kind).withColumn("step", step), ["log_id"], "line_no", sums=sums,
+        lows={f"{name}_low": f"{name}_total" for name in STACKS},
+        lasts={"head": F.when(~F.col("is_frame") & ~F.col("is_blank"), own), "seen_ns": F.col("own_ns")},
+        prevs={"prior": F.when(evt.isin("EXCEPTION_THROWN", "FATAL_ERROR"), own)}, wide=wide,
+    )
+    before, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    for name in STACKS:
+        mine = F.col("of_stack") == name
+        before = F.when(mine, F.col(f"{name}_total") - F.col("step") - F.col(f"{name}_low")).otherwise(before)
+        text = F.when(mine & (F.col("step") == 1), _payload(name)).otherwise(text)
+    swept = swept.withColumn("open_before", before).withColumn("text", text)
+    swept = written(swept.drop(*[f"{name}_{x}" for name in STACKS for x in ("total", "low")]), "log-lines")
+    marked = swept.filter("of_stack IS NOT NULL").select(
+        "log_id", "line_no", "evt", "parts", "n_parts", "last_part", "of_stack", "step", "open_before", "others", "text",
+        F.when(F.col("step") == 1, F.col("open_before")).when(F.col("open_before") > 0, F.col("open_before") - 1).alias("level"),
+    )
+    opened = F.when(F.col("step") == 1, F.struct("line_no", "text"))
+    known = scan(marked.filter("level IS NOT NULL"), ["log_id", "of_stack", "level"], "line_no", lasts={"opened": opened}, wide=wide)
+    loose = marked.filter("level IS NULL").withColumn("opened", F.lit(None).cast(known.schema["opened"].dataType))
+    return Sweep(swept, written(known.unionByName(loose).drop("text"), "log-stacks"))
+
+
+def levelled(rows: DataFrame | Sweep, kind: str, extra: list[str] | None = None, wide: bool = False) -> DataFrame:
     """Begin and end rows of one stack with the level each belongs to.
 
     Adds ``step`` (+1 begin, -1 end, 0 other), ``open_before`` (entries open
@@ -64,6 +154,8 @@ def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None, wide: b
     depth of the entry it closes.  An end with nothing open has no level.
     """
     begin, end = STACKS[kind]
+    if isinstance(rows, Sweep):
+        return rows.stacks.filter(F.col("evt").isin(begin, end, *(extra or [])))
     marked = of(rows, begin, end, *(extra or [])).withColumn(
         "step", F.when(F.col("evt") == begin, 1).when(F.col("evt") == end, -1).otherwise(0)
     )
@@ -78,8 +170,11 @@ def levelled(rows: DataFrame, kind: str, extra: list[str] | None = None, wide: b
     return swept.withColumn("open_before", before).withColumn("level", level).drop("total", "lowest")
 
 
-def matched(levels: DataFrame, payload: Column, wide: bool = False) -> DataFrame:
-    """End rows, each with ``payload`` of the begin row it closes (null for an unmatched end)."""
+def matched(levels: DataFrame, kind: str, wide: bool = False) -> DataFrame:
+    """End rows, each with ``opened`` (line_no, text) of the begin row it closes, null for an unmatched end."""
+    if "opened" in levels.columns:
+        return levels.filter("step = -1")
+    payload = F.struct("line_no", _payload(kind).alias("text"))
     known = levels.filter(F.col("level").isNotNull())
     paired = scan(
         known, ["log_id", "level"], "line_no", lasts={"opened": F.when(F.col("step") == 1, payload)}, wide=wide
@@ -88,14 +183,14 @@ def matched(levels: DataFrame, payload: Column, wide: bool = False) -> DataFrame
     return paired.unionByName(loose, allowMissingColumns=True)
 
 
-def execution_units(rows: DataFrame, wide: bool = False) -> DataFrame:
+def execution_units(rows: DataFrame | Sweep, wide: bool = False) -> DataFrame:
     """Code units with depth, and whether an exception was thrown while they were open."""
     levels = levelled(rows, "unit", ["EXCEPTION_THROWN"], wide)
     starts = levels.filter("step = 1").select(
         "log_id", "line_no", last_field(3).alias("label"), F.col("level").cast("bigint").alias("depth"),
         F.col("others").alias("seen"),
     )
-    ends = matched(levels.filter("step <> 0"), F.struct("line_no"), wide).filter(F.col("opened").isNotNull()).select(
+    ends = matched(levels.filter("step <> 0"), "unit", wide).filter(F.col("opened").isNotNull()).select(
         F.col("log_id").alias("e_log"), F.col("opened.line_no").alias("e_line"), F.col("others").alias("at_end"),
     )
     totals = levels.groupBy(F.col("log_id").alias("t_log")).agg(F.max("others").alias("at_last"))
@@ -119,10 +214,10 @@ def unit_runs(units: DataFrame, wide: bool = False) -> DataFrame:
     )
 
 
-def query_events(rows: DataFrame, wide: bool = False) -> DataFrame:
+def query_events(rows: DataFrame | Sweep, wide: bool = False) -> DataFrame:
     """One row per query end, with the text of the begin it closes (last in, first out)."""
-    ends = matched(levelled(rows, "soql", wide=wide), F.struct(last_field(4).alias("query")), wide)
-    query = F.coalesce("opened.query", F.lit(""))
+    ends = matched(levelled(rows, "soql", wide=wide), "soql", wide)
+    query = F.coalesce("opened.text", F.lit(""))
     found = F.regexp_extract(F.col("last_part"), r"Rows:(\d+)", 1)
     return ends.select(
         "log_id", "line_no", c.mask_literals(query).alias("signature"), c.query_object(query).alias("object"),
@@ -140,10 +235,9 @@ def query_summary(queries: DataFrame) -> DataFrame:
     )
 
 
-def dml_events(rows: DataFrame, wide: bool = False) -> DataFrame:
-    detail = F.when(F.col("n_parts") >= 3, F.array_join(F.slice("parts", 3, F.col("n_parts")), "|")).otherwise("")
-    ends = matched(levelled(rows, "dml", wide=wide), F.struct(detail.alias("detail")), wide)
-    text = F.coalesce("opened.detail", F.lit(""))
+def dml_events(rows: DataFrame | Sweep, wide: bool = False) -> DataFrame:
+    ends = matched(levelled(rows, "dml", wide=wide), "dml", wide)
+    text = F.coalesce("opened.text", F.lit(""))
     op = F.regexp_extract(text, DML_DETAIL, 1)
     fine = op != ""
     return ends.select(
@@ -160,34 +254,34 @@ def dml_summary(dml: DataFrame) -> DataFrame:
     )
 
 
-def thrown(rows: DataFrame, wide: bool = False) -> DataFrame:
+def thrown(rows: DataFrame | Sweep, wide: bool = False) -> DataFrame:
     """Exceptions in log order, each with the stack of the fatal error that belongs to it.
 
     A stack is the run of frame lines after a FATAL_ERROR, and counts only if
     another line follows the run.  It belongs to the last EXCEPTION_THROWN
     since the fatal error before; without one the fatal line is an exception
-    of its own.  A platform stack has at most a thousand frames, which bounds
-    what is collected per exception.
+    of its own.  The frames of one run become one text, so a run must fit a row.
     """
-    trimmed = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    frame = trimmed.rlike(CLASS_FRAME) | trimmed.rlike(TRIGGER_FRAME)
-    marks = rows.withColumn("is_frame", frame)
-    headed = scan(
-        marks, ["log_id"], "line_no",
-        lasts={"head": F.when(~F.col("is_frame"), F.struct("line_no", "evt"))}, wide=wide,
-    )
+    if isinstance(rows, Sweep):
+        marks = headed = rows.lines.filter(~F.col("is_blank"))
+    else:
+        marks = rows.withColumn("is_frame", _is_frame())
+        headed = scan(
+            marks, ["log_id"], "line_no",
+            lasts={"head": F.when(~F.col("is_frame"), F.struct("line_no", "evt"))}, wide=wide,
+        )
     stacks = (
         headed.filter(F.col("is_frame") & (F.col("head.evt") == "FATAL_ERROR"))
         .groupBy(F.col("log_id").alias("s_log"), F.col("head.line_no").alias("s_line"))
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", trimmed.alias("frame")))).alias("frames"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", _trimmed().alias("frame")))).alias("frames"))
         .withColumn("stack", F.array_join(F.col("frames.frame"), "\n")).drop("frames")
     )
     ends = marks.filter(~F.col("is_frame")).groupBy(F.col("log_id").alias("z_log")).agg(F.max("line_no").alias("z_line"))
-    both = of(rows, "EXCEPTION_THROWN", "FATAL_ERROR").select(
-        "log_id", "line_no", "evt",
-        last_field(3, F.when(F.col("evt") == "FATAL_ERROR", F.col("raw")).otherwise("")).alias("message"),
+    both = of(rows, "EXCEPTION_THROWN", "FATAL_ERROR").withColumn(
+        "message", last_field(3, F.when(F.col("evt") == "FATAL_ERROR", F.col("raw")).otherwise(""))
     )
-    both = scan(both, ["log_id"], "line_no", prevs={"prior": F.struct("line_no", "evt")}, wide=wide)
+    if not isinstance(rows, Sweep):
+        both = scan(both.select("log_id", "line_no", "evt", "message"), ["log_id"], "line_no", prevs={"prior": F.struct("line_no", "evt")}, wide=wide)
     fatal = both.filter("evt = 'FATAL_ERROR'").withColumn(
         "owner", F.when(F.col("prior.evt") == "EXCEPTION_THROWN", F.col("prior.line_no")).otherwise(F.col("line_no"))
     )
@@ -209,18 +303,17 @@ def exceptions(raised: DataFrame) -> DataFrame:
     )
 
 
-def limits(lines: DataFrame, wide: bool = False) -> DataFrame:
+def limits(lines: DataFrame | Sweep, wide: bool = False) -> DataFrame:
     """Last checkpoint per namespace, with the peak where some checkpoint was higher."""
-    ns = F.regexp_extract("raw", LIMIT_HEADER, 1)
-    header = F.col("raw").rlike(LIMIT_HEADER)
-    rows = lines.filter(header | F.col("raw").rlike(LIMIT_LINE)).select(
-        "log_id", "line_no", "raw", header.alias("is_header"),
-        F.when(header, F.when(F.trim(ns) == "", DEFAULT_NS).otherwise(F.trim(ns))).alias("own_ns"),
-    )
-    swept = scan(
-        rows, ["log_id"], "line_no", sums={"block": F.col("is_header").cast("int")}, lasts={"seen_ns": F.col("own_ns")},
-        wide=wide,
-    ).withColumn("namespace", F.coalesce("seen_ns", F.lit(DEFAULT_NS)))
+    told = F.col("own_ns").isNotNull() | F.col("raw").rlike(LIMIT_LINE)
+    if isinstance(lines, Sweep):
+        swept = lines.lines.filter(told)
+    else:
+        rows = lines.select("log_id", "line_no", "raw", _limit_namespace().alias("own_ns")).filter(told)
+        swept = scan(
+            rows, ["log_id"], "line_no", sums={"block": F.col("own_ns").isNotNull().cast("int")}, lasts={"seen_ns": F.col("own_ns")}, wide=wide
+        )
+    swept = swept.withColumn("is_header", F.col("own_ns").isNotNull()).withColumn("namespace", F.coalesce("seen_ns", F.lit(DEFAULT_NS)))
     spaces = swept.groupBy("log_id", "namespace").agg(F.max("block").alias("last_block"), F.min("line_no").alias("first_line"))
     close = F.upper(F.regexp_extract("raw", LIMIT_LINE, 4)).contains("CLOSE TO LIMIT")
     items = swept.filter(~F.col("is_header")).select(
@@ -247,8 +340,9 @@ def limits(lines: DataFrame, wide: bool = False) -> DataFrame:
     )
 
 
-def routed(rows: DataFrame) -> DataFrame:
+def routed(rows: DataFrame | Sweep) -> DataFrame:
     """Callouts, debug lines, validation failures and flow events, with their shown text."""
+    rows = rows.lines if isinstance(rows, Sweep) else rows
     evt = F.col("evt")
     validation = evt.isin(*VALIDATION_EVENTS) & (evt.contains("FAIL") | (evt == "VALIDATION_RULE"))
     section = (
@@ -309,9 +403,9 @@ def missing_field_evidence(raised: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def log_meta(lines: DataFrame, units: DataFrame, raised: DataFrame, components: DataFrame) -> DataFrame:
-    size = lines.groupBy("log_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.bround(F.sum(F.length("raw") + 1) / 1024.0, 1).alias("size_kb")
+def log_meta(found: Sweep, units: DataFrame, raised: DataFrame, components: DataFrame) -> DataFrame:
+    size = found.lines.groupBy("log_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.bround(F.sum(F.col("chars") + 1) / 1024.0, 1).alias("size_kb")
     )
     distinct = exceptions(raised).groupBy("log_id").agg(
         F.count(F.lit(1)).alias("exception_count"), F.min_by("type", "first_line").alias("top_exception")
@@ -324,7 +418,7 @@ def log_meta(lines: DataFrame, units: DataFrame, raised: DataFrame, components:
     return out.na.fill(0, ["exception_count", "execution_unit_count", "component_count"])
 
 
-def visibility(headers: DataFrame, rows: DataFrame) -> DataFrame:
+def visibility(headers: DataFrame, rows: DataFrame | Sweep) -> DataFrame:
     """What the log levels and managed code hide."""
     managed = of(rows, "ENTERING_MANAGED_PKG").groupBy("log_id").agg(F.count(F.lit(1)).alias("managed_entries"))
     levels = F.col("levels")

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from faultline import api
 from faultline.operators import async_jobs as jobs
 from faultline.operators import debug_logs as logs
-from faultline.plans.registry import query
+from faultline.plans.registry import SQL, query
 from faultline.sources.tables import table
 from faultline.sources.views import view
 
@@ -204,10 +205,10 @@ LEFT JOIN (SELECT log_id, count(*) AS ec, arg_min(type, first_line) AS te FROM {
 LEFT JOIN (SELECT log_id, count(*) AS uc FROM {UNITS} u GROUP BY 1) u USING (log_id) LEFT JOIN (SELECT log_id, count(*) AS cc FROM {COMPONENTS} c GROUP BY 1) c USING (log_id)
 """)
 def log_meta(spark, root):
-    ls, wide = lines(spark, root)
-    r = logs.events(ls)
-    units, raised = logs.execution_units(r, wide), logs.thrown(r, wide)
-    return logs.log_meta(ls, units, raised, logs.involved_components(units, raised, view(spark, root, "log_components")))
+    wide = lines(spark, root)[1]
+    found = logs.sweep(*lines(spark, root))
+    units, raised = logs.execution_units(found, wide), logs.thrown(found, wide)
+    return logs.log_meta(found, units, raised, logs.involved_components(units, raised, view(spark, root, "log_components")))
 
 
 LEVELS = "['NONE', 'ERROR', 'WARN', 'INFO', 'DEBUG', 'FINE', 'FINER', 'FINEST']"
@@ -237,21 +238,6 @@ def log_section_page(spark, root):
     return logs.section_page(section, "line_no", 1, 2).select("log_id", "position", "detail", "total", "next_offset")
 
 
-@query("normalized_log_sections", f"""
-SELECT log_id, 'execution_units' AS section, count(*) AS n FROM {UNITS} u GROUP BY 1
-UNION ALL SELECT log_id, 'exceptions', count(*) FROM {EXCEPTIONS} e GROUP BY 1
-UNION ALL SELECT log_id, 'soql_summary', count(*) FROM {SUMMARY} s GROUP BY 1
-UNION ALL SELECT log_id, 'involved_components', count(*) FROM {COMPONENTS} c GROUP BY 1
-""")
-def normalized_log_sections(spark, root):
-    r, wide = rows(spark, root)
-    units, raised = logs.execution_units(r, wide), logs.thrown(r, wide)
-    return logs.section_sizes(
-        execution_units=units, exceptions=logs.exceptions(raised), soql_summary=logs.query_summary(logs.query_events(r, wide)),
-        involved_components=logs.involved_components(units, raised, view(spark, root, "log_components")),
-    )
-
-
 # ---- async evidence ---------------------------------------------------------
 INNER = f"""(SELECT *, last_value(CASE WHEN step = 1 THEN line_no END IGNORE NULLS) OVER (PARTITION BY log_id, inr ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ul,
     last_value(CASE WHEN step = 1 THEN (CASE WHEN n >= 3 THEN lastp ELSE '' END) END IGNORE NULLS) OVER (PARTITION BY log_id, inr ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label
@@ -317,3 +303,26 @@ WHERE likely_async OR dispatches > 0 OR failures > 0 OR constructions > 0
 def async_presence(spark, root):
     r, wide = rows(spark, root)
     return jobs.presence(jobs.evidence(r, wide), logs.entry_units(logs.execution_units(r, wide)))
+
+
+# every section of every log, of which the check SQL is that of the section's own query
+SECTIONS = {
+    "meta": "log_meta", "context": "entry_units", "execution_units": "execution_units", "exceptions": "log_exceptions", "soql_summary": "query_summary",
+    "dml_summary": "dml_summary", "limits_by_namespace": "log_limits", "involved_components": "involved_components", "missing_fields": "missing_field_evidence",
+    "async_presence": "async_presence", "dispatches": "async_dispatches", "failed_async_limit": "async_failures", "job_constructions": "job_constructions",
+    "visibility": "log_visibility",
+}
+
+
+def _counted(section, rows):
+    return f"SELECT log_id, '{section}' AS section, count(*) AS n FROM ({rows}) s_{section} GROUP BY 1"
+
+
+@query("normalized_log_sections", " UNION ALL ".join([
+    *[_counted(section, SQL[name]) for section, name in SECTIONS.items()], *[_counted(x, f"SELECT * FROM ({ROUTED}) r WHERE section = '{x}'") for x in logs.ROUTED],
+    _counted("limits_final", f"SELECT * FROM ({SQL['log_limits']}) l WHERE is_final"),
+]))
+def normalized_log_sections(spark, root):
+    found, wide = lines(spark, root)
+    headers = view(spark, root, "log_headers")
+    return logs.section_sizes(**api.normalize_logs(found, view(spark, root, "log_components"), headers, wide))

@@ -7,7 +7,7 @@ from faultline.functions.scan import number_rows
 from faultline.operators import debug_logs as logs
 from faultline.operators import packing as pk
 from faultline.plans.debug_logs import ROUTED, SUMMARY, UNITS
-from faultline.plans.debug_logs import rows as log_rows
+from faultline.plans.debug_logs import lines as log_lines
 from faultline.plans.registry import query
 from faultline.sources import component_views  # noqa: F401
 from faultline.sources.tables import table
@@ -16,13 +16,13 @@ from faultline.sources.views import view
 BUDGET = 2000
 
 ITEMS = """(SELECT org_id, component_id, section, row_number() OVER (PARTITION BY org_id, component_id, section ORDER BY o1, o2) - 1 AS item_no, size FROM (
-  SELECT org_id, component_id, 'entry_points' AS section, 0 AS o1, length(kind) AS o2, length(concat('{"kind":"', kind, '","detail":"', detail, '"}')) AS size FROM <entry_point_rows> e WHERE kind <> 'AuraEnabled'
+  SELECT org_id, component_id, 'entry_points' AS section, 0 AS o1, length(kind) AS o2, length(concat('{"kind":"', kind, '","detail":"', detail, '"}')) AS size FROM <entry_point_rows> e
   UNION ALL SELECT org_id, caller, 'call_sites', site_no, line, length(concat('{"line":', line, ',"method_called":"', method_called, '"}')) FROM <call_sites> s
   UNION ALL SELECT org_id, component, 'field_writes', write_id, seq, length(concat('{"field":"', field, '","risk":"', risk, '"}')) FROM <field_writes> w) x)"""
 
 
 def card_items(spark, root):
-    entries = view(spark, root, "entry_point_rows").filter("kind <> 'AuraEnabled'").select(
+    entries = view(spark, root, "entry_point_rows").select(
         "org_id", "component_id", F.lit("entry_points").alias("section"), F.lit(0).cast("bigint").alias("o1"), F.length("kind").cast("bigint").alias("o2"),
         F.length(F.to_json(F.struct("kind", "detail"))).alias("size"),
     )
@@ -65,7 +65,8 @@ def card_packing(spark, root):
 
 
 def log_items(spark, root):
-    found, wide = log_rows(spark, root)
+    found, wide = log_lines(spark, root)
+    found = logs.sweep(found, wide)
     units = logs.execution_units(found, wide).select(
         "log_id", F.lit("execution_units").alias("section"), F.col("line_no").alias("pos"), F.length(F.to_json(F.struct("label", "depth", "had_exception"))).alias("size"),
         F.lit(0).cast("bigint").alias("weight_rows"), F.lit(0).cast("bigint").alias("weight_count"), (F.col("had_exception") | (F.col("depth") == 0)).alias("urgent"),

@@ -19,6 +19,8 @@ MODULES = (
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# the check SQL as registered, for queries that are made of others
+SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -29,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = expand(sql)
+            SQL[name], ORACLES[name] = sql, expand(sql)
         return fn
 
     return keep
