@@ -44,14 +44,15 @@ def conversation_redaction(spark, root):
     )
 
 
-CASES = r"""(SELECT conv_id AS case_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS answer FROM {conversations} GROUP BY 1)"""
+# every question of a conversation with the answer behind it
+CASES = r"""(SELECT conv_id * 1000000 + turn // 2 AS case_id, max(CASE WHEN turn % 2 = 0 THEN text END) AS q, max(CASE WHEN turn % 2 = 1 THEN text END) AS answer FROM {conversations} GROUP BY 1)"""
 
 
 GRADED = rf"""
 SELECT case_id, failures, CASE WHEN miss > 0 THEN 0 ELSE dec END + CASE WHEN contains(t, 'the') THEN 0 ELSE 1 END AS warnings, failures = 0 AS passed FROM (
   SELECT *, (miss + CASE WHEN case_id % 3 = 0 AND NOT contains(concat('{{"field":"f', case_id, '"}}'), 'f1') THEN 1 ELSE 0 END + CASE WHEN miss > 0 THEN dec ELSE 0 END)::BIGINT AS failures FROM (
     SELECT *, lower(coalesce(answer, '')) AS t, len(list_filter(ws, lambda w: NOT contains(lower(coalesce(answer, '')), w)))::BIGINT AS miss, CASE WHEN contains(lower(coalesce(answer, '')), 'er') THEN 1 ELSE 0 END::BIGINT AS dec FROM (
-      SELECT *, regexp_extract_all(lower(coalesce(q, '')), '[a-z]{{2,3}}')[1:2] AS ws FROM {CASES} c) x) y) z
+      SELECT *, regexp_extract_all(lower(coalesce(q, '')), '[a-z]{{2,3}}') AS ws FROM {CASES} c) x) y) z
 """
 
 
@@ -61,13 +62,15 @@ def answer_grading(spark, root):
 
 
 def graded(spark, root):
-    turns = table(spark, root, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("question"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("answer")
+    turns = table(spark, root, "conversations").groupBy(
+        (F.col("conv_id") * 1_000_000 + F.floor(F.col("turn") / 2)).alias("case_id")
+    ).agg(
+        F.max(F.when(F.col("turn") % 2 == 0, F.col("text"))).alias("question"), F.max(F.when(F.col("turn") % 2 == 1, F.col("text"))).alias("answer")
     )
     none = F.array().cast("array<struct<name:string,args_contains:string>>")
     wanted = F.array(F.struct(F.lit("get_field_writers").alias("name"), F.lit("F1").alias("args_contains")))
     cases = turns.select(
-        "case_id", F.slice(F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit("[a-z]{2,3}"), 0), 1, 2).alias("must_mention"),
+        "case_id", F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit("[a-z]{2,3}"), 0).alias("must_mention"),
         F.array(F.lit("THE")).alias("should_mention"), F.array(F.lit("er")).alias("decoys"),
         F.when(F.col("case_id") % 3 == 0, wanted).otherwise(none).alias("must_call"), F.lit(False).alias("forbid_log_request"),
     )

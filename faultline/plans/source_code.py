@@ -226,12 +226,12 @@ def extract_errors(spark, root):
     return sc.extract_errors(damaged)
 
 
-@query("bundle_files", """
-SELECT concat('cmp', page_id) AS bundle, concat('cmp', page_id, '.html') AS file, length(html) + length('<template><c-row></c-row><lightning-card></lightning-card></template>') AS chars FROM {pages}
+@query("bundle_files", f"""
+SELECT split_part(file_path, '/', 2) AS bundle, split_part(file_path, '/', 3) AS file, sha256(source) AS content_sha256, length(source) AS chars FROM ({sv.BUNDLE_SOURCES}) f
 """)
 def bundle_files(spark, root):
-    return sc.decoded_files(sv.bundle_files(spark, root)).filter("file LIKE '%.html'").select(
-        "bundle", "file", F.length("content").cast("bigint").alias("chars")
+    return sc.decoded_files(sv.bundle_files(spark, root)).select(
+        "bundle", "file", F.sha2("content", 256).alias("content_sha256"), F.length("content").cast("bigint").alias("chars")
     )
 
 

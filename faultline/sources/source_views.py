@@ -80,8 +80,8 @@ UNION ALL SELECT concat('org_', CAST(s_suppkey % 5 AS STRING)), concat('Job_', C
 UNION ALL SELECT concat('org_', CAST(s_suppkey % 5 AS STRING)), concat('Helper_', CAST(s_suppkey AS STRING)) FROM {supplier}
 """
 
-BUNDLE_FILES = """
-SELECT page_id, file_path, CASE WHEN page_id % 3 = 0 THEN base64(CAST(source AS BINARY)) ELSE source END AS source FROM (
+# the files of a bundle as written, in SQL that both engines run
+BUNDLE_SOURCES = """
 SELECT page_id, concat('lwc/cmp', CAST(page_id AS STRING), '/cmp', CAST(page_id AS STRING), '.js') AS file_path,
   concat('import save from ''@salesforce/apex/Cls_', CAST(page_id AS STRING), '.save'';
 import load from "@salesforce/apex/Cls_', CAST(page_id % 7 AS STRING), '.load";
@@ -90,7 +90,11 @@ UNION ALL SELECT page_id, concat('lwc/cmp', CAST(page_id AS STRING), '/cmp', CAS
   concat('<template><c-row></c-row><lightning-card>', html, '</lightning-card></template>') FROM {pages}
 UNION ALL SELECT page_id, concat('lwc/cmp', CAST(page_id AS STRING), '/cmp', CAST(page_id AS STRING), '.js-meta.xml'),
   concat('<LightningComponentBundle xmlns="http://x.example.com/md"><isExposed>', CASE WHEN page_id % 4 = 0 THEN ' TRUE ' ELSE 'false' END, '</isExposed><targets><target>lightning__RecordPage</target>',
-   CASE WHEN page_id % 5 = 0 THEN '<target>lightning__AppPage</target>' ELSE '' END, '</targets></LightningComponentBundle>') FROM {pages}) f
+   CASE WHEN page_id % 5 = 0 THEN '<target>lightning__AppPage</target>' ELSE '' END, '</targets></LightningComponentBundle>') FROM {pages}
+"""
+
+BUNDLE_FILES = f"""
+SELECT page_id, file_path, CASE WHEN page_id % 3 = 0 THEN base64(CAST(source AS BINARY)) ELSE source END AS source FROM ({BUNDLE_SOURCES}) f
 """
 
 
