@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators import access, activity, async_jobs, component_graph, debug_logs, incidents, org_index, packing, summary, token_usage
+from faultline.operators import access, activity, async_jobs, component_graph, debug_logs, filing, incidents, org_index, packing, summary, token_usage
 from faultline.operators.access import Identity
 from faultline.session import cut_lineage
 from faultline.sources import stores
@@ -114,6 +114,30 @@ def find_known_issue(t: Tables, who: Identity, query: str) -> DataFrame:
     return best.join(issues, "issue_id").orderBy("place")
 
 
+def file_incidents(t: Tables, filings: DataFrame, lines: DataFrame, wide: bool = False) -> dict[str, DataFrame]:
+    """File logs and suspect fields (incident_id, org_id, filed_at, log_id, suspect_field) in one call.
+
+    The lines are read once.  ``reports`` tells signature, recurrence, known
+    fix and warnings of each filing; ``components``, ``objects`` and
+    ``suspects`` are its context pack.  Cards need ``has_callout``.
+    """
+    found = debug_logs.sweep(lines, wide)
+    units, raised = debug_logs.execution_units(found, wide), debug_logs.thrown(found, wide)
+    statements = debug_logs.query_events(found, wide).select("log_id", "object").unionByName(debug_logs.dml_events(found, wide).select("log_id", "object"))
+    signed = cut_lineage(filing.filed(filings, raised))
+    touch = component_graph.field_touch(t.field_writes)
+    warnings = filing.field_warnings(filings, component_graph.field_writers(touch, t.cards, t.manifest))
+    tokens = debug_logs.involved_components(units, raised, t.cards.select("component_id").distinct())
+    components = cut_lineage(filing.with_recency(filing.pack_components(filings, tokens, t.call_edges, t.cards, touch), t.cards, t.manifest))
+    counts = component_graph.touch_counts(component_graph.object_touch(t.cards, t.field_writes))
+    dml = t.field_writes.filter("persistence = 'persisted'").select("org_id", F.col("component").alias("component_id")).distinct()
+    return {
+        "reports": filing.reports(signed, incidents.signed(t.incidents), t.resolutions, t.log_links, warnings, wide),
+        "components": components, "objects": filing.pack_objects(filings, components, t.cards, statements, counts),
+        "suspects": filing.suspect_points(components, t.cards, dml),
+    }
+
+
 def list_logs(t: Tables, who: Identity, **filters: str) -> DataFrame:
     return access.search_logs(access.decorated_logs(t.log_library, t.log_links, t.registry, who), who, **filters)
 

@@ -310,6 +310,22 @@ def recently_changed(components: DataFrame, cards: DataFrame, manifest: DataFram
     return aged.select("org_id", "component_id", c.age_days(F.col("age_seconds")).alias("age_days"))
 
 
+def suspect_score(
+    named: Column, age_days: Column, writes_field: Column, kind: Column, has_dml: Column, has_callout: Column, is_test: Column, is_managed: Column
+) -> Column:
+    """Points of one component of a context pack; ``age_days`` is null unless it changed lately."""
+
+    def points(condition: Column, value: Column | float) -> Column:
+        v = value if isinstance(value, Column) else F.lit(float(value))
+        return F.when(F.coalesce(condition, F.lit(False)), v).otherwise(0.0)
+
+    return F.bround(
+        points(named, 50) + points(age_days.isNotNull(), F.greatest(F.lit(5.0), F.lit(40.0) - age_days)) + points(writes_field, 35)
+        + points(kind == "ApexTrigger", 15) + points(kind == "Flow", 12) + points(has_dml, 8) + points(has_callout, 8)
+        + points(is_test, -40) + points(is_managed, -25), 1,
+    )
+
+
 def suspects(primary: DataFrame, cards: DataFrame, manifest: DataFrame, writes: DataFrame, field: str) -> DataFrame:
     """Additive score over the context pack."""
     recent = recently_changed(primary, cards, manifest)
@@ -319,17 +335,11 @@ def suspects(primary: DataFrame, cards: DataFrame, manifest: DataFrame, writes:
     for part in (recent, writers, dml):
         df = df.join(part, ["org_id", "component_id"], "left")
 
-    def points(condition: Column, value: Column | float) -> Column:
-        v = value if isinstance(value, Column) else F.lit(float(value))
-        return F.when(F.coalesce(condition, F.lit(False)), v).otherwise(0.0)
-
     is_test, _how = test_verdict(F.col("component_id"), F.col("is_test_flag"))
-    score = (
-        points(F.col("is_named"), 50) + points(F.col("age_days").isNotNull(), F.greatest(F.lit(5.0), F.lit(40.0) - F.col("age_days")))
-        + points(F.col("writes_field"), 35) + points(F.col("type") == "ApexTrigger", 15) + points(F.col("type") == "Flow", 12)
-        + points(F.col("has_dml"), 8) + points(F.col("has_callout"), 8) + points(is_test, -40) + points(F.col("is_managed"), -25)
+    score = suspect_score(
+        F.col("is_named"), F.col("age_days"), F.col("writes_field"), F.col("type"), F.col("has_dml"), F.col("has_callout"), is_test, F.col("is_managed")
     )
-    return df.select("org_id", "component_id", "type", "age_days", F.bround(score, 1).alias("score"))
+    return df.select("org_id", "component_id", "type", "age_days", score.alias("score"))
 
 
 # ---- field writers ----------------------------------------------------------

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = (
     "token_usage activity summary access event_intake debug_logs component_graph "
-    "manifests incidents source_code flows packing conversations streams storage"
+    "manifests incidents filing source_code flows packing conversations streams storage"
 ).split()
 
 QUERIES: dict[str, Query] = {}

@@ -53,7 +53,7 @@ JOBS = [
 SAMPLES = NESTED + TORN + LIMITS + JOBS
 
 
-def parse(spark, logs, wide, chunk=16, seed=3):
+def parse(spark, logs, wide, chunk=16, seed=3, one_pass=False):
     """All readings of some logs; the chunk is smaller than a log, and rows come in no particular order."""
     import faultline.functions.scan as scan_module
 
@@ -62,11 +62,11 @@ def parse(spark, logs, wide, chunk=16, seed=3):
     before = scan_module.scan.__kwdefaults__["chunk"]
     scan_module.scan.__kwdefaults__["chunk"] = chunk
     lines = spark.createDataFrame(data, "log_id bigint, line_no bigint, raw string").repartition(5)
-    rows = debug_logs.events(lines)
+    rows = debug_logs.sweep(lines, wide) if one_pass else debug_logs.events(lines)
     found = async_jobs.evidence(rows, wide)
     tables = {
         "units": debug_logs.execution_units(rows, wide), "soql": debug_logs.query_events(rows, wide), "dml": debug_logs.dml_events(rows, wide),
-        "exceptions": debug_logs.thrown(rows, wide), "limits": debug_logs.limits(lines, wide), "sent": async_jobs.shown_dispatches(found, wide),
+        "exceptions": debug_logs.thrown(rows, wide), "limits": debug_logs.limits(rows if one_pass else lines, wide), "sent": async_jobs.shown_dispatches(found, wide),
         "failed": async_jobs.failures(found), "made": async_jobs.job_constructions(found),
     }
     out = {name: table.collect() for name, table in tables.items()}
@@ -79,9 +79,9 @@ def of(rows, log, *columns):
     return [tuple(r[c] for c in columns) for r in found]
 
 
-@pytest.fixture(scope="module", params=[False, True], ids=["plain", "wide"])
+@pytest.fixture(scope="module", params=["plain", "wide", "one pass"])
 def parsed(request, spark):
-    return parse(spark, {1: NESTED, 2: TORN, 3: LIMITS, 4: JOBS}, request.param, chunk=3)
+    return parse(spark, {1: NESTED, 2: TORN, 3: LIMITS, 4: JOBS}, request.param != "plain", chunk=3, one_pass=request.param == "one pass")
 
 
 def test_units(parsed):
