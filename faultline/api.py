@@ -190,26 +190,32 @@ def quota(users: DataFrame, ledger: DataFrame, as_of: str) -> DataFrame:
 
 
 def activity_report(ledger: DataFrame, usage: DataFrame, registry: DataFrame, as_of: str, days: int | None = None) -> dict[str, DataFrame]:
-    """All sections of the activity report over one window, each a table."""
-    rows = activity.conform(token_usage.window(ledger, as_of, days))
+    """All sections of the activity report over one window, each a table.
+
+    The ledger is read for the pre-aggregate, for the durations and for the
+    last events; every breakdown reads the pre-aggregate.
+    """
+    window = activity.conform(token_usage.window(ledger, as_of, days))
+    rows, times = cut_lineage(activity.grain(window)), cut_lineage(activity.latencies(window))
     spent = token_usage.window(usage, as_of, days)
     users, orgs = activity.users(rows, spent), activity.orgs(rows, registry)
     return {
         "totals": activity.totals(rows, spent), "by_day": activity.by_day_channel(rows, as_of, days), "channels": activity.by_channel(rows),
-        "features": activity.features(rows), "categories": activity.categories(rows), "tools": activity.tools(rows), "clients": activity.clients(rows),
+        "features": activity.features(rows, times), "categories": activity.categories(rows), "tools": activity.tools(rows, times),
+        "clients": activity.clients(rows), "log_parser": activity.log_parser(cut_lineage(activity.parses(window))),
         "users": users, "segments": activity.segments(users), "ladder": activity.ladder(rows), "orgs": orgs, "accounts": activity.accounts(orgs),
-        "hours": activity.hours(rows), "errors": activity.errors(rows), "recent": activity.recent(rows),
+        "hours": activity.hours(rows), "errors": activity.errors(rows), "recent": activity.recent(window),
     }
 
 
 def own_activity(ledger: DataFrame, usage: DataFrame, username: str, as_of: str, days: int | None = None, last: int = 50) -> dict[str, DataFrame]:
     """One user's own report: totals, days, channels, features, tools, and the last events."""
-    rows = activity.conform(token_usage.window(ledger, as_of, days))
+    window = activity.conform(token_usage.window(ledger, as_of, days)).filter(F.col("username") == username)
+    mine, times = cut_lineage(activity.grain(window)), cut_lineage(activity.latencies(window))
     spent = token_usage.window(usage, as_of, days)
-    mine = rows.filter(F.col("username") == username)
     return {
-        "totals": activity.own_report(rows, spent, username), "by_day": activity.by_day_channel(mine, as_of, days), "channels": activity.by_channel(mine),
-        "features": activity.features(mine), "tools": activity.tools(mine), "recent": activity.recent(mine, last),
+        "totals": activity.own_report(mine, spent, username), "by_day": activity.by_day_channel(mine, as_of, days), "channels": activity.by_channel(mine),
+        "features": activity.features(mine, times), "tools": activity.tools(mine, times), "recent": activity.recent(window, last),
     }
 
 

@@ -154,19 +154,19 @@ def number_rows(
 
 
 def nearest_rank(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, int], wide: bool = False
+    df: DataFrame, keys: list[str], value: str, points: dict[str, int], wide: bool = False, weight: str | None = None
 ) -> DataFrame:
     """Exact percentiles per key at 0-based index ``round(p/100 * (n-1))``, half to even.
 
     Works on the histogram ``(key, value, n)``: the shuffle carries distinct
     values rather than rows, and a key has at most as many of them as the
     measure has values.  ``wide`` chunks the running count for measures with
-    many millions of values.
+    many millions of values.  ``weight`` names the number of times a row counts.
     """
     hist = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("bigint").alias("__val"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     )
     totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     running = scan(hist, keys, "__val", sums={"__upto": F.col("__n")}, wide=wide, chunk=4096)

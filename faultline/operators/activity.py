@@ -1,4 +1,10 @@
-"""Activity ledger: the breakdowns of the activity report."""
+"""Activity ledger: the breakdowns of the activity report.
+
+Every breakdown takes conformed ledger rows or their ``grain``, the one
+pre-aggregate that all breakdowns of a report roll up; percentiles take the
+``latencies`` beside it.  Distinct users, days and organisations stay exact, as
+they are part of the grain.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +28,46 @@ def conform(ledger: DataFrame) -> DataFrame:
     )
 
 
+GRAIN = (
+    "day hour username role org_id kind ok channel shown_channel action shown_action category tool client status meta_has_log"
+).split()
+
+
+def grain(rows: DataFrame) -> DataFrame:
+    """Conformed rows counted by everything a breakdown tells apart, with the first and last event of each."""
+    own = F.struct("at_ts", "event_id")
+    counted = rows.withColumn("hour", F.hour("at_ts").cast("bigint")).groupBy(*GRAIN).agg(
+        F.count(F.lit(1)).alias("n_events"), F.min(own).alias("first"), F.max(own).alias("last")
+    )
+    return counted.select(*GRAIN, "n_events", "first", "last")
+
+
+def latencies(rows: DataFrame) -> DataFrame:
+    """Histogram of the durations of each action and tool."""
+    told = rows.filter(F.col("ms").isNotNull())
+    return told.groupBy("kind", "shown_action", "tool", F.col("ms").cast("bigint").alias("ms")).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def parses(rows: DataFrame) -> DataFrame:
+    """Log parses counted by outcome, channel, user and duration."""
+    fine = F.col("ok")
+    size = F.when(fine, F.col("meta_size_kb"))
+    return actions(rows).filter(IS_PARSE).groupBy("kind", "ok", "shown_channel", "username", "action", "meta_parse_ms").agg(
+        F.count(F.lit(1)).alias("n_events"), _rows(fine & F.coalesce("meta_stored", F.lit(False))).alias("n_stored"),
+        F.sum(size).alias("size_kb"), F.count(size).alias("n_sized"), F.max(size).alias("max_kb"),
+        F.sum(F.when(fine, F.col("meta_exceptions"))).alias("n_exceptions"),
+        _rows(fine & (F.coalesce("meta_exceptions", F.lit(0)) != 0)).alias("n_raised"),
+    )
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Ledger rows in the shape of the grain, each of one event; the grain itself passes."""
+    if "n_events" in rows.columns:
+        return rows
+    own = F.struct("at_ts", "event_id")
+    return rows.withColumn("hour", F.hour("at_ts").cast("bigint")).withColumn("n_events", F.lit(1).cast("bigint")).withColumn("first", own).withColumn("last", own)
+
+
 def actions(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind") == "action")
 
@@ -31,8 +77,18 @@ IS_MCP_CALL = "channel IN ('mcp-remote', 'mcp-stdio') AND action <> 'mcp.connect
 IS_PARSE = "action = 'log.parse' OR (action = 'incident.file' AND coalesce(meta_has_log, false))"
 
 
+def _rows(condition: Column) -> Column:
+    return F.count_if(condition)
+
+
+def _events() -> Column:
+    return F.sum("n_events")
+
+
 def _count(condition: str | Column) -> Column:
-    return F.count_if(F.expr(condition) if isinstance(condition, str) else condition)
+    """Events of which the condition holds."""
+    held = F.expr(condition) if isinstance(condition, str) else condition
+    return F.coalesce(F.sum(F.when(held, F.col("n_events"))), F.lit(0))
 
 
 def _users(name: str = "users") -> Column:
@@ -45,7 +101,7 @@ def counter_text(df: DataFrame, keys: list[str], item: str, name: str) -> DataFr
     Grouped by (key, item) first: what is collected is one entry per distinct
     item, and the items counted here (channels) are a handful.
     """
-    per_item = df.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("__n"))
+    per_item = df.groupBy(*keys, item).agg(_events().alias("__n"))
     entry = F.concat(F.col(item), F.lit("="), F.col("__n").cast("string"))
     return per_item.groupBy(*keys).agg(
         F.concat_ws(",", F.array_sort(F.collect_list(entry))).alias(name)
@@ -63,7 +119,7 @@ def set_text(df: DataFrame, keys: list[str], item: str, name: str) -> DataFrame:
 def top_action(df: DataFrame, keys: list[str]) -> DataFrame:
     """Most frequent action per key; ties go to the one seen first."""
     per_action = df.groupBy(*keys, "shown_action").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(F.struct("at_ts", "event_id")).alias("__first")
+        _events().alias("__n"), F.min("first").alias("__first")
     )
     ranked = per_action.withColumn(
         "__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__n"), "__first"))
@@ -76,7 +132,7 @@ def by_day_channel(rows: DataFrame, as_of: str, days: int | None = None) -> Data
         _count((F.col("kind") == "action") & (F.col("shown_channel") == c)).alias(c.replace("-", "_"))
         for c in CHANNELS
     ]
-    per_day = rows.groupBy("day").agg(
+    per_day = counted(rows).groupBy("day").agg(
         _count(IS_ACTION).alias("events"), _users("active_users"), *counts
     )
     return (
@@ -86,8 +142,8 @@ def by_day_channel(rows: DataFrame, as_of: str, days: int | None = None) -> Data
 
 
 def by_channel(rows: DataFrame) -> DataFrame:
-    out = actions(rows).groupBy(F.col("shown_channel").alias("channel")).agg(
-        F.count(F.lit(1)).alias("events"), _users(), _count(~F.col("ok")).alias("errors")
+    out = actions(counted(rows)).groupBy(F.col("shown_channel").alias("channel")).agg(
+        _events().alias("events"), _users(), _count(~F.col("ok")).alias("errors")
     )
     total = out.agg(F.sum("events").alias("t"))
     return out.select(
@@ -96,15 +152,17 @@ def by_channel(rows: DataFrame) -> DataFrame:
     ).orderBy(F.desc("events"), "channel")
 
 
-def features(rows: DataFrame) -> DataFrame:
-    first = F.struct("kind_rank", "at_ts", "event_id")
+def features(rows: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Breakdown by action; ``times`` are the latencies beside a grain."""
+    times, rows = latencies(rows) if times is None else times, counted(rows)
+    first = F.struct("kind_rank", "first")
     r = rows.withColumn("kind_rank", F.when(F.col("kind") == "action", 0).otherwise(1))
     base = r.groupBy("shown_action").agg(
         F.min_by(F.coalesce("category", F.lit("Other")), first).alias("category"),
-        F.min_by("kind", first).alias("kind"), F.count(F.lit(1)).alias("count"), _users(),
+        F.min_by("kind", first).alias("kind"), _events().alias("count"), _users(),
         _count(~F.col("ok")).alias("errors"),
     )
-    ranks = nearest_rank(rows, ["shown_action"], "ms", {"p50_ms": 50, "p95_ms": 95})
+    ranks = nearest_rank(times, ["shown_action"], "ms", {"p50_ms": 50, "p95_ms": 95}, weight="n_events")
     channels = counter_text(rows, ["shown_action"], "shown_channel", "channels")
     return (
         base.join(ranks, "shown_action", "left").join(channels, "shown_action", "left")
@@ -116,35 +174,39 @@ def features(rows: DataFrame) -> DataFrame:
 def categories(rows: DataFrame) -> DataFrame:
     """Events go to their action's first-seen category, users to each row's own."""
     own = F.coalesce("category", F.lit("Other"))
-    first = F.struct(F.when(F.col("kind") == "action", 0).otherwise(1), "at_ts", "event_id")
+    rows = counted(rows)
+    first = F.struct(F.when(F.col("kind") == "action", 0).otherwise(1).alias("rank"), "first")
     counts = (
         rows.groupBy("shown_action")
-        .agg(F.min_by(own, first).alias("category"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min_by(own, first).alias("category"), _events().alias("n"))
         .groupBy("category").agg(F.sum("n").alias("count"))
     )
     people = rows.filter(F.col("username").isNotNull()).groupBy(own.alias("category")).agg(_users())
     return counts.join(people, "category", "full").na.fill(0).orderBy(F.desc("count"), "category")
 
 
-def tools(rows: DataFrame) -> DataFrame:
-    used = actions(rows).filter(F.coalesce("tool", F.lit("")) != "")
+def tools(rows: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Breakdown by tool; ``times`` as for ``features``."""
+    with_tool = F.coalesce("tool", F.lit("")) != ""
+    times = actions(latencies(rows) if times is None else times).filter(with_tool)
+    used = actions(counted(rows)).filter(with_tool)
     used = used.withColumn("shown", F.coalesce("channel", F.lit("?")))
     base = used.groupBy("tool").agg(
-        F.count(F.lit(1)).alias("calls"), _users(), _count(~F.col("ok")).alias("errors")
+        _events().alias("calls"), _users(), _count(~F.col("ok")).alias("errors")
     )
-    ranks = nearest_rank(used, ["tool"], "ms", {"p50_ms": 50, "p95_ms": 95})
+    ranks = nearest_rank(times, ["tool"], "ms", {"p50_ms": 50, "p95_ms": 95}, weight="n_events")
     return base.join(ranks, "tool", "left").join(
         counter_text(used, ["tool"], "shown", "channels"), "tool", "left"
     ).orderBy(F.desc("calls"), "tool")
 
 
 def clients(rows: DataFrame) -> DataFrame:
-    used = actions(rows).filter(F.col("channel").isin(*MCP)).withColumn(
+    used = actions(counted(rows)).filter(F.col("channel").isin(*MCP)).withColumn(
         "client", F.coalesce(F.nullif("client", F.lit("")), F.lit("(unidentified client)"))
     )
     base = used.groupBy("client").agg(
         _count("action <> 'mcp.connect'").alias("calls"), _count("action = 'mcp.connect'").alias("connects"),
-        _users(), iso(F.max("at_ts")).alias("last_seen"),
+        _users(), iso(F.max("last.at_ts")).alias("last_seen"),
     )
     return base.join(set_text(used, ["client"], "channel", "channels"), "client", "left").orderBy(
         F.desc("calls"), "client"
@@ -152,20 +214,16 @@ def clients(rows: DataFrame) -> DataFrame:
 
 
 def log_parser(rows: DataFrame) -> DataFrame:
-    parses = actions(rows).filter(IS_PARSE)  # all of one kind, which serves as the key
-    fine = F.col("ok")
-    size = F.when(fine, F.col("meta_size_kb"))
-    base = parses.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("parses"), _count(~fine).alias("failed"), _users(),
-        _count(fine & F.coalesce("meta_stored", F.lit(False))).alias("stored"),
+    """Totals of log parses, from ledger rows or their ``parses``."""
+    done = rows if "n_stored" in rows.columns else parses(rows)  # all of one kind, which serves as the key
+    base = done.groupBy("kind").agg(
+        _events().alias("parses"), _count(~F.col("ok")).alias("failed"), _users(), F.sum("n_stored").alias("stored"),
         _count("action = 'incident.file'").alias("via_incident"),
-        F.bround(F.sum(size) / 1024.0, 2).alias("total_mb"), F.bround(F.avg(size), 1).alias("avg_kb"),
-        F.max(size).alias("max_kb"),
-        F.coalesce(F.sum(F.when(fine, F.col("meta_exceptions"))), F.lit(0)).alias("exceptions_found"),
-        _count(fine & (F.coalesce("meta_exceptions", F.lit(0)) != 0)).alias("logs_with_exceptions"),
+        F.bround(F.sum("size_kb") / 1024.0, 2).alias("total_mb"), F.bround(F.sum("size_kb") / F.sum("n_sized"), 1).alias("avg_kb"),
+        F.max("max_kb").alias("max_kb"), F.coalesce(F.sum("n_exceptions"), F.lit(0)).alias("exceptions_found"), F.sum("n_raised").alias("logs_with_exceptions"),
     )
-    ranks = nearest_rank(parses.filter(fine), ["kind"], "meta_parse_ms", {"p50_parse_ms": 50, "p95_parse_ms": 95})
-    channels = counter_text(parses, ["kind"], "shown_channel", "by_channel")
+    ranks = nearest_rank(done.filter("ok"), ["kind"], "meta_parse_ms", {"p50_parse_ms": 50, "p95_parse_ms": 95}, weight="n_events")
+    channels = counter_text(done, ["kind"], "shown_channel", "by_channel")
     return base.join(ranks, "kind", "left").join(channels, "kind", "left").drop("kind")
 
 
@@ -188,18 +246,18 @@ def segment(has_chat: Column, has_mcp: Column, has_api: Column, llm_turns: Colum
 
 def users(rows: DataFrame, usage: DataFrame) -> DataFrame:
     """Per-user table: activity joined with token use, users of either side kept."""
-    named = rows.filter(F.col("username").isNotNull())
+    named = counted(rows).filter(F.col("username").isNotNull())
     act = F.col("kind") == "action"
     ui = F.col("kind") == "ui"
 
     def acts(condition: str) -> Column:
-        return F.count_if(act & F.expr(condition))
+        return _count(act & F.expr(condition))
 
     # actions are read before browser rows, so a browser row's role is the later one
-    last = F.struct(F.when(act, 0).otherwise(1), "at_ts", "event_id")
+    last = F.struct(F.when(act, 0).otherwise(1).alias("rank"), "last")
     base = named.groupBy("username").agg(
         F.max_by("role", F.when(F.col("role").isNotNull(), last)).alias("role"),
-        F.count_if(act).alias("events"), F.count_if(ui).alias("ui_events"),
+        _count(act).alias("events"), _count(ui).alias("ui_events"),
         F.countDistinct("day").alias("active_days"),
         F.bool_or(act & (F.col("shown_channel") == "chat")).alias("has_chat"),
         F.bool_or(act & F.col("shown_channel").isin(*MCP)).alias("has_mcp"),
@@ -210,7 +268,7 @@ def users(rows: DataFrame, usage: DataFrame) -> DataFrame:
         acts("action = 'incident.resolve'").alias("resolutions"), acts("NOT ok").alias("errors"),
         F.countDistinct("org_id").alias("orgs"),
         F.countDistinct(F.when(act, F.col("client"))).alias("clients"),
-        iso(F.min("at_ts")).alias("first_seen"), iso(F.max("at_ts")).alias("last_seen"),
+        iso(F.min("first.at_ts")).alias("first_seen"), iso(F.max("last.at_ts")).alias("last_seen"),
     )
     own = actions(named)
     base = base.join(set_text(own, ["username"], "shown_channel", "channels"), "username", "left")
@@ -258,10 +316,10 @@ def ladder(rows: DataFrame) -> DataFrame:
 
 
 def orgs(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    own = actions(rows).filter(F.col("org_id").isNotNull())
+    own = actions(counted(rows)).filter(F.col("org_id").isNotNull())
     base = own.groupBy("org_id").agg(
-        F.count(F.lit(1)).alias("events"), _users(), _count("action = 'incident.file'").alias("incidents"),
-        iso(F.max("at_ts")).alias("last_seen"),
+        _events().alias("events"), _users(), _count("action = 'incident.file'").alias("incidents"),
+        iso(F.max("last.at_ts")).alias("last_seen"),
     )
     names = registry.select("org_id", F.col("name").alias("org_name"), "account")
     return (
@@ -278,14 +336,14 @@ def accounts(org_rows: DataFrame) -> DataFrame:
 
 
 def hours(rows: DataFrame) -> DataFrame:
-    per_hour = actions(rows).groupBy(F.hour("at_ts").cast("bigint").alias("hour")).agg(F.count(F.lit(1)).alias("events"))
+    per_hour = actions(counted(rows)).groupBy("hour").agg(_events().alias("events"))
     clock = rows.sparkSession.range(24).withColumnRenamed("id", "hour")
     return clock.join(per_hour, "hour", "left").na.fill(0).orderBy("hour")
 
 
 def errors(rows: DataFrame) -> DataFrame:
-    bad = actions(rows).filter(~F.col("ok"))
-    base = bad.groupBy("action", "status").agg(F.count(F.lit(1)).alias("count"), _users())
+    bad = actions(counted(rows)).filter(~F.col("ok"))
+    base = bad.groupBy("action", "status").agg(_events().alias("count"), _users())
     channels = counter_text(bad, ["action", "status"], "shown_channel", "channels")
     return (
         base.join(channels, ["action", "status"], "left")
@@ -294,13 +352,14 @@ def errors(rows: DataFrame) -> DataFrame:
 
 
 def totals(rows: DataFrame, usage: DataFrame) -> DataFrame:
+    rows = counted(rows)
     act = F.col("kind") == "action"
 
     def acts(condition: str) -> Column:
-        return F.count_if(act & F.expr(condition))
+        return _count(act & F.expr(condition))
 
     base = rows.agg(
-        F.count_if(act).alias("actions"), F.count_if(F.col("kind") == "ui").alias("ui_events"),
+        _count(act).alias("actions"), _count(F.col("kind") == "ui").alias("ui_events"),
         _users("active_users"), F.countDistinct("day").alias("active_days"),
         acts("NOT ok").alias("errors"), acts(IS_MCP_CALL).alias("mcp_calls"),
         acts("channel = 'chat'").alias("chat_tool_calls"), acts(IS_PARSE).alias("logs_parsed"),
@@ -308,9 +367,9 @@ def totals(rows: DataFrame, usage: DataFrame) -> DataFrame:
         acts("action = 'incident.resolve' AND ok").alias("resolutions"),
         acts("action LIKE 'kb.%'").alias("kb_lookups"),
     )
-    quiet = (
-        users(rows, usage).filter("llm_turns = 0 AND NOT has_chat AND events > 0").agg(F.count(F.lit(1))).scalar()
-    )
+    # users who acted, without chat and without a turn of their own
+    silent = rows.filter(act & F.col("username").isNotNull()).groupBy("username").agg(F.bool_or(F.col("shown_channel") == "chat").alias("has_chat"))
+    quiet = silent.filter("NOT has_chat").join(usage.filter("username IS NOT NULL"), "username", "left_anti").agg(F.count(F.lit(1))).scalar()
     turns = usage.agg(F.count(F.lit(1))).scalar()
     return base.select("*", turns.alias("llm_turns"), quiet.alias("non_llm_users"))
 

@@ -6,6 +6,7 @@ from faultline.operators import activity as act
 from faultline.operators import token_usage
 from faultline.operators.catalogue import CHANNELS, action_labels
 from faultline.plans.registry import query
+from faultline.session import cut_lineage
 from faultline.sources.views import AS_OF, view
 
 # the conformed ledger, for check SQL
@@ -27,6 +28,11 @@ def rows(spark, root, days=None):
     return act.conform(token_usage.window(view(spark, root, "activity"), AS_OF, days))
 
 
+def grain(spark, root):
+    """The pre-aggregate that the breakdowns of more than one list roll up."""
+    return cut_lineage(act.grain(rows(spark, root)))
+
+
 def usage_rows(spark, root):
     return token_usage.window(view(spark, root, "usage"), AS_OF)
 
@@ -87,7 +93,7 @@ LEFT JOIN {counter(A, ['action'], 'ch')} c USING (action)
 LEFT JOIN {LABELS} ON la = action
 """)
 def activity_features(spark, root):
-    return act.features(rows(spark, root))
+    return act.features(grain(spark, root), act.latencies(rows(spark, root)))
 
 
 @query("activity_categories", f"""
@@ -97,7 +103,7 @@ FULL JOIN (SELECT coalesce(category, 'Other') AS category, count(DISTINCT userna
 ON c.category = u.category
 """)
 def activity_categories(spark, root):
-    return act.categories(rows(spark, root))
+    return act.categories(grain(spark, root))
 
 
 TOOLS = f"(SELECT *, coalesce(channel, '?') AS shown FROM {A} a1 WHERE k = 'action' AND tool IS NOT NULL)"
@@ -109,7 +115,7 @@ SELECT b.*, p50 AS p50_ms, p95 AS p95_ms, txt AS channels FROM (
 LEFT JOIN {ranks(TOOLS, 'tool', 'ms')} r ON r.pk = b.tool LEFT JOIN {counter(TOOLS, ['tool'], 'shown')} c USING (tool)
 """)
 def activity_tools(spark, root):
-    return act.tools(rows(spark, root))
+    return act.tools(grain(spark, root), act.latencies(rows(spark, root)))
 
 
 @query("activity_clients", f"""
@@ -119,7 +125,7 @@ SELECT coalesce(client, '(unidentified client)') AS client, sum(CASE WHEN action
 FROM {A} a WHERE k = 'action' AND channel IN ('mcp-remote', 'mcp-stdio') GROUP BY 1
 """)
 def activity_clients(spark, root):
-    return act.clients(rows(spark, root))
+    return act.clients(grain(spark, root))
 
 
 PARSES = f"(SELECT *, 1 AS one FROM {A} a1 WHERE k = 'action' AND {PARSE})"
@@ -135,7 +141,7 @@ SELECT count(*) AS parses, sum(CASE WHEN fine THEN 0 ELSE 1 END)::BIGINT AS fail
 FROM {PARSES} a LEFT JOIN {ranks(PARSES, 'one', 'meta_parse_ms', 'fine')} r ON TRUE LEFT JOIN {counter(PARSES, ['one'], 'ch')} c ON TRUE
 """)
 def activity_log_parser(spark, root):
-    return act.log_parser(rows(spark, root))
+    return act.log_parser(cut_lineage(act.parses(rows(spark, root))))
 
 
 @query("activity_llm_by_user", """
@@ -181,12 +187,12 @@ LEFT JOIN {LABELS} ON la = top_action
 
 @query("activity_users", f"SELECT * EXCLUDE (has_chat) FROM ({users_sql()}) x")
 def activity_users(spark, root):
-    return act.users(rows(spark, root), usage_rows(spark, root)).drop("has_chat")
+    return act.users(grain(spark, root), usage_rows(spark, root)).drop("has_chat")
 
 
 @query("own_activity_report", f"SELECT * EXCLUDE (has_chat) FROM ({users_sql(chr(117) + 'sername = ' + chr(39) + 'user_7' + chr(39))}) x")
 def own_activity_report(spark, root):
-    return act.own_report(rows(spark, root), usage_rows(spark, root), "user_7")
+    return act.own_report(grain(spark, root), usage_rows(spark, root), "user_7")
 
 
 @query("activity_segments", f"""
@@ -194,7 +200,7 @@ SELECT segment, count(*) AS users, sum(events)::BIGINT AS events, round_even(cou
 FROM ({users_sql()}) x GROUP BY segment
 """)
 def activity_segments(spark, root):
-    return act.segments(act.users(rows(spark, root), usage_rows(spark, root)))
+    return act.segments(act.users(grain(spark, root), usage_rows(spark, root)))
 
 
 @query("adoption_ladder", f"""
@@ -223,7 +229,7 @@ LEFT JOIN <registry> g ON g.org_id = b.org_id
 
 @query("activity_orgs", ORGS)
 def activity_orgs(spark, root):
-    return act.orgs(rows(spark, root), view(spark, root, "registry"))
+    return act.orgs(grain(spark, root), view(spark, root, "registry"))
 
 
 @query("activity_accounts", f"""
@@ -231,7 +237,7 @@ SELECT coalesce(account, '(unassigned)') AS account, sum(events)::BIGINT AS even
 FROM ({ORGS}) o GROUP BY 1
 """)
 def activity_accounts(spark, root):
-    return act.accounts(act.orgs(rows(spark, root), view(spark, root, "registry")))
+    return act.accounts(act.orgs(grain(spark, root), view(spark, root, "registry")))
 
 
 @query("activity_hours", f"""
@@ -250,7 +256,7 @@ SELECT b.*, txt AS channels, coalesce(lt, action) AS label FROM (
 LEFT JOIN {counter(BAD, ['action', 'status'], 'ch')} c USING (action, status) LEFT JOIN {LABELS} ON la = action
 """)
 def activity_errors(spark, root):
-    return act.errors(rows(spark, root))
+    return act.errors(grain(spark, root))
 
 
 def _n(cond):
@@ -266,7 +272,7 @@ SELECT {_n('TRUE')} AS actions, sum(CASE WHEN k = 'ui' THEN 1 ELSE 0 END)::BIGIN
 FROM {A} a
 """)
 def activity_totals(spark, root):
-    return act.totals(rows(spark, root), usage_rows(spark, root))
+    return act.totals(grain(spark, root), usage_rows(spark, root))
 
 
 @query("activity_recent", f"""
