@@ -241,3 +241,9 @@ def packed_card(items: DataFrame, max_chars: int) -> DataFrame:
 def packed_log(items: DataFrame, max_chars: int) -> DataFrame:
     """What fits of each log, with what was left out by section."""
     return packing.pack_report(items, packing.pack_logs(items, max_chars))
+
+
+def pack_normalized_logs(lines: DataFrame, max_chars: int, component_ids: DataFrame | None = None, wide: bool = False) -> DataFrame:
+    """What fits of each log, straight from its lines: sections compacted first, then packed."""
+    items = cut_lineage(packing.log_items(debug_logs.sweep(lines, wide), component_ids, wide))
+    return packing.pack_report(items, packing.pack_logs(items, max_chars))

@@ -492,6 +492,26 @@ def method_filter(sites: DataFrame, method: str) -> DataFrame:
     return own.unionByName(inside).select("org_id", "caller", "part", "site_no", "line", "target", "method_called")
 
 
+def method_items(items: DataFrame, method: str) -> DataFrame:
+    """Items of the other card sections that belong to a method or call it.
+
+    ``items``: org_id, component_id, section, item_no and, null where a section
+    has none, ``names`` (the names an item goes by), ``method_called``,
+    ``detail`` (a signature) and ``methods_called``.  Items of a section without
+    any of these fields are not told apart by method; they are not passed here.
+    """
+    m = method.lower()
+
+    def among(names: str) -> Column:
+        return F.coalesce(F.exists(names, lambda x: F.coalesce(F.lower(x) == m, F.lit(False))), F.lit(False))
+
+    hit = (
+        among("names") | among("methods_called") | F.coalesce(F.lower("method_called") == m, F.lit(False))
+        | F.coalesce(F.startswith(F.lower("detail"), F.lit(f"{m}(")), F.lit(False))
+    )
+    return items.filter(hit).select("org_id", "component_id", "section", "item_no")
+
+
 def stale_cards(cards: DataFrame, present: DataFrame) -> DataFrame:
     """Class and trigger cards older than a feature they also lack."""
     have = present.groupBy("org_id", "component_id").agg(F.collect_set("section").alias("have"))

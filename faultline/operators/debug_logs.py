@@ -57,6 +57,14 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
+# sections of a normalized log; those about jobs exist where something async showed up
+JOB_SECTIONS = ("async_presence", "dispatches", "failed_async_limit", "job_constructions")
+SECTIONS = (
+    "meta", "context", "execution_units", "exceptions", "soql_summary", "dml_summary", *ROUTED, "limits_by_namespace", "limits_final", "involved_components",
+    "missing_fields", *JOB_SECTIONS, "visibility",
+)
+
+
 @dataclass
 class Sweep:
     """What one ordered pass over the lines finds, written to the shared folder.
@@ -454,6 +462,16 @@ def section_page(section: DataFrame, order: str, offset: int, limit: int) -> Dat
     )
 
 
+def missing_sections(logs: DataFrame, presence: DataFrame, wanted: list[str]) -> DataFrame:
+    """Asked-for sections a log does not have: unknown names, and those about jobs where nothing async showed up."""
+    unknown = sorted({w for w in wanted if w not in SECTIONS})
+    absent = sorted(set(wanted) & set(JOB_SECTIONS))
+    rows = logs.select("log_id").join(presence.select("log_id", F.lit(True).alias("has_jobs")), "log_id", "left")
+    gone = F.when(F.col("has_jobs"), F.lit(",".join(unknown))).otherwise(",".join(sorted([*unknown, *absent])))
+    available = F.when(F.col("has_jobs"), ",".join(sorted(SECTIONS))).otherwise(",".join(sorted(set(SECTIONS) - set(JOB_SECTIONS))))
+    return rows.select("log_id", gone.alias("missing"), F.when(gone != "", available).alias("available"))
+
+
 def split_text(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Whole texts to numbered lines: the header apart, blank lines dropped, CRLF accepted."""
     lines = texts.select(key, F.posexplode_outer(F.split(F.col(text), r"\r\n|\r|\n")).alias("line_no", "raw"))

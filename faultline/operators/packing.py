@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.scan import scan
+from faultline.functions.scan import number_rows, scan
+from faultline.operators import debug_logs as logs
 
 # ---- fixed values -----------------------------------------------------------
 SECTION_ORDER = (
@@ -115,6 +116,60 @@ def section_caps(sizes: DataFrame, keys: list[str], budget: int) -> DataFrame:
     return grouped.select(*keys, F.inline(F.aggregate("pending", start, share)["caps"]))
 
 
+def watched_fields(raised: DataFrame) -> DataFrame:
+    """(log_id, object, watched): fields that exceptions name as not queried, by object in lower case; a handful per object."""
+    hit = F.explode(F.regexp_extract_all("message", F.lit(logs.MISSING_FIELD), 0))
+    named = raised.select("log_id", hit.alias("hit")).select(
+        "log_id", F.lower(F.regexp_extract("hit", logs.MISSING_FIELD, 1)).alias("object"), F.regexp_extract("hit", logs.MISSING_FIELD, 2).alias("field")
+    )
+    return named.groupBy("log_id", "object").agg(F.array_sort(F.collect_set("field")).alias("watched"))
+
+
+def log_items(found: logs.Sweep, component_ids: DataFrame | None = None, wide: bool = False) -> DataFrame:
+    """The items of every list section of a log as ``pack_logs`` takes them, compacted first.
+
+    Equal units in a row are one item with ``repeat``; long SELECT lists are
+    ``<N fields>``, with the fields an exception missed told apart.  Sizes are
+    those of compact JSON.
+    """
+    none = F.lit(0).cast("bigint")
+
+    def part(rows: DataFrame, section: Column | str, pos: str, size: Column, by: tuple[str, str] | None = None, urgent: Column | None = None) -> DataFrame:
+        return rows.select(
+            "log_id", (section if isinstance(section, Column) else F.lit(section)).alias("section"), F.col(pos).cast("bigint").alias("pos"), size.alias("size"),
+            (F.col(by[0]) if by else none).alias("weight_rows"), (F.col(by[1]) if by else none).alias("weight_count"),
+            (F.lit(False) if urgent is None else urgent).alias("urgent"),
+        )
+
+    units, raised = logs.execution_units(found, wide), logs.thrown(found, wide)
+    runs = logs.unit_runs(units, wide).withColumn("repeat", F.when(F.col("repeat") > 1, F.col("repeat")))
+    queries = logs.query_summary(logs.query_events(found, wide))
+    seen = watched_fields(raised).select(F.col("log_id").alias("w_log"), F.col("object").alias("w_object"), "watched")
+    queries = queries.join(seen, (F.col("log_id") == F.col("w_log")) & (F.lower("object") == F.col("w_object")), "left").drop("w_log", "w_object")
+    queries = queries.withColumn("watched", F.coalesce("watched", F.array().cast("array<string>")))
+    queries = compact_queries(queries, "signature", F.col("watched")).withColumn("signature", F.col("compacted"))
+    named = logs.involved_components(units, raised, component_ids)
+    # names are numbered in order within their first two characters
+    named = number_rows(named, ["log_id"], F.substring("component_id", 1, 2), [F.col("component_id")], "place", wide)
+
+    def json(*names: str) -> Column:
+        return F.length(F.to_json(F.struct(*names)))
+
+    weights = ("total_rows", "occurrences")
+    sections = [
+        part(runs, "execution_units", "line_no", json("label", "depth", "had_exception", "repeat"), urgent=F.col("had_exception") | (F.col("depth") == 0)),
+        part(logs.exceptions(raised), "exceptions", "first_line", json("type", "message", "stack", "occurrences")),
+        part(queries, "soql_summary", "first_line", json("signature", "object", "occurrences", "total_rows"), weights),
+        part(logs.dml_summary(logs.dml_events(found, wide)), "dml_summary", "first_line", json("operation", "object", "occurrences", "total_rows"), weights),
+        part(logs.routed(found), F.col("section"), "line_no", F.length("detail") + 2),
+        part(named, "involved_components", "place", F.length("component_id") + 2),
+    ]
+    out = sections[0]
+    for more in sections[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def pack_logs(items: DataFrame, max_chars: int) -> DataFrame:
     """Items of every log that fit the budget, chosen as each section chooses.
 

@@ -331,6 +331,30 @@ def card_method_filter(spark, root):
     return g.method_filter(view(spark, root, "call_sites"), "DO3")
 
 
+@query("card_method_items", """
+SELECT org_id, component_id, 'entry_points' AS section, length(detail) AS item_no FROM <entry_point_rows> e WHERE starts_with(detail, 'm7(')
+UNION ALL SELECT org_id, flow_id, 'flow_actions', element_no FROM <flow_action_rows> f WHERE lower(action_name) = 'm7' OR element_pos = 7
+UNION ALL SELECT org_id, caller, 'dispatches', site_no FROM <call_sites> s WHERE method_called = 'run7' OR caller_method = 'do7' AND line = 2
+""")
+def card_method_items(spark, root):
+    text, names = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    entries = view(spark, root, "entry_point_rows").select(
+        "org_id", "component_id", F.lit("entry_points").alias("section"), F.length("detail").cast("bigint").alias("item_no"),
+        names.alias("names"), text.alias("method_called"), "detail", names.alias("methods_called"),
+    )
+    actions = view(spark, root, "flow_action_rows").select(
+        "org_id", F.col("flow_id").alias("component_id"), F.lit("flow_actions").alias("section"), F.col("element_no").alias("item_no"),
+        F.array("action_name").alias("names"), text.alias("method_called"), text.alias("detail"), F.array(F.concat(F.lit("M"), F.col("element_pos").cast("string"))).alias("methods_called"),
+    )
+    # a job is told by the method that starts it and by its own
+    jobs = view(spark, root, "call_sites").select(
+        "org_id", F.col("caller").alias("component_id"), F.lit("dispatches").alias("section"), F.col("site_no").alias("item_no"),
+        F.array(F.when(F.col("line") == 2, F.regexp_replace("caller_method", "^do", "m"))).alias("names"), F.regexp_replace("method_called", "^run", "m").alias("method_called"),
+        text.alias("detail"), names.alias("methods_called"),
+    )
+    return g.method_items(entries.unionByName(actions).unionByName(jobs), "M7")
+
+
 @query("stale_cards", f"""
 SELECT org_id, component_id, extractor_version, missing FROM (SELECT c.org_id, c.component_id, extractor_version,
   concat_ws(',', CASE WHEN extractor_version = '3.1.0' THEN 'async_dispatches' END, CASE WHEN extractor_version <> '3.10.0' AND h.section IS NULL THEN 'call_sites' END) AS missing

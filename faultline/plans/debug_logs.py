@@ -326,3 +326,16 @@ def normalized_log_sections(spark, root):
     found, wide = lines(spark, root)
     headers = view(spark, root, "log_headers")
     return logs.section_sizes(**api.normalize_logs(found, view(spark, root, "log_components"), headers, wide))
+
+
+WANTED = ["dispatches", "exceptions", "nope"]
+ALL_SECTIONS = sorted(logs.SECTIONS)
+
+
+@query("log_missing_sections", f"""
+SELECT h.log_id, CASE WHEN p.log_id IS NULL THEN 'dispatches,nope' ELSE 'nope' END AS missing,
+  CASE WHEN p.log_id IS NULL THEN '{",".join(x for x in ALL_SECTIONS if x not in logs.JOB_SECTIONS)}' ELSE '{",".join(ALL_SECTIONS)}' END AS available
+FROM <log_headers> h LEFT JOIN ({SQL["async_presence"]}) p ON p.log_id = h.log_id
+""")
+def log_missing_sections(spark, root):
+    return logs.missing_sections(view(spark, root, "log_headers"), async_presence(spark, root), WANTED)

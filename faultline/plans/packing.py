@@ -6,9 +6,10 @@ from faultline.functions.columns import without_empty_lines
 from faultline.functions.scan import number_rows
 from faultline.operators import debug_logs as logs
 from faultline.operators import packing as pk
-from faultline.plans.debug_logs import ROUTED, SUMMARY, UNITS
+from faultline.plans.debug_logs import COMPONENTS, EXCEPTIONS, ROUTED, SUMMARY
 from faultline.plans.debug_logs import lines as log_lines
-from faultline.plans.registry import query
+from faultline.plans.registry import SQL, query
+from faultline.session import cut_lineage
 from faultline.sources import component_views  # noqa: F401
 from faultline.sources.tables import table
 from faultline.sources.views import view
@@ -64,28 +65,16 @@ def card_packing(spark, root):
     return pk.pack_cards(items.select("org_id", "component_id", "section", "item_no", "size"), ["org_id", "component_id"], BUDGET, wide)
 
 
-def log_items(spark, root):
-    found, wide = log_lines(spark, root)
-    found = logs.sweep(found, wide)
-    units = logs.execution_units(found, wide).select(
-        "log_id", F.lit("execution_units").alias("section"), F.col("line_no").alias("pos"), F.length(F.to_json(F.struct("label", "depth", "had_exception"))).alias("size"),
-        F.lit(0).cast("bigint").alias("weight_rows"), F.lit(0).cast("bigint").alias("weight_count"), (F.col("had_exception") | (F.col("depth") == 0)).alias("urgent"),
-    )
-    queries = logs.query_summary(logs.query_events(found, wide)).select(
-        "log_id", F.lit("soql_summary").alias("section"), F.col("first_line").alias("pos"), F.length(F.to_json(F.struct("signature", "object", "occurrences", "total_rows"))).alias("size"),
-        F.col("total_rows").alias("weight_rows"), F.col("occurrences").alias("weight_count"), F.lit(False).alias("urgent"),
-    )
-    rest = logs.routed(found).select(
-        "log_id", "section", F.col("line_no").alias("pos"), (F.length("detail") + 2).alias("size"),
-        F.lit(0).cast("bigint").alias("weight_rows"), F.lit(0).cast("bigint").alias("weight_count"), F.lit(False).alias("urgent"),
-    )
-    return units.unionByName(queries).unionByName(rest)
-
-
-LOG_ITEMS = f"""(SELECT log_id, 'execution_units' AS section, line_no AS pos, length(concat('{{"label":"', label, '","depth":', depth, ',"had_exception":', had_exception, '}}')) AS size, 0 AS wr, 0 AS wc,
-    had_exception OR depth = 0 AS urgent FROM {UNITS} u
+RUNS = SQL["unit_runs"]
+LOG_ITEMS = f"""(SELECT log_id, 'execution_units' AS section, line_no AS pos, length(concat('{{"label":"', label, '","depth":', depth, ',"had_exception":', had_exception,
+    CASE WHEN repeat > 1 THEN concat(',"repeat":', repeat) ELSE '' END, '}}')) AS size, 0 AS wr, 0 AS wc, had_exception OR depth = 0 AS urgent FROM ({RUNS}) u
   UNION ALL SELECT log_id, 'soql_summary', first_line, length(concat('{{"signature":"', signature, '"', CASE WHEN object IS NOT NULL THEN concat(',"object":"', object, '"') ELSE '' END,
     ',"occurrences":', occurrences, ',"total_rows":', total_rows, '}}')), total_rows, occurrences, FALSE FROM {SUMMARY} q
+  UNION ALL SELECT log_id, 'dml_summary', first_line, length(concat('{{"operation":"', operation, '"', CASE WHEN object IS NOT NULL THEN concat(',"object":"', object, '"') ELSE '' END,
+    ',"occurrences":', occurrences, ',"total_rows":', total_rows, '}}')), total_rows, occurrences, FALSE FROM ({SQL['dml_summary']}) q
+  UNION ALL SELECT log_id, 'exceptions', first_line, length(concat('{{"type":', to_json(type), ',"message":', to_json(message), ',"stack":', to_json(stack), ',"occurrences":', occurrences, '}}')),
+    0, 0, FALSE FROM {EXCEPTIONS} e
+  UNION ALL SELECT log_id, 'involved_components', row_number() OVER (PARTITION BY log_id ORDER BY component_id), length(component_id) + 2, 0, 0, FALSE FROM {COMPONENTS} c
   UNION ALL SELECT log_id, section, line_no, length(detail) + 2, 0, 0, FALSE FROM ({ROUTED}) r)"""
 FITS = "used + size + 2 <= room"
 
@@ -97,8 +86,9 @@ sr AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY need, section)
   SELECT log_id, section, (sum(size + 1) + 1 + length(section) + 6)::BIGINT AS need, count(*) AS total FROM it GROUP BY 1, 2) x),
 cp AS (SELECT log_id, section, need, total, rn, least(need, 800 // n) AS cap, 800 - least(need, 800 // n) AS lft FROM sr WHERE rn = 1
   UNION ALL SELECT s.log_id, s.section, s.need, s.total, s.rn, least(s.need, c.lft // (s.n - s.rn + 1)), c.lft - least(s.need, c.lft // (s.n - s.rn + 1)) FROM cp c JOIN sr s ON s.log_id = c.log_id AND s.rn = c.rn + 1),
-od AS (SELECT it.log_id, it.section, size, cap - length(it.section) - 6 AS room, it.section NOT IN ('execution_units', 'soql_summary') AS gapless, row_number() OVER (PARTITION BY it.log_id, it.section ORDER BY
-    CASE it.section WHEN 'soql_summary' THEN -wr WHEN 'execution_units' THEN CASE WHEN urgent THEN 0 ELSE 1 END ELSE 0 END, CASE it.section WHEN 'soql_summary' THEN -wc WHEN 'user_debug' THEN -pos ELSE pos END, pos) AS rn
+od AS (SELECT it.log_id, it.section, size, cap - length(it.section) - 6 AS room, it.section NOT IN ('execution_units', 'soql_summary', 'dml_summary') AS gapless, row_number() OVER (PARTITION BY it.log_id, it.section ORDER BY
+    CASE it.section WHEN 'soql_summary' THEN -wr WHEN 'dml_summary' THEN -wr WHEN 'execution_units' THEN CASE WHEN urgent THEN 0 ELSE 1 END ELSE 0 END,
+    CASE it.section WHEN 'soql_summary' THEN -wc WHEN 'dml_summary' THEN -wc WHEN 'user_debug' THEN -pos ELSE pos END, pos) AS rn
   FROM it JOIN cp ON cp.log_id = it.log_id AND cp.section = it.section WHERE need > cap),
 gr AS (SELECT DISTINCT log_id, section, 0::BIGINT AS rn, 2::BIGINT AS used, 0 AS kept, TRUE AS open FROM od
   UNION ALL SELECT o.log_id, o.section, o.rn, CASE WHEN g.open AND g.{FITS} THEN g.used + o.size + 2 ELSE g.used END, CASE WHEN g.open AND g.{FITS} THEN 1 ELSE 0 END, g.open AND (NOT o.gapless OR g.{FITS})
@@ -106,7 +96,8 @@ gr AS (SELECT DISTINCT log_id, section, 0::BIGINT AS rn, 2::BIGINT AS used, 0 AS
 SELECT c.log_id, c.section, c.total, CASE WHEN need <= cap THEN c.total ELSE (SELECT sum(kept) FROM gr g WHERE g.log_id = c.log_id AND g.section = c.section) END::BIGINT AS shown FROM cp c
 """.replace("g.used + size + 2 <= room", "g.used + o.size + 2 <= o.room"))
 def log_packing(spark, root):
-    items = log_items(spark, root)
+    found, wide = log_lines(spark, root)
+    items = cut_lineage(pk.log_items(logs.sweep(found, wide), view(spark, root, "log_components"), wide))
     return pk.pack_report(items, pk.pack_logs(items, 2200))
 
 

@@ -80,3 +80,23 @@ def test_one_pass_equals_a_pass_per_section(spark):
         for section in (debug_logs.execution_units, debug_logs.query_events, debug_logs.dml_events, debug_logs.thrown):
             assert sorted(map(str, section(found, wide).collect())) == sorted(map(str, section(rows, wide).collect()))
         assert debug_logs.limits(found, wide).count() == 0 and debug_logs.routed(found).count() == debug_logs.routed(rows).count()
+
+
+def test_items_are_compacted_before_they_are_packed(spark):
+    from faultline.operators import packing
+
+    fields = ", ".join(f"Field_{i}__c" for i in range(40))
+    log = ["1|CODE_UNIT_STARTED|[EXTERNAL]|Same", "1|CODE_UNIT_FINISHED|Same"] * 5 + [
+        f"1|SOQL_EXECUTE_BEGIN|[1]|Aggregations:0|SELECT {fields} FROM Order__c", "1|SOQL_EXECUTE_END|[1]|Rows:3",
+        "1|EXCEPTION_THROWN|[3]|System.SObjectException: SObject row was retrieved via SOQL without querying the requested field: Order__c.Lost__c",
+    ]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(log)], "log_id long, line_no long, raw string")
+    items = {}
+    for r in packing.log_items(debug_logs.sweep(lines)).collect():
+        items.setdefault(r.section, []).append(r)
+    assert sorted(items) == ["exceptions", "execution_units", "soql_summary"]
+    assert [r.size for r in items["execution_units"]] == [len('{"label":"Same","depth":0,"had_exception":false,"repeat":5}')]
+    short = "SELECT <40 fields; DOES NOT include Lost__c> FROM Order__c"
+    assert [r.size for r in items["soql_summary"]] == [len(f'{{"signature":"{short}","object":"Order__c","occurrences":1,"total_rows":3}}')]
+    packed = {r.section: (r.total, r.shown) for r in api.pack_normalized_logs(lines, 5000).collect()}
+    assert packed == {"exceptions": (1, 1), "execution_units": (1, 1), "soql_summary": (1, 1)}
