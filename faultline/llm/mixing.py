@@ -31,7 +31,8 @@ from faultline.llm.common import stored, whole_text
 
 MAX_EPOCHS = 3
 SEED = 20_011
-RANGES = 1 << 12
+# ranges a level of hashes is cut into, and rows that are few enough to be put in order by one task
+RANGE_BITS, FEW_ROWS = 8, 4_096
 # patterns that may reach the driver and be broadcast back; more is an error, never a cut
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,8 +134,9 @@ def _order(key: str = "__key", size: str = "__size", seed: int = SEED) -> Column
     return F.xxhash64(F.lit(seed), F.col(key), F.col(size))
 
 
-def _range(h: str = "__h") -> Column:
-    return F.shiftrightunsigned(F.col(h), 64 - RANGES.bit_length() + 1)
+def _range(level: int = 1) -> Column:
+    """The hash range of a level: each level cuts the ranges of the one above it."""
+    return F.shiftrightunsigned(F.col("__h"), 64 - RANGE_BITS * level)
 
 
 def _place() -> Column:
@@ -169,6 +171,34 @@ def plan_mix(sizes: DataFrame, weight_cycle: Sequence[float] = (1, 2, 3), share:
     return plan
 
 
+def _edges(rows: DataFrame, level: int) -> list:
+    """Per pattern its words in all, and the range of the level in which they pass the room, with the words before it.
+
+    ``rows`` have id, room and the words ``before`` them; the window runs over
+    the ranges of one range above, never over documents.
+    """
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("id").orderBy("range"))
+    totals = rows.groupBy("id", "room", "before", _range(level).alias("range")).agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    edge = F.struct("range", (F.col("upto") - F.col("n")).alias("before"), "rows")
+    return totals.withColumn("upto", upto).groupBy("id").agg(F.max("upto").alias("total"), F.min(F.when(F.col("upto") > F.col("room"), edge)).alias("edge")).collect()
+
+
+def _narrowed(rows: DataFrame, edges: dict) -> list[tuple]:
+    """(id, bits, range, words before): the range of each cut, cut again by further bits of the hash until it has few rows."""
+    out, level = [], 1
+    while edges:
+        done = {i: e for i, e in edges.items() if e["rows"] <= FEW_ROWS or RANGE_BITS * (level + 1) >= 64}
+        out += [(i, 64 - RANGE_BITS * level, e["range"], e["before"]) for i, e in done.items()]
+        wide = [(i, e["range"], e["before"]) for i, e in edges.items() if i not in done]
+        if not wide:
+            return out
+        at = rows.sparkSession.createDataFrame(wide, "e int, above bigint, before bigint")
+        inside = rows.join(F.broadcast(at), (F.col("id") == F.col("e")) & (_range(level) == F.col("above")))
+        level += 1
+        edges = {r["id"]: r["edge"] for r in _edges(inside, level)}
+    return out
+
+
 def _place_cuts(sizes: DataFrame, plan: Plan, rest: dict[tuple, int]) -> None:
     spark = sizes.sparkSession
     plan.extra = {p: [] for p in plan.patterns}
@@ -180,18 +210,15 @@ def _place_cuts(sizes: DataFrame, plan: Plan, rest: dict[tuple, int]) -> None:
     while open_:
         state = spark.createDataFrame([(list(p), i, room[p], open_[p]) for i, p in enumerate(plan.patterns) if p in open_], f"p {kind}, id int, room bigint, behind {place}")
         rows = sizes.filter("__size > 0").join(F.broadcast(state), F.col("__pattern").eqNullSafe(F.col("p"))).filter("__size <= room")
-        rows = rows.filter(F.col("behind").isNull() | (_place() > F.col("behind"))).withColumn("range", _range())
-        # words up to each range, by pattern: at most RANGES rows each
-        upto = F.sum("n").over(Window.partitionBy("id").orderBy("range"))
-        totals = rows.groupBy("id", "room", "range").agg(F.sum("__size").alias("n")).withColumn("upto", upto)
-        found = totals.groupBy("id").agg(F.max("upto").alias("total"), F.min(F.when(F.col("upto") > F.col("room"), F.struct("range", (F.col("upto") - F.col("n")).alias("before")))).alias("edge")).collect()
+        rows = rows.filter(F.col("behind").isNull() | (_place() > F.col("behind")))
+        found = _edges(rows.withColumn("before", F.lit(0).cast("bigint")), 1)
         cut = {}
-        edges = [(r["id"], r["edge"]["range"], r["edge"]["before"]) for r in found if r["edge"] is not None]
+        edges = _narrowed(rows, {r["id"]: r["edge"] for r in found if r["edge"] is not None})
         if edges:
-            edge = spark.createDataFrame(edges, "e int, edge bigint, before bigint")
+            edge = spark.createDataFrame(edges, "e int, bits int, edge bigint, before bigint")
             # inside the range of the cut, rows that agree in hash and key are taken together
             inside = (
-                rows.join(F.broadcast(edge), (F.col("id") == F.col("e")) & (F.col("range") == F.col("edge")))
+                rows.join(F.broadcast(edge), (F.col("id") == F.col("e")) & (F.expr("shiftrightunsigned(__h, bits)") == F.col("edge")))
                 .groupBy("id", "room", "before", "__h", "__key").agg(F.sum("__size").alias("n"))
                 .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("id").orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)))
                 .groupBy("id", "before")

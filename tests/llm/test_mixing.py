@@ -1,6 +1,7 @@
 """Targets, flow and the seeded choice."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,14 @@ def test_too_many_patterns_is_an_error(spark, odd_documents, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
     with pytest.raises(ValueError):
         mixing.mix(odd_documents)
+
+
+def test_hash_ranges_are_cut_again_without_changing_the_cut(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "w " * rng.randint(0, 40), "hot" if i % 3 else "cold") for i in range(3_000)], "doc_id long, text string, source string")
+    sizes = mixing.sized(docs, F.array("source"))
+    plan = lambda: mixing.plan_mix(sizes)
+    whole = plan()
+    monkeypatch.setattr(mixing, "FEW_ROWS", 1)
+    again = plan()
+    assert whole.cuts == again.cuts and whole.extra == again.extra and any(whole.cuts.values())
