@@ -101,7 +101,8 @@ def counter_text(df: DataFrame, keys: list[str], item: str, name: str) -> DataFr
     Grouped by (key, item) first: what is collected is one entry per distinct
     item, and the items counted here (channels) are a handful.
     """
-    per_item = df.groupBy(*keys, item).agg(_events().alias("__n"))
+    weighted = df if "n_events" in df.columns else df.withColumn("n_events", F.lit(1))
+    per_item = weighted.groupBy(*keys, item).agg(_events().alias("__n"))
     entry = F.concat(F.col(item), F.lit("="), F.col("__n").cast("string"))
     return per_item.groupBy(*keys).agg(
         F.concat_ws(",", F.array_sort(F.collect_list(entry))).alias(name)
@@ -118,7 +119,7 @@ def set_text(df: DataFrame, keys: list[str], item: str, name: str) -> DataFrame:
 
 def top_action(df: DataFrame, keys: list[str]) -> DataFrame:
     """Most frequent action per key; ties go to the one seen first."""
-    per_action = df.groupBy(*keys, "shown_action").agg(
+    per_action = counted(df).groupBy(*keys, "shown_action").agg(
         _events().alias("__n"), F.min("first").alias("__first")
     )
     ranked = per_action.withColumn(
