@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from faultline import api
 from faultline.operators import debug_logs
 
@@ -72,6 +74,17 @@ def test_filing_in_one_call(spark):
     assert scores[(10, "Alpha")] == 50 + 39 and scores[(10, "Delta")] == 35 + 12 + 8 and scores[(12, "Gamma")] == 15
 
 
+def test_packs_are_made_only_where_they_are_asked_for(spark):
+    t = installation(spark)
+    t.call_edges = t.call_edges.selectExpr("org_id", "src", "coalesce(raise_error('calls were followed'), dst) AS dst")
+    lines = spark.createDataFrame([(7, i, x) for i, x in enumerate(LOG)], "log_id long, line_no long, raw string")
+    filings = spark.createDataFrame([(10, "o1", day(3), 7, "F__c")], "incident_id long, org_id string, filed_at date, log_id long, suspect_field string")
+    out = api.file_incidents(t, filings, lines)
+    assert [r.top_exception for r in out["reports"].collect()] == ["A.B"] and [r.object for r in out["objects"].collect()] == ["Order__c"]
+    with pytest.raises(Exception, match="calls were followed"):
+        out["components"].collect()
+
+
 def test_one_pass_equals_a_pass_per_section(spark):
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(LOG + QUIET + LOG[::-1])], "log_id long, line_no long, raw string")
     rows = debug_logs.events(lines)
