@@ -91,3 +91,13 @@ def test_a_large_flow(spark):
     n = 2_000
     got = graph(spark, [(f"e{i}", [f"e{i + 1}", f"e{min(i + 7, n - 1)}"]) for i in range(n - 1)] + [(f"e{n - 1}", [])])
     assert (got.max_depth, got.unreachable, got.has_cycles, got.elements) == (n - 1, "", False, n)
+
+
+def test_entry_points_leave_graphs_alone(spark):
+    flow = {"processType": "AutoLaunchedFlow", "start": {"object": "Order__c", "triggerType": "RecordAfterSave", "connector": {"targetReference": "U"}}, "recordUpdates": [{"name": "U", "inputReference": "$Record"}]}
+    rows = spark.createDataFrame([("o", "F", json.dumps(flow), "Active", 1, None)], "org_id string, flow_id string, metadata string, status string, version_number int, namespace string")
+    none = spark.createDataFrame([], "org_id string, object string, component_id string")
+    points = flows.entry_points(flows.parsed(rows), none, none)
+    assert sorted(r.bucket for r in points.collect()) == ["after_save_flows", "self_referential_automation"]
+    assert "without_fault_path" not in points._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.flag for r in flows.flags(flows.parsed(rows)).collect()} == {"self_referential_update", "no_fault_path"}
