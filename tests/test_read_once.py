@@ -3,11 +3,34 @@
 import pytest
 
 from faultline.operators import flows as fl
+from faultline.operators import source_code as sc
+from faultline.plans import registry
+
+ROOT = "/root/testdata/sf0.001"
+CODE = """class A {
+    void run(List<Id> ids) {
+        for (Id i : ids) { update rec; }
+        Integer plain = 1;
+        rec.Status__c = 'x';
+        Database.insert(rows);
+        Account a = [SELECT Id FROM Account];
+        Database.query(q);
+    }
+}
+"""
+
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["source_queries", "source_dml", "source_field_writes", "class_flags"])
+def test_statements_are_found_once(spark, name):
+    registry.load()
+    # the windows that find statements ran when the matching ones were written
+    assert "Window [" not in plan(registry.QUERIES[name](spark, ROOT))
+
+
 @pytest.mark.parametrize("job", [fl.conditions, fl.assignments])
 def test_value_nodes_are_read_once(spark, job):
     document = '{"start":{"filters":[{"field":"F","operator":"EqualTo","value":{"elementReference":"$Flow.X"}}]},"assignments":[{"name":"A","assignmentItems":[{"assignToReference":"a.B__c","operator":"Assign","value":{"apexValue":"$Flowers"}}]}]}'
@@ -15,3 +38,18 @@ def test_value_nodes_are_read_once(spark, job):
     assert [r["value_kind"] for r in rows.collect()] == ["global"]
     # the document, and the node once
     assert plan(rows).count("from_json(") == 2
+
+
+def test_marked_statements_give_the_same_rows(spark):
+    prep = sc.prepared(spark.createDataFrame([("o", "A", CODE), ("o", "B", "class B {}"), ("o", "C", None)], "org_id string, component_id string, code string"))
+    every = sc.statements(prep)
+
+    def same(job, marks):
+        a, b = (sorted(map(str, job(s).collect())) for s in (every, sc.holding(every, *marks)))
+        assert a and a == b
+
+    same(sc.queries, sc.QUERY_MARKS)
+    same(sc.dml, sc.DML_MARKS)
+    same(lambda s: sc.field_writes(prep, s), sc.WRITE_MARKS)
+    same(lambda s: sc.flags(prep, s), sc.FLAG_MARKS)
+    assert sc.holding(every, *sc.QUERY_MARKS).count() == 2
