@@ -9,7 +9,7 @@ from faultline.operators import packing as pk
 from faultline.plans.debug_logs import COMPONENTS, EXCEPTIONS, ROUTED, SUMMARY
 from faultline.plans.debug_logs import lines as log_lines
 from faultline.plans.registry import SQL, query
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, written
 from faultline.sources import component_views  # noqa: F401
 from faultline.sources.tables import table
 from faultline.sources.views import view
@@ -62,7 +62,9 @@ s3 AS ({_step('b2', 'field_writes')})
 """)
 def card_packing(spark, root):
     items, wide = card_items(spark, root)
-    return pk.pack_cards(items.select("org_id", "component_id", "section", "item_no", "size"), ["org_id", "component_id"], BUDGET, wide)
+    # numbered once: totals, sizes by chunk and the running sizes all read the items
+    items = written(items.select("org_id", "component_id", "section", "item_no", "size"), "card_items")
+    return pk.pack_cards(items, ["org_id", "component_id"], BUDGET, wide)
 
 
 RUNS = SQL["unit_runs"]

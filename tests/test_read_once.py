@@ -31,6 +31,11 @@ def test_statements_are_found_once(spark, name):
     assert "Window [" not in plan(registry.QUERIES[name](spark, ROOT))
 
 
+def test_card_items_are_numbered_once(spark):
+    registry.load()
+    assert "row_number()" not in plan(registry.QUERIES["card_packing"](spark, ROOT))
+
+
 @pytest.mark.parametrize("job", [fl.conditions, fl.assignments])
 def test_value_nodes_are_read_once(spark, job):
     document = '{"start":{"filters":[{"field":"F","operator":"EqualTo","value":{"elementReference":"$Flow.X"}}]},"assignments":[{"name":"A","assignmentItems":[{"assignToReference":"a.B__c","operator":"Assign","value":{"apexValue":"$Flowers"}}]}]}'
