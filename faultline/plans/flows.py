@@ -13,8 +13,8 @@ O = """(SELECT *, o_orderkey AS k, o_custkey AS c, concat('org_', CAST(o_orderke
   concat('Obj', CAST(o_custkey % 4 AS VARCHAR), '__c') AS obj FROM {orders})"""
 
 
-def documents(spark, root):
-    return fl.parsed(fv.flow_documents(spark, root))
+def documents(spark, root, schema=fl.SCHEMA):
+    return fl.parsed(fv.flow_documents(spark, root), schema)
 
 
 @query("flow_headers", f"""
@@ -42,7 +42,7 @@ UNION ALL SELECT org_id, flow_id, 'Lost', 'Lost', 'screen', NULL, NULL, NULL, NU
 
 @query("flow_elements", ELEMENTS)
 def flow_elements(spark, root):
-    return fl.elements(documents(spark, root))
+    return fl.elements(documents(spark, root, fl.ELEMENT_SCHEMA))
 
 
 @query("flow_edges", f"""
@@ -51,7 +51,7 @@ UNION ALL SELECT org_id, flow_id, 'Upd', 'Look' FROM {O} o WHERE k % 3 = 0 UNION
 UNION ALL SELECT org_id, flow_id, 'Act', 'Sub' FROM {O} o WHERE k % 5 = 0
 """)
 def flow_edges(spark, root):
-    return fl.edges(documents(spark, root))
+    return fl.edges(documents(spark, root, fl.ELEMENT_SCHEMA))
 
 
 UNREACHED = "concat_ws(',', CASE WHEN k % 6 = 0 THEN 'Cre' END, CASE WHEN k % 7 = 0 THEN 'Lost' END, CASE WHEN k % 5 <> 0 THEN 'Sub' END)"
@@ -65,7 +65,7 @@ SELECT org_id, flow_id, 'Check' AS start, k % 4 = 0 AS has_cycles, (7 + CASE WHE
     CASE WHEN k % 3 = 0 THEN 'Upd,Look' ELSE 'Look,Upd' END, 'Loop1', 'Act', 'Asg', CASE WHEN k % 5 = 0 THEN 'Sub' END) END AS topological_order FROM {O} o
 """)
 def flow_graphs(spark, root):
-    return fl.graphs(documents(spark, root))
+    return fl.graphs(documents(spark, root, fl.ELEMENT_SCHEMA))
 
 
 @query("flow_conditions", f"""

@@ -58,3 +58,29 @@ def test_marked_statements_give_the_same_rows(spark):
     same(lambda s: sc.field_writes(prep, s), sc.WRITE_MARKS)
     same(lambda s: sc.flags(prep, s), sc.FLAG_MARKS)
     assert sc.holding(every, *sc.QUERY_MARKS).count() == 2
+
+
+def test_element_jobs_read_no_values(spark):
+    registry.load()
+    for name in ("flow_elements", "flow_edges", "flow_graphs"):
+        assert "StructField(inputAssignments" not in plan(registry.QUERIES[name](spark, ROOT))
+
+
+def test_element_part_of_the_schema_gives_the_same_rows(spark):
+    whole = (
+        '{"start":{"object":"O","connector":{"targetReference":"D"},"filters":[{"field":"F","value":{"stringValue":"x"}}],"scheduledPaths":[{"offsetNumber":"no"}]},'
+        '"decisions":[{"name":"D","label":"d","rules":[{"name":"R","conditions":7,"connector":{"targetReference":"U"}},{"connector":null},null],"defaultConnector":{"targetReference":"L"}},{"label":"nameless"}],'
+        '"recordUpdates":[{"name":"U","inputReference":"$Record","inputAssignments":{"odd":1},"connector":{"targetReference":"A"}}],'
+        '"loops":[{"name":"L","nextValueConnector":{"targetReference":"A"},"noMoreValuesConnector":{"targetReference":"Gone"}}],'
+        '"assignments":[{"name":"A","assignmentItems":[{"value":{"weird":[1,2]}}],"connector":{"targetReference":"L"}}],'
+        '"actionCalls":[{"name":"X","actionName":"Cls","inputParameters":[{"value":{"numberValue":"n"}}]},{"name":"X"}],"screens":[{"name":"S"}],"extra":{"a":[{}]}}'
+    )
+    line = '{"start":{"connector":{"targetReference":"A"}},"screens":[{"name":"A","connector":{"targetReference":"B"}},{"name":"B","connector":{"targetReference":"C"}},{"name":"C"}]}'
+    texts = [whole, line, None, "", "{}", "[]", "not json", whole[:-3], '{"decisions":"text","screens":[{"name":"S"}]}', '{"recordUpdates":[5,{"name":"U"}]}', '{"start":null,"waits":[]}']
+    documents = spark.createDataFrame([("o", str(i), t) for i, t in enumerate(texts)], "org_id string, flow_id string, metadata string")
+    for job in (fl.elements, fl.edges, fl.graphs):
+        a, b = (sorted(map(str, job(fl.parsed(documents, s)).collect())) for s in (fl.SCHEMA, fl.ELEMENT_SCHEMA))
+        assert a and a == b
+    rows = {r.flow_id: r for r in fl.graphs(fl.parsed(documents, fl.ELEMENT_SCHEMA)).collect()}
+    assert (rows["0"].has_cycles, rows["0"].unreachable, rows["0"].without_fault_path, rows["0"].topological_order) == (True, "S,X", "U,X,X", "")
+    assert (rows["1"].has_cycles, rows["1"].max_depth, rows["1"].topological_order, rows["1"].unreachable) == (False, 2, "A,B,C", "")
