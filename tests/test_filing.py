@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from faultline import api
-from faultline.operators import debug_logs
+from faultline.operators import debug_logs, filing
 
 LOG = [
     "1|CODE_UNIT_STARTED|[EXTERNAL]|Alpha",
@@ -113,3 +113,27 @@ def test_items_are_compacted_before_they_are_packed(spark):
     assert [r.size for r in items["soql_summary"]] == [len(f'{{"signature":"{short}","object":"Order__c","occurrences":1,"total_rows":3}}')]
     packed = {r.section: (r.total, r.shown) for r in api.pack_normalized_logs(lines, 5000).collect()}
     assert packed == {"exceptions": (1, 1), "execution_units": (1, 1), "soql_summary": (1, 1)}
+
+
+def test_equal_requests_have_one_pack(spark):
+    lines = spark.createDataFrame([(n, i, x) for n in (7, 8, 9) for i, x in enumerate(LOG)], "log_id long, line_no long, raw string")
+    filings = spark.createDataFrame(
+        [(1, "o1", day(3), 7, "F__c"), (2, "o1", day(3), 8, "F__c"), (None, "o1", day(4), 9, "F__c"), (3, "o1", day(4), 9, None), (3, "o1", day(4), 9, None),
+         (4, "o1", day(4), None, "F__c"), (5, None, day(4), 7, "F__c"), (6, "o1", day(4), None, None)],
+        "incident_id long, org_id string, filed_at date, log_id long, suspect_field string",
+    )
+    t = installation(spark)
+    out = api.file_incidents(t, filings, lines)
+    packs = {}
+    for r in out["components"].collect():
+        packs.setdefault((r.incident_id, r.org_id), []).append((r.component_id, r.is_named, r.writes_field))
+    named = [("Alpha", True, False), ("Beta", False, False), ("Gamma", False, False)]
+    want = {(n, "o1"): [*named[:2], ("Delta", False, True), named[2]] for n in (1, 2, None)} | {(3, "o1"): named, (4, "o1"): [("Delta", False, True)]}
+    assert {k: sorted(v) for k, v in packs.items()} == want
+    suspects = [(r.incident_id, r.component_id) for r in out["suspects"].collect()]
+    assert sorted(suspects, key=str) == sorted(((k[0], c[0]) for k, v in want.items() for c in v), key=str)
+    # asked for alike by three filings, made once
+    tokens = spark.createDataFrame([(n, "Alpha") for n in (7, 8, 9)], "log_id long, component_id string")
+    requests = filing.pack_requests(filings, filing.named_components(filings, tokens, t.cards))
+    assert filing.asked_packs(requests, "component", "component_id").filter("org_id = 'o1'").count() == 2
+    assert filing.asked_packs(requests, "field", "suspect_field").filter("org_id = 'o1'").count() == 2
