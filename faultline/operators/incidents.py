@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions.scan import number_rows, scan
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, written
 
 # ---- fixed values -----------------------------------------------------------
 CLASS_FRAME = r"(?i)^Class\.([\w.]+?)(?:\.\w+)?:"
-MATCH_LIMIT, MIN_SCORE, MIN_CONTAINED = 8, 40, 12
+MATCH_LIMIT, MIN_SCORE, MIN_CONTAINED, TYPE_BONUS = 8, 40, 12, 15
 RECENT_FIXES = 6
 # -----------------------------------------------------------------------------
 
@@ -145,6 +145,8 @@ def already_filed(links: DataFrame) -> DataFrame:
 #                    automata that run over the containing texts
 #   field named      the fields are patterns likewise
 #   words shared     sharing enough words means sharing one of the rarest ones
+# A text longer than any containing one, or that needs more shared words than
+# any query has, is left out before its words are taken apart.
 # Queries and issues are first reduced to distinct masked texts.
 
 
@@ -186,7 +188,14 @@ def patterns_inside(patterns: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _contained_pairs(small: DataFrame, big: DataFrame) -> DataFrame:
     """(s_id, b_id) such that ``small.text`` occurs in ``big.text``; both at least twelve characters."""
-    s = small.filter(F.length("s_text") >= MIN_CONTAINED).withColumn("toks", _spaced("s_text"))
+    longest = big.agg(F.coalesce(F.max(F.length("b_text")), F.lit(0))).first()[0]
+    s = small.filter(F.length("s_text").between(MIN_CONTAINED, longest))
+    patterns = s.select(F.col("s_id").alias("p_id"), F.col("s_text").alias("p_text"))
+    read = big.select(F.col("b_id").alias("t_id"), F.col("b_text").alias("t_text"))
+    if s.agg(F.coalesce(F.sum(F.length("s_text")), F.lit(0))).first()[0] <= AUTOMATON_CHARS:
+        # one automaton holds them all: the containing texts are read once and not taken apart
+        return patterns_inside(patterns, read).select(F.col("p_id").alias("s_id"), F.col("t_id").alias("b_id"))
+    s = s.withColumn("toks", _spaced("s_text"))
     b_tokens = big.select("b_id", F.explode(F.array_distinct(_spaced("b_text"))).alias("tok"))
     inner = s.filter(F.size("toks") > 2).select(
         "s_id", F.explode(F.array_distinct(F.slice("toks", 2, F.size("toks") - 2))).alias("tok")
@@ -200,9 +209,9 @@ def _contained_pairs(small: DataFrame, big: DataFrame) -> DataFrame:
     pairs = key.join(b_tokens, "tok").select("s_id", "b_id")
     # two words or fewer: no inner word
     short = s.filter(F.size("toks") <= 2).select(F.col("s_id").alias("p_id"), F.col("s_text").alias("p_text"))
-    inside = patterns_inside(short, big.select(F.col("b_id").alias("t_id"), F.col("b_text").alias("t_text")))
+    inside = patterns_inside(short, read)
     pairs = pairs.unionByName(inside.select(F.col("p_id").alias("s_id"), F.col("t_id").alias("b_id")))
-    joined = pairs.distinct().join(small, "s_id").join(big, "b_id")
+    joined = pairs.distinct().join(s.select("s_id", "s_text"), "s_id").join(big, "b_id")
     return joined.filter(F.contains("b_text", "s_text")).select("s_id", "b_id")
 
 
@@ -211,18 +220,26 @@ def _text_id(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(x), F.lit("")).alias(x) for x in columns])), 256)
 
 
-def _sharing_pairs(issues: DataFrame, queries: DataFrame) -> DataFrame:
-    """(e_id, q_id) that share enough words for the least score that can count."""
-    least = F.greatest(F.lit(2), F.ceil(F.size("e_words") * F.lit((MIN_SCORE - 15) / 70.0) - F.lit(1e-9)))
-    ew = issues.filter(F.size("e_words") >= 2).withColumn("need", least)
-    words = ew.select("e_id", "need", F.size("e_words").alias("n"), F.explode("e_words").alias("w"))
-    qwords = queries.select("q_id", F.explode("q_words").alias("w"))
+def _shares(forms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(e_id, q_id, base) of the pairs that share enough words for the least score that can count."""
+    most = texts.agg(F.coalesce(F.max(F.size("q_words")), F.lit(0))).first()[0]
+    floor = F.when(F.col("typed"), MIN_SCORE - TYPE_BONUS).otherwise(MIN_SCORE)
+    least = F.greatest(F.lit(2), F.ceil(F.size("e_words") * floor / F.lit(70.0) - F.lit(1e-9)))
+    # a form that needs more words than any text has is never taken apart
+    ew = forms.select("e_id", "e_words", F.size("e_words").alias("n"), least.alias("need"))
+    ew = ew.filter((F.col("n") >= 2) & (F.col("need") <= most))
+    words = ew.select("e_id", "need", "n", F.explode("e_words").alias("w"))
+    qwords = texts.select("q_id", F.size("q_words").alias("n_q"), F.explode("q_words").alias("w"))
     freq = qwords.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     ranked = words.join(freq, "w", "left").withColumn(
         "r", F.row_number().over(Window.partitionBy("e_id").orderBy(F.coalesce("df", F.lit(0)), "w"))
     )
     prefix = ranked.filter((F.col("r") <= F.col("n") - F.col("need") + 1) & F.col("df").isNotNull())
-    return prefix.join(qwords, "w").select("e_id", "q_id").distinct()
+    pairs = prefix.join(qwords, "w").filter(F.col("n_q") >= F.col("need")).select("e_id", "q_id").distinct()
+    shared = F.size(F.array_intersect("q_words", "e_words"))
+    counted = pairs.join(ew.select("e_id", "e_words", "n"), "e_id").join(texts.select("q_id", "q_words"), "q_id")
+    counted = counted.select("e_id", "q_id", "n", shared.alias("shared")).filter("shared >= 2")
+    return counted.select("e_id", "q_id", F.floor(F.lit(70) * F.col("shared") / F.col("n")).alias("base"))
 
 
 def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT) -> DataFrame:
@@ -237,20 +254,25 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     # one row per distinct masked text and set of exception types; a signature stands for itself
     q = q.withColumn("sig", F.when(F.col("raw").rlike("^[0-9a-f]{16}$"), F.col("raw")).otherwise(""))
     # masked texts feed every branch below: written once to the shared folder
-    q = cut_lineage(q.select("query_id", "q", "types", "sig"))
-    texts = q.select("q", "types", "sig").distinct().withColumn("q_id", _text_id("q", "types", "sig"))
+    q = cut_lineage(q.select("query_id", "q", "types", "sig").withColumn("q_id", _text_id("q", "types", "sig")))
+    texts = q.select("q_id", "q", "types", "sig").dropDuplicates(["q_id"])
     texts = cut_lineage(texts.withColumn("q_words", c.words(F.col("q"))))
     shown = F.when(
         F.col("kind") == "field_report", F.concat(F.lit("field report "), F.coalesce("field", F.lit("")))
     ).otherwise(F.concat_ws(" ", F.coalesce("type", F.lit("")), F.coalesce("message_sample", F.lit(""))))
-    i = issues.withColumn("e", c.mask_for_matching(shown)).withColumn("msg", c.mask_for_matching(F.col("message_sample"))).withColumn(
+    i = issues.withColumn("msg", c.mask_for_matching(F.col("message_sample"))).withColumn(
         "lfield", F.lower(F.coalesce("field", F.lit("")))
     ).withColumn("ltype", F.lower(F.coalesce("type", F.lit(""))))
-    i = cut_lineage(i.select("issue_id", "signature", "e", "msg", "lfield", "ltype", "resolution", "last_seen"))
-    forms = i.select("e", "msg", "lfield").distinct().withColumn("e_id", _text_id("e", "msg", "lfield")).withColumn(
-        "e_words", c.words(F.col("e"))
+    # without a type an issue shows its message and nothing else: masked once, kept once
+    other = F.coalesce(F.col("kind") == "field_report", F.lit(False)) | (F.col("ltype") != "")
+    i = i.withColumn("e", F.when(other, c.mask_for_matching(shown)))
+    i = i.withColumn("e_id", F.sha2(F.to_json(F.struct(F.coalesce("e", "msg").alias("e"), "msg", "lfield")), 256))
+    # later passes read only their columns of these two
+    i = written(i.select("issue_id", "signature", "e", "msg", "lfield", "ltype", "resolution", "last_seen", "e_id"), "known-issues")
+    forms = i.groupBy("e_id").agg(
+        F.first("e").alias("e"), F.first("msg").alias("msg"), F.first("lfield").alias("lfield"), F.max(F.col("ltype") != "").alias("typed")
     )
-    forms = cut_lineage(forms)
+    forms = written(forms.select("e_id", "msg", "lfield", "typed", c.words(F.coalesce("e", "msg")).alias("e_words")), "issue-forms")
 
     msgs = forms.select(F.col("e_id").alias("s_id"), F.col("msg").alias("s_text"))
     qs = texts.select(F.col("q_id").alias("b_id"), F.col("q").alias("b_text"))
@@ -261,31 +283,23 @@ def match_known(issues: DataFrame, queries: DataFrame, limit: int = MATCH_LIMIT)
     fields = forms.select(F.col("e_id").alias("p_id"), F.col("lfield").alias("p_text"))
     named = patterns_inside(fields, texts.select(F.col("q_id").alias("t_id"), F.col("q").alias("t_text")))
     named = named.select(F.col("p_id").alias("e_id"), F.col("t_id").alias("q_id"))
-    pairs = within.unionByName(around).unionByName(named).unionByName(_sharing_pairs(forms, texts)).distinct()
-
-    scored = pairs.join(forms, "e_id").join(texts, "q_id")
-    shared = F.size(F.array_intersect("q_words", "e_words"))
-    n_words = F.size("e_words")
-    contained = (F.length("msg") >= MIN_CONTAINED) & (
-        F.contains("q", "msg") | ((F.length("q") >= MIN_CONTAINED) & F.contains("msg", "q"))
-    )
-    share = F.when((n_words > 0) & (shared >= 2), F.floor(F.lit(70) * shared / n_words)).otherwise(0)
-    base = F.when(contained, 90).when((F.col("lfield") != "") & F.contains("q", "lfield"), 80).otherwise(share)
-    scored = scored.select("e", "msg", "lfield", "q", "types", "sig", base.alias("base"))
+    # each way of scoring yields its score with the pair, so no text is joined to the pairs again; the best way counts
+    ways = within.unionByName(around).withColumn("base", F.lit(90)).unionByName(named.withColumn("base", F.lit(80)))
+    scored = ways.unionByName(_shares(forms, texts)).groupBy("e_id", "q_id").agg(F.max("base").alias("base"))
 
     # issues of one form and type score alike for a text, so the best few of them are enough; a signature stands for itself
-    alike = Window.partitionBy("e", "msg", "lfield", "ltype").orderBy(F.desc(F.col("resolution").isNotNull()), F.desc("last_seen"), "issue_id")
+    i = i.select("e_id", "issue_id", "signature", "ltype", "resolution", "last_seen")
+    keys = texts.select("q_id", "types", "sig")
+    alike = Window.partitionBy("e_id", "ltype").orderBy(F.desc(F.col("resolution").isNotNull()), F.desc("last_seen"), "issue_id")
     few = i.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= limit).drop("nth")
-    worded = few.join(scored, ["e", "msg", "lfield"]).filter((F.col("sig") == "") | (F.col("sig") != F.col("signature")))
-    signed_ones = i.join(texts.filter("sig <> ''").select("q", "types", "sig"), F.col("signature") == F.col("sig")).withColumn("base", F.lit(100))
+    worded = few.join(scored, "e_id").join(keys, "q_id").filter((F.col("sig") == "") | (F.col("sig") != F.col("signature")))
+    signed_ones = i.join(keys.filter("sig <> ''"), F.col("signature") == F.col("sig")).withColumn("base", F.lit(100))
     hits = worded.select(*signed_ones.columns).unionByName(signed_ones)
     typed = F.exists(F.filter(F.split("types", " "), lambda t: t != ""), lambda t: F.contains(F.col("ltype"), t)) & (F.col("ltype") != "")
-    hits = hits.withColumn("score", F.when((F.col("base") > 0) & typed, F.col("base") + 15).otherwise(F.col("base")))
+    hits = hits.withColumn("score", F.when((F.col("base") > 0) & typed, F.col("base") + TYPE_BONUS).otherwise(F.col("base")))
     hits = hits.filter(F.col("score") >= MIN_SCORE).withColumn("score", F.least("score", F.lit(100)).cast("bigint"))
-    order = Window.partitionBy("q", "types", "sig").orderBy(
+    order = Window.partitionBy("q_id").orderBy(
         F.desc("score"), F.desc(F.col("resolution").isNotNull()), F.desc("last_seen"), "issue_id"
     )
-    best = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select(
-        "q", "types", "sig", "place", "issue_id", "score"
-    )
-    return q.select("query_id", "q", "types", "sig").join(best, ["q", "types", "sig"]).select("query_id", "place", "issue_id", "score")
+    best = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("q_id", "place", "issue_id", "score")
+    return q.select("query_id", "q_id").join(best, "q_id").select("query_id", "place", "issue_id", "score")
