@@ -2,6 +2,7 @@
 
 import pytest
 
+from faultline.operators import component_graph as g
 from faultline.operators import flows as fl
 from faultline.operators import source_code as sc
 from faultline.plans import registry
@@ -84,3 +85,30 @@ def test_element_part_of_the_schema_gives_the_same_rows(spark):
     rows = {r.flow_id: r for r in fl.graphs(fl.parsed(documents, fl.ELEMENT_SCHEMA)).collect()}
     assert (rows["0"].has_cycles, rows["0"].unreachable, rows["0"].without_fault_path, rows["0"].topological_order) == (True, "S,X", "U,X,X", "")
     assert (rows["1"].has_cycles, rows["1"].max_depth, rows["1"].topological_order, rows["1"].unreachable) == (False, 2, "A,B,C", "")
+
+
+def test_edges_of_the_context_are_made_distinct_once(spark):
+    registry.load()
+    made = plan(registry.QUERIES["context_expansion"](spark, ROOT))
+    assert made.count("Relation [l_orderkey") == 1
+    # how a call is made does not matter here
+    assert "method_call" not in made
+
+
+def test_expansion_by_hand(spark):
+    seeds = [("o", "A"), ("o", "A"), ("o", "X"), ("o", None), (None, "B"), ("p", "B")]
+    edges = [
+        ("o", "A", "B", "call"), ("o", "A", "B", "new"), ("o", "A", "A", "call"), ("o", "C", "A", "call"), ("o", "X", "D", "call"), ("o", "E", "X", "call"),
+        ("o", "B", "F", "call"), ("o", "G", "C", "call"), ("p", "A", "H", "call"), ("o", "A", None, "call"), ("o", None, "A", "call"), (None, "I", "B", "call"), (None, "B", "I", "call"),
+    ]
+    cards = [("o", x) for x in "ABCDEFGHI"] + [("o", "C"), ("o", None), (None, "I"), ("p", "A"), ("p", "B"), ("p", "H")]
+    frames = [
+        spark.createDataFrame(seeds, "org_id string, component_id string"),
+        spark.createDataFrame(edges, "org_id string, src string, dst string, via string"),
+        spark.createDataFrame(cards, "org_id string, component_id string"),
+    ]
+    named = {s for s in seeds if None not in s}
+    near = {(o, d) for o, s, d, _ in edges if (o, s) in named} | {(o, s) for o, s, d, _ in edges if (o, d) in named}
+    want = {x + (x in named,) for x in named | near if None not in x and x in cards}
+    got = [tuple(r) for r in g.expansion(*frames).collect()]
+    assert sorted(got) == sorted(want) and ("o", "D", False) in want and ("o", "E", False) in want
