@@ -112,3 +112,33 @@ def test_expansion_by_hand(spark):
     want = {x + (x in named,) for x in named | near if None not in x and x in cards}
     got = [tuple(r) for r in g.expansion(*frames).collect()]
     assert sorted(got) == sorted(want) and ("o", "D", False) in want and ("o", "E", False) in want
+
+
+def test_jobs_compute_only_what_they_read(spark):
+    flows = fl.parsed(spark.createDataFrame([("o", "f", "{}")], "org_id string, flow_id string, metadata string"))
+    # fault paths are read without the graph, fields without their values
+    assert "array_position" not in plan(fl.graphs(flows).select("flow_id", "without_fault_path"))
+    assert plan(fl.field_writes(flows).select("flow_id", "field")).count("from_json(") == 1
+
+
+def test_facts_are_found_behind_the_spread_of_the_sources(spark):
+    from faultline.operators import org_index
+
+    def spread_out(df, *keys):
+        return df.repartition(3, *keys)
+
+    code = spread_out(spark.createDataFrame([("o", "A", CODE)], "org_id string, component_id string, code string"), "org_id", "component_id")
+    flow = '{"processType":"Workflow","recordLookups":[{"name":"L"}]}'
+    flows = spark.createDataFrame([("o", "F", flow, "Active", 1, None)], "org_id string, flow_id string, metadata string, status string, version_number int, namespace string")
+    facts = org_index.extract(code, code.limit(0), None, spread_out(flows, "org_id", "flow_id"))["facts"]
+    assert {r.kind for r in facts.collect()} == {"process", "no_fault_path"}
+    # what lies deeper than a RepartitionByExpression reads no text
+    lines, deeper = plan(facts).split("\n"), None
+    for line in lines:
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if deeper is not None and indent <= deeper:
+            deeper = None
+        if deeper is not None:
+            assert "from_json" not in line and "RLIKE" not in line and "regexp" not in line, line
+        elif "RepartitionByExpression" in line:
+            deeper = indent
