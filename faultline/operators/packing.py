@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.scan import number_rows, scan
+from faultline.functions.scan import CHUNK_ROWS, number_rows
 from faultline.operators import debug_logs as logs
 
 # ---- fixed values -----------------------------------------------------------
@@ -49,26 +49,43 @@ def need(section: Column, size: Column) -> Column:
     return size + F.length(section) + 6
 
 
-def pack_cards(items: DataFrame, keys: list[str], max_chars: int, wide: bool = False) -> DataFrame:
+def pack_cards(
+    items: DataFrame, keys: list[str], max_chars: int, wide: bool = False, order: tuple[str, ...] = ("item_no",), bucket: Column | None = None
+) -> DataFrame:
     """Sections of a card in priority order, whole while they fit, else the first items that do.
 
-    ``items``: keys, section, item_no (from 0), size.
+    ``items``: keys, section, size, and the columns of ``order``.  ``bucket``
+    must grow with the order: with ``wide``, rows are added up inside their
+    bucket, in one exchange, and only a row for each bucket goes further.
     """
-    sized = scan(items, [*keys, "section"], "item_no", sums={"upto": F.col("size") + 2}, wide=wide)
-    totals = items.groupBy(*keys, "section").agg(
-        F.count(F.lit(1)).alias("total"), (F.sum("size") + F.count(F.lit(1)) * 2 + 2).alias("whole_size")
-    )
+    if bucket is None:
+        bucket = F.floor(F.col(order[0]) / F.lit(CHUNK_ROWS))
+    rows = items.withColumn("__b", bucket if wide else F.lit(0))
+    inside = Window.partitionBy(*keys, "section", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum(F.col("size") + 2).over(inside))
     # a prefix longer than the budget can never be shown, so what is collected is bounded by it
-    fitting = sized.filter(F.col("upto") <= max_chars).groupBy(*keys, "section").agg(
-        F.array_sort(F.collect_list("upto")).alias("prefix")
-    )
-    rows = totals.join(fitting, [*keys, "section"], "left").withColumn(
-        "rank", section_rank(F.col("section"), list(CARD_PRIORITY), CARD_TAIL)
+    chunks = rows.groupBy(*keys, "section", "__b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.col("size") + 2).alias("upto"),
+        F.collect_list(F.when(F.col("upto") <= max_chars, F.col("upto"))).alias("prefix"),
     )
+    # dealt by card: nothing below needs another exchange
+    chunks = chunks.repartition(*keys)
+    above = Window.partitionBy(*keys, "section").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("before", F.coalesce(F.sum("upto").over(above), F.lit(0)))
+    has_keys = F.lit(True)
+    for k in keys:
+        has_keys = has_keys & F.col(k).isNotNull()
+    fitting = F.filter(F.transform("prefix", lambda p: p + F.col("before")), lambda p: p <= max_chars)
+    # without a key there is no card to show items of
+    chunks = chunks.withColumn("fitting", F.when(has_keys, fitting).otherwise(F.array().cast("array<bigint>")))
+    rows = chunks.groupBy(*keys, "section").agg(
+        F.sum("n").alias("total"), (F.sum("size") + F.sum("n") * 2 + 2).alias("whole_size"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.size("fitting") > 0, F.col("fitting"))))).alias("prefix"),
+    ).withColumn("rank", section_rank(F.col("section"), list(CARD_PRIORITY), CARD_TAIL))
     # a card has a few dozen sections at most
     cards = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(
-            "rank", "section", "total", "whole_size", F.coalesce("prefix", F.array().cast("array<bigint>")).alias("prefix")
+            "rank", "section", "total", "whole_size", "prefix"
         ))).alias("sections"),
     )
     start = F.struct(

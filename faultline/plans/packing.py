@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import without_empty_lines
-from faultline.functions.scan import number_rows
 from faultline.operators import debug_logs as logs
 from faultline.operators import packing as pk
 from faultline.plans.debug_logs import COMPONENTS, EXCEPTIONS, ROUTED, SUMMARY
 from faultline.plans.debug_logs import lines as log_lines
 from faultline.plans.registry import SQL, query
-from faultline.session import cut_lineage, written
+from faultline.session import cut_lineage
 from faultline.sources import component_views  # noqa: F401
 from faultline.sources.tables import table
 from faultline.sources.views import view
@@ -35,11 +34,7 @@ def card_items(spark, root):
         "org_id", F.col("component").alias("component_id"), F.lit("field_writes").alias("section"), F.col("write_id").alias("o1"), F.col("seq").cast("bigint").alias("o2"),
         F.length(F.to_json(F.struct("field", "risk"))).alias("size"),
     )
-    items = entries.unionByName(sites).unionByName(writes)
-    keys = ["org_id", "component_id", "section"]
-    wide = True
-    numbered = number_rows(items, keys, F.floor(F.col("o1") / F.lit(100_000)), [F.col("o1"), F.col("o2")], "n", wide)
-    return numbered.withColumn("item_no", F.col("n") - 1), wide
+    return entries.unionByName(sites).unionByName(writes)
 
 
 def _step(prev, section):
@@ -61,10 +56,8 @@ s3 AS ({_step('b2', 'field_writes')})
 {' UNION ALL '.join(f"SELECT org_id, component_id, '{s}' AS section, total_{s}::BIGINT AS total, CASE WHEN fits THEN total_{s} ELSE shown_{s} END::BIGINT AS shown FROM s3 WHERE total_{s} > 0" for s in ('entry_points', 'call_sites', 'field_writes'))}
 """)
 def card_packing(spark, root):
-    items, wide = card_items(spark, root)
-    # numbered once: totals, sizes by chunk and the running sizes all read the items
-    items = written(items.select("org_id", "component_id", "section", "item_no", "size"), "card_items")
-    return pk.pack_cards(items, ["org_id", "component_id"], BUDGET, wide)
+    # read once: the order is that of the items themselves, and what goes on from a card is a row for each bucket
+    return pk.pack_cards(card_items(spark, root), ["org_id", "component_id"], BUDGET, True, ("o1", "o2"), F.floor(F.col("o1") / F.lit(100_000)))
 
 
 RUNS = SQL["unit_runs"]
