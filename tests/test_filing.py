@@ -137,3 +137,18 @@ def test_equal_requests_have_one_pack(spark):
     requests = filing.pack_requests(filings, filing.named_components(filings, tokens, t.cards))
     assert filing.asked_packs(requests, "component", "component_id").filter("org_id = 'o1'").count() == 2
     assert filing.asked_packs(requests, "field", "suspect_field").filter("org_id = 'o1'").count() == 2
+
+
+def test_packs_follow_only_edges_and_writes_that_are_asked_for(spark):
+    t = installation(spark)
+    named, fields = spark.createDataFrame([("p", "o1", "Alpha")], "pack_id string, org_id string, component_id string"), spark.createDataFrame([("p", "o1", "F__c")], "pack_id string, org_id string, suspect_field string")
+    touch = t.field_writes.select("org_id", "field", "component")
+    packed = filing.pack_components(fields, named, t.call_edges, t.cards, touch, key=filing.PACK)
+    assert sorted((r.component_id, r.is_named, r.writes_field) for r in packed.collect()) == [
+        ("Alpha", True, False), ("Beta", False, False), ("Delta", False, True), ("Gamma", False, False)]
+    # edges meet the named components in both directions before they are made distinct; the third is the one with the cards
+    assert packed._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 3
+    lines = spark.createDataFrame([(7, i, x) for i, x in enumerate(LOG)], "log_id long, line_no long, raw string")
+    filings = spark.createDataFrame([(10, "o1", day(3), 7, "F__c")], "incident_id long, org_id string, filed_at date, log_id long, suspect_field string")
+    # writes meet the asked fields, too
+    assert api.file_incidents(t, filings, lines)["components"]._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 4
